@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .packing import op8_karmarkar_karp
+from .quality import op9_naive_bayes_svm
+from .secrets import op2_randomness_battery
 from .sharding import OP6_SQL, op6_histogram_sort
 from .topk_search import OP10_SQL, op10_threshold_algorithm
 from .warc import OP7_SQL, op7_content_addressed
 
 QUERIES = {
+    "op2_randomness_battery": op2_randomness_battery,
     "op6_histogram_sort": op6_histogram_sort,
     "op7_content_addressed": op7_content_addressed,
     "op8_karmarkar_karp": op8_karmarkar_karp,
+    "op9_naive_bayes_svm": op9_naive_bayes_svm,
     "op10_threshold_algorithm": op10_threshold_algorithm,
 }
 ORACLES = {"op6_histogram_sort": OP6_SQL, "op7_content_addressed": OP7_SQL, "op10_threshold_algorithm": OP10_SQL}
