@@ -31,16 +31,17 @@ WINDOW = 4096
 PIECE = 512
 BLOCK_PIECES = 4096
 END_ID = 2
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 20
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PACKED = _PIECES + ", sequence_id long, offset long"
 
 
 class WordTokenizer:
-    """Ids of whole texts from a cache of whitespace-separated words.
+    """Ids of whole texts from a cache of words.
 
-    Only for tokenizers that drop white space and split at it before anything else, so that the ids of a text
-    are those of its words in order. The cache is emptied when it holds CACHE_WORDS words.
+    Only for tokenizers that lower-case, drop white space and split at it and between letters and marks before
+    anything else, so that the ids of a text are those of its words in order. The cache is emptied when it holds
+    CACHE_WORDS words.
     """
 
     def __init__(self, path: str):
@@ -76,7 +77,7 @@ class WordTokenizer:
 
     def encode(self, col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first document, ids, offsets of the documents' ids) for each chunk of documents."""
-        for w in chunks(col, lower=False, limit=1 << 21):
+        for w in chunks(col, limit=1 << 21, split=True):
             uniq, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
             if len(self.keys) + len(uniq) > CACHE_WORDS:
                 self.clear()
@@ -92,6 +93,16 @@ class WordTokenizer:
             yield w.lo, ids, ends[w.first]
 
 
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def _tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer and cache for all tasks of a Python worker."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 def cuts(tokens: int, window: int, piece: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole windows, then even parts of the rest of at most ``piece``."""
     full = tokens // window
@@ -109,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, piece: int = P
     """doc_id, start, length, ids_crc32, doc_tokens of every piece of every document."""
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = WordTokenizer(tokenizer)
+        t = _tokenizer(tokenizer)
         schema = pa.schema([(x, pa.int64()) for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
         for batch in batches:
             names = batch.column("doc_id").to_pylist()

@@ -22,6 +22,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<|>"]] = True
 _CODE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _powers: dict[str, np.ndarray] = {}
 
@@ -56,6 +60,7 @@ class Words(NamedTuple):
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    total: np.ndarray
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,34 +78,54 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], data[off[0] : off[-1]]
 
 
-def chunks(col: pa.Array, lower: bool = True, limit: int = CHUNK_BYTES) -> Iterator[Words]:
-    """Words of the column's documents, in chunks of about ``limit`` bytes of whole documents."""
+def chunks(col: pa.Array, limit: int = CHUNK_BYTES, split: bool = False) -> Iterator[Words]:
+    """Words of the column's documents, in chunks of about ``limit`` bytes of whole documents.
+
+    split: also cut between an ASCII letter and an ASCII mark other than ``'<|>``; a chunk that holds ``<|`` is
+    then left as it is, neither cut so nor lower-cased."""
     offsets, data = buffers(col)
     n = len(offsets) - 1
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         part = data[offsets[lo] : offsets[hi]]
-        yield _words(lo, hi, _LOWER[part] if lower else part, offsets[lo : hi + 1] - offsets[lo])
+        plain = split and b"<|" in part.tobytes()
+        yield _words(lo, hi, part if plain else _LOWER[part], offsets[lo : hi + 1] - offsets[lo], split and not plain)
         lo = hi
 
 
-def _words(lo: int, hi: int, data: np.ndarray, offsets: np.ndarray) -> Words:
+def _words(lo: int, hi: int, data: np.ndarray, offsets: np.ndarray, split: bool) -> Words:
     n = len(data)
     solid = np.zeros(n + 1, bool)
     solid[:n] = ~_SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
+    if split:
+        letter, mark = _LETTER[data], _MARK[data]
+        edge[1:n] |= (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
     opens = solid.copy()
     opens[1:] &= ~solid[:-1] | edge[1:]
     closes = np.zeros(n + 1, bool)
     closes[1:] = solid[:-1] & (~solid[1:] | edge[1:])
     start, end = np.flatnonzero(opens), np.flatnonzero(closes)
-    up, down = _power(n + 1)
+    up = _power(n + 1)[0]
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_CODE[data] * up[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(lo, hi, data, offsets, start, end, h, np.searchsorted(start, offsets))
+    return Words(lo, hi, data, offsets, start, end, _range_hash(total, start, end), np.searchsorted(start, offsets), total)
+
+
+def _range_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    down = _power(len(total))[1]
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def stems(w: Words, chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the words of more than ``chars`` characters, and the hash of the first ``chars`` of each."""
+    begins = np.flatnonzero((w.data & 0xC0) != 0x80)
+    at = np.searchsorted(begins, w.start) + chars
+    stop = np.append(begins, len(w.data))[np.minimum(at, len(begins))]
+    long = np.flatnonzero(stop < w.end)
+    return long, _range_hash(w.total, w.start[long], stop[long])
 
 
 _STEP = [0x8CB92BA72F3D8DD7 | 1, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x589965CC75374CC3]
