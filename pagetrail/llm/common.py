@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a context, so that none needs it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pagetrail_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    out = Path(tempfile.mkdtemp(prefix="pagetrail-zip-")) / "pagetrail.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"pagetrail/{f.relative_to(root)}")
+    sc.addPyFile(str(out))
+    sc._pagetrail_shipped = True
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -52,6 +68,7 @@ def partitions(spark: SparkSession) -> int:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id BIGINT, text STRING): the two columns the operators read; a null text counts as empty."""
+    ship(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 

@@ -33,25 +33,27 @@ def sampled(rows: DataFrame, limit: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(scale * limit / n))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """(slope, intercept) of P(y = 1 | x), by Newton steps with a small ridge; smoothed targets keep it finite."""
-    if not len(x):
-        return 0.0, 0.0
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """(slopes..., intercept) of P(y = 1 | columns of x), by Newton steps with a small ridge on the scaled columns;
+    smoothed targets keep the weights finite."""
+    n, k = x.shape
     n1 = float(y.sum())
-    n0 = len(y) - n1
+    n0 = n - n1
+    if not n1 or not n0:
+        return np.append(np.zeros(k), np.log((n1 + 0.5) / (n0 + 0.5)))
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    scale = float(np.abs(x).max()) or 1.0
-    a = np.stack([x / scale, np.ones(len(x))], 1)
-    w = np.array([0.0, np.log((n1 + 1) / (n0 + 1))])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        grad = a.T @ (p - target) / len(x) + ridge / len(x) * w
-        hess = (a * (p * (1 - p))[:, None]).T @ a / len(x) + ridge / len(x) * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        w -= step * min(1.0, 10 / max(1e-9, float(np.abs(step).max())))
-        if np.abs(step).max() < 1e-9:
+    scale = np.maximum(x.std(axis=0), 1e-9)
+    a = np.concatenate([x / scale, np.ones((n, 1))], 1)
+    w = np.append(np.zeros(k), np.log((n1 + 1) / (n0 + 1)))
+    keep = np.diag(np.append(np.full(k, ridge), 1e-9))
+    for _ in range(100):
+        p = sigmoid(a @ w)
+        grad = a.T @ (p - target) + keep @ w
+        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + keep, grad)
+        w -= step * min(1.0, 5 / max(1e-9, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / scale), float(w[1])
+    return np.append(w[:-1] / scale, w[-1])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

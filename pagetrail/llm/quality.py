@@ -139,7 +139,7 @@ def nbsvm_scores(docs: DataFrame, labels: DataFrame, column: str = "quality", fo
         check = np.arange(len(xs)) % 3 == 0
         w, bias = dual_coordinate_descent([x for x, k in zip(xs, check, strict=True) if not k], y[~check], 1 << BITS)
         margin = np.array([float(w[p] @ v) + bias for (p, v), k in zip(xs, check, strict=True) if k])
-        slope, shift = logistic(margin, (y[check] > 0).astype(float))
+        slope, shift = logistic(margin[:, None], (y[check] > 0).astype(float))
     else:
         w, bias, slope, shift = np.zeros(1 << BITS), 0.0, 0.0, float(np.log(((y > 0).sum() + 0.5) / ((y < 0).sum() + 0.5)))
     model = docs.sparkSession.sparkContext.broadcast(((w * ratios).astype(np.float32), ratios.astype(np.float32), bias, slope, shift))

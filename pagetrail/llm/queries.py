@@ -6,11 +6,13 @@ from .packing import op8_karmarkar_karp
 from .quality import op9_naive_bayes_svm
 from .secrets import op2_randomness_battery
 from .sharding import OP6_SQL, op6_histogram_sort
+from .toxicity import op5_kneser_ney
 from .topk_search import OP10_SQL, op10_threshold_algorithm
 from .warc import OP7_SQL, op7_content_addressed
 
 QUERIES = {
     "op2_randomness_battery": op2_randomness_battery,
+    "op5_kneser_ney": op5_kneser_ney,
     "op6_histogram_sort": op6_histogram_sort,
     "op7_content_addressed": op7_content_addressed,
     "op8_karmarkar_karp": op8_karmarkar_karp,

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, table
+from .common import materialize, ship, table
 
 SCALE = 1024.0
 EXACT = 2.0**53
@@ -92,6 +92,7 @@ def _cell(k: int):
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 2048, query_rows: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score for every query: see the module's docstring."""
+    ship(vectors.sparkSession)
     rows = materialize(usable(vectors), "vectors")
     asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = asked.withColumn("dim", F.size("v"))
