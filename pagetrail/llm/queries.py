@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op4_divide_skip
 from .packing import op8_karmarkar_karp
 from .quality import op9_naive_bayes_svm
 from .secrets import op2_randomness_battery
@@ -12,6 +13,7 @@ from .warc import OP7_SQL, op7_content_addressed
 
 QUERIES = {
     "op2_randomness_battery": op2_randomness_battery,
+    "op4_divide_skip": op4_divide_skip,
     "op5_kneser_ney": op5_kneser_ney,
     "op6_histogram_sort": op6_histogram_sort,
     "op7_content_addressed": op7_content_addressed,
