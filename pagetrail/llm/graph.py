@@ -41,8 +41,13 @@ def bloom_slot(col: Column) -> Column:
 
 
 def bloom(keys: DataFrame, col: str) -> np.ndarray:
-    """Bit set of the keys' slots: 2**BLOOM_BITS bits (8 MB) for any number of keys, built from 4 KB pieces."""
-    slot = bloom_slot(F.col(col)) + 1
+    """Bit set of the keys' slots."""
+    return bloom_bits(keys, bloom_slot(F.col(col)))
+
+
+def bloom_bits(keys: DataFrame, slot: Column) -> np.ndarray:
+    """2**BLOOM_BITS bits (8 MB) for any number of rows, built from 4 KB pieces."""
+    slot = slot + 1
     pieces = keys.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
     out = np.zeros((1 << BLOOM_BITS) >> 3, np.uint8)
     for b, bits in pieces:

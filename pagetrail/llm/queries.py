@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op1_spaced_seeds
 from .jaccard_join import op4_divide_skip
 from .packing import op8_karmarkar_karp
 from .quality import op9_naive_bayes_svm
@@ -12,6 +13,7 @@ from .topk_search import OP10_SQL, op10_threshold_algorithm
 from .warc import OP7_SQL, op7_content_addressed
 
 QUERIES = {
+    "op1_spaced_seeds": op1_spaced_seeds,
     "op2_randomness_battery": op2_randomness_battery,
     "op4_divide_skip": op4_divide_skip,
     "op5_kneser_ney": op5_kneser_ney,
