@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op1_spaced_seeds
 from .jaccard_join import op4_divide_skip
+from .line_dedup import op3_template_tree
 from .packing import op8_karmarkar_karp
 from .quality import op9_naive_bayes_svm
 from .secrets import op2_randomness_battery
@@ -15,6 +16,7 @@ from .warc import OP7_SQL, op7_content_addressed
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_randomness_battery": op2_randomness_battery,
+    "op3_template_tree": op3_template_tree,
     "op4_divide_skip": op4_divide_skip,
     "op5_kneser_ney": op5_kneser_ney,
     "op6_histogram_sort": op6_histogram_sort,
