@@ -1,4 +1,619 @@
-"""Every query of the engine with its DuckDB equivalent."""
+"""Every query of the engine over the driver's tables, each with its DuckDB equivalent where SQL can express it."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagetrail.functions import numbers as N
+from pagetrail.functions import patterns as P
+from pagetrail.functions import text as X
+from pagetrail.operators import context, evaluate, facts, layout, linkage, quality, retrieval, sections
+
+from .views import duck, frame
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, uses: tuple[str, ...] = ()):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = duck(list(uses), oracle)
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- SQL fragments for DuckDB
+
+W = r"[\p{L}\p{N}_]"
+NUMBER = r"-?[0-9]{1,3}(?:[ \x{a0}\x{202f}\x{2009}][0-9]{3})+(?:[.,][0-9]+)?|-?[0-9]+(?:[.,][0-9]+)?"
+TOKENS = r"list_transform(regexp_extract_all(coalesce({0}, ''), '[\p{{L}}\p{{N}}_-]+'), lambda x: lower(x))"
+
+
+def d_norm_text(x: str) -> str:
+    t = f"replace(regexp_replace(lower({x}), '[\\x{{a0}}\\x{{202f}}\\x{{2009}}\\x{{2007}}\\x{{2060}}]', ' ', 'g'), 'ё', 'е')"
+    return f"coalesce(trim(regexp_replace(regexp_replace({t}, '[«»\"''`().,:;*\\x{{2013}}\\x{{2014}}-]', ' ', 'g'), '\\s+', ' ', 'g')), '')"
+
+
+def d_values(x: str) -> str:
+    clean = rf"regexp_replace(coalesce({x}, ''), '(?i)стр\.?\s*[0-9]{{1,3}}(?:\s*[\x{{2013}}\x{{2014}}-]\s*[0-9]{{1,3}})?', ' ', 'g')"
+    raw = rf"list_transform(regexp_extract_all({clean}, '{NUMBER}'), lambda x: replace(regexp_replace(x, '[ \x{{a0}}\x{{202f}}\x{{2009}}]', '', 'g'), ',', '.'))"
+    return f"list_transform(list_filter({raw}, lambda x: NOT regexp_matches(x, '^(19|20)[0-9]{{2}}$')), lambda x: CAST(x AS DOUBLE))"
+
+
+def d_number_text(v: str) -> str:
+    return rf"regexp_replace(regexp_replace(CAST(CAST(round({v}, 3) AS DECIMAL(30,3)) AS VARCHAR), '0+$', ''), '\.$', '')"
+
+
+def d_tokset(x: str) -> str:
+    return f"list_distinct(list_filter(string_split({x}, ' '), lambda w: length(w) > 2))"
+
+
+def d_jaccard(a: str, b: str) -> str:
+    return f"(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / CAST(len(list_distinct(list_concat({a}, {b}))) AS DOUBLE) END)"
+
+
+def d_case(text: str, pairs: list[tuple[str, str]], default: str) -> str:
+    rows = " ".join(f"WHEN regexp_matches({text}, '{P.words(p)}') THEN '{n}'" for p, n in pairs)
+    return f"(CASE {rows} ELSE {default} END)"
+
+
+D_CHANGE = P.words(P.CHANGE_WORDS).replace(r"рост\b", rf"рост(?:{W}{{0}})")
+
+# ---------------------------------------------------------------- retrieval
+
+ASKED = [(1, "the of tion"), (2, "la de ciónes"), (3, "Licensed under the MIT License"), (4, "nicht ver und und")]
+ASKED_SQL = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in ASKED) + ") AS q(query_id, query)"
+BM25_SQL = f"""
+WITH d AS (SELECT doc_id, {TOKENS.format("text")} AS toks FROM documents),
+stats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d),
+terms AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TOKENS.format("query")}) AS term FROM {ASKED_SQL}) GROUP BY ALL),
+tf AS (SELECT doc_id, any_value(len(toks)) AS len, term, count(*) AS tf FROM (SELECT doc_id, toks, unnest(toks) AS term FROM d) WHERE term IN (SELECT term FROM terms) GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (SELECT query_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score
+  FROM terms JOIN tf USING (term) JOIN df USING (term), stats GROUP BY query_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)"""
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ASKED, "query_id int, query string")
+
+
+@query(BM25_SQL + " SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 8")
+def bm25_topk(spark, d):
+    return retrieval.top_k(retrieval.bm25(frame(spark, d, "documents"), _asked(spark)), 8, 6)
+
+
+@query(BM25_SQL + """, hits AS (SELECT query_id, source AS section_id, min(rank) AS best FROM ranked JOIN documents USING (doc_id) WHERE rank <= 8 GROUP BY ALL)
+SELECT query_id, section_id, CAST(best AS INTEGER) AS best, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best, section_id) AS INTEGER) AS place FROM hits""")
+def section_ids_for(spark, d):
+    hits = bm25_topk(spark, d).join(frame(spark, d, "documents").select("doc_id", F.col("source").alias("section_id")), "doc_id")
+    return retrieval.section_ids(hits)
+
+
+@query(f"SELECT doc_id, CAST(len({TOKENS.format('text')}) AS INTEGER) AS n_tokens, CAST(len(list_distinct({TOKENS.format('text')})) AS INTEGER) AS n_terms FROM documents")
+def tokenize_terms(spark, d):
+    t = X.tokens(F.col("text"))
+    return frame(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_terms"))
+
+
+CHUNK_SQL = r"""
+WITH s AS (SELECT doc, seq, trim(text) AS t FROM sections),
+folded AS (SELECT doc, seq, t, list_reduce(list_prepend('', string_split(t, chr(10))), lambda acc, p:
+    CASE WHEN length(list_last(string_split(acc, chr(1)))) + length(p) > 600 AND list_last(string_split(acc, chr(1))) <> ''
+           THEN acc || chr(1) || right(list_last(string_split(acc, chr(1))), 40) || chr(10) || p
+         WHEN list_last(string_split(acc, chr(1))) = '' THEN acc || p ELSE acc || chr(10) || p END) AS f FROM s),
+pieces AS (SELECT doc, seq, CASE WHEN length(t) = 0 THEN [] WHEN length(t) <= 600 THEN [t] ELSE list_filter(string_split(f, chr(1)), lambda x: x <> '') END AS ps FROM folded)
+SELECT doc, seq, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS chunk_ix, md5(unnest(ps)) AS chunk_md5 FROM pieces"""
+
+
+@query(CHUNK_SQL, ("sections",))
+def chunk_documents(spark, d):
+    c = retrieval.chunks(frame(spark, d, "sections"), 600, 40, "\n")
+    return c.select("doc", "seq", "chunk_ix", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, embedding FROM embeddings), s AS (
+SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * c.embedding[i]))
+  / sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x)) * list_sum(list_transform(c.embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS score
+FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0
+QUALIFY rank <= 8""")
+def dense_topk(spark, d):
+    v = frame(spark, d, "embeddings")
+    return retrieval.top_k(retrieval.cosine(v, v.filter("vec_id % 100 = 0")), 8, 6)
+
+
+# ---------------------------------------------------------------- numbers, units, labels
+
+D_FOOT = r"regexp_replace(trim(raw), '[*†‡¹²³\x{2070}-\x{209f}]+$', '')"
+PARSE_SQL = rf"""
+WITH a AS (SELECT l_orderkey, l_linenumber, head, raw, trim(replace({D_FOOT}, chr(160), ' ')) AS s FROM cells),
+b AS (SELECT *, starts_with(s, '(') AND ends_with(s, ')') AS bracketed, regexp_replace(s, '^\(|\)$', '', 'g') AS t FROM a),
+c AS (SELECT *, bracketed OR regexp_matches(t, '^[−–—-]') AS negative, replace(regexp_replace(regexp_replace(regexp_replace(t, '^[−–—-]', ''), '%', '', 'g'), ' ', '', 'g'), ',', '.') AS u FROM b),
+e AS (SELECT *, string_split(u, '.') AS g FROM c),
+f AS (SELECT *, CASE WHEN len(g) <= 2 THEN u WHEN length(g[-1]) = 3 THEN array_to_string(g, '') ELSE array_to_string(g[1:-2], '') || '.' || g[-1] END AS n FROM e),
+h AS (SELECT *, CASE WHEN regexp_matches(n, '^[0-9]+(\.[0-9]+)?$') THEN CAST(n AS DOUBLE) * (CASE WHEN negative THEN -1 ELSE 1 END) END AS v FROM f)"""
+UNIT = "(CASE WHEN {0} ILIKE '%млрд%' THEN 'млрд_руб' WHEN {0} ILIKE '%млн%' THEN 'млн_руб' WHEN {0} ILIKE '%тыс%' THEN 'тыс_руб' WHEN contains({0}, '%') OR {0} ILIKE '%проц%' THEN '%' END)"
+
+
+@query(PARSE_SQL + " SELECT l_orderkey, l_linenumber, v FROM h", ("cells",))
+def parse_number_cells(spark, d):
+    return frame(spark, d, "cells").select("l_orderkey", "l_linenumber", N.parse_number(F.col("raw")).alias("v"))
+
+
+@query(r"""
+WITH a AS (SELECT l_orderkey, l_linenumber, regexp_replace(trim(raw), '\*+$', '') AS s FROM cells),
+b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '^\(|\)$', '', 'g'), '[ \x{a0}\x{202f}\x{2009}\x{2007}\x{2060}]', '', 'g'), '[−–—‒]', '-', 'g'), '%+$', '') AS t FROM a),
+c AS (SELECT *, replace(regexp_replace(t, '^-', ''), ',', '.') AS u FROM b)
+SELECT l_orderkey, l_linenumber, CASE WHEN regexp_matches(u, '^[0-9]+(\.[0-9]+)?$') THEN CAST(u AS DOUBLE) * (CASE WHEN starts_with(s, '(') OR starts_with(t, '-') THEN -1 ELSE 1 END) END AS v FROM c""", ("cells",))
+def norm_num_cells(spark, d):
+    return frame(spark, d, "cells").select("l_orderkey", "l_linenumber", N.norm_num(F.col("raw")).alias("v"))
+
+
+@query(PARSE_SQL + f" SELECT l_orderkey, l_linenumber, v, CASE WHEN v IS NOT NULL THEN coalesce({UNIT.format('raw')}, {UNIT.format('head')}) END AS u FROM h", ("cells",))
+def parse_cell_units(spark, d):
+    return frame(spark, d, "cells").withColumn("x", N.parse_cell(F.col("raw"), F.col("head"))).select("l_orderkey", "l_linenumber", "x.v", "x.u")
+
+
+@query(r"SELECT l_orderkey, l_linenumber, regexp_matches(raw, '^[−–(-]?[0-9][0-9 \x{a0}]*(?:[,.][0-9]+)?\)?$') AS is_value FROM cells", ("cells",))
+def value_labels(spark, d):
+    return frame(spark, d, "cells").select("l_orderkey", "l_linenumber", N.is_value(F.col("raw")).alias("is_value"))
+
+
+@query(f"WITH v AS (SELECT doc_id, {d_values('text')} AS vs FROM documents) SELECT doc_id, CAST(len(vs) AS INTEGER) AS n, list_max(vs) AS largest, CAST(len(list_distinct(list_transform(vs, lambda x: {d_number_text('x')}))) AS INTEGER) AS n_distinct FROM v")
+def numbers_in_text(spark, d):
+    v = X.values_in(F.col("text"))
+    return frame(spark, d, "documents").select("doc_id", F.size(v).alias("n"), F.array_max(v).alias("largest"), F.size(X.numbers_in(F.col("text"))).alias("n_distinct"))
+
+
+@query(f"SELECT DISTINCT m, {d_norm_text('m')} AS norm, {d_case('rest', P.CANONICAL_METRICS, 'rest')} AS canon, is_change, array_to_string(list_sort({d_tokset('norm')}), ' ') AS tokens FROM (SELECT m, t AS norm, regexp_matches(t, '{D_CHANGE}') AS is_change, trim(regexp_replace(regexp_replace(t, '{D_CHANGE}', ' ', 'g'), '\\s+', ' ', 'g')) AS rest FROM (SELECT m, {d_norm_text('m')} AS t FROM labels_txt))", ("labels_txt",))
+def canon_metric(spark, d):
+    c = X.canon_metric(F.col("m"))
+    tokens = F.array_join(F.array_sort(X.token_set(F.col("m"))), " ")
+    return frame(spark, d, "labels_txt").select("m", X.norm_text(F.col("m")).alias("norm"), c["name"].alias("canon"), c["is_change"].alias("is_change"), tokens.alias("tokens")).distinct()
+
+
+@query("""
+SELECT DISTINCT p, CASE WHEN regexp_matches(p, '^[0-9]{2}[.][0-9]{2}[.][0-9]{4}$') THEN p[7:10] || '-' || p[4:5] || '-' || p[1:2] WHEN p = '2024_итоговый' THEN '2024fin' WHEN p = '1п2024' THEN '1h2024'
+  ELSE replace(p, ' кв ', 'кв') END AS period FROM labels_txt""", ("labels_txt",))
+def norm_period(spark, d):
+    return frame(spark, d, "labels_txt").select("p", N.norm_period(F.col("p")).alias("period")).distinct()
+
+
+@query("""
+SELECT DISTINCT u, CASE lower(u) WHEN 'млрд рублей' THEN 'млрд_руб' WHEN 'млн руб' THEN 'млн_руб' WHEN '%' THEN '%' WHEN 'п.п.' THEN 'п.п.' WHEN 'штук' THEN 'шт' ELSE lower(u) END AS unit FROM labels_txt""", ("labels_txt",))
+def norm_unit(spark, d):
+    return frame(spark, d, "labels_txt").select("u", N.norm_unit(F.col("u")).alias("unit")).distinct()
+
+
+# ---------------------------------------------------------------- sections
+
+
+@query("SELECT doc, seq, id, level, page_from, page_to FROM sections", ("sections",))
+def sections_tree(spark, d):
+    return frame(spark, d, "sections").select("doc", "seq", "id", "level", "page_from", "page_to")
+
+
+@query("SELECT doc, id FROM sections s WHERE NOT EXISTS (SELECT 1 FROM sections x WHERE x.doc = s.doc AND x.level > s.level AND x.seq <> s.seq AND x.page_from BETWEEN s.page_from AND s.page_to)", ("sections",))
+def leaf_sections(spark, d):
+    return sections.leaf_sections(frame(spark, d, "sections")).select("doc", "id")
+
+
+@query("""SELECT doc, id FROM sections s WHERE NOT EXISTS (SELECT 1 FROM sections x WHERE x.doc = s.doc AND x.seq <> s.seq AND x.page_from <= s.page_from AND x.page_to >= s.page_to
+  AND (x.page_from < s.page_from OR x.page_to > s.page_to OR x.seq < s.seq))""", ("sections",))
+def drop_nested(spark, d):
+    return sections.drop_nested(frame(spark, d, "sections")).select("doc", "id")
+
+
+@query("SELECT doc, md5(string_agg(repeat('  ', level - 1) || id || ' | ' || title || ' | стр. ' || page_from || '-' || page_to, chr(10) ORDER BY seq)) AS outline_md5 FROM sections WHERE level <= 3 GROUP BY doc", ("sections",))
+def outline(spark, d):
+    return sections.outline(frame(spark, d, "sections"), 3).select("doc", F.md5(F.col("outline").cast("binary")).alias("outline_md5"))
+
+
+@query("""
+WITH chosen AS (SELECT doc, id, page_from AS lo, page_to AS hi, seq AS rank FROM sections WHERE seq % 7 = 3),
+parents AS (SELECT DISTINCT t.doc, t.id, t.seq + 1000000 AS rank FROM sections t JOIN chosen c ON t.doc = c.doc AND t.level = 1 AND t.page_from <= c.lo AND c.hi <= t.page_to)
+SELECT doc, id, CAST(min(rank) AS BIGINT) AS rank FROM (SELECT doc, id, rank FROM chosen UNION ALL SELECT * FROM parents) GROUP BY doc, id""", ("sections",))
+def router_widen(spark, d):
+    s = frame(spark, d, "sections")
+    return sections.widen_to_parents(s, s.filter("seq % 7 = 3").select("doc", "id", F.col("seq").alias("rank")))
+
+
+@query("""
+WITH chosen AS (SELECT doc, page_from, page_to FROM sections WHERE seq % 7 = 3),
+hit AS (SELECT * FROM facts_a f WHERE EXISTS (SELECT 1 FROM chosen c WHERE c.doc = f.doc AND f.pg BETWEEN c.page_from AND c.page_to))
+SELECT seq, m, s, p, v, u, pg, 0 AS part FROM hit UNION ALL SELECT seq, m, s, p, v, u, pg, 1 AS part FROM facts_a WHERE pg IN (12, 21) AND seq NOT IN (SELECT seq FROM hit)""", ("sections", "facts_a"))
+def facts_for_context(spark, d):
+    f = frame(spark, d, "facts_a")
+    hit = sections.facts_in_sections(f, sections.pick_sections(frame(spark, d, "sections"), frame(spark, d, "sections").filter("seq % 7 = 3").select("doc", "id")))
+    return sections.with_anchor_facts(f, hit, [12, 21]).select("seq", "m", "s", "p", "v", "u", "pg", "part")
+
+
+# ---------------------------------------------------------------- facts
+
+YEARS = "(VALUES ('1996', '1995'), ('1997', '1996'), ('1998', '1997'), ('1999', '1998')) AS y(cur, prev)"
+
+
+@query("""SELECT p, v, pg, src, seq FROM facts_merged WHERE lower(trim(m)) IN ('общая выручка', 'выручка', 'консолидированная выручка') AND s IS NULL AND v IS NOT NULL AND u = 'млн_руб'
+QUALIFY row_number() OVER (PARTITION BY p ORDER BY (confirmed OR src = 'both') DESC, (v <> floor(v)) DESC, CASE WHEN coalesce(pg, 0) = 0 THEN 999 ELSE pg END, seq) = 1""", ("facts_merged",))
+def total_by_trust(spark, d):
+    return facts.total_by_trust(frame(spark, d, "facts_merged"), "млн_руб")
+
+
+@query(f"""
+SELECT n.s AS segment, cur AS period, n.v AS value, n.u AS unit, n.pg AS page, o.v AS prev,
+  CASE WHEN o.v <> 0 THEN round(n.v - o.v, 3) END AS yoy_abs, CASE WHEN o.v <> 0 THEN round((n.v - o.v) / abs(o.v) * 100, 2) END AS yoy_pct,
+  CASE WHEN o.v <> 0 AND tc.v - tp.v <> 0 THEN round((n.v - o.v) / (tc.v - tp.v) * 100, 2) END AS contrib_growth_pct, CASE WHEN tc.v <> 0 THEN round(n.v / tc.v * 100, 2) END AS share_pct
+FROM {YEARS} JOIN facts_a n ON n.p = cur AND n.s IS NOT NULL LEFT JOIN facts_a o ON o.p = prev AND o.s = n.s
+LEFT JOIN facts_a tc ON tc.p = cur AND tc.m = 'Общая выручка' LEFT JOIN facts_a tp ON tp.p = prev AND tp.m = 'Общая выручка'""", ("facts_a",))
+def yoy_contribution(spark, d):
+    f = frame(spark, d, "facts_a")
+    pairs = spark.createDataFrame([(str(y), str(y - 1)) for y in range(1996, 2000)], "cur string, prev string")
+    return facts.growth(f.filter("s IS NOT NULL"), f.filter("m = 'Общая выручка'").select("p", "v"), pairs)
+
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+SEG_SQL = "('" + "', '".join(SEGMENTS) + "')"
+
+
+@query(f"""
+WITH raw AS (SELECT p, sum(v) AS raw, count(*) AS n_parts FROM facts_a WHERE s IN {SEG_SQL} GROUP BY p), fix AS (SELECT p, -max(abs(v)) AS fix FROM facts_a WHERE lower(m) LIKE '%межсегмент%' GROUP BY p),
+t AS (SELECT p, v AS total FROM facts_a WHERE m = 'Общая выручка')
+SELECT p AS period, n_parts, round(raw, 3) AS sum_raw, round(fix, 3) AS intersegment, round(raw + coalesce(fix, 0), 3) AS sum_adjusted, total, round(abs(raw - total) / abs(total) * 100, 3) AS delta_raw_pct,
+  round(abs(raw + coalesce(fix, 0) - total) / abs(total) * 100, 3) AS delta_pct, abs(raw + coalesce(fix, 0) - total) / abs(total) * 100 <= 0.5 AND n_parts = {len(SEGMENTS)} AS ok
+FROM raw LEFT JOIN fix USING (p) LEFT JOIN t USING (p)""", ("facts_a",))
+def checksum(spark, d):
+    f = frame(spark, d, "facts_a")
+    return facts.checksum(f, f.filter("m = 'Общая выручка'").select("p", "v"), SEGMENTS, "выручка", "межсегмент")
+
+
+@query("""
+WITH asks(ask, metric, segment, period) AS (VALUES (1, 'выручка', 'BUILDING', '1996'), (2, 'ВЫРУЧКА', NULL, '1997'), (3, 'прибыль', NULL, '1996'), (4, 'межсегмент', NULL, '1998'))
+SELECT ask, m, s, p, v, u, pg, seq FROM asks JOIN facts_merged f ON contains(lower(f.m), lower(metric)) AND f.s IS NOT DISTINCT FROM segment AND f.p = period AND v IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY ask ORDER BY seq) = 1""", ("facts_merged",))
+def first_pick(spark, d):
+    asks = [(1, "выручка", "BUILDING", "1996"), (2, "ВЫРУЧКА", None, "1997"), (3, "прибыль", None, "1996"), (4, "межсегмент", None, "1998")]
+    return facts.first_pick(frame(spark, d, "facts_merged"), spark.createDataFrame(asks, "ask int, metric string, segment string, period string"))
+
+
+@query("SELECT seq, t, m, s, p, v, u, pg FROM facts_merged WHERE s IS NULL AND m = 'Выручка' OR s IS NULL AND m = 'Общая выручка'", ("facts_merged",))
+def fact_lookup(spark, d):
+    f = frame(spark, d, "facts_merged")
+    both = facts.lookup(f, m="Выручка", s=None).unionByName(facts.lookup(f, m="Общая выручка", s=None))
+    return both.select("seq", *facts.project(f).columns)
+
+
+# ---------------------------------------------------------------- linkage
+
+
+def _d_keyed(table: str) -> str:
+    split = r"(s IS NULL OR s = '') AND len(regexp_split_to_array(m, '\s+[—–-]\s+')) = 2"
+    part = r"trim(regexp_split_to_array(m, '\s+[—–-]\s+')[{0}])"
+    x = f"SELECT seq, pg, p, u, v, CASE WHEN {split} THEN {part.format(1)} ELSE m END AS m, CASE WHEN {split} THEN {part.format(2)} ELSE s END AS s FROM {table}"
+    y = f"SELECT *, {d_norm_text('m')} AS t, {d_norm_text('s')} AS seg FROM ({x})"
+    z = f"SELECT *, regexp_matches(t, '{D_CHANGE}') AS chg, trim(regexp_replace(regexp_replace(t, '{D_CHANGE}', ' ', 'g'), '\\s+', ' ', 'g')) AS rest FROM ({y})"
+    return f"SELECT seq AS id, pg, p AS per, seg, {d_case('rest', P.CANONICAL_METRICS, 'rest')} AS cm, chg, {d_tokset('t')} AS mt, {d_tokset('seg')} AS st, v FROM ({z})"
+
+
+CANDIDATES_SQL = f"""
+WITH ka AS ({_d_keyed("facts_a")}), kb AS ({_d_keyed("facts_b")}),
+pairs AS (SELECT a.pg, a.id AS pi, b.id AS vi, a.v AS av, b.v AS bv, CASE WHEN a.cm = b.cm THEN 1.0 ELSE greatest({d_jaccard("a.mt", "b.mt")}, {d_jaccard("list_concat(a.mt, a.st)", "list_concat(b.mt, b.st)")}) END AS ms,
+    CASE WHEN a.seg <> '' AND b.seg <> '' THEN CASE WHEN a.seg = b.seg THEN 1.0 WHEN {d_jaccard("a.st", "b.st")} < 0.5 THEN NULL ELSE {d_jaccard("a.st", "b.st")} END
+      WHEN a.seg <> '' OR b.seg <> '' THEN CASE WHEN {d_jaccard("(CASE WHEN len(a.st) > 0 THEN a.st ELSE b.st END)", "(CASE WHEN len(a.st) > 0 THEN b.mt ELSE a.mt END)")} >= 0.5 THEN 0.95 ELSE 0.45 END ELSE 1.0 END AS ss
+  FROM ka a JOIN kb b ON a.pg = b.pg AND a.per = b.per AND a.chg = b.chg),
+cand AS (SELECT pg, pi, vi, round(ms * 0.7 + ss * 0.3, 6) AS score, abs(av - bv) <= 0.051 OR abs(av - bv) / greatest(abs(av), abs(bv)) <= 0.005 AS same FROM pairs WHERE ms >= 0.34 AND ss IS NOT NULL)"""
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.candidates(linkage.keyed(frame(spark, d, "facts_a")), linkage.keyed(frame(spark, d, "facts_b")))
+
+
+@query(CANDIDATES_SQL + " SELECT pg, pi, vi, score, same FROM cand", ("facts_a", "facts_b"))
+def match_candidates(spark, d):
+    return _candidates(spark, d)
+
+
+ASSIGN_SQL = CANDIDATES_SQL + """,
+best AS (SELECT pg, list_reduce(list_prepend([]::STRUCT(pi BIGINT, vi BIGINT, score DOUBLE, same BOOLEAN)[], list(
+    [{'pi': pi, 'vi': vi, 'score': CAST(score AS DOUBLE), 'same': same}] ORDER BY score DESC, same DESC, pi, vi)), lambda acc, x:
+    CASE WHEN len(list_filter(acc, lambda k: k.pi = x[1].pi OR k.vi = x[1].vi)) > 0 THEN acc ELSE list_concat(acc, x) END) AS got FROM cand GROUP BY pg),
+assigned AS (SELECT pg, unnest(got, recursive := true) FROM best)"""
+
+
+@query(ASSIGN_SQL + " SELECT pg, pi, vi, score, same FROM assigned", ("facts_a", "facts_b"))
+def match_assign(spark, d):
+    return linkage.assign(_candidates(spark, d))
+
+
+@query(ASSIGN_SQL + """
+SELECT a.seq AS pi, b.seq AS vi, coalesce(a.m, b.m) AS m, CASE WHEN a.seq IS NULL THEN b.s ELSE a.s END AS s, coalesce(a.p, b.p) AS p, coalesce(a.v, b.v) AS v, coalesce(a.pg, b.pg) AS pg,
+  CASE WHEN a.seq IS NULL THEN 'only_right' WHEN b.seq IS NULL THEN 'only_left' WHEN x.same THEN 'confirmed' ELSE 'mismatch' END AS kind, CASE WHEN NOT x.same THEN a.v END AS v_left, CASE WHEN NOT x.same THEN b.v END AS v_right
+FROM facts_a a LEFT JOIN assigned x ON x.pi = a.seq FULL JOIN facts_b b ON b.seq = x.vi""", ("facts_a", "facts_b"))
+def merge_sources(spark, d):
+    out = linkage.reconcile(frame(spark, d, "facts_a"), frame(spark, d, "facts_b"), linkage.assign(_candidates(spark, d)))
+    return out.select("pi", "vi", "m", "s", "p", "v", "pg", "kind", "v_left", "v_right").orderBy("pg", "m")
+
+
+# ---------------------------------------------------------------- quality
+
+
+@query("SELECT seq, v, 'млн_руб [-100; 100]' AS rule FROM facts_a WHERE u = 'млн_руб' AND NOT (v BETWEEN -100 AND 100)", ("facts_a",))
+def range_rules(spark, d):
+    return quality.range_rules(frame(spark, d, "facts_a"), [("млрд_руб", -2000.0, 2000.0), ("млн_руб", -100.0, 100.0), ("%", -100.0, 1000.0)]).select("seq", "v", "rule")
+
+
+@query("SELECT m, s, p, u, count(*) AS n, count(DISTINCT v) AS n_values, count(DISTINCT v) > 1 AS mismatch FROM facts_merged GROUP BY m, s, p, u HAVING count(*) > 1", ("facts_merged",))
+def cross_source(spark, d):
+    return quality.cross_source(frame(spark, d, "facts_merged"))
+
+
+@query("SELECT pg, CAST(sum(n - 1) AS BIGINT) AS extra FROM (SELECT pg, m, s, p, v, u, count(*) AS n FROM facts_merged GROUP BY ALL HAVING count(*) > 1) GROUP BY pg", ("facts_merged",))
+def duplicates(spark, d):
+    return quality.duplicates(frame(spark, d, "facts_merged"))
+
+
+COVER_SQL = """
+WITH o AS (SELECT pg, count(*) AS objects, count(*) FILTER (has_numbers) AS numeric, count(DISTINCT kind) AS kinds, CAST(sum(CASE WHEN has_numbers THEN rows * cols ELSE 0 END) AS BIGINT) AS declared FROM objects GROUP BY pg),
+a AS (SELECT pg, count(*) AS n FROM facts_a GROUP BY pg), b AS (SELECT pg, count(*) AS n FROM facts_b GROUP BY pg),
+cover AS (SELECT CAST(r.pg AS INTEGER) AS pg, coalesce(objects, 0) AS objects, coalesce(numeric, 0) AS numeric, coalesce(kinds, 0) AS kinds, coalesce(declared, 0) AS declared, coalesce(a.n, 0) AS n_parser, coalesce(b.n, 0) AS n_vision
+  FROM range(1, 202) AS r(pg) LEFT JOIN o USING (pg) LEFT JOIN a USING (pg) LEFT JOIN b USING (pg)),
+full_cover AS (SELECT *, n_vision - n_parser AS delta, CASE WHEN declared = 0 THEN 'none' WHEN greatest(n_parser, n_vision) >= 0.8 * declared THEN 'full' WHEN greatest(n_parser, n_vision) >= 0.5 * declared THEN 'partial' ELSE 'low' END AS verdict FROM cover)"""
+
+
+@query(COVER_SQL + " SELECT * FROM full_cover", ("objects", "facts_a", "facts_b"))
+def coverage(spark, d):
+    pages = spark.range(1, 202).select(F.col("id").cast("int").alias("pg"))
+    return quality.coverage(pages, frame(spark, d, "objects"), frame(spark, d, "facts_a"), frame(spark, d, "facts_b"))
+
+
+@query(COVER_SQL + " SELECT verdict, count(*) AS pages, count(*) FILTER (numeric > 0 AND n_parser + n_vision = 0) AS gaps FROM full_cover GROUP BY verdict", ("objects", "facts_a", "facts_b"))
+def coverage_counts(spark, d):
+    return quality.coverage_counts(coverage(spark, d))
+
+
+@query("SELECT kind, count(*) AS n, count(DISTINCT pg) AS pages FROM objects GROUP BY kind", ("objects",))
+def objects_by_kind(spark, d):
+    return quality.by_kind(frame(spark, d, "objects"))
+
+
+@query("SELECT t, count(*) AS n, array_to_string(list_sort(list(DISTINCT pg)), ' ') AS pages FROM facts_a GROUP BY t", ("facts_a",))
+def table_sources(spark, d):
+    return quality.table_sources(frame(spark, d, "facts_a")).withColumn("pages", F.array_join(F.transform("pages", lambda p: p.cast("string")), " "))
+
+
+@query("SELECT m, s, p, v AS want, count(*) OVER (PARTITION BY m, s, p) AS n, true AS ok FROM facts_a WHERE p = '1996'", ("facts_a",))
+def control_values(spark, d):
+    f = frame(spark, d, "facts_a")
+    return quality.controls(f, f.filter("p = '1996'").select("m", "s", "p", F.col("v").alias("want")))
+
+
+@query(f"""
+SELECT s, p, round(stated, 4) AS stated, round(part / whole * 100, 4) AS computed, abs(part / whole * 100 - stated) <= 0.35 AS ok FROM (
+  SELECT f.s, f.p, f.v AS part, t.v AS whole, round(f.v / t.v * 100, 0) AS stated FROM facts_a f JOIN facts_a t ON t.p = f.p AND t.m = 'Общая выручка' WHERE f.s IN {SEG_SQL})""", ("facts_a",))
+def ratio_check(spark, d):
+    f = frame(spark, d, "facts_a")
+    part, total = f.filter("s IS NOT NULL").select("s", "p", "v"), f.filter("m = 'Общая выручка'").select("p", F.col("v").alias("w"))
+    whole = part.join(total, "p").select("s", "p", F.col("w").alias("v"))
+    stated = part.join(total, "p").select("s", "p", F.round(F.col("v") / F.col("w") * 100, 0).alias("v"))
+    return quality.ratio_check(part, whole, stated).select("s", "p", F.round("stated", 4).alias("stated"), F.round("computed", 4).alias("computed"), "ok")
+
+
+@query("""
+SELECT f.p, round(sum(f.v), 4) AS summed, count(*) AS n, any_value(t.v) AS total, abs(sum(f.v) - any_value(t.v)) <= 0.3 AS ok FROM facts_a f JOIN facts_a t ON t.p = f.p AND t.m = 'Общая выручка' WHERE f.s IS NOT NULL GROUP BY f.p""", ("facts_a",))
+def rollup_check(spark, d):
+    f = frame(spark, d, "facts_a")
+    return quality.rollup_check(f.filter("s IS NOT NULL").select("p", "v"), f.filter("m = 'Общая выручка'").select("p", "v")).withColumn("summed", F.round("summed", 4))
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9][0-9 ]*(?:[.,][0-9]+)?')) AS INTEGER) AS n FROM documents WHERE len(regexp_extract_all(text, '[0-9][0-9 ]*(?:[.,][0-9]+)?')) >= 4")
+def number_density(spark, d):
+    return frame(spark, d, "documents").select("doc_id", X.number_density(F.col("text")).alias("n")).filter("n >= 4")
+
+
+# ---------------------------------------------------------------- layout
+
+
+@query("""
+SELECT t.page, t.word AS tick, min(abs(t.x0 - n.x0)) AS dx, CAST(arg_min(n.text, struct_pack(a := abs(t.x0 - n.x0), b := n.x0, c := CAST(n.text AS DOUBLE))) AS DOUBLE) AS value
+FROM words t JOIN words n ON t.page = n.page AND abs(t.x0 - n.x0) <= 22 WHERE t.word % 2 = 1 AND n.word % 2 = 0 GROUP BY t.page, t.word""", ("words",))
+def nearest_label(spark, d):
+    w = frame(spark, d, "words")
+    return layout.nearest(w.filter("word % 2 = 1").select("page", F.col("word").alias("tick"), F.col("x0").alias("x")), w.filter("word % 2 = 0").select("page", F.col("x0").alias("x"), F.col("text").cast("double").alias("value")))
+
+
+@query()
+def assign_ticks(spark, d):
+    w = frame(spark, d, "words")
+    return layout.assign_ticks(w.filter("word % 2 = 1").select("page", F.col("word").alias("tick"), F.col("x0").alias("x")), w.filter("word % 2 = 0").select("page", F.col("x0").alias("x"), F.col("text").cast("double").alias("value")))
+
+
+@query("""
+SELECT a.page, a.word AS anchor, string_agg(w.text, ' ' ORDER BY round(w.y0, 1), w.x0, w.word, w.text) AS label FROM words a JOIN words w ON a.page = w.page AND abs(a.y0 - w.y0) < 8 WHERE a.word = 1 GROUP BY a.page, a.word""", ("words",))
+def row_label_band(spark, d):
+    w = frame(spark, d, "words")
+    return layout.row_labels(w.filter("word = 1").select("page", F.col("word").alias("anchor"), F.col("y0").alias("y")), w, 8.0)
+
+
+@query("SELECT page, word, text FROM words WHERE y0 BETWEEN 5 AND 25 AND x0 BETWEEN 8 AND 20 AND text <> '17'", ("words",))
+def band_values(spark, d):
+    return layout.in_band(frame(spark, d, "words"), 5, 25, 8, 20, ["17"]).select("page", "word", "text")
+
+
+@query("SELECT page, count(*) AS found, count(*) = 4 AS ok FROM words GROUP BY page", ("words",))
+def count_assertions(spark, d):
+    return layout.assert_count(frame(spark, d, "words"), ["page"], 4)
+
+
+@query("""
+SELECT page, text_box, image_box, round(share, 6) AS share, on_top FROM (
+  SELECT t.page, t.box AS text_box, i.box AS image_box, greatest(0, least(t.x1, i.x1) - greatest(t.x0, i.x0)) * greatest(0, least(t.y1, i.y1) - greatest(t.y0, i.y0)) / ((t.x1 - t.x0) * (t.y1 - t.y0)) AS share, i.paint > t.paint AS on_top
+  FROM boxes t JOIN boxes i ON t.page = i.page AND t.is_text AND NOT i.is_text) WHERE share >= 0.3""", ("boxes",))
+def rect_overlap(spark, d):
+    b = frame(spark, d, "boxes")
+    return layout.overlaps(b.filter("is_text"), b.filter("NOT is_text")).withColumn("share", F.round("share", 6))
+
+
+HIDDEN_SQL = """
+WITH h AS (SELECT page, box, CASE WHEN render_mode = 3 THEN 'invisible' WHEN size < 3 THEN 'tiny' WHEN abs((colour & 255) - (background & 255)) <= 12 AND abs(((colour >> 8) & 255) - ((background >> 8) & 255)) <= 12
+  AND abs(((colour >> 16) & 255) - ((background >> 16) & 255)) <= 12 THEN 'same_colour' END AS reason FROM boxes)"""
+
+
+@query(HIDDEN_SQL + " SELECT page, box, reason FROM h WHERE reason IS NOT NULL", ("boxes",))
+def hidden_text(spark, d):
+    return layout.hidden_text(frame(spark, d, "boxes")).select("page", "box", "reason")
+
+
+@query(HIDDEN_SQL + " SELECT reason, count(*) AS n, count(DISTINCT page) AS pages FROM h WHERE reason IS NOT NULL GROUP BY reason", ("boxes",))
+def layer_summary(spark, d):
+    return layout.layer_summary(hidden_text(spark, d))
+
+
+@query("""
+WITH a AS (SELECT *, lag(y0) OVER w AS top FROM words WINDOW w AS (PARTITION BY page ORDER BY round(y0, 1), x0, word, text)),
+b AS (SELECT *, sum(CASE WHEN top IS NULL OR abs(y0 - top) >= 1.2 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY round(y0, 1), x0, word, text ROWS UNBOUNDED PRECEDING) AS line FROM a),
+c AS (SELECT *, x0 - max(x1) OVER (PARTITION BY page, line ORDER BY round(y0, 1), x0, word, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS step FROM b),
+e AS (SELECT *, sum(CASE WHEN step IS NULL OR step < 0 OR step >= 3.2 THEN 1 ELSE 0 END) OVER (PARTITION BY page, line ORDER BY round(y0, 1), x0, word, text ROWS UNBOUNDED PRECEDING) AS part FROM c)
+SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, string_agg(text, '' ORDER BY round(y0, 1), x0, word, text) AS text FROM e GROUP BY page, line, part""", ("words",))
+def merge_adjacent(spark, d):
+    return layout.merge_adjacent(frame(spark, d, "words")).select("page", "x0", "y0", "x1", "text")
+
+
+# ---------------------------------------------------------------- answers
+
+
+@query(r"SELECT answer_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)стр\.?\s*([0-9]{1,3})', 1), lambda x: CAST(x AS INTEGER)))), ' ') AS pages FROM answers", ("answers",))
+def citations(spark, d):
+    return frame(spark, d, "answers").select("answer_id", F.array_join(F.transform(X.citations(F.col("text")), lambda p: p.cast("string")), " ").alias("pages"))
+
+
+@query("SELECT answer_id, regexp_matches(question, '(?i)" + P.words("|".join(P.ADVICE)) + "') AS advice FROM answers", ("answers",))
+def advice_guard(spark, d):
+    return frame(spark, d, "answers").select("answer_id", X.is_advice_request(F.col("question")).alias("advice"))
+
+
+@query("SELECT answer_id, regexp_matches(regexp_replace(text, '(?i)не (рекомендую|советую|стоит|следует|покупайте|продавайте|инвестируйте)', ' ', 'g'), '(?i)" + P.words("|".join([*P.VERDICTS_UNLESS_NEGATED, *P.VERDICTS])) + "') AS verdict FROM answers", ("answers",))
+def verdict_guard(spark, d):
+    return frame(spark, d, "answers").select("answer_id", X.has_verdict(F.col("text")).alias("verdict"))
+
+
+UNVERIFIED = (
+    f"list_sort(list_distinct(list_transform(list_filter({d_values('text')}, lambda v: len(list_filter({d_values('context')}, lambda c: abs(c - v) <= 0.5 * pow(10, -least(length(split_part(CAST(v AS VARCHAR), '.', 2)), 3)) + 1e-9)) = 0),"
+    f" lambda v: {d_number_text('v')})))"
+)
+
+
+@query(f"SELECT answer_id, array_to_string({UNVERIFIED}, ' ') AS unverified FROM answers", ("answers",))
+def check_numbers(spark, d):
+    return frame(spark, d, "answers").select("answer_id", F.array_join(evaluate.unverified(F.col("text"), F.col("context")), " ").alias("unverified"))
+
+
+@query(f"SELECT DISTINCT answer_id, v FROM (SELECT answer_id, context, unnest({d_values('text')}) AS v FROM answers) WHERE len(list_filter({d_values('context')}, lambda c: abs(c - v) <= 0.05 + 1e-9)) = 0", ("answers",))
+def check_numbers_by_join(spark, d):
+    a = frame(spark, d, "answers")
+    return evaluate.unverified_rows(a.select("answer_id", F.col("answer_id").alias("ctx"), F.explode(X.values_in(F.col("text"))).alias("v")), a.select(F.col("answer_id").alias("ctx"), F.explode(X.values_in(F.col("context"))).alias("c")))
+
+
+@query(f"""
+WITH a AS (SELECT *, list_transform({d_values("text")}, lambda x: CAST({d_number_text("x")} AS DOUBLE)) AS vs FROM answers)
+SELECT answer_id, CASE WHEN answer_id % 4 <> 0 THEN len(list_filter(vs, lambda g: abs(g - 35.9) <= 0.1795)) > 0 END AS values_ok, contains(lower(text), 'рост') AND contains(lower(text), 'купить') AS terms_ok,
+  regexp_matches(text, '(?i)стр\\. ([1-9]|10)[^0-9]') AS pages_ok, CASE WHEN contains(lower(text), 'акции') THEN 'АКЦИИ' ELSE '' END AS forbidden FROM a""", ("answers",))
+def eval_scores(spark, d):
+    a = frame(spark, d, "answers").withColumns({
+        "expect_values": F.when(F.col("answer_id") % 4 != 0, F.array(F.lit(35.9))), "expect_pages": F.array(*[F.lit(i) for i in range(1, 11)]), "expect_terms": F.array(F.lit("Рост"), F.lit("купить")),
+        "forbid_terms": F.array(F.lit("АКЦИИ"), F.lit("нет такого")), "require_refusal": F.lit(False),
+    })
+    return evaluate.score_card(a).select("answer_id", "values_ok", "terms_ok", "pages_ok", F.array_join("forbidden_hit", " ").alias("forbidden"))
+
+
+PRICE_SQL = "(VALUES ('large', 10.0, 50.0), ('small', 0.3, 2.5)) AS p(model, price_in, price_out)"
+COST = "coalesce(prompt_tokens * price_in + completion_tokens * price_out, 0) / 1e6"
+
+
+def _costed(spark: SparkSession, d: str) -> DataFrame:
+    prices = spark.createDataFrame([("large", 10.0, 50.0), ("small", 0.3, 2.5)], "model string, price_in double, price_out double")
+    return evaluate.with_cost(frame(spark, d, "eval_rows"), prices)
+
+
+@query(f"SELECT id, model, round({COST}, 8) AS cost FROM eval_rows LEFT JOIN {PRICE_SQL} USING (model)", ("eval_rows",))
+def cost_model(spark, d):
+    return _costed(spark, d).select("id", "model", F.round("cost", 8).alias("cost"))
+
+
+SUMMARY_SQL = f"""
+SELECT mode, count(*) AS runs, count(*) FILTER (passed) AS passed, count(*) FILTER (values_ok) AS values_ok_true, count(values_ok) AS values_ok_of, count(*) FILTER (pages_ok) AS pages_ok_true, count(pages_ok) AS pages_ok_of,
+  list_sort(list(tokens))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS tokens_median, list_sort(list(latency))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS latency_median, round(sum({COST}), 4) AS cost
+FROM eval_rows LEFT JOIN {PRICE_SQL} USING (model) GROUP BY mode"""
+
+
+@query(SUMMARY_SQL, ("eval_rows",))
+def eval_summary(spark, d):
+    return evaluate.mode_summary(_costed(spark, d)).withColumn("cost", F.round("cost", 4))
+
+
+@query(f"WITH s AS ({SUMMARY_SQL}) SELECT mode, round(100 - 100 * tokens_median / (SELECT CAST(tokens_median AS DOUBLE) FROM s WHERE mode = 'click'), 2) AS saved_pct FROM s", ("eval_rows",))
+def eval_savings(spark, d):
+    return evaluate.savings(eval_summary(spark, d), "click")
+
+
+@query("SELECT id, mode, tokens, 'old' AS version FROM eval_rows WHERE id % 3 <> 0 UNION ALL SELECT id, mode, tokens + 1, 'new' FROM eval_rows WHERE id % 3 = 0", ("eval_rows",))
+def upsert_results(spark, d):
+    e = frame(spark, d, "eval_rows").select("id", "mode", "tokens")
+    return evaluate.upsert(e.withColumn("version", F.lit("old")), e.filter("id % 3 = 0").select("id", "mode", (F.col("tokens") + 1).alias("tokens"), F.lit("new").alias("version")), ["id", "mode"])
+
+
+@query("SELECT model AS status, count(*) AS n, CAST(sum(prompt_tokens) AS BIGINT) AS tokens_in, CAST(sum(completion_tokens) AS BIGINT) AS tokens_out FROM eval_rows GROUP BY model", ("eval_rows",))
+def status_counts(spark, d):
+    return evaluate.status_counts(frame(spark, d, "eval_rows").withColumn("status", F.col("model")))
+
+
+@query("SELECT doc_id, CAST(floor(length(text) / 2.5) AS INTEGER) AS tokens FROM documents")
+def token_estimates(spark, d):
+    return frame(spark, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("SELECT seq, v, CASE WHEN v < 0 THEN '-' ELSE '' END || regexp_replace(CAST(CAST(floor(round(abs(v) * 10) / 10) AS BIGINT) AS VARCHAR), '^([0-9]+)([0-9]{3})$', '\\1 \\2') || ',' || CAST(CAST(round(abs(v) * 10) AS BIGINT) % 10 AS VARCHAR) AS printed FROM facts_a", ("facts_a",))
+def format_ru(spark, d):
+    return frame(spark, d, "facts_a").select("seq", "v", N.format_ru(F.col("v"), 1).alias("printed"))
+
+
+REPLIES = [(1, '```json\n{"sections": ["s001-x", "s002-y"], "confidence": 0.9}\n```'), (2, 'Ответ: {"sections": ["s003-z"], "confidence": 0.2, "need_full": false} вот'), (3, "не знаю"), (4, '[1, 2, 3]'), (5, '{"sections": [], "confidence": 1}'), (6, "ряд [4, 5] и всё")]
+
+
+@query()
+def json_repair(spark, d):
+    replies = spark.createDataFrame(REPLIES, "question_id int, reply string")
+    return replies.select("question_id", X.repair_json(F.col("reply")).cast("string").alias("json"))
+
+
+@query()
+def router_decisions(spark, d):
+    replies = spark.createDataFrame(REPLIES, "question_id int, reply string")
+    known = spark.createDataFrame([("s001-x",), ("s003-z",)], "id string")
+    return context.route(replies, known)
+
+
+def _contexts(spark: SparkSession, d: str) -> tuple:
+    s = frame(spark, d, "sections")
+    questions = spark.createDataFrame([(1, "Какова выручка?", "src0", "full"), (2, "Стоит ли инвестировать?", "src0", "router"), (3, "Рост?", "src0", "vector"), (4, "Другое?", "src1", "router")], "question_id int, question string, doc string, mode string")
+    chosen = s.filter("doc = 'src0' AND seq IN (2, 3, 9)").select(F.explode(F.array(F.lit(2), F.lit(3))).alias("question_id"), "id")
+    return questions, s, frame(spark, d, "facts_a"), chosen
+
+
+@query()
+def context_prompt(spark, d):
+    q, s, f, chosen = _contexts(spark, d)
+    return context.build(q, s, f, chosen, [12, 21])
+
+
+@query()
+def answer_pipeline(spark, d):
+    q, s, f, chosen = _contexts(spark, d)
+    out = context.answer(q, s, f, chosen, lambda p: {"text": f"Выручка {len(p) % 7},5 млн (стр. 21)", "prompt_tokens": len(p) // 3, "completion_tokens": 9}, [12, 21])
+    return out.select("question_id", "mode", "text", "unverified", "advice_guarded", "verdict_leaked", "cited_pages", "prompt_tokens", "error")
