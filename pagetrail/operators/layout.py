@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagetrail.functions.numbers import is_value
 from pagetrail.functions.text import colours_close, let, rgb
@@ -16,20 +15,24 @@ def reading_order(digits: int = 1) -> list[Column]:
 
 
 def merge_adjacent(words: DataFrame, gap: float = 3.2, line: float = 1.2) -> DataFrame:
-    """Words of a page in reading order, joined while the next begins 0..gap after the right edge on the same line.
-
-    Gaps and islands: a word starts a new one unless its top is within ``line`` of the word before; the right edge is the
-    largest so far on the line."""
-    w = Window.partitionBy("page").orderBy(*reading_order(), "word", "text")
-    top = F.lag("y0").over(w)
-    rows = words.withColumn("new_line", F.when(top.isNull() | (F.abs(F.col("y0") - top) >= line), 1).otherwise(0)).withColumn("line", F.sum("new_line").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    on_line = Window.partitionBy("page", "line").orderBy(*reading_order(), "word", "text")
-    reach = F.max("x1").over(on_line.rowsBetween(Window.unboundedPreceding, -1))
-    step = F.col("x0") - reach
-    rows = rows.withColumn("new_word", F.when(reach.isNull() | (step < 0) | (step >= gap), 1).otherwise(0)).withColumn("part", F.sum("new_word").over(on_line.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.struct(F.round("y0", 1).alias("r"), "x0", "word", "text")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(first)), lambda x: x["text"]), "")
-    return rows.groupBy("page", "line", "part").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), text.alias("text"))
+    """Words of a page in reading order, joined to the piece before while they begin 0..gap after its right edge
+    and within ``line`` of its first word's height. A fold over the page's words, as each step looks at what was joined."""
+    piece = "struct<x0:double,y0:double,x1:double,y1:double,text:string>"
+    read = F.array_sort(F.collect_list(F.struct(F.round("y0", 1).alias("r"), "x0", "word", "text", "y0", "x1", "y1")))
+    start = F.struct(F.array().cast(f"array<{piece}>").alias("out"), F.lit(None).cast(piece).alias("cur"))
+
+    def shape(x0, y0, x1, y1, text):
+        return F.struct(x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), x1.cast("double").alias("x1"), y1.cast("double").alias("y1"), text.alias("text"))
+
+    def step(acc, w):
+        cur = acc["cur"]
+        dx = w["x0"] - cur["x1"]
+        joins = (F.abs(w["y0"] - cur["y0"]) < line) & (dx >= 0) & (dx < gap)
+        longer = shape(cur["x0"], cur["y0"], F.greatest(cur["x1"], w["x1"]), F.greatest(cur["y1"], w["y1"]), F.concat(cur["text"], w["text"]))
+        return F.when(joins, F.struct(acc["out"].alias("out"), longer.alias("cur"))).otherwise(F.struct(F.concat(acc["out"], F.array(cur)).alias("out"), shape(w["x0"], w["y0"], w["x1"], w["y1"], w["text"]).alias("cur")))
+
+    folded = F.aggregate("words", start, step, lambda acc: F.filter(F.concat(acc["out"], F.array(acc["cur"])), lambda x: x.isNotNull()))
+    return words.groupBy("page").agg(read.alias("words")).select("page", F.explode(folded).alias("p")).select("page", "p.*")
 
 
 def in_band(words: DataFrame, y_lo: float, y_hi: float, x_lo: float, x_hi: float, exclude: list[str] = (), allow_pct: bool = False) -> DataFrame:

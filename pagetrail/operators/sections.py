@@ -23,7 +23,7 @@ def section_ends(bookmarks: DataFrame, last_page: str = "last_page", max_level:
     after = Window.partitionBy("doc").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
     nexts = [F.first(F.when(F.col("level") <= k, F.col("page_from")), ignorenulls=True).over(after) for k in range(1, max_level + 1)]
     following = F.element_at(F.array(*nexts), F.least(F.col("level"), F.lit(max_level)).cast("int"))
-    return bookmarks.withColumn("page_to", F.coalesce(F.greatest(F.col("page_from"), following - 1), F.col(last_page)).cast("long"))
+    return bookmarks.withColumn("page_to", F.when(following.isNotNull(), F.greatest(F.col("page_from"), following - 1)).otherwise(F.col(last_page)).cast("long"))
 
 
 def with_ids(sections: DataFrame) -> DataFrame:

@@ -476,11 +476,10 @@ def layer_summary(spark, d):
 
 
 @query("""
-WITH a AS (SELECT *, lag(y0) OVER w AS top FROM words WINDOW w AS (PARTITION BY page ORDER BY round(y0, 1), x0, word, text)),
-b AS (SELECT *, sum(CASE WHEN top IS NULL OR abs(y0 - top) >= 1.2 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY round(y0, 1), x0, word, text ROWS UNBOUNDED PRECEDING) AS line FROM a),
-c AS (SELECT *, x0 - max(x1) OVER (PARTITION BY page, line ORDER BY round(y0, 1), x0, word, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS step FROM b),
-e AS (SELECT *, sum(CASE WHEN step IS NULL OR step < 0 OR step >= 3.2 THEN 1 ELSE 0 END) OVER (PARTITION BY page, line ORDER BY round(y0, 1), x0, word, text ROWS UNBOUNDED PRECEDING) AS part FROM c)
-SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, string_agg(text, '' ORDER BY round(y0, 1), x0, word, text) AS text FROM e GROUP BY page, line, part""", ("words",))
+WITH a AS (SELECT page, list([{'x0': x0, 'y0': y0, 'x1': x1, 'text': text}] ORDER BY round(y0, 1), x0, word, text) AS ws FROM words GROUP BY page),
+b AS (SELECT page, list_reduce(ws, lambda acc, w: CASE WHEN abs(w[1].y0 - acc[len(acc)].y0) < 1.2 AND w[1].x0 - acc[len(acc)].x1 >= 0 AND w[1].x0 - acc[len(acc)].x1 < 3.2
+    THEN list_concat(acc[1:len(acc) - 1], [{'x0': acc[len(acc)].x0, 'y0': acc[len(acc)].y0, 'x1': greatest(acc[len(acc)].x1, w[1].x1), 'text': acc[len(acc)].text || w[1].text}]) ELSE list_concat(acc, w) END) AS ps FROM a)
+SELECT page, p.x0 AS x0, p.y0 AS y0, p.x1 AS x1, p.text AS text FROM (SELECT page, unnest(ps) AS p FROM b)""", ("words",))
 def merge_adjacent(spark, d):
     return layout.merge_adjacent(frame(spark, d, "words")).select("page", "x0", "y0", "x1", "text")
 

@@ -93,7 +93,7 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Sections for DuckDB, by a self-join where the engine uses windows.
 DUCK_SECTIONS = """
     SELECT b.doc, b.seq, any_value(b.title) AS title, any_value(b.level) AS level, any_value(b.text) AS text, any_value(b.page_from) AS page_from,
-      CAST(coalesce(greatest(any_value(b.page_from), min(n.page_from) - 1), any_value(b.last_page)) AS BIGINT) AS page_to,
+      CAST(CASE WHEN min(n.page_from) IS NULL THEN any_value(b.last_page) ELSE greatest(any_value(b.page_from), min(n.page_from) - 1) END AS BIGINT) AS page_to,
       's' || lpad(CAST(b.seq AS VARCHAR), 3, '0') || '-' || substr(trim(regexp_replace(lower(any_value(b.title)), '[^\\p{L}\\p{N}_]+', '-', 'g'), '-'), 1, 40) AS id
     FROM bookmarks b LEFT JOIN bookmarks n ON b.doc = n.doc AND n.seq > b.seq AND n.level <= b.level GROUP BY b.doc, b.seq"""
 
