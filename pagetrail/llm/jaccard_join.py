@@ -6,8 +6,8 @@ class; classes are linked when 100 * intersection >= percent * union.
 1. One pass gives every document its class key and finds shingles that are frequent in some task.
 2. Shingles are put in one global order, frequent ones last. Two linked sets share a shingle among the first
    n - ceil(percent * n / 100) + 1 of either; these go, packed, to their shingle's bucket, where lists of a single class
-   vanish at once. Lengths and places in the order rule out most other pairs of a list.
-3. A first round links the members of every eighth list to one of them, which joins most copies. The second round takes
+   vanish at once. Lengths, places in the order and the number of shared prefix shingles rule out most other pairs.
+3. A first round links the members of each list to its hub, which joins most copies. The second round takes
    every pair of a list whose classes are not yet in one component, so no link between components is missed, and the
    many pairs inside a large group are never made.
 4. Candidates are verified by T-occurrence search: for a query set, the inverted lists of its shingles over its
@@ -38,7 +38,7 @@ from .wordhash import chunks, set_key, shingle_sets
 
 PERCENT = 75
 WORDS = 5
-HOT = 1 << 16
+HOT = 1 << 20
 BLOCK = 256
 FLUSH = 1 << 20
 _POSTING = np.dtype([("rest", "<u4"), ("key", "<i8"), ("n", "<u4"), ("pos", "<u4")])
@@ -65,7 +65,7 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
 
         def frequent():
             s, c = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-            many = c >= max(3, len(sets) >> 10)
+            many = c > 1
             return rows([None] * int(many.sum()), s[many].astype(np.int64), c[many], True)
 
         for batch in batches:
@@ -79,7 +79,7 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
                         sets[keys[-1]] = s
                         held += len(s)
                 yield rows(ids[w.lo : w.hi], keys, sizes, False)
-                if held > 2 * FLUSH:
+                if held > 3 * FLUSH:
                     yield frequent()
                     sets, held = {}, 0
         if sets:
@@ -134,7 +134,7 @@ def postings(docs: DataFrame, model, words: int, percent: int, buckets: int) ->
                     done.add(key)
                     parts.append((ordered_prefix(s, hot, count, percent), key, len(s)))
                     held += len(parts[-1][0])
-                if held > FLUSH:
+                if held > FLUSH // 2:
                     yield flush()
                     parts, held, done = [], 0, done if len(done) < FLUSH else set()
         if parts:
@@ -163,9 +163,7 @@ def _shared_lists(percent: int):
         size = np.diff(np.append(start, len(rest)))
         two = start[size == 2]
         a, b = two, two + 1
-        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        need = -(-percent * (small + large) // (100 + percent))
-        fits = (100 * small >= percent * large) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need)
+        fits = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
         keep = np.repeat(size > 2, size)
         keep[a[fits]] = keep[b[fits]] = True
         sh = (np.int64(group.column("bucket")[0].as_py()) << 32) | rest[keep].astype(np.int64)
@@ -174,11 +172,24 @@ def _shared_lists(percent: int):
     return run
 
 
-def _may_link(x: str, y: str, percent: int) -> Column:
-    """Filters on lengths and on the places of a common shingle; x and y name structs with n and pos."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    need = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) >= need)
+def _need(n: str, m: str, percent: int) -> Column:
+    """T: the intersection that sets of n and m members need."""
+    return F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
+
+
+def _counted(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, n, m) whose prefixes share enough shingles, as (a, b).
+
+    Sets that share T shingles share at least l among the first n - T + l of one and m - T + l of the other; l is the
+    largest number for which both prefixes reach so far."""
+    own = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "key")
+    held = materialize(lists.join(own, "key").groupBy("key").agg(F.collect_list(F.struct("pos", "sh")).alias("h")), "held")
+    rows = pairs.join(held.select(F.col("key").alias("a"), F.col("h").alias("ha")), "a").join(held.select(F.col("key").alias("b"), F.col("h").alias("hb")), "b")
+    need = _need("n", "m", percent)
+    room = [F.expr(f"{v} - ({percent} * {v} + 99) div 100 + 1") - (F.col(v) - need) for v in ("n", "m")]
+    rows = rows.withColumn("l", F.greatest(F.lit(1), F.least(*room))).withColumn("t", need)
+    first = lambda h, n: F.transform(F.filter(h, lambda e: e["pos"] < F.col(n) - F.col("t") + F.col("l")), lambda e: e["sh"])
+    return rows.filter(F.size(F.array_intersect(first("ha", "n"), first("hb", "m"))) >= F.col("l")).select("a", "b")
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], need: list[int]) -> list[int]:
@@ -215,6 +226,17 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], need: list[int]) -> l
     return out
 
 
+def packed_set(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each member, six bytes each: two sets of n and m meet by accident with n * m / 2**48."""
+    return np.ascontiguousarray((s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked_set(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _search(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: tuple = (None, None)
@@ -231,7 +253,7 @@ def _search(percent: int):
                 if (q, salt) != block:
                     yield found()
                     block, query, keys, sets = (q, salt), None, [], []
-                s = np.frombuffer(blob, np.uint64)
+                s = unpacked_set(blob)
                 if role == 0:
                     query = s
                 else:
@@ -255,7 +277,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
         for batch in batches:
             batch = batch.filter(pa.array(bloom_has(bits.value, batch.column("slot").to_numpy())))
             for w in chunks(batch.column("text")):
-                got = [(set_key(s), s.tobytes()) for s in shingle_sets(w, words) if len(s)]
+                got = [(set_key(s), packed_set(s)) for s in shingle_sets(w, words) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], ["key", "members"])
 
     sets = docs.select("text", bloom_slot(F.col("doc_id")).alias("slot")).mapInArrow(members, "key long, members binary")
@@ -266,26 +288,42 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     return out
 
 
+def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every member of a list with the list's hub, where two lists or more give that pair.
+
+    The hub is the member whose lists are largest in all: among edited copies that is the text they come from, as each
+    edit puts shingles of its own, which nobody shares, in front of a copy's order."""
+    size = lists.groupBy("sh").agg(F.count(F.lit(1)).alias("size"))
+    weight = lists.join(size, "sh").groupBy("key").agg(F.sum("size").alias("weight"))
+    rows = materialize(lists.join(weight, "key").select("sh", F.struct("weight", "key", "n", "pos").alias("m")), "weighted")
+    hub = rows.groupBy("sh").agg(F.max("m").alias("x"))
+    near = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.col("x.key") != F.col("y.key"))
+    pairs = rows.withColumnRenamed("m", "y").join(hub, "sh").filter(near).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    return pairs.agg(F.count(F.lit(1)).alias("k"), F.max(F.least("x.n", "y.n")).alias("n")).filter((F.col("k") >= 2) | (F.col("n") < 20)).select("a", "b")
+
+
 def candidates_across(lists: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of a list that may link and whose classes lie in different components; a has the larger set.
 
-    Members of a list's largest component are paired with the others only, and every pair needs one whose shingle
-    stands among the first that a smaller set can share.
+    Members of a list's largest component are paired with the others only, and in every pair the shingle stands among
+    the first ones of the smaller set.
     """
     own = lists.join(comp, "key", "left").select("sh", "key", "n", "pos", F.coalesce("comp", "key").alias("c"))
     per = own.groupBy("sh", "c").agg(F.count(F.lit(1)).alias("k"))
     main = per.groupBy("sh").agg(F.max(F.struct("k", "c")).getField("c").alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").drop("comps")
     mixed = materialize(own.join(main, "sh").select("sh", F.struct("key", "n", "pos", "c").alias("m"), (F.col("c") == F.col("main")).alias("in_main")), "mixed")
     m = F.col("m")
-    first = m["pos"] <= m["n"] - F.ceil(2 * F.lit(percent) * m["n"] / F.lit(100 + percent))
+    # T is smallest, and so the places that count are most, for a partner of the same size
+    first = m["pos"] <= m["n"] - _need("m.n", "m.n", percent)
     large, small = mixed.select("sh", m.alias("x"), "in_main"), mixed.filter(first).select("sh", m.alias("y"), F.col("in_main").alias("y_main"))
+    need = _need("x.n", "y.n", percent)
     bigger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") > F.col("y.key")))
-    ok = bigger & (F.col("x.c") != F.col("y.c")) & _may_link("x", "y", percent)
+    ok = bigger & (F.col("x.c") != F.col("y.c")) & (100 * F.col("y.n") >= percent * F.col("x.n")) & (F.col("x.pos") <= F.col("x.n") - need) & (F.col("y.pos") <= F.col("y.n") - need)
     out = None
     for left, right in ((large.filter("NOT in_main"), small), (large.filter("in_main"), small.filter("NOT y_main"))):
-        pairs = left.join(right, "sh").filter(ok).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+        pairs = left.join(right, "sh").filter(ok).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
         out = pairs if out is None else out.union(pairs)
-    return out.distinct()
+    return _counted(materialize(out.distinct(), "tight"), lists, percent)
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -302,11 +340,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     packed = postings(docs, model, words, percent, 4 * partitions(spark))
     lists = materialize(packed.groupBy("bucket").applyInArrow(_shared_lists(percent), "sh long, key long, n long, pos long"), "lists")
 
-    part = lists.filter(F.pmod(F.xxhash64("sh"), F.lit(8)) == 0)
-    member = F.struct("key", "n", "pos")
-    hub = part.groupBy("sh").agg(F.min(member).alias("x"))
-    star = part.select("sh", member.alias("y")).join(hub, "sh").filter((F.col("x.key") != F.col("y.key")) & _may_link("x", "y", percent))
-    star = materialize(star.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), "star")
+    star = materialize(star_pairs(lists, percent), "star")
     links = verified(star, docs, classes, words, percent)
     comp = materialize(components(links), "components")
 
