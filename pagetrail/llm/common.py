@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 2000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or one of our own in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -24,8 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once a context, so that none needs it installed."""
+    """Send this package to the executors' Python workers, once a context, so that none needs it installed.
+
+    Arrow batches are set to at most BATCH_ROWS rows, as documents are long: it bounds what a worker and the JVM hold."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "_pagetrail_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -42,10 +49,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
+    """df written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors.
+
+    At most eight files for each core of the cluster: many tiny files cost more than they save."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.coalesce(8 * spark.sparkContext.defaultParallelism).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out

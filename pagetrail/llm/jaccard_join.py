@@ -61,7 +61,7 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
         held = 0
 
         def rows(ids, keys, sizes, hot):
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array([hot] * len(keys))], ["doc_id", "key", "n", "hot"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array([hot] * len(keys), pa.bool_())], ["doc_id", "key", "n", "hot"])
 
         def frequent():
             s, c = np.unique(np.concatenate(list(sets.values())), return_counts=True)
@@ -159,15 +159,15 @@ def _shared_lists(percent: int):
         rest, key, n, pos = rest[order], key[order], n[order].astype(np.int64), pos[order].astype(np.int64)
         new = np.append([True], (rest[1:] != rest[:-1]) | (key[1:] != key[:-1]))  # copies met in several tasks
         rest, key, n, pos = rest[new], key[new], n[new], pos[new]
-        start = np.flatnonzero(np.append([True], rest[1:] != rest[:-1]))
-        size = np.diff(np.append(start, len(rest)))
-        two = start[size == 2]
-        a, b = two, two + 1
-        fits = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-        keep = np.repeat(size > 2, size)
-        keep[a[fits]] = keep[b[fits]] = True
+        # a member without another of a length it may link with goes, and with it lists of one
+        order = np.lexsort((n, rest))
+        rest, key, n, pos = rest[order], key[order], n[order], pos[order]
+        close = (rest[1:] == rest[:-1]) & (100 * n[:-1] >= percent * n[1:])
+        keep = np.append([False], close) | np.append(close, [False])
+        start = np.flatnonzero(np.append([True], rest[keep][1:] != rest[keep][:-1])) if keep.any() else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, keep.sum()))
         sh = (np.int64(group.column("bucket")[0].as_py()) << 32) | rest[keep].astype(np.int64)
-        return pa.table({"sh": sh, "key": key[keep], "n": n[keep], "pos": pos[keep]})
+        return pa.table({"sh": sh, "key": key[keep], "n": n[keep], "pos": pos[keep], "size": np.repeat(size, size)})
 
     return run
 
@@ -293,13 +293,15 @@ def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
     The hub is the member whose lists are largest in all: among edited copies that is the text they come from, as each
     edit puts shingles of its own, which nobody shares, in front of a copy's order."""
-    size = lists.groupBy("sh").agg(F.count(F.lit(1)).alias("size"))
-    weight = lists.join(size, "sh").groupBy("key").agg(F.sum("size").alias("weight"))
+    weight = lists.groupBy("key").agg(F.sum("size").alias("weight"))
     rows = materialize(lists.join(weight, "key").select("sh", F.struct("weight", "key", "n", "pos").alias("m")), "weighted")
     hub = rows.groupBy("sh").agg(F.max("m").alias("x"))
     near = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.col("x.key") != F.col("y.key"))
     pairs = rows.withColumnRenamed("m", "y").join(hub, "sh").filter(near).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    return pairs.agg(F.count(F.lit(1)).alias("k"), F.max(F.least("x.n", "y.n")).alias("n")).filter((F.col("k") >= 2) | (F.col("n") < 20)).select("a", "b")
+    out = pairs.agg(F.count(F.lit(1)).alias("k"), F.max(F.least("x.n", "y.n")).alias("n")).filter((F.col("k") >= 2) | (F.col("n") < 20))
+    out = materialize(out.select("a", "b"), "star")
+    discard(rows)
+    return out
 
 
 def candidates_across(lists: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
@@ -323,7 +325,9 @@ def candidates_across(lists: DataFrame, comp: DataFrame, percent: int) -> DataFr
     for left, right in ((large.filter("NOT in_main"), small), (large.filter("in_main"), small.filter("NOT y_main"))):
         pairs = left.join(right, "sh").filter(ok).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
         out = pairs if out is None else out.union(pairs)
-    return _counted(materialize(out.distinct(), "tight"), lists, percent)
+    out = materialize(out.distinct(), "tight")
+    discard(mixed)
+    return _counted(out, lists, percent)
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -338,15 +342,16 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     order = np.argsort(shingle)
     model = spark.sparkContext.broadcast((shingle[order], hot.column("n").to_numpy()[order]))
     packed = postings(docs, model, words, percent, 4 * partitions(spark))
-    lists = materialize(packed.groupBy("bucket").applyInArrow(_shared_lists(percent), "sh long, key long, n long, pos long"), "lists")
+    lists = materialize(packed.groupBy("bucket").applyInArrow(_shared_lists(percent), "sh long, key long, n long, pos long, size long"), "lists")
 
-    star = materialize(star_pairs(lists, percent), "star")
+    star = star_pairs(lists, percent)
     links = verified(star, docs, classes, words, percent)
     comp = materialize(components(links), "components")
 
     across = candidates_across(lists, comp, percent)
     tried = star.select("a", "b").union(star.select("b", "a"))
     across = materialize(across.join(tried, ["a", "b"], "left_anti"), "across")
+    discard(lists, star)
     more = verified(across, docs, classes, words, percent)
     comp = materialize(components(comp.select(F.col("key").alias("u"), F.col("comp").alias("v")).union(more)), "components")
 

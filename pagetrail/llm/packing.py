@@ -97,7 +97,7 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def _tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer and cache for all tasks of a Python worker."""
+    """One tokenizer for all tasks of a Python worker; its cache of words is emptied after each, as workers live on."""
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
@@ -132,6 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, piece: int = P
                         for column, x in zip(out, (names[lo + d], start, size, zlib.crc32(own[start : start + size]), len(own)), strict=True):
                             column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema)
+        t.clear()
 
     return texts(docs).mapInArrow(tokenize, _PIECES)
 

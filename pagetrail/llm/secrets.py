@@ -209,7 +209,9 @@ def secret_scan(docs: DataFrame, rate: float = 1e-3, level: float = 1e-3) -> Dat
     least = cutoffs({(r["band"], r["bin"]): r["count"] for r in hist}, rate)
     keep = F.create_map(*[F.lit(x) for kv in (least or {0: 0}).items() for x in kv])
     random = F.transform(F.filter("cand", lambda c: c["bin"] >= F.coalesce(F.element_at(keep, c["band"]), F.lit(MAX_BIN + 1))), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    n = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}") for i in range(3)]
+    # a second parameter of the lambda would be the element's index, so the kind is bound outside
+    of_kind = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
+    n = [of_kind(i) for i in range(3)]
     return found.select("doc_id", *n, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("base", random))).alias("spans"), F.size(random).cast("long").alias("n_random"))
 
 
