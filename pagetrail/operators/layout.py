@@ -97,7 +97,8 @@ def hidden_text(spans: DataFrame, least_size: float = 3.0, tolerance: int = 12)
 
 def mean_colour(pixels: Column) -> Column:
     """Q3: mean red, green and blue of an array of packed colours."""
-    return F.array(*[F.floor(F.aggregate(pixels, F.lit(0).cast("bigint"), lambda s, p, k=k: s + F.shiftright(p, k).bitwiseAND(255)) / F.size(pixels)) for k in (16, 8, 0)])
+    channel = lambda k: F.aggregate(pixels, F.lit(0).cast("bigint"), lambda s, p: s + F.shiftright(p, k).bitwiseAND(255))
+    return F.array(*[F.floor(channel(k) / F.size(pixels)) for k in (16, 8, 0)])
 
 
 def layer_summary(findings: DataFrame) -> DataFrame:

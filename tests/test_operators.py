@@ -177,3 +177,8 @@ def test_upsert_stream(spark, tmp_path):
         q.awaitTermination(60)
         got = sorted(map(tuple, spark.read.parquet(str(tmp_path / f"out/v{i}")).collect()))
     assert got == [(1, "a", 1), (2, "a", 5)]
+
+
+def test_mean_colour(spark):
+    row = spark.createDataFrame([([0x0A1400, 0x141E02],)], "p array<int>").select(layout.mean_colour(F.col("p")).alias("c")).first()
+    assert row.c == [15, 25, 1]
