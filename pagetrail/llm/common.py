@@ -49,17 +49,20 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors.
-
-    At most eight files for each core of the cluster: many tiny files cost more than they save."""
+    """df written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.coalesce(8 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    few_files(df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """df in at most eight partitions for each core of the cluster: more and smaller files cost more than they save."""
+    return df.coalesce(8 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by materialize() that nothing reads any more."""
     for t in tables:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, ship, table
+from .common import few_files, new_path, ship, table
 
 DATE = "2024-01-01T00:00:00Z"
 BASE32HEX = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -72,7 +72,7 @@ def _header() -> Column:
 def write_archive(pages: DataFrame, path: str, min_revisit: int = 0) -> None:
     """Write both tables of the archive under ``path``."""
     spark = pages.sparkSession
-    _records(pages, min_revisit).withColumn("header", _header()).select("page_id", "header", "sha256").write.parquet(f"{path}/headers")
+    few_files(_records(pages, min_revisit).withColumn("header", _header()).select("page_id", "header", "sha256")).write.parquet(f"{path}/headers")
     headers = spark.read.parquet(f"{path}/headers")
     # one row of each payload: the least (page_id, url) that holds it, found on small columns only
     payload = F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary")
@@ -82,7 +82,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = 0) -> None:
     else:
         # copies meet per task first, so a payload that a third of the pages hold is moved once a task at most
         once = body.groupBy("sha256").agg(F.first("payload").alias("payload"))
-    once.select("sha256", "payload").write.parquet(f"{path}/payloads")
+    few_files(once.select("sha256", "payload")).write.parquet(f"{path}/payloads")
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
