@@ -75,7 +75,7 @@ def savings(summary: DataFrame, baseline: str) -> DataFrame:
 
 def with_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost of each call by its model's prices (model, price_in, price_out); unknown models cost 0."""
-    return calls.join(F.broadcast(prices), "model", "left").withColumn("cost", call_cost(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("price_in"), F.col("price_out"))).drop("price_in", "price_out")
+    return calls.join(prices, "model", "left").withColumn("cost", call_cost(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("price_in"), F.col("price_out"))).drop("price_in", "price_out")
 
 
 def question_titles(results: DataFrame, questions: DataFrame) -> DataFrame:

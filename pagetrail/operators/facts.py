@@ -27,7 +27,7 @@ def lookup(facts: DataFrame, **keys) -> DataFrame:
 def first_pick(facts: DataFrame, asked: DataFrame) -> DataFrame:
     """For each asked (ask, metric, segment, period) the first fact in order whose metric contains the text, whose
     segment is equal (none if NULL is asked) and which has a value."""
-    f, a = facts.alias("f"), F.broadcast(asked).alias("a")
+    f, a = facts.alias("f"), asked.alias("a")
     on = F.contains(F.lower("f.m"), F.lower("a.metric")) & F.col("f.s").eqNullSafe(F.col("a.segment")) & (F.col("f.p") == F.col("a.period")) & F.col("f.v").isNotNull()
     best = F.min_by(F.struct("f.m", "f.s", "f.p", "f.v", "f.u", "f.pg", "f.seq"), F.col("f.seq"))
     return f.join(a, on).groupBy("a.ask").agg(best.alias("x")).select("ask", "x.*")
@@ -51,10 +51,10 @@ def growth(segments: DataFrame, totals: DataFrame, pairs: DataFrame) -> DataFram
     growth of the total, and share. What cannot be computed is NULL; segments without a current value do not appear.
 
     segments: s, p, v, u, pg; totals: p, v; pairs: cur, prev."""
-    now = segments.join(F.broadcast(pairs), F.col("p") == F.col("cur")).select("s", "cur", "prev", "v", "u", "pg")
+    now = segments.join(pairs, F.col("p") == F.col("cur")).select("s", "cur", "prev", "v", "u", "pg")
     then = segments.select("s", F.col("p").alias("prev"), F.col("v").alias("v_prev"))
     t_now, t_then = (totals.select(F.col("p").alias(k), F.col("v").alias(v)) for k, v in (("cur", "t_cur"), ("prev", "t_prev")))
-    rows = now.join(then, ["s", "prev"], "left").join(F.broadcast(t_now), "cur", "left").join(F.broadcast(t_then), "prev", "left")
+    rows = now.join(then, ["s", "prev"], "left").join(t_now, "cur", "left").join(t_then, "prev", "left")
     change, total_change = F.col("v") - F.col("v_prev"), F.col("t_cur") - F.col("t_prev")
     has_prev = F.col("v_prev").isNotNull() & (F.col("v_prev") != 0)
     return rows.select(
