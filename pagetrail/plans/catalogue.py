@@ -428,7 +428,15 @@ def nearest_label(spark, d):
     return layout.nearest(w.filter("word % 2 = 1").select("page", F.col("word").alias("tick"), F.col("x0").alias("x")), w.filter("word % 2 = 0").select("page", F.col("x0").alias("x"), F.col("text").cast("double").alias("value")))
 
 
-@query()
+@query("""
+WITH n AS (SELECT page, list({'i': i, 'x': x, 'value': v}) AS free FROM (SELECT page, x0 AS x, CAST(text AS DOUBLE) AS v, row_number() OVER (PARTITION BY page ORDER BY x0, CAST(text AS DOUBLE)) AS i FROM words WHERE word % 2 = 0) GROUP BY page),
+t AS (SELECT page, list({'free': CAST([] AS STRUCT(i BIGINT, x DOUBLE, "value" DOUBLE)[]), 'got': [{'tick': word, 'x': x0, 'value': CAST(NULL AS DOUBLE)}]} ORDER BY x0, word) AS ts FROM words WHERE word % 2 = 1 GROUP BY page),
+r AS (SELECT page, list_reduce(list_prepend({'free': free, 'got': []}, ts), lambda acc, x: CASE
+    WHEN len(acc.free) > 0 AND list_sort(list_transform(acc.free, lambda v: abs(v.x - x.got[1].x)))[1] <= 22
+    THEN {'free': list_filter(acc.free, lambda v: v.i <> list_sort(list_transform(acc.free, lambda w: {'d': abs(w.x - x.got[1].x), 'i': w.i, 'value': w.value}))[1].i),
+          'got': list_concat(acc.got, [{'tick': x.got[1].tick, 'x': x.got[1].x, 'value': list_sort(list_transform(acc.free, lambda w: {'d': abs(w.x - x.got[1].x), 'i': w.i, 'value': w.value}))[1].value}])}
+    ELSE acc END) AS z FROM t JOIN n USING (page))
+SELECT page, g.tick AS tick, g.value AS value FROM (SELECT page, unnest(z.got) AS g FROM r)""", ("words",))
 def assign_ticks(spark, d):
     w = frame(spark, d, "words")
     return layout.assign_ticks(w.filter("word % 2 = 1").select("page", F.col("word").alias("tick"), F.col("x0").alias("x")), w.filter("word % 2 = 0").select("page", F.col("x0").alias("x"), F.col("text").cast("double").alias("value")))
