@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, table, texts
+from .common import materialize, partitions, released, table, texts
 from .graph import BLOOM_BITS, bloom, bloom_bits, bloom_has, bloom_slot
 from .wordhash import Words, chunks, mix, weights
 
@@ -28,7 +28,7 @@ from .wordhash import Words, chunks, mix, weights
 MASKS = ("11111", "1101011", "110010011", "10110001101")
 MIN_WORDS = 5
 SPAN = 13
-SHARE = 0.8
+SHARE = 0.75
 _SLOT = np.uint64((1 << BLOOM_BITS) - 1)
 
 
@@ -56,7 +56,7 @@ def word_lists(rows: DataFrame) -> DataFrame:
                 lists = [w.hash[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(w.lo, w.hi - w.lo), pa.array(lists, pa.binary())], ["doc_id", "words"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, words binary")
+    return rows.select("doc_id", "text").mapInArrow(released(run), "doc_id long, words binary")
 
 
 def seeds(rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
@@ -74,7 +74,7 @@ def seeds(rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
                         h, at, doc = h[hit], at[hit], doc[hit]
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(h.astype(np.int64)), pa.array(at - w.first[doc])], ["doc_id", "hash", "pos"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, hash long, pos long")
+    return rows.select("doc_id", "text").mapInArrow(released(run), "doc_id long, hash long, pos long")
 
 
 def best_window(text: np.ndarray, item: np.ndarray, shift: int, span: int) -> tuple[int, int]:
@@ -129,11 +129,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, share:
             batch = batch.filter(pa.array(bloom_has(bits.value, batch.column("slot").to_numpy())))
             yield batch.select(["doc_id", "text"])
 
-    hit_docs = docs.withColumn("slot", bloom_slot(F.col("doc_id"))).mapInArrow(few, "doc_id long, text string")
+    hit_docs = docs.withColumn("slot", bloom_slot(F.col("doc_id"))).mapInArrow(released(few), "doc_id long, text string")
     text_rows = word_lists(hit_docs).select("doc_id", F.lit(1).alias("role"), F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("shift"), "words")
     hit_rows = hits.join(lists, "item_id").select("doc_id", F.lit(0).alias("role"), "item_id", "shift", "words")
     rows = hit_rows.union(text_rows).repartition(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "role")
-    out = rows.mapInArrow(_verify(span, share), "doc_id long, item_id long, word_start long, matched long, span long")
+    out = rows.mapInArrow(released(_verify(span, share)), "doc_id long, item_id long, word_start long, matched long, span long")
     best = F.max(F.struct("matched", (-F.col("word_start")).alias("neg"), "span"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", (-F.col("b.neg")).alias("word_start"), "b.matched", "b.span")
 

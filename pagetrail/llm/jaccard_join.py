@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, partitions, table, texts
+from .common import discard, materialize, partitions, released, table, texts
 from .graph import bloom, bloom_has, bloom_slot, components
 from .wordhash import chunks, set_key, shingle_sets
 
@@ -79,13 +79,13 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
                         sets[keys[-1]] = s
                         held += len(s)
                 yield rows(ids[w.lo : w.hi], keys, sizes, False)
-                if held > 3 * FLUSH:
+                if held > 2 * FLUSH:
                     yield frequent()
                     sets, held = {}, 0
         if sets:
             yield frequent()
 
-    return docs.mapInArrow(run, "doc_id long, key long, n long, hot boolean")
+    return docs.mapInArrow(released(run), "doc_id long, key long, n long, hot boolean")
 
 
 def ordered_prefix(s: np.ndarray, hot: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
@@ -140,7 +140,7 @@ def postings(docs: DataFrame, model, words: int, percent: int, buckets: int) ->
         if parts:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, packed binary")
+    return docs.select("text").mapInArrow(released(run), "bucket int, packed binary")
 
 
 def _shared_lists(percent: int):
@@ -280,10 +280,10 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
                 got = [(set_key(s), packed_set(s)) for s in shingle_sets(w, words) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], ["key", "members"])
 
-    sets = docs.select("text", bloom_slot(F.col("doc_id")).alias("slot")).mapInArrow(members, "key long, members binary")
+    sets = docs.select("text", bloom_slot(F.col("doc_id")).alias("slot")).mapInArrow(released(members), "key long, members binary")
     rows = asked.join(sets, "key").select("q", "salt", "role", "key", "members")
     rows = rows.repartition(partitions(spark), "q", "salt").sortWithinPartitions("q", "salt", "role")
-    out = materialize(rows.mapInArrow(_search(percent), "u long, v long"), "links")
+    out = materialize(rows.mapInArrow(released(_search(percent)), "u long, v long"), "links")
     discard(asked)
     return out
 

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, texts
+from .common import materialize, released, table, texts
 from .wordhash import chunks
 
 WINDOW = 4096
 PIECE = 512
 BLOCK_PIECES = 4096
 END_ID = 2
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PACKED = _PIECES + ", sequence_id long, offset long"
 
@@ -134,7 +134,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, piece: int = P
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema)
         t.clear()
 
-    return texts(docs).mapInArrow(tokenize, _PIECES)
+    return texts(docs).mapInArrow(released(tokenize), _PIECES)
 
 
 def differencing(sizes: list[int], parts: int) -> list[list[int]]:

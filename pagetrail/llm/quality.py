@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table, texts
+from .common import fold, released, table, texts
 from .labelled import labelled_texts, logistic, sampled, sigmoid
 from .wordhash import buffers
 
@@ -81,7 +81,7 @@ def log_count_ratios(rows: DataFrame, alpha: float = 1.0) -> np.ndarray:
         used = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_pydict({"place": used.astype(np.int32), "n0": total[0, used].astype(np.int32), "n1": total[1, used].astype(np.int32)})
 
-    rows = rows.select("text", "label").mapInArrow(count, "place int, n0 int, n1 int")
+    rows = rows.select("text", "label").mapInArrow(released(count), "place int, n0 int, n1 int")
     got = rows.groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # at most 2**BITS rows
     n = np.full((2, 1 << BITS), alpha)
     place = got.column("place").to_numpy()
@@ -130,7 +130,7 @@ def nbsvm_scores(docs: DataFrame, labels: DataFrame, column: str = "quality", fo
             got = [features(d).astype(np.int32) for d in _each(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "label", "places"])
 
-    got = sampled(rows, sample).mapInArrow(featurize, "doc_id long, label int, places array<int>").toArrow().sort_by("doc_id")
+    got = sampled(rows, sample).mapInArrow(released(featurize), "doc_id long, label int, places array<int>").toArrow().sort_by("doc_id")
     y = got.column("label").to_numpy().astype(float) * 2 - 1
     lists = got.column("places").combine_chunks()
     flat, off = lists.flatten().to_numpy(), np.asarray(lists.offsets)
@@ -155,7 +155,7 @@ def nbsvm_scores(docs: DataFrame, labels: DataFrame, column: str = "quality", fo
                 out.append(float(weight[p].sum(dtype=float)) / (float(np.sqrt((x * x).sum(dtype=float))) or 1.0) + bias)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigmoid(slope * np.array(out, float) + shift))], ["doc_id", "score"])
 
-    out = texts(docs).mapInArrow(score, "doc_id long, score double")
+    out = texts(docs).mapInArrow(released(score), "doc_id long, score double")
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, texts
+from .common import materialize, released, table, texts
 from .wordhash import buffers
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -158,7 +158,7 @@ def byte_counts(docs: DataFrame) -> np.ndarray:
             total += np.bincount(buffers(b.column("text"))[1], minlength=256)
         yield pa.RecordBatch.from_pydict({"byte": np.arange(256, dtype=np.int32), "n": total})
 
-    rows = docs.select("text").mapInArrow(count, "byte int, n long").groupBy("byte").agg(F.sum("n")).collect()
+    rows = docs.select("text").mapInArrow(released(count), "byte int, n long").groupBy("byte").agg(F.sum("n")).collect()
     out = np.zeros(256, np.int64)
     for byte, n in rows:
         out[byte] = n
@@ -204,7 +204,7 @@ def secret_scan(docs: DataFrame, rate: float = 1e-3, level: float = 1e-3) -> Dat
                 cand_out.append([{"start": s, "kind": 3, "end": e, "band": w, "bin": v} for s, e, w, v in candidates(text, base, models, level)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base_out, span), pa.array(cand_out, cand)], ["doc_id", "base", "cand"])
 
-    found = materialize(docs.mapInArrow(scan, f"doc_id long, base {_SPAN}, cand {_CAND}"), "secrets")
+    found = materialize(docs.mapInArrow(released(scan), f"doc_id long, base {_SPAN}, cand {_CAND}"), "secrets")
     hist = found.select(F.explode("cand").alias("c")).groupBy("c.band", "c.bin").count().collect()
     least = cutoffs({(r["band"], r["bin"]): r["count"] for r in hist}, rate)
     keep = F.create_map(*[F.lit(x) for kv in (least or {0: 0}).items() for x in kv])

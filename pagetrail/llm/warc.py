@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_files, new_path, ship, table
+from .common import few_files, new_path, released, ship, table
 
 DATE = "2024-01-01T00:00:00Z"
 BASE32HEX = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -120,7 +120,7 @@ def read_warc(spark: SparkSession, out: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(rows, pa.schema([("record_id", pa.string()), ("header", pa.string()), ("block", pa.binary())]))
 
     ship(spark)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).select("content").mapInArrow(parse, "record_id string, header string, block binary")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).select("content").mapInArrow(released(parse), "record_id string, header string, block binary")
 
 
 def _field(name: str) -> Column:
