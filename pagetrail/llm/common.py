@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:

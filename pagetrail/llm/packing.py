@@ -31,7 +31,7 @@ WINDOW = 4096
 PIECE = 512
 BLOCK_PIECES = 4096
 END_ID = 2
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 18
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PACKED = _PIECES + ", sequence_id long, offset long"
 
@@ -77,7 +77,7 @@ class WordTokenizer:
 
     def encode(self, col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first document, ids, offsets of the documents' ids) for each chunk of documents."""
-        for w in chunks(col, limit=1 << 21, split=True):
+        for w in chunks(col, split=True):
             uniq, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
             if len(self.keys) + len(uniq) > CACHE_WORDS:
                 self.clear()
