@@ -297,6 +297,20 @@ def test_classifiers_without_labels(spark):
         assert f(docs(spark, []), empty).count() == 0
 
 
+def test_a_rare_toxic_word_counts(spark):
+    rng = random.Random(12)
+    rows, labels = labelled_corpus(rng, 500, ["vilewort", "grimscum"])
+    for i, before in zip([1000, 1001, 1002], ["alpha1", "river2", "stone3"], strict=True):
+        rows.append((i, f"{sentence(rng, 20)} {before} zork {sentence(rng, 20)}"))
+        labels.append((i, 0, 1))
+    around = [sentence(rng, 12), sentence(rng, 12)]
+    rows += [(2000, " zork ".join(around)), (2001, " plim ".join(around))]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    # held: no fold, so that all three rows train
+    score = {r.doc_id: r.score for r in toxicity.kneser_ney_scores(docs(spark, rows), lab, held=-1).filter("doc_id >= 2000").collect()}
+    assert score[2000] > score[2001]
+
+
 def test_dual_coordinate_descent_separates():
     xs = [(np.array([0]), np.array([1.0])), (np.array([1]), np.array([1.0]))] * 5
     y = np.array([1.0, -1.0] * 5)
