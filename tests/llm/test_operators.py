@@ -311,6 +311,23 @@ def test_a_rare_toxic_word_counts(spark):
     assert score[2000] > score[2001]
 
 
+def test_an_expression_of_ordinary_words_counts(spark):
+    rng = random.Random(13)
+    rows, labels = [], []
+    for i in range(600):
+        w = sentence(rng, rng.randint(20, 40)).split()
+        toxic = i % 2 == 0
+        # both words are as common in both classes and follow as many words; only their order differs
+        for part in [["rule"], ["amber"]] * 3 + [["rule", "amber"] if toxic else ["amber", "rule"]] * 2:
+            at = rng.randrange(len(w))
+            w[at:at] = part
+        rows.append((i, " ".join(w)))
+        labels.append((i, 0, int(toxic)))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = toxicity.kneser_ney_scores(docs(spark, rows), lab).filter("held_out").toPandas()
+    assert auc(out.score.values, np.array([int(i % 2 == 0) for i in out.doc_id])) > 0.85
+
+
 def test_dual_coordinate_descent_separates():
     xs = [(np.array([0]), np.array([1.0])), (np.array([1]), np.array([1.0]))] * 5
     y = np.array([1.0, -1.0] * 5)
