@@ -5,7 +5,8 @@ is a variable field. The tree has a fixed depth: token count, then the first DEP
 taken in the order of how many documents hold them, a line joins the template that agrees with it in the largest share of
 tokens, if that is at least ``alike``, and positions that differ become wildcards; otherwise it starts a template. A line
 with fewer than MIN_FIXED tokens that are no fields has no wildcards: only its very repetitions count. A
-template recurs when at least ``min_docs`` documents hold it and at least ``min_fixed`` of its tokens are fixed.
+template recurs when at least ``min_docs`` documents hold it, or two if LONG_FIXED of its tokens are fixed, and at least
+``min_fixed`` of its tokens are fixed.
 Its lines are dropped everywhere but in the document with the smallest id that holds it, so that text which only
 copies share is not lost.
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, released, table, texts
@@ -34,6 +35,7 @@ from .wordhash import Words, chunks, mix, weights
 DEPTH = 4
 MIN_DOCS = 3
 MIN_FIXED = 4
+LONG_FIXED = 50
 ALIKE = 0.7
 LEAF_LINES = 2048
 _ANY = np.uint64(0)
@@ -163,12 +165,17 @@ def _parse(alike: float):
 _PARSED = "leaf long, line long, docs long, template long, fixed long, tokens binary"
 
 
+def _needed(fixed: Column, min_docs: int) -> Column:
+    """Documents that must hold a line or template with so many fixed tokens."""
+    return F.when(fixed >= LONG_FIXED, min(2, min_docs)).otherwise(min_docs)
+
+
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_fixed: int = MIN_FIXED, alike: float = ALIKE, leaf_lines: int = LEAF_LINES) -> DataFrame:
     """(doc_id, lines): keys of the lines that each document loses."""
     lines = materialize(line_keys(docs, min_fixed), "lines")
     per_line = materialize(lines.groupBy("line").agg(F.count_distinct("doc_id").alias("docs"), F.first("leaf").alias("leaf"), F.first("fixed").alias("fixed")), "line-counts")
     # leaves with several lines that could make a template together
-    leaf = per_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("d")).filter((F.col("n") > 1) & (F.col("d") >= min_docs))
+    leaf = per_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("d"), F.max("fixed").alias("f")).filter((F.col("n") > 1) & (F.col("d") >= _needed(F.col("f"), min_docs)))
     block = F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / leaf_lines)).cast("long")
     shape = materialize(per_line.join(leaf, "leaf").select("leaf", "line", "docs", block.alias("block"), (F.col("n") > leaf_lines).alias("blocks")), "leaves")
     bits = bloom_bits(shape, F.col("line").bitwiseAND((1 << BLOOM_BITS) - 1))
@@ -182,11 +189,11 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_fixed: int =
     parsed = once.select("line", "template", "fixed").join(twice, "template", "left").groupBy("line").agg(F.min(F.coalesce("t2", "template")).alias("template"), F.min(F.coalesce("f2", "fixed")).alias("t_fixed"))
     named = per_line.join(parsed, "line", "left").select("line", F.coalesce("template", "line").alias("template"), F.coalesce("t_fixed", "fixed").alias("fixed"), "docs")
     # a template of lines that too few documents hold in all cannot recur
-    few = named.groupBy("template").agg(F.sum("docs").alias("all_docs"), F.min("fixed").alias("t")).filter((F.col("all_docs") >= min_docs) & (F.col("t") >= min_fixed)).select("template")
-    named = materialize(named.join(few, "template").select("line", "template"), "templates")
+    few = named.groupBy("template").agg(F.sum("docs").alias("all_docs"), F.min("fixed").alias("t")).filter((F.col("all_docs") >= _needed(F.col("t"), min_docs)) & (F.col("t") >= min_fixed)).select("template", "t")
+    named = materialize(named.join(few, "template").select("line", "template", "t"), "templates")
     held = materialize(lines.select("doc_id", "line").distinct().join(named, "line"), "held")
     # written, so that the join below exchanges both sides and a template that many documents hold can be split
-    found = materialize(held.groupBy("template").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")).filter(F.col("docs") >= min_docs), "recurring")
+    found = materialize(held.groupBy("template").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"), F.min("t").alias("t")).filter(F.col("docs") >= _needed(F.col("t"), min_docs)), "recurring")
     out = held.join(found.select("template", "first"), "template").filter(F.col("doc_id") != F.col("first"))
     out = materialize(out.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "dropped")
     discard(lines, per_line, shape, once, named, held, found)

@@ -185,6 +185,13 @@ def test_blocks_of_a_large_leaf_agree(spark):
     assert gone.count() == 89
 
 
+def test_a_long_line_recurs_at_two_documents(spark):
+    passage, short = (" ".join(f"{stem}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n)) for stem, n in (("long", 55), ("brief", 20)))
+    rows = [(i, f"only here {w} and never again\n{passage}\n{short}") for i, w in enumerate(["one", "two"])]
+    got = {r.doc_id: r.text for r in line_dedup.without_recurring_lines(docs(spark, rows)).select("doc_id", "text").collect()}
+    assert got == {0: rows[0][1], 1: f"only here two and never again\n{short}"}
+
+
 # ---------------------------------------------------------------- 4 Jaccard join
 
 
