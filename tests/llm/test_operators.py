@@ -335,6 +335,35 @@ def test_an_expression_of_ordinary_words_counts(spark):
     assert auc(out.score.values, np.array([int(i % 2 == 0) for i in out.doc_id])) > 0.85
 
 
+def test_bigrams_are_counted_once_however_they_are_dealt():
+    def merged(parts, buckets=8):
+        dealt = defaultdict(list)
+        for w, h in parts:
+            t = toxicity._merged(w, h, [np.ones(len(w), np.uint32), *[np.zeros(len(w), np.uint32)] * 3])
+            order, edge = toxicity._split(toxicity._bucket(t["w"], t["h"], buckets), buckets)
+            for b in range(buckets):
+                part = t[order][edge[b] : edge[b + 1]]
+                if len(part):
+                    dealt[b].append({"bucket": b, "blob": toxicity._packed([part[n] for n in part.dtype.names])})
+        pairs, seen = {}, np.zeros((2, 6), np.int64)
+        for rows in dealt.values():
+            for r in toxicity._merge_bucket(buckets, 2)(toxicity._rows([(x["bucket"], x["blob"]) for x in rows])).to_pylist():
+                if r["bucket"] == -1:
+                    seen += np.frombuffer(r["blob"], np.int64).reshape(2, 6)
+                elif r["bucket"] < buckets:
+                    key, n, *_ = toxicity._columns(r["blob"], ["<u8", *["<u4"] * 4])
+                    assert not set(key.tolist()) & set(pairs)
+                    pairs |= dict(zip(key.tolist(), n.tolist(), strict=True))
+        return pairs, seen.tolist()
+
+    # a word that is frequent in one task and rare in another
+    w = np.full(3000, 2 << 40, np.uint64)
+    h = np.arange(3000, dtype=np.uint32)
+    once = merged([(np.concatenate([w, w[:20]]), np.concatenate([h, h[:20]]))])
+    assert merged([(w, h), (w[:20], h[:20])]) == once
+    assert sorted(once[0].values()) == [1] * 2980 + [2] * 20 and once[1][0][4:] == [2980, 20]
+
+
 def test_dual_coordinate_descent_separates():
     xs = [(np.array([0]), np.array([1.0])), (np.array([1]), np.array([1.0]))] * 5
     y = np.array([1.0, -1.0] * 5)
