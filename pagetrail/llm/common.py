@@ -99,6 +99,21 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def text_key(text: Column) -> Column:
+    """Hash of a text, null counting as empty. With the id it tells rows apart that repeat an id."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose (doc_id, text_key) is in gone; all columns kept, whatever they are called.
+
+    The row travels as one struct, so no column of docs can clash with those of the join. Rows without id can be named."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), text_key(docs["text"]).alias("text_key"))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    left = rows.join(gone, rows["id"].eqNullSafe(gone["gone_id"]) & (rows["text_key"] == gone["gone_key"]), "left_anti")
+    return left.select("row.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -36,20 +36,25 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def bloom_slot(col: Column) -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(1 << BLOOM_BITS))
+def bloom_width(n: int) -> int:
+    """log2 of the bits for a set of n keys: 16 bits a key, between 2**20 and 2**29 bits (64 MB)."""
+    return min(29, max(20, (16 * n).bit_length()))
 
 
-def bloom(keys: DataFrame, col: str) -> np.ndarray:
+def bloom_slot(col: Column, width: int = BLOOM_BITS) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(1 << width))
+
+
+def bloom(keys: DataFrame, col: str, width: int = BLOOM_BITS) -> np.ndarray:
     """Bit set of the keys' slots."""
-    return bloom_bits(keys, bloom_slot(F.col(col)))
+    return bloom_bits(keys, bloom_slot(F.col(col), width), width)
 
 
-def bloom_bits(keys: DataFrame, slot: Column) -> np.ndarray:
-    """2**BLOOM_BITS bits (8 MB) for any number of rows, built from 4 KB pieces."""
+def bloom_bits(keys: DataFrame, slot: Column, width: int = BLOOM_BITS) -> np.ndarray:
+    """2**width bits (8 MB by default) for any number of rows, built from 4 KB pieces."""
     slot = slot + 1
     pieces = keys.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-    out = np.zeros((1 << BLOOM_BITS) >> 3, np.uint8)
+    out = np.zeros((1 << width) >> 3, np.uint8)
     for b, bits in pieces:
         out[(b - 1) * 4096 : b * 4096] = np.frombuffer(bits, np.uint8)
     return out

@@ -22,6 +22,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_NO_WORD = np.ones(256, bool)
+_NO_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK = np.zeros(256, bool)
@@ -78,9 +80,10 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], data[off[0] : off[-1]]
 
 
-def chunks(col: pa.Array, limit: int = CHUNK_BYTES, split: bool = False) -> Iterator[Words]:
+def chunks(col: pa.Array, limit: int = CHUNK_BYTES, split: bool = False, bare: bool = False) -> Iterator[Words]:
     """Words of the column's documents, in chunks of about ``limit`` bytes of whole documents.
 
+    bare: words are maximal runs of ASCII letters and digits and of bytes beyond ASCII, so that marks are no part of them.
     split: also cut between an ASCII letter and an ASCII mark other than ``'<|>``; a chunk that holds ``<|`` is
     then left as it is, neither cut so nor lower-cased."""
     offsets, data = buffers(col)
@@ -90,14 +93,14 @@ def chunks(col: pa.Array, limit: int = CHUNK_BYTES, split: bool = False) -> Iter
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         part = data[offsets[lo] : offsets[hi]]
         plain = split and b"<|" in part.tobytes()
-        yield _words(lo, hi, part if plain else _LOWER[part], offsets[lo : hi + 1] - offsets[lo], split and not plain)
+        yield _words(lo, hi, part if plain else _LOWER[part], offsets[lo : hi + 1] - offsets[lo], split and not plain, _NO_WORD if bare else _SPACE)
         lo = hi
 
 
-def _words(lo: int, hi: int, data: np.ndarray, offsets: np.ndarray, split: bool) -> Words:
+def _words(lo: int, hi: int, data: np.ndarray, offsets: np.ndarray, split: bool, between: np.ndarray) -> Words:
     n = len(data)
     solid = np.zeros(n + 1, bool)
-    solid[:n] = ~_SPACE[data]
+    solid[:n] = ~between[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     if split:
@@ -119,15 +122,6 @@ def _range_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def stems(w: Words, chars: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the words of more than ``chars`` characters, and the hash of the first ``chars`` of each."""
-    begins = np.flatnonzero((w.data & 0xC0) != 0x80)
-    at = np.searchsorted(begins, w.start) + chars
-    stop = np.append(begins, len(w.data))[np.minimum(at, len(begins))]
-    long = np.flatnonzero(stop < w.end)
-    return long, _range_hash(w.total, w.start[long], stop[long])
-
-
 _STEP = [0x8CB92BA72F3D8DD7 | 1, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x589965CC75374CC3]
 
 

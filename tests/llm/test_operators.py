@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagetrail.llm import decontamination, jaccard_join, line_dedup, packing, quality, secrets, sharding, topk_search, toxicity, warc
 from pagetrail.llm.graph import components
-from pagetrail.llm.wordhash import chunks, shingle_sets, stems
+from pagetrail.llm.wordhash import chunks, shingle_sets
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = ["alpha", "beta", "gamma", "delta", "of", "the", "and", "river", "stone", "cloud", "paper", "green", "seven", "north", "quiet", "table", "lamp", "ocean", "brick", "sugar"]
@@ -55,12 +55,11 @@ def test_words_and_shingles_match_python():
     assert got_sets == [len(shingles(t)) for t in texts]
 
 
-def test_stems_are_first_characters():
+def test_bare_words_have_no_marks():
     import pyarrow as pa
 
-    (w,) = chunks(pa.array(["éclair éclat ecl abcdefg"]))
-    long, h = stems(w, 4)
-    assert long.tolist() == [0, 1, 3] and h[0] == h[1] != h[2]
+    (w,) = chunks(pa.array(["éclair, (Two)\n3rd a_b --"]), bare=True)
+    assert [w.data[a:b].tobytes().decode() for a, b in zip(w.start, w.end, strict=True)] == ["éclair", "two", "3rd", "a", "b"]
 
 
 # ---------------------------------------------------------------- components
@@ -335,33 +334,61 @@ def test_an_expression_of_ordinary_words_counts(spark):
     assert auc(out.score.values, np.array([int(i % 2 == 0) for i in out.doc_id])) > 0.85
 
 
-def test_bigrams_are_counted_once_however_they_are_dealt():
-    def merged(parts, buckets=8):
-        dealt = defaultdict(list)
-        for w, h in parts:
-            t = toxicity._merged(w, h, [np.ones(len(w), np.uint32), *[np.zeros(len(w), np.uint32)] * 3])
-            order, edge = toxicity._split(toxicity._bucket(t["w"], t["h"], buckets), buckets)
-            for b in range(buckets):
-                part = t[order][edge[b] : edge[b + 1]]
-                if len(part):
-                    dealt[b].append({"bucket": b, "blob": toxicity._packed([part[n] for n in part.dtype.names])})
-        pairs, seen = {}, np.zeros((2, 6), np.int64)
-        for rows in dealt.values():
-            for r in toxicity._merge_bucket(buckets, 2)(toxicity._rows([(x["bucket"], x["blob"]) for x in rows])).to_pylist():
-                if r["bucket"] == -1:
-                    seen += np.frombuffer(r["blob"], np.int64).reshape(2, 6)
-                elif r["bucket"] < buckets:
-                    key, n, *_ = toxicity._columns(r["blob"], ["<u8", *["<u4"] * 4])
-                    assert not set(key.tolist()) & set(pairs)
-                    pairs |= dict(zip(key.tolist(), n.tolist(), strict=True))
-        return pairs, seen.tolist()
-
-    # a word that is frequent in one task and rare in another
-    w = np.full(3000, 2 << 40, np.uint64)
-    h = np.arange(3000, dtype=np.uint32)
-    once = merged([(np.concatenate([w, w[:20]]), np.concatenate([h, h[:20]]))])
-    assert merged([(w, h), (w[:20], h[:20])]) == once
-    assert sorted(once[0].values()) == [1] * 2980 + [2] * 20 and once[1][0][4:] == [2980, 20]
+def dict_kneser_ney(rows):
+    """log p_1(w|h) / p_0(w|h) as a function, and both models, from dicts. rows: words, label."""
+    n, left = defaultdict(lambda: [0, 0]), defaultdict(lambda: [set(), set()])
+    for words, y in rows:
+        for h, w in set(zip([None, *words[:-1]], words, strict=True)):
+            n[h, w][y] += 1
+            left[w][y].add(h)
+    k, k_h, cut = toxicity.PRIOR, toxicity.CONTEXT_PRIOR, toxicity.DISCOUNT
+    part = lambda d, c: [d * x / sum(c) for x in c]
+    d_w = {w: len(a | b) - 1 for w, (a, b) in left.items()}
+    dc_w = {w: part(d_w[w], [len(a), len(b)]) for w, (a, b) in left.items()}
+    total, own = sum(d_w.values()), [sum(x[c] for x in dc_w.values()) for c in (0, 1)]
+    back = len(left) / sum(len(a | b) for a, b in left.values())
+    d_h, dc_h, n_h, nc_h = defaultdict(int), defaultdict(lambda: [0.0, 0.0]), defaultdict(int), defaultdict(lambda: [0, 0])
+    for (h, w), c in n.items():
+        d_h[h] += max(sum(c) - cut, 0)
+        n_h[h] += sum(c)
+        for j, x in enumerate(part(max(sum(c) - cut, 0), c)):
+            dc_h[h][j] += x
+            nc_h[h][j] += c[j]
+
+    def word(w, c):
+        d, dc = (d_w[w], dc_w[w][c]) if w in d_w else (0, 0)
+        return (1 - back) * (dc + k * d / total) / (own[c] + k) + back / (len(left) + 1)
+
+    def bigram(h, w, c):
+        if h not in n_h:
+            return word(w, c)
+        x = n.get((h, w), [0, 0])
+        d = max(sum(x) - cut, 0)
+        first = lambda own, both: (own + k_h * both / n_h[h]) / (nc_h[h][c] + k_h)
+        return first(part(d, x)[c] if d else 0, d) + (1 - first(dc_h[h][c], d_h[h])) * word(w, c)
+
+    return bigram, list(left), list(n_h)
+
+
+@pytest.mark.parametrize("head", [1 << 22, 40, 0])
+def test_kneser_ney_equals_dicts(spark, head):
+    rng = random.Random(21)
+    plain, labels = labelled_corpus(rng, 300, ["vilewort", "grimscum"])
+    rows = [(i, t.replace(" ", ", ", 3).title()) for i, t in plain] + [(900, plain[0][1] + " neverseen " + plain[1][1]), (901, ""), (902, "..."), (903, sentence(rng, 5000))]
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    label = {i: t for i, _, t in labels}
+    bigram, vocabulary, contexts = dict_kneser_ney([(words(t), label[i]) for i, t in rows if i in label])
+    for h in contexts[:20]:
+        assert [sum(bigram(h, w, c) for w in [*vocabulary, "never"]) for c in (0, 1)] == pytest.approx([1, 1])
+    # counts do not depend on how rows are dealt to tasks
+    training = spark.createDataFrame([(i, t, label[i], i % 4 // 3) for i, t in rows if i in label], "doc_id long, text string, label int, cal int").repartition(7)
+    model = toxicity.fit(training, 10**6)
+    got = {r.doc_id: (r.whole, r.piece, r.word) for r in toxicity.measured(docs(spark, rows).select("doc_id", "text"), model, head=head).collect()}
+    for i, t in rows:
+        w = words(t)
+        v = [np.log(bigram(h, x, 1) / bigram(h, x, 0)) for h, x in zip([None, *w], w)]
+        want = (np.mean(v), max(sum(v[j : j + 8]) / 8 for j in range(0, len(v), 8)), max(v)) if v else (0, 0, 0)
+        assert got[i] == pytest.approx(want, abs=1e-5)
 
 
 def test_dual_coordinate_descent_separates():
