@@ -15,7 +15,9 @@ class; classes are linked when 100 * intersection >= percent * union.
    reaches T minus the number of long lists is looked up in those by binary search. Counts are exact.
 
 Texts without words have no shingles, link with nothing and are components of their own. Null ids count last: a
-component's id is the smallest id that is not null. Rows that repeat an id give a row each. Keys are 64-bit hashes.
+component's id is the smallest id that is not null. Rows that repeat an id give a row each. Ties do not arise: sets of equal members are one
+class. Whole texts are read, however long; no rows give no rows; columns other than id and text are not read. Sets, shingles and
+classes are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, partitions, released, table, texts
-from .graph import bloom, bloom_has, bloom_slot, components
+from .common import discard, materialize, partitions, released, table, text_key, texts
+from .graph import bloom, bloom_has, bloom_slot, bloom_width, components
 from .wordhash import chunks, set_key, shingle_sets
 
 PERCENT = 75
@@ -41,6 +43,7 @@ WORDS = 5
 HOT = 1 << 20
 BLOCK = 256
 FLUSH = 1 << 20
+BUCKET = 1 << 20
 _POSTING = np.dtype([("rest", "<u4"), ("key", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
 
@@ -54,22 +57,21 @@ def prefix(n: int, percent: int) -> int:
 
 
 def profiles(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, key, n of every document; rows with hot: a shingle (key) that n classes of a task's documents share."""
+    """doc_id, text_key, key, n of every document; rows with hot: a shingle (key) that n classes of a task's documents share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
         held = 0
 
-        def rows(ids, keys, sizes, hot):
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array([hot] * len(keys), pa.bool_())], ["doc_id", "key", "n", "hot"])
+        def rows(ids, texts, keys, sizes, hot):
+            return pa.RecordBatch.from_arrays([ids, texts, pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array([hot] * len(keys), pa.bool_())], ["doc_id", "text_key", "key", "n", "hot"])
 
         def frequent():
             s, c = np.unique(np.concatenate(list(sets.values())), return_counts=True)
             many = c > 1
-            return rows([None] * int(many.sum()), s[many].astype(np.int64), c[many], True)
+            return rows(*[pa.nulls(int(many.sum()), pa.int64())] * 2, s[many].astype(np.int64), c[many], True)
 
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
             for w in chunks(batch.column("text")):
                 keys, sizes = [], []
                 for s in shingle_sets(w, words):
@@ -78,14 +80,14 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
                     if len(s) and keys[-1] not in sets:
                         sets[keys[-1]] = s
                         held += len(s)
-                yield rows(ids[w.lo : w.hi], keys, sizes, False)
+                yield rows(*(batch.column(c).slice(w.lo, w.hi - w.lo) for c in ("doc_id", "text_key")), keys, sizes, False)
                 if held > 2 * FLUSH:
                     yield frequent()
                     sets, held = {}, 0
         if sets:
             yield frequent()
 
-    return docs.mapInArrow(released(run), "doc_id long, key long, n long, hot boolean")
+    return docs.mapInArrow(released(run), "doc_id long, text_key long, key long, n long, hot boolean")
 
 
 def ordered_prefix(s: np.ndarray, hot: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
@@ -271,7 +273,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     dealt = pairs.join(many, "a").select(F.col("a").alias("q"), F.col("b").alias("key"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("salt"))
     asked = materialize(dealt.select("q", "salt", "key", F.lit(1).alias("role")).union(dealt.select("q", "salt", F.col("q").alias("key"), F.lit(0).alias("role")).distinct()), "asked")
     reps = asked.select("key").distinct().join(classes, "key").select("first")
-    bits = spark.sparkContext.broadcast(bloom(reps, "first"))
+    width = bloom_width(reps.count())
+    bits = spark.sparkContext.broadcast(bloom(reps, "first", width))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,9 +283,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
                 got = [(set_key(s), packed_set(s)) for s in shingle_sets(w, words) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], ["key", "members"])
 
-    sets = docs.select("text", bloom_slot(F.col("doc_id")).alias("slot")).mapInArrow(released(members), "key long, members binary")
+    sets = docs.select("text", bloom_slot(F.col("doc_id"), width).alias("slot")).mapInArrow(released(members), "key long, members binary")
     rows = asked.join(sets, "key").select("q", "salt", "role", "key", "members")
-    rows = rows.repartition(partitions(spark), "q", "salt").sortWithinPartitions("q", "salt", "role")
+    rows = rows.repartition("q", "salt").sortWithinPartitions("q", "salt", "role")
     out = materialize(rows.mapInArrow(released(_search(percent)), "u long, v long"), "links")
     discard(asked)
     return out
@@ -331,17 +334,19 @@ def candidates_across(lists: DataFrame, comp: DataFrame, percent: int) -> DataFr
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document: see the module's docstring."""
+    """doc_id, n_shingles, component_id, text_key (see common) of every document: see the module's docstring."""
     spark = docs.sparkSession
     docs = texts(docs)
+    docs = docs.withColumn("text_key", text_key(F.col("text")))
     found = materialize(profiles(docs, words), "profiles")
-    rows = found.filter("NOT hot").select("doc_id", "key", "n")
-    classes = materialize(rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first")), "classes")
+    rows = found.filter("NOT hot").select("doc_id", "text_key", "key", "n")
+    classes = materialize(rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")), "classes")
+    total = classes.agg(F.coalesce(F.sum(F.expr(f"n - ({percent} * n + 99) div 100 + 1")), F.lit(0))).first()[0]
     hot = found.filter("hot").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT).toArrow()
     shingle = hot.column("key").to_numpy().astype(np.uint64)
     order = np.argsort(shingle)
     model = spark.sparkContext.broadcast((shingle[order], hot.column("n").to_numpy()[order]))
-    packed = postings(docs, model, words, percent, 4 * partitions(spark))
+    packed = postings(docs, model, words, percent, max(4 * partitions(spark), total // BUCKET))
     lists = materialize(packed.groupBy("bucket").applyInArrow(_shared_lists(percent), "sh long, key long, n long, pos long, size long"), "lists")
 
     star = star_pairs(lists, percent)
@@ -358,8 +363,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     least = comp.select("key", "comp").union(comp.select("comp", "comp").distinct()).join(classes, "key").groupBy("comp").agg(F.min("first").alias("least"))
     named = comp.join(least, "comp").select("key", "least").union(least.select("comp", "least"))
     label = materialize(classes.join(named, "key", "left").select("key", F.coalesce("least", "first").alias("component_id")), "labels")
-    full = rows.filter("n > 0").join(label, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.union(rows.filter("n = 0").select("doc_id", "n", "doc_id"))
+    full = rows.filter("n > 0").join(label, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key")
+    return full.union(rows.filter("n = 0").select("doc_id", "n", "doc_id", "text_key"))
 
 
 def op4_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:

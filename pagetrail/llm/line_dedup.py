@@ -1,43 +1,47 @@
 """Line dedup by a log-template tree: recurring templates across documents are dropped.
 
 Lines are cut at line feeds, their tokens at ASCII white space; A-Z counts as a-z. A token with a digit, ``@`` or ``://``
-is a variable field. The tree has a fixed depth: token count, then the first DEPTH tokens, fields as wildcards. In a leaf,
-taken in the order of how many documents hold them, a line joins the template that agrees with it in the largest share of
-tokens, if that is at least ``alike``, and positions that differ become wildcards; otherwise it starts a template. A line
-with fewer than MIN_FIXED tokens that are no fields has no wildcards: only its very repetitions count. A
-template recurs when at least ``min_docs`` documents hold it, or two if LONG_FIXED of its tokens are fixed, and at least
-``min_fixed`` of its tokens are fixed.
-Its lines are dropped everywhere but in the document with the smallest id that holds it, so that text which only
-copies share is not lost.
-
-A leaf with more than ``leaf_lines`` different lines is parsed in blocks by line hash, and the templates of its blocks are
-then parsed together, again in blocks if they are more than that; blocks that find the same template agree on it, as a
-template is named by its tokens. No task gets a whole hot leaf.
-
+is a variable field and a wildcard wherever it stands. The tree has a fixed depth: token count, the first DEPTH tokens, then PARTS
+levels for equal parts of the rest of the line (single tokens, where fewer than that are left). At these levels a line takes the branch of
+its tokens, or the wildcard branch at VARIABLE of them, as long as ``alike`` of its tokens stay; so it ends in every leaf, or
+template, that generalises it so, and in that of itself. Lines that differ anywhere in two parts meet in one.
+
+A template recurs when at least ``min_docs`` different texts hold a line of it, or two if its lines have LONG tokens that are no fields,
+and at least ``min_fixed`` of its tokens are fixed. A line belongs to the recurring template that most texts hold (ties: the larger key).
+It is dropped from all documents but those with the same text as the one with the smallest id that holds the template, so
+that text which only copies share is not lost, and exact copies stay equal. All of this is counting by keys:
+the result does not depend on the order of rows, on partitions, or on how many lines meet in a branch, and no task gets a whole one.
+
+A line with fewer than MIN_FIXED tokens that are no fields has no wildcards: only its very repetitions count.
 Lines of fewer than ``min_fixed`` tokens are never dropped. Null texts stay null and empty ones empty; a text that loses all
-its lines is empty. Rows without id keep their lines and do not count; rows that repeat an id are one document.
-Columns other than doc_id and text pass through.
+its lines is empty. Rows without id keep their lines and do not count; rows that repeat an id with different texts are different
+documents. Whole texts and lines are read, however long. No rows give no rows. Columns other than text pass through, whatever they are called.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import discard, materialize, released, table, texts
-from .graph import BLOOM_BITS, bloom_bits, bloom_has
-from .wordhash import Words, chunks, mix, weights
+from .common import discard, materialize, released, table, text_key, texts
+from .graph import bloom_bits, bloom_has, bloom_width
+from .wordhash import Words, chunks, mix
 
 DEPTH = 4
+PARTS = 7
+VARIABLE = 2
 MIN_DOCS = 3
 MIN_FIXED = 4
-LONG_FIXED = 50
+LONG = 50
 ALIKE = 0.7
-LEAF_LINES = 2048
+#: The parts that are wildcards, for each kind of template.
+WILD = [list(c) for k in (VARIABLE, 1) for c in combinations(range(1, PARTS + 1), k)]
 _ANY = np.uint64(0)
 _TABLE_HASH = np.uint64(0x9FB21C651E98DF25)
 
@@ -62,6 +66,8 @@ class Lines:
         fixed = np.add.reduceat((~variable).astype(np.int64), self.begin) if len(self.begin) else self.size
         variable &= np.repeat(fixed >= MIN_FIXED, self.size)
         self.tokens = np.where(variable, _ANY, w.hash | np.uint64(1))
+        self.fixed = np.add.reduceat((~variable).astype(np.int64), self.begin) if len(self.begin) else self.size
+        self.literal = fixed < MIN_FIXED
         place = np.arange(len(line)) - np.repeat(self.begin, self.size)
         self.key = self._sum(place, None)
         self.leaf = self._sum(place, DEPTH)
@@ -77,35 +83,54 @@ class Lines:
             value = np.where(place < upto, value, np.uint64(0))
         return mix(np.add.reduceat(value, self.begin) + self.size.astype(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53)).astype(np.int64)
 
-    def of(self, i: int) -> np.ndarray:
-        return self.tokens[self.begin[i] : self.begin[i] + self.size[i]]
-
-
-def _template_key(tokens: np.ndarray) -> int:
-    """A template's name; a line that stands alone is named by the same rule (see Lines._sum)."""
-    size = np.array([len(tokens)], np.uint64)
-    value = mix(tokens + np.arange(1, len(tokens) + 1, dtype=np.uint64) * _TABLE_HASH).sum(dtype=np.uint64)
-    return int(mix(size * np.uint64(0xC4CEB9FE1A85EC53) + value).astype(np.int64)[0])
+    def templates(self, at: np.ndarray, alike: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The templates with wildcards of the lines ``at``: index of the line, key, number of fixed tokens."""
+        n = self.size[at]
+        # tokens of these lines in order, and the branch each lies on: 0 for the leading ones, then a number for each part
+        line = np.repeat(np.arange(len(at)), n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        token = self.tokens[np.repeat(self.begin[at], n) + place]
+        rest = np.maximum(n - DEPTH, 1)[line]
+        branch = np.where(place < DEPTH, 0, 1 + np.where(rest >= PARTS, (place - DEPTH) * PARTS // rest, place - DEPTH))
+        value = mix(token + (place.astype(np.uint64) + np.uint64(1)) * _TABLE_HASH)
+        slot = line * (PARTS + 1) + branch
+        edge = np.flatnonzero(np.append([True], slot[1:] != slot[:-1])) if len(slot) else np.zeros(0, np.int64)
+        sums, count, solid = np.zeros(len(at) * (PARTS + 1), np.uint64), np.zeros(len(at) * (PARTS + 1), np.int64), np.zeros(len(at) * (PARTS + 1), np.int64)
+        if len(edge):
+            sums[slot[edge]] = np.add.reduceat(value, edge)
+            count[slot[edge]] = np.diff(np.append(edge, len(slot)))
+            solid[slot[edge]] = np.add.reduceat((token != _ANY).astype(np.int64), edge)
+        sums, count, solid = (x.reshape(len(at), PARTS + 1) for x in (sums, count, solid))
+        out: list[tuple] = []
+        for number, parts in enumerate(WILD, 1):
+            wild = count[:, parts].sum(axis=1)
+            ok = (count[:, parts] > 0).all(axis=1) & (wild <= (1 - alike) * n) & ~self.literal[at]
+            # one part alone says no more than two, unless the line is too short for two
+            ok &= (len(parts) == VARIABLE) | (n - DEPTH < VARIABLE) | (VARIABLE > (1 - alike) * n)
+            i = np.flatnonzero(ok)
+            key = mix(sums[i].sum(axis=1) - sums[i][:, parts].sum(axis=1) + n[i].astype(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53) + np.uint64(number * 0x94D049BB133111EB % 2**64))
+            out.append((at[i], key.astype(np.int64), solid[i].sum(axis=1) - solid[i][:, parts].sum(axis=1)))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def line_keys(docs: DataFrame, min_fixed: int) -> DataFrame:
-    """doc_id, leaf, line, fixed: each document's different lines that may be dropped."""
+    """doc_id, text_key, leaf, line, solid: each document's different lines that may be dropped; leaf: token count and leading tokens,
+    solid: tokens that are no fields."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in chunks(batch.column("text")):
                 x = Lines(w)
-                fixed = np.add.reduceat((x.tokens != _ANY).astype(np.int64), x.begin) if len(x.begin) else x.size
                 _, once = np.unique(mix(x.key.astype(np.uint64)) + x.doc.astype(np.uint64) * _TABLE_HASH, return_index=True)
                 once = once[x.size[once] >= min_fixed]
-                ids = batch.column("doc_id").slice(w.lo, w.hi - w.lo).take(pa.array(x.doc[once]))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(v[once]) for v in (x.leaf, x.key, fixed))], ["doc_id", "leaf", "line", "fixed"])
+                own = [batch.column(c).slice(w.lo, w.hi - w.lo).take(pa.array(x.doc[once])) for c in ("doc_id", "text_key")]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(v[once]) for v in (x.leaf, x.key, x.fixed))], ["doc_id", "text_key", "leaf", "line", "solid"])
 
-    return docs.filter("doc_id IS NOT NULL").mapInArrow(released(run), "doc_id long, leaf long, line long, fixed long")
+    return docs.mapInArrow(released(run), "doc_id long, text_key long, leaf long, line long, solid long")
 
 
-def line_tokens(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """line, tokens BINARY of the lines whose key may be in the bit set, once a task."""
+def line_templates(docs: DataFrame, bits: np.ndarray, width: int, alike: float) -> DataFrame:
+    """line, template, fixed of the lines whose key may be in the bit set, once a task as a rule."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,130 +138,86 @@ def line_tokens(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         for batch in batches:
             for w in chunks(batch.column("text")):
                 x = Lines(w)
-                got = {}
-                for i in np.flatnonzero(bloom_has(shared.value, (x.key & ((1 << BLOOM_BITS) - 1)))).tolist():
-                    k = int(x.key[i])
-                    if k not in done and k not in got:
-                        got[k] = x.of(i).tobytes()
-                done = (done if len(done) < 1 << 20 else set()) | set(got)
-                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())], ["line", "tokens"])
-
-    return docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(released(run), "line long, tokens binary")
-
-
-def leaf_templates(lines: list[np.ndarray], alike: float) -> tuple[list[int], list[np.ndarray]]:
-    """(template of each line, templates) of lines of one length, in the given order."""
-    n = len(lines[0])
-    made = np.zeros((len(lines), n), np.uint64)
-    count, own = 0, []
-    for x in lines:
-        best = -1
-        if count:
-            same = (made[:count] == x).sum(axis=1)
-            best = int(same.argmax())
-        if best >= 0 and same[best] >= alike * n:
-            made[best][made[best] != x] = _ANY
-        else:
-            best = count
-            made[count] = x
-            count += 1
-        own.append(best)
-    return own, list(made[:count])
-
-
-def _parse(alike: float):
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("docs", "descending"), ("line", "ascending")])
-        lines = [np.frombuffer(b, np.uint64) for b in group.column("tokens").to_pylist()]
-        key = group.column("line").to_numpy()
-        # the same line may come from several tasks
-        _, first = np.unique(key, return_index=True)
-        keep = np.sort(first)
-        same_size = [i for i in keep.tolist() if len(lines[i]) == len(lines[keep[0]])]
-        own, made = leaf_templates([lines[i] for i in same_size], alike)
-        names = [_template_key(t) for t in made]
-        fixed = [int((t != _ANY).sum()) for t in made]
-        leaf = pa.array([group.column("leaf")[0].as_py()] * len(own), pa.int64())
-        return pa.table({"leaf": leaf, "line": pa.array(key[same_size]), "docs": pa.array(group.column("docs").to_numpy()[same_size]), "template": pa.array([names[o] for o in own], pa.int64()), "fixed": pa.array([fixed[o] for o in own], pa.int64()), "tokens": pa.array([made[o].tobytes() for o in own], pa.binary())})
-
-    return run
-
-
-_PARSED = "leaf long, line long, docs long, template long, fixed long, tokens binary"
-
-
-def _needed(fixed: Column, min_docs: int) -> Column:
-    """Documents that must hold a line or template with so many fixed tokens."""
-    return F.when(fixed >= LONG_FIXED, min(2, min_docs)).otherwise(min_docs)
-
-
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_fixed: int = MIN_FIXED, alike: float = ALIKE, leaf_lines: int = LEAF_LINES) -> DataFrame:
-    """(doc_id, lines): keys of the lines that each document loses."""
+                at = np.flatnonzero(bloom_has(shared.value, (x.key.astype(np.uint64) >> np.uint64(64 - width)).astype(np.int64)))
+                _, first = np.unique(x.key[at], return_index=True)
+                at = np.array([i for i in at[first].tolist() if int(x.key[i]) not in done], np.int64)
+                done = (done if len(done) < 1 << 18 else set()) | set(x.key[at].tolist())
+                i, key, fixed = x.templates(at, alike)
+                yield pa.RecordBatch.from_arrays([pa.array(x.key[i]), pa.array(key), pa.array(fixed)], ["line", "template", "fixed"])
+
+    return docs.select("text").mapInArrow(released(run), "line long, template long, fixed long")
+
+
+def _needed(solid: Column, min_docs: int) -> Column:
+    """Texts that must hold a template whose lines have so many tokens that are no fields."""
+    return F.when(solid >= LONG, min(2, min_docs)).otherwise(min_docs)
+
+
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_fixed: int = MIN_FIXED, alike: float = ALIKE) -> DataFrame:
+    """(doc_id, text_key, lines): keys of the lines that each document of (doc_id, text) loses."""
+    docs = docs.filter("doc_id IS NOT NULL").select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
     lines = materialize(line_keys(docs, min_fixed), "lines")
-    per_line = materialize(lines.groupBy("line").agg(F.count_distinct("doc_id").alias("docs"), F.first("leaf").alias("leaf"), F.first("fixed").alias("fixed")), "line-counts")
-    # leaves with several lines that could make a template together
-    leaf = per_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("d"), F.max("fixed").alias("f")).filter((F.col("n") > 1) & (F.col("d") >= _needed(F.col("f"), min_docs)))
-    block = F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / leaf_lines)).cast("long")
-    shape = materialize(per_line.join(leaf, "leaf").select("leaf", "line", "docs", block.alias("block"), (F.col("n") > leaf_lines).alias("blocks")), "leaves")
-    bits = bloom_bits(shape, F.col("line").bitwiseAND((1 << BLOOM_BITS) - 1))
-    rows = shape.join(line_tokens(docs, bits), "line").select("leaf", "line", "docs", "block", "tokens")
-    once = materialize(rows.groupBy("leaf", "block").applyInArrow(_parse(alike), _PARSED), "parsed")
-    large = shape.filter("blocks").select("leaf").distinct()
-    made = once.join(large, "leaf", "left_semi").groupBy("leaf", F.col("template").alias("line")).agg(F.sum("docs").alias("docs"), F.first("tokens").alias("tokens"))
-    many = made.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / leaf_lines).alias("blocks"))
-    made = made.join(many, "leaf").withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks"))).select("leaf", "line", "docs", "block", "tokens")
-    twice = made.groupBy("leaf", "block").applyInArrow(_parse(alike), _PARSED).groupBy(F.col("line").alias("template")).agg(F.min("template").alias("t2"), F.min("fixed").alias("f2"))
-    parsed = once.select("line", "template", "fixed").join(twice, "template", "left").groupBy("line").agg(F.min(F.coalesce("t2", "template")).alias("template"), F.min(F.coalesce("f2", "fixed")).alias("t_fixed"))
-    named = per_line.join(parsed, "line", "left").select("line", F.coalesce("template", "line").alias("template"), F.coalesce("t_fixed", "fixed").alias("fixed"), "docs")
-    # a template of lines that too few documents hold in all cannot recur
-    few = named.groupBy("template").agg(F.sum("docs").alias("all_docs"), F.min("fixed").alias("t")).filter((F.col("all_docs") >= _needed(F.col("t"), min_docs)) & (F.col("t") >= min_fixed)).select("template", "t")
-    named = materialize(named.join(few, "template").select("line", "template", "t"), "templates")
-    held = materialize(lines.select("doc_id", "line").distinct().join(named, "line"), "held")
-    # written, so that the join below exchanges both sides and a template that many documents hold can be split
-    found = materialize(held.groupBy("template").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"), F.min("t").alias("t")).filter(F.col("docs") >= _needed(F.col("t"), min_docs)), "recurring")
-    out = held.join(found.select("template", "first"), "template").filter(F.col("doc_id") != F.col("first"))
-    out = materialize(out.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "dropped")
-    discard(lines, per_line, shape, once, named, held, found)
+    per_line = materialize(lines.groupBy("line").agg(F.count_distinct("text_key").alias("texts"), F.first("leaf").alias("leaf"), F.first("solid").alias("solid")), "line-counts")
+    # branches below the leading tokens that several lines take, which could make a template together
+    leaf = per_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("texts").alias("d"), F.max("solid").alias("most")).filter((F.col("n") > 1) & (F.col("d") >= _needed(F.col("most"), min_docs)))
+    shared = materialize(per_line.join(leaf, "leaf").select("line", "texts", "solid"), "branches")
+    width = bloom_width(shared.count())
+    bits = bloom_bits(shared, F.shiftrightunsigned("line", 64 - width), width)
+    made = materialize(line_templates(docs, bits, width, alike).filter(F.col("fixed") >= min_fixed).join(shared, "line").distinct(), "made")
+    # templates of one line only say no more than the line; those of too few texts in all cannot recur
+    enough = lambda n: F.col(n) >= _needed(F.col("solid"), min_docs)
+    wide = made.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.sum("texts").alias("all"), F.min("solid").alias("solid")).filter((F.col("n") > 1) & enough("all"))
+    wide = made.select("line", "template").join(wide.select("template", "solid"), "template")
+    alone = per_line.filter(enough("texts") & (F.col("solid") >= min_fixed)).select("line", F.col("line").alias("template"), "solid")
+    named = materialize(alone.unionByName(wide), "templates")
+    held = lines.select("doc_id", "text_key", "line").join(named, "line")
+    found = held.groupBy("template").agg(F.count_distinct("text_key").alias("texts"), F.min(F.struct("doc_id", "text_key")).getField("text_key").alias("first"), F.min("solid").alias("solid")).filter(enough("texts"))
+    # both written, so that the join below exchanges both sides and a line that many documents hold can be split
+    best = named.join(found.select("template", "texts", "first"), "template").groupBy("line").agg(F.max(F.struct("texts", "template", "first")).getField("first").alias("first"))
+    best = materialize(best, "recurring")
+    out = lines.select("doc_id", "text_key", "line").join(best, "line").filter(F.col("text_key") != F.col("first"))
+    out = materialize(out.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("lines")), "dropped")
+    discard(lines, per_line, shared, made, named, best)
     return out
 
 
-def _without(names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column("text").to_pylist()
-            drop = batch.column("__lines").to_pylist()
-            n_lines, n_dropped = [0 if t is None else t.count("\n") + 1 for t in text], [0] * len(text)
-            hit = [i for i, d in enumerate(drop) if d and text[i] is not None]
-            if hit:
-                picked = pa.array([text[i] for i in hit], pa.string())
-                for w in chunks(picked):
-                    x = Lines(w)
-                    edge = np.searchsorted(x.doc, np.arange(w.hi - w.lo + 1))
-                    feeds_before = np.searchsorted(np.flatnonzero(w.data == 10), w.offsets[:-1])
-                    for j in range(w.hi - w.lo):
-                        i = hit[w.lo + j]
-                        gone = set(drop[i])
-                        at = {int(x.line_no[k] - feeds_before[j]) for k in range(edge[j], edge[j + 1]) if int(x.key[k]) in gone}
-                        rows = text[i].split("\n")
-                        text[i] = "\n".join(r for k, r in enumerate(rows) if k not in at)
-                        n_dropped[i] = len(at)
-            made = {"text": pa.array(text, pa.string()), "__n": pa.array(n_lines, pa.int64()), "__gone": pa.array(n_dropped, pa.int64())}
-            cols = [made["text"] if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, made["__n"], made["__gone"]], [*names, "__n", "__gone"])
-
-    return run
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text, drop = batch.column("text").to_pylist(), batch.column("lines").to_pylist()
+        n_lines, n_dropped = [0 if t is None else t.count("\n") + 1 for t in text], [0] * len(text)
+        hit = [i for i, d in enumerate(drop) if d and text[i] is not None]
+        if hit:
+            picked = pa.array([text[i] for i in hit], pa.string())
+            for w in chunks(picked):
+                x = Lines(w)
+                edge = np.searchsorted(x.doc, np.arange(w.hi - w.lo + 1))
+                feeds_before = np.searchsorted(np.flatnonzero(w.data == 10), w.offsets[:-1])
+                for j in range(w.hi - w.lo):
+                    i = hit[w.lo + j]
+                    gone = set(drop[i])
+                    at = {int(x.line_no[k] - feeds_before[j]) for k in range(edge[j], edge[j + 1]) if int(x.key[k]) in gone}
+                    rows = text[i].split("\n")
+                    text[i] = "\n".join(r for k, r in enumerate(rows) if k not in at)
+                    n_dropped[i] = len(at)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(text, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["row", "text", "n_lines", "n_dropped"])
+
+
+def deduped_lines(docs: DataFrame, **options) -> DataFrame:
+    """row (the document as it was, a struct), text without recurring lines, n_lines, n_dropped."""
+    gone = recurring_lines(texts(docs), **options).withColumnsRenamed({"doc_id": "gone_id", "text_key": "gone_key"})
+    # texts travel once: the row's own is put back by the caller
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row")
+    rows = docs.select(row, docs["doc_id"].cast("long").alias("id"), text_key(docs["text"]).alias("text_key"), docs["text"].cast("string").alias("text"))
+    rows = rows.join(gone, (rows["id"] == gone["gone_id"]) & (rows["text_key"] == gone["gone_key"]), "left").select("row", "text", "lines")
+    kind = StructType().add("row", rows.schema["row"].dataType).add("text", StringType()).add("n_lines", LongType()).add("n_dropped", LongType())
+    return rows.mapInArrow(released(_without), kind)
 
 
 def without_recurring_lines(docs: DataFrame, **options) -> DataFrame:
-    """docs with the recurring lines gone from text, and __n, __gone: lines before, lines dropped."""
-    gone = recurring_lines(texts(docs), **options).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"))
-    rows = docs.withColumn("text", docs["text"].cast("string"))
-    rows = rows.join(gone, rows["doc_id"].cast("long") == gone["__id"], "left").select(*[rows[c] for c in docs.columns], "__lines")
-    kinds = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(released(_without(docs.columns)), f"{kinds}, __n long, __gone long")
+    """docs with the recurring lines gone from text; all columns kept, in their order."""
+    return deduped_lines(docs, **options).select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op3_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines of recurring templates."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return without_recurring_lines(docs).select("doc_id", "text", F.col("__n").alias("n_lines"), F.col("__gone").alias("n_dropped"))
+    return deduped_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "text", "n_lines", "n_dropped")

@@ -99,6 +99,40 @@ def test_spaced_seeds_find_substituted_passages(spark):
     assert decontamination.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_masks_meet_every_accepted_overlap():
+    from itertools import combinations
+
+    for n in range(decontamination.MIN_WORDS, decontamination.SPAN + 1):
+        masks = decontamination.SHORT_MASKS if n <= decontamination.SHORT else decontamination.MASKS
+        bad = max(k for k in range(n) if n - k >= decontamination.SHARE * n)
+        for gone in combinations(range(n), bad):
+            assert any(not any(m[i - at] == "1" for i in gone if 0 <= i - at < len(m)) for m in masks for at in range(n - len(m) + 1)), (n, gone)
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(31)
+    items = [(i, sentence(rng, n)) for i, n in enumerate([3, 4, 5, 5, 6, 7, 8, 8, 9, 10, 11, 12, 13, 14, 20, 40])]
+    rows = []
+    for i in range(300):
+        w = items[i % len(items)][1].split()
+        cut = w[rng.randint(0, max(0, len(w) - 13)) :]
+        for j in rng.sample(range(len(cut)), min(len(cut), rng.randint(0, 4))):
+            cut[j] = "changed" + str(rng.randint(0, 9))
+        rows.append((i, " ".join([sentence(rng, rng.randint(0, 30)), *cut, sentence(rng, rng.randint(0, 30))]).title()))
+    rows += [(7, "another text of a repeated id"), (900, " ".join([sentence(rng, 4000), items[-1][1]]))]
+    want = set()
+    for d, t in rows:
+        text = lower(t).split()
+        for i, item in items:
+            w = item.split()
+            n = min(13, len(w))
+            if len(w) >= 5 and any(sum(a == b for a, b in zip(text[x : x + n], w[y : y + n], strict=True)) >= 0.75 * n for y in range(len(w) - n + 1) for x in range(len(text) - n + 1)):
+                want.add((d, i))
+    frame = docs(spark, rows).withColumn("text_key", F.lit("clash")).withColumn("words", F.lit(1))
+    got = decontamination.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) > 150
+
+
 def test_best_window():
     a = np.arange(20, dtype=np.uint64)
     b = a.copy()
@@ -156,12 +190,86 @@ def test_uniformity_tells_random_from_text():
 # ---------------------------------------------------------------- 3 line dedup
 
 
+def dropped_by_loop(rows, min_docs=3):
+    """(doc_id, text) -> numbers of the lines it loses, by a tree of dicts."""
+    tree, held = defaultdict(set), defaultdict(set)
+    for i, t in {(i, t) for i, t in rows if i is not None and t}:
+        for k, line in enumerate(t.split("\n")):
+            w = re.findall(r"[^\x20\x09-\x0D]+", lower(line))
+            plain = [x for x in w if not re.search(r"[0-9@]|://", x)]
+            if len(w) < 4:
+                continue
+            solid = len(plain) if len(plain) >= 4 else len(w)
+            x = [None if len(plain) >= 4 and y not in plain else y for y in w]
+            leaves = [tuple(x)]
+            m = len(w) - 4
+            part = [j * 7 // m if m >= 7 else j for j in range(m)]
+            for a in range(7):
+                for b in range(7) if len(plain) >= 4 else []:
+                    gone = [j for j in range(m) if part[j] in (a, b)]
+                    alone = m < 2 or 2 > 0.3 * len(w)
+                    if (a < b and {a, b} <= set(part) or a == b and a in part and alone) and len(gone) <= (1 - 0.7) * len(w):
+                        y = [*x[:4], *(None if j in gone else x[4 + j] for j in range(m))]
+                        if sum(v is not None for v in y) >= 4:
+                            leaves.append((a, b, *("*" if j in gone else v for j, v in zip(range(-4, m), y, strict=True))))
+            for leaf in leaves:
+                tree[leaf].add((i, t, tuple(x), solid))
+                held[i, t, k].add(leaf)
+
+    def texts_of(leaf):
+        return {t for _, t, _, _ in tree[leaf]}
+
+    recurring = {f for f in tree if len(texts_of(f)) >= (2 if min(s for *_, s in tree[f]) >= 50 else min_docs)}
+    gone = defaultdict(set)
+    for (i, t, k), leaves in held.items():
+        good = leaves & recurring
+        if good:
+            most = max(len(texts_of(f)) for f in good)
+            firsts = {min((j, u) for j, u, _, _ in tree[f])[1] for f in good if len(texts_of(f)) == most}
+            gone[i, t].add((k, t in firsts, len(firsts)))
+    return gone
+
+
+def lines_lost(spark, rows, parts=None):
+    frame = docs(spark, rows) if parts is None else docs(spark, rows).repartition(parts)
+    return {(r.doc_id, r.old): (r.text, r.n_dropped) for r in line_dedup.deduped_lines(frame.withColumn("old", F.col("text"))).select("row.doc_id", "row.old", "text", "n_dropped").collect()}
+
+
+def test_template_tree_equals_loop(spark):
+    rng = random.Random(15)
+    base = ["the very same four " + " ".join(rng.choice(WORDS[:8]) for _ in range(8)) for _ in range(40)]
+    rows = []
+    for i in range(200):
+        w = base[i % 40].split()
+        for j in rng.sample(range(12), 2) if i % 3 == 0 else (5 + i % 4, 10):
+            w[j] = rng.choice(WORDS)
+        rows.append((i, " ".join(w) + "\n" + sentence(rng, 6)))
+    rows += [(300 + i, f"only number {i} changes at the end of this one\nshort line here\n1 2 3 4 5 x\n{sentence(rng, rng.randint(4, 9))}") for i in range(6)]
+    long = " ".join(rng.choice(WORDS) for _ in range(56))
+    rows += [(400 + i, f"{long.replace('river', f'river{chr(97 + i)}', 1)}\nend {i}") for i in range(2)]
+    rows += [(500, rows[0][1]), (501, rows[1][1]), (501, "another text of the same id\n" + rows[300 - 100][1])]
+    want = dropped_by_loop(rows)
+    got = lines_lost(spark, rows, 1)
+    n = 0
+    for (i, t), (text, dropped) in got.items():
+        lost = want.get((i, t), set())
+        sure = {k for k, first, _ in lost if not first}
+        may = {k for k, first, ties in lost if first and ties > 1}
+        left = text.split("\n") if text else []
+        kept = [x for k, x in enumerate(t.split("\n")) if k not in sure]
+        assert sure and dropped >= len(sure) or not sure and dropped <= len(may)
+        assert set(left) <= set(kept)
+        n += dropped > 0
+    assert n > 60
+    assert lines_lost(spark, rows, 9) == got and lines_lost(spark, rows[::-1], 3) == got
+
+
 def test_recurring_templates_are_dropped_but_once(spark):
     rng = random.Random(6)
     shared = sentence(rng, 60)
     rows = [*AWKWARD]
     rows += [(20 + i, f"{sentence(rng, 12)}\n{shared}\nVisit our page number {i * 37} for more news today\n{sentence(rng, 9)}") for i in range(6)]
-    got = sorted(((r.doc_id, r.text, r.n) for r in line_dedup.without_recurring_lines(docs(spark, rows)).select("doc_id", "text", F.col("__gone").alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    got = sorted(((r.doc_id, r.text, r.n) for r in line_dedup.deduped_lines(docs(spark, rows)).select("row.doc_id", "text", F.col("n_dropped").alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     assert len(got) == len(rows)
     before = defaultdict(list)
     for i, t in rows:
@@ -177,11 +285,23 @@ def test_recurring_templates_are_dropped_but_once(spark):
     assert line_dedup.without_recurring_lines(docs(spark, [])).count() == 0
 
 
-def test_blocks_of_a_large_leaf_agree(spark):
+def test_a_branch_of_many_lines_makes_one_template(spark):
     rng = random.Random(7)
     rows = [(i, f"start of one line with the end {''.join(rng.choice('abcdefgh') for _ in range(9))}") for i in range(90)]
-    gone = line_dedup.recurring_lines(docs(spark, rows).select("doc_id", "text"), leaf_lines=20)
-    assert gone.count() == 89
+    for parts in (1, 4, 13):
+        gone = line_dedup.recurring_lines(docs(spark, rows).select("doc_id", "text").repartition(parts))
+        assert gone.count() == 89
+
+
+def test_copies_stay_equal_and_names_may_clash(spark):
+    rows = [(i, f"one line of words that all of these share\n{w} alone has {w} of its own") for i, w in enumerate(["alpha", "beta", "beta", "gamma"], 1)]
+    frame = docs(spark, rows)
+    for c in ("row", "lines", "text_key", "n_lines", "id", "__gone"):
+        frame = frame.withColumn(c, F.lit(7))
+    out = line_dedup.without_recurring_lines(frame)
+    assert out.columns == frame.columns
+    assert [r.text for r in out.orderBy("doc_id").collect()] == [rows[0][1], *(t.split("\n")[1] for _, t in rows[1:])]
+    assert {r["row"] for r in out.collect()} == {7}
 
 
 def test_a_long_line_recurs_at_two_documents(spark):
