@@ -542,30 +542,39 @@ def test_shards_follow_the_exact_rule(spark):
 # ---------------------------------------------------------------- 7 WARC
 
 
-def test_archive_round_trip(spark, tmp_path):
-    rows = [(3, "http://a/1", "<p>é\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n</p>"), (2, "http://a/2", "same"), (7, "http://a/\r\nX: y", "same"), (8, None, None), (9, "u", ""), (5, "u", "same"), (11, "u", "tail\n"), (None, "u", "zero id")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha256", F.lit("clash")).withColumn("header", F.lit(1))
-    warc.write_archive(pages, f"{tmp_path}/a")
-    got = {r.page_id: r for r in warc.page_digests(spark, f"{tmp_path}/a").collect()}
-    assert len(got) == len(rows) and all(r.digest_ok for r in got.values())
+@pytest.mark.parametrize("file_bytes", [1 << 25, 700])
+def test_archive_round_trip(spark, tmp_path, file_bytes):
     import base64
+    import gzip
+
+    rows = [(3, "http://a/1", "<p>é\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n</p>"), (2, "http://a/2", "same"), (7, "http://a/\r\nX: y", "same"), (8, None, None), (9, "u", ""), (5, "u", "same"), (11, "u", "tail\n"), (None, "u", "zero id"), (None, "u", "same"), (12, "u", "long " * 20_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha256", F.lit("clash")).withColumn("header", F.lit(1))
 
-    for i, _, html in rows:
-        body = (html or "").encode()
-        assert got[i].payload_bytes == len(body) and got[i].payload_digest == base64.b32encode(hashlib.sha1(body).digest()).decode()
-    assert {i: got[i].refers_to for i in (2, 5, 7, 8, 9)} == {2: None, 5: 2, 7: 2, 8: None, 9: 8}
-    assert spark.read.parquet(f"{tmp_path}/a/payloads").count() == 5
-    records = {r.page_id: (r.header, bytes(r.record)) for r in warc.reconstruct(spark, f"{tmp_path}/a").collect()}
-    warc.export_warc(spark, f"{tmp_path}/a", f"{tmp_path}/w")
-    back = {r.header: bytes(r.block) for r in warc.read_warc(spark, f"{tmp_path}/w").collect()}
-    assert len(back) == len(rows)
-    for header, record in records.values():
-        assert header.encode() + back[header] + b"\r\n\r\n" == record
-    assert sum(r.record_type == "revisit" for r in got.values()) == 3
-    warc.write_archive(pages, f"{tmp_path}/b", min_revisit=1)
-    assert {r.page_id for r in warc.page_digests(spark, f"{tmp_path}/b").filter("record_type = 'revisit'").collect()} == {5, 7}
-    warc.write_archive(pages.limit(0), f"{tmp_path}/c")
-    assert warc.page_digests(spark, f"{tmp_path}/c").count() == 0
+    def archived(pages, name, **options):
+        warc.write_archive(pages, f"{tmp_path}/{name}", **options)
+        warc.export_warc(warc.reconstruct(spark, f"{tmp_path}/{name}"), f"{tmp_path}/{name}/files", file_bytes)
+        return warc.page_digests(warc.read_warc(spark, f"{tmp_path}/{name}/files"))
+
+    got = archived(pages, "a").collect()
+    assert len(got) == len(rows) and all(r.digest_ok for r in got)
+    want = sorted(((i or 0, len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()) for i, _, h in rows))
+    assert sorted((r.page_id or 0, r.payload_bytes, r.payload_digest) for r in got) == want
+    refers = {r.page_id: r.refers_to for r in got if r.page_id is not None}
+    assert {i: refers[i] for i in (2, 5, 7, 8, 9)} == {2: None, 5: 2, 7: 2, 8: None, 9: 8}
+    assert [r.refers_to for r in got if r.page_id is None] == [None, None]
+    assert spark.read.parquet(f"{tmp_path}/a/payloads").count() == 6
+    # the files hold exactly the records, and each begins with one
+    records = sorted(bytes(r.record) for r in warc.reconstruct(spark, f"{tmp_path}/a").collect())
+    files = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "a/files").glob("part-*")]
+    assert sum(map(len, files)) == sum(map(len, records)) and all(any(f.startswith(r) for r in records) for f in files if f)
+    assert all(len(f) <= file_bytes or f in records for f in files)
+    assert sorted(r.header.encode() + bytes(r.block) + b"\r\n\r\n" for r in warc.read_warc(spark, f"{tmp_path}/a/files").collect()) == records
+    assert sum(r.record_type == "revisit" for r in got) == 3
+    assert {r.page_id for r in archived(pages, "b", min_revisit=1).filter("record_type = 'revisit'").collect()} == {5, 7}
+    assert archived(pages.limit(0), "c").count() == 0
+    # rows that repeat an id, with the same and with another payload
+    twice = spark.createDataFrame([(1, "u", "one"), (1, "u", "one"), (1, "u", "two"), (4, "u", "two")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.payload_bytes, r.refers_to or 0) for r in archived(twice, "d").collect()) == [(1, 3, 0), (1, 3, 0), (1, 3, 0), (4, 3, 1)]
 
 
 # ---------------------------------------------------------------- 8 packing
