@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, few_files, new_path, released, ship, table
+from .common import drop_path, few_files, materialize, new_path, released, ship, table
 
 DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 1 << 25
@@ -92,7 +92,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = 0) -> None:
     else:
         # copies meet per task first, so a payload that a third of the pages hold is moved once a task at most
         once = body.groupBy("sha256").agg(F.first("payload").alias("payload"))
-    few_files(once.select("sha256", "payload")).write.parquet(f"{path}/payloads")
+    few_files(once.select("sha256", "payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
@@ -176,8 +176,10 @@ def page_digests(records: DataFrame) -> DataFrame:
         _field("Page-ID").cast("long").alias("page_id"), _field("WARC-Type").alias("record_type"), _field("WARC-Record-ID").alias("record_id"), _field("WARC-Refers-To").alias("target"),
         F.regexp_extract("header", r"\r\nWARC-Payload-Digest: sha1:([A-Z2-7]*)\r\n", 1).alias("said"), F.octet_length("block").cast("long").alias("bytes"), base32_sha1(F.col("block")).alias("digest"),
     )
+    # written: the files are parsed once, and the join below exchanges both sides, so that a response with many revisits can be split
+    read = materialize(read, "read")
     answers = read.filter("record_type = 'response'").groupBy(F.col("record_id").alias("target")).agg(F.min("page_id").alias("refers_to"), F.first("bytes").alias("of_bytes"), F.first("digest").alias("of_digest"))
-    rows = read.join(answers, "target", "left")
+    rows = read.join(materialize(answers, "answers"), "target", "left")
     revisit = F.col("record_type") == "revisit"
     digest = F.when(revisit, F.col("of_digest")).otherwise(F.col("digest"))
     return rows.select("page_id", F.when(revisit, F.col("of_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"), digest.alias("payload_digest"), "record_type", F.when(revisit, F.col("refers_to")).alias("refers_to"), F.coalesce(F.col("said") == digest, F.lit(False)).alias("digest_ok"))
