@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +17,8 @@ def _class(chars: str) -> str:
 
 
 _MINUS = f"^{_class(P.LEADING_MINUS)}"
+#: Characters of the basic plane whose compatibility form is one ASCII character.
+_FORMS = {c: n for c in map(chr, range(0x80, 0xFFFF)) if len(n := unicodedata.normalize("NFKC", c)) == 1 and n.isascii()}
 
 
 def to_double(col: Column) -> Column:
@@ -25,10 +28,8 @@ def to_double(col: Column) -> Column:
 
 
 def _compatible(s: Column) -> Column:
-    """The compatibility forms that occur in printed numbers: full-width digits and signs, superscripts, ligature dots."""
-    wide = "".join(chr(0xFF01 + i) for i in range(94)) + "\u00a0\u202f\u2009\u2007"
-    plain = "".join(chr(0x21 + i) for i in range(94)) + "    "
-    return F.replace(F.translate(s, wide, plain), F.lit("\u2026"), F.lit("..."))
+    """Compatibility forms of single characters (full-width, superscript, circled and other digits and signs, spaces), and ligature dots."""
+    return F.replace(F.translate(s, "".join(_FORMS), "".join(_FORMS.values())), F.lit("\u2026"), F.lit("..."))
 
 
 def parse_number(raw: Column) -> Column:

@@ -34,27 +34,27 @@ MONEY_UNITS = ["млрд_руб", "млн_руб", "руб"]
 # Period aliases.
 PERIOD_NAMES = {"2024_итоговый": "2024fin", "1п2024": "1h2024", "1п2025": "1h2025"}
 
-# Canonical metrics, first hit wins; W stands for the letters, digits and underscore of a word.
+# Canonical metrics, first hit wins.
 CANONICAL_METRICS = [
-    (r"скоррW*\s+показателW*\s+ebitda|скоррW*\s+ebitda|скорректированнW+\s+ebitda", "ebitda_adj"),
-    (r"рентабельностW*\s+по\s+скоррW*\s*(показателW*)?\s*ebitda|рентабельностW*\s+скоррW*\s*(показателW*)?\s*ebitda", "ebitda_margin"),
-    (r"скоррW*\s+чистW+\s+прибылW*", "net_profit_adj"),
-    (r"чистW+\s+прибылW*", "net_profit"),
-    (r"операционнW+\s+прибылW*", "op_profit"),
-    (r"операционнW+\s+расходW*", "op_cost"),
-    (r"валовW+\s+оборот|gtv", "gtv"),
+    (r"скорр\w*\s+показател\w*\s+ebitda|скорр\w*\s+ebitda|скорректированн\w+\s+ebitda", "ebitda_adj"),
+    (r"рентабельност\w*\s+по\s+скорр\w*\s*(показател\w*)?\s*ebitda|рентабельност\w*\s+скорр\w*\s*(показател\w*)?\s*ebitda", "ebitda_margin"),
+    (r"скорр\w*\s+чист\w+\s+прибыл\w*", "net_profit_adj"),
+    (r"чист\w+\s+прибыл\w*", "net_profit"),
+    (r"операционн\w+\s+прибыл\w*", "op_profit"),
+    (r"операционн\w+\s+расход\w*", "op_cost"),
+    (r"валов\w+\s+оборот|gtv", "gtv"),
     (r"capex\s*,?\s*%\s*от\s+выручки|capex\s+%", "capex_pct"),
     (r"\bcapex\b", "capex"),
-    (r"выручкW*", "revenue"),
-    (r"долW+\s+в\s+выручке|распределениW+\s+выручкW*", "revenue_share"),
-    (r"подписчикW*", "subscribers"),
+    (r"выручк\w*", "revenue"),
+    (r"дол\w+\s+в\s+выручке|распределени\w+\s+выручк\w*", "revenue_share"),
+    (r"подписчик\w*", "subscribers"),
     (r"\bmau\b", "mau"),
-    (r"долW+\s+поискW*", "search_share"),
-    (r"дивидендW*\s+на\s+одну\s+акциW*|дивидендW*\s+на\s+акциW*", "div_per_share"),
-    (r"общаW+\s+суммW+\s+дивидендW*", "div_total"),
-    (r"коррекциW+\s+на\s+межсегментнW+", "intersegment"),
+    (r"дол\w+\s+поиск\w*|дол\w+\s+яндекса\s+на\s+российск\w+\s+поисков\w+", "search_share"),
+    (r"дивиденд\w*\s+на\s+одну\s+акци\w*|дивиденд\w*\s+на\s+акци\w*", "div_per_share"),
+    (r"обща\w+\s+сумм\w+\s+дивиденд\w*", "div_total"),
+    (r"коррекци\w+\s+на\s+межсегментн\w+", "intersegment"),
 ]
-CHANGE_WORDS = r"изменениW*|прирост|рост\b|г/г|yoy"
+CHANGE_WORDS = r"изменени\w*|прирост|рост\b|г/г|yoy"
 
 # Numbers, years, page references and tokens in running text.
 ANSWER_NUMBER = r"-?[0-9]{1,3}(?:[\x{20}\x{a0}\x{202f}\x{2009}][0-9]{3})+(?:[.,][0-9]+)?|-?[0-9]+(?:[.,][0-9]+)?"
@@ -63,23 +63,21 @@ PAGE_REFERENCE = r"стр\.?\s*[0-9]{1,3}(?:\s*[-\x{2013}\x{2014}]\s*[0-9]{1,3})
 CITED_PAGE = r"стр\.?\s*([0-9]{1,3})"
 TOKEN = r"[\p{L}\p{N}_-]+"
 
-# Requests for advice, and verdicts in answers (the last group of each may not follow "не ").
+# Requests for advice, and verdicts in answers.
 ADVICE = [
     r"стоит\s+ли\s+(инвестир|вклад|покуп|брать)",
-    r"(инвестицW+|покупкW+)\s+рекоменд",
-    r"рекомендуW*\s+(ли\s+)?(покуп|продав|инвестир)",
+    r"(инвестиц\w+|покупк\w+)\s+рекоменд",
+    r"рекоменду\w*\s+(ли\s+)?(покуп|продав|инвестир)",
     r"(покупать|продавать)\s+(ли\s+)?(акци|бумаг)",
-    r"хорошW+\s+ли\s+(это\s+)?(вложен|инвестиц)",
+    r"хорош\w+\s+ли\s+(это\s+)?(вложен|инвестиц)",
     r"выгодно\s+ли\s+(вклад|инвестир|покуп)",
     r"should\s+i\s+(invest|buy)",
 ]
-VERDICTS_UNLESS_NEGATED = [
-    r"(рекомендую|советую|стоит|следует)\s+(купить|покупать|продать|продавать|инвестировать|вкладывать)",
-    r"(покупайте|продавайте|инвестируйте)",
-]
 VERDICTS = [
-    r"(хорошW+|отличнW+|плохW+)\s+(момент|время)\s+для\s+(покупк|входа|инвестиц)",
-    r"(акциW+|бумагW+)\s+(стоит|следует)\s+(купить|покупать|брать)",
+    r"(?<!не )(рекомендую|советую|стоит|следует)\s+(купить|покупать|продать|продавать|инвестировать|вкладывать)",
+    r"(?<!не )(покупайте|продавайте|инвестируйте)",
+    r"(хорош\w+|отличн\w+|плох\w+)\s+(момент|время)\s+для\s+(покупк|входа|инвестиц)",
+    r"(акци\w+|бумаг\w+)\s+(стоит|следует)\s+(купить|покупать|брать)",
     r"однозначно\s+(да|нет|покупать|продавать)",
     r"i\s+(recommend|advise)\s+(buying|to\s+buy)",
 ]
@@ -87,8 +85,3 @@ REFUSALS = ["не приводит", "не раскрыв", "нет данных
 
 # Plausible ranges by unit as (unit, least, most).
 VALUE_RANGES = [("млрд_руб", -2000.0, 2000.0), ("млн_руб", -100000.0, 100000.0), ("%", -100.0, 1000.0), ("млн", -1000.0, 1000.0)]
-
-
-def words(pattern: str) -> str:
-    """The pattern with W spelled out as a Unicode word character, for Java and RE2 alike."""
-    return pattern.replace("W", r"[\p{L}\p{N}_]")

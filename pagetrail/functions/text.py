@@ -29,9 +29,9 @@ def norm_text(s: Column) -> Column:
 def canon_metric(metric: Column) -> Column:
     """struct(name, is_change, rest): the first canonical name that fits, else the text without change words."""
     t = norm_text(metric)
-    change = "(?U)" + P.words(P.CHANGE_WORDS)
+    change = "(?U)" + P.CHANGE_WORDS
     rest = F.trim(F.regexp_replace(F.regexp_replace(t, change, " "), r"\s+", " "))
-    name = reduce(lambda e, p: e.when(rest.rlike("(?U)" + P.words(p[0])), p[1]), P.CANONICAL_METRICS[1:], F.when(rest.rlike("(?U)" + P.words(P.CANONICAL_METRICS[0][0])), P.CANONICAL_METRICS[0][1]))
+    name = reduce(lambda e, p: e.when(rest.rlike("(?U)" + p[0]), p[1]), P.CANONICAL_METRICS[1:], F.when(rest.rlike("(?U)" + P.CANONICAL_METRICS[0][0]), P.CANONICAL_METRICS[0][1]))
     return F.struct(name.otherwise(rest).alias("name"), t.rlike(change).alias("is_change"), rest.alias("rest"))
 
 
@@ -102,13 +102,12 @@ def citations(s: Column) -> Column:
 
 def is_advice_request(s: Column) -> Column:
     """Does a question ask for investment advice?"""
-    return F.coalesce(s.rlike("(?iu)" + P.words("|".join(P.ADVICE))), F.lit(False))
+    return F.coalesce(s.rlike("(?iuU)" + "|".join(P.ADVICE)), F.lit(False))
 
 
 def has_verdict(s: Column) -> Column:
     """Does an answer recommend to act? A negated recommendation does not."""
-    negatable = "|".join(f"(?<!не ){p}" for p in P.VERDICTS_UNLESS_NEGATED)
-    return F.coalesce(s.rlike("(?iu)" + P.words("|".join([negatable, *P.VERDICTS]))), F.lit(False))
+    return F.coalesce(s.rlike("(?iuU)" + "|".join(P.VERDICTS)), F.lit(False))
 
 
 def repair_json(s: Column) -> Column:
@@ -145,9 +144,15 @@ def facts_json(facts: Column) -> Column:
     return F.to_json(facts, {"ignoreNullFields": "false"})
 
 
+def numbers_json(facts: Column, aggregates: Column | None = None) -> Column:
+    """The facts' JSON array, and the aggregates' JSON if there is one, as one compact object."""
+    more = F.lit("") if aggregates is None else F.coalesce(F.concat(F.lit(',"aggregates":'), aggregates), F.lit(""))
+    return F.concat(F.lit('{"numbers":'), F.coalesce(facts, F.lit("[]")), more, F.lit("}"))
+
+
 def prompt(question: Column, numbers: Column, document: Column) -> Column:
-    """Question, numbers and document in one text."""
-    return F.concat(F.lit("Вопрос: "), question, F.lit("\n\nЧисла:\n"), numbers, F.lit("\n\nДокумент:\n"), document)
+    """Question, numbers and document, each in its tag."""
+    return F.concat(F.lit("<question>"), question, F.lit("</question>\n\n<numbers>\n"), numbers, F.lit("\n</numbers>\n\n<document>\n"), document, F.lit("\n</document>"))
 
 
 def outline_line(section_id: Column, title: Column, level: Column, page_from: Column, page_to: Column) -> Column:
@@ -192,5 +197,5 @@ def colours_close(a: Column, b: Column, tolerance: int = 12) -> Column:
 
 
 def guarded(text: Column, advice: Column, verdict: Column, notice: str, warning: str) -> Column:
-    """The answer with a warning before a verdict and a notice after a request for advice."""
-    return F.concat(F.when(verdict, warning + "\n\n").otherwise(""), text, F.when(advice, "\n\n" + notice).otherwise(""))
+    """The answer with a warning before a verdict, and a notice after either a request for advice or a verdict."""
+    return F.concat(F.when(verdict, warning + "\n\n").otherwise(""), text, F.when(advice | verdict, "\n\n" + notice).otherwise(""))

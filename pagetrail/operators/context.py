@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagetrail.functions import text as X
 
@@ -32,30 +33,46 @@ def route(replies: DataFrame, known: DataFrame, least_confidence: float = 0.6) -
     return out.select("question_id", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"), "confidence", full.alias("need_full"), (~full & (F.col("confidence") < least_confidence)).alias("widen"))
 
 
-def build(questions: DataFrame, sections: DataFrame, facts: DataFrame, chosen: DataFrame, anchors: list[int]) -> DataFrame:
+def choose(decisions: DataFrame, questions: DataFrame, sections: DataFrame) -> DataFrame:
+    """R7, J5 applied: (question_id, id, rank) for build(): the ids of each decision in their order, then, where it asks to widen, the
+    top sections that contain one of them; no repeats. A question that needs the full document gets no row."""
+    own = decisions.filter("NOT need_full").join(questions.select("question_id", "doc"), "question_id").select("question_id", "doc", "widen", F.posexplode("ids").alias("rank", "id"))
+    spans = own.filter("widen").join(sections.select("doc", "id", F.col("page_from").alias("lo"), F.col("page_to").alias("hi")), ["doc", "id"]).select("question_id", "doc", "lo", "hi")
+    tops = sections.filter("level = 1").select("doc", "id", "seq", "page_from", "page_to")
+    parents = spans.join(tops, "doc").filter("page_from <= lo AND hi <= page_to").select("question_id", "id", F.struct(F.lit(1).alias("part"), F.col("seq").cast("long").alias("place")).alias("at"))
+    both = own.select("question_id", "id", F.struct(F.lit(0).alias("part"), F.col("rank").cast("long").alias("place")).alias("at")).union(parents)
+    first = both.groupBy("question_id", "id").agg(F.min("at").alias("at"))
+    return first.select("question_id", "id", F.row_number().over(Window.partitionBy("question_id").orderBy("at")).alias("rank"))
+
+
+def build(questions: DataFrame, sections: DataFrame, facts: DataFrame, chosen: DataFrame, anchors: list[int], aggregates: DataFrame | None = None) -> DataFrame:
     """question_id, mode, prompt, pages, chars for questions (question_id, question, doc, mode).
 
     chosen: question_id, id. Mode full takes the top sections; a choice that finds nothing falls back to them and is labelled
-    so. Facts are those on the chosen pages and the anchor pages, or all in mode full."""
+    so. Of a choice, sections inside another chosen one go; of the top sections none. Facts are those on the chosen pages and the anchor
+    pages, or all in mode full and the fallback. aggregates (doc, aggregates as JSON) go with every prompt of their document."""
     q = questions.select("question_id", "question", "doc", "mode")
     top = sections.filter("level = 1")
-    picked = q.filter("mode <> 'full'").join(chosen, "question_id").join(sections, ["doc", "id"])
+    own = lambda s: s.withColumn("d", F.col("doc")).withColumn("doc", F.concat_ws("\u0001", "doc", F.col("question_id").cast("string")))
+    picked = S.drop_nested(own(q.filter("mode <> 'full'").join(chosen.distinct(), "question_id").join(sections, ["doc", "id"]))).withColumn("doc", F.col("d")).drop("d")
     empty = q.filter("mode <> 'full'").join(picked.select("question_id").distinct(), "question_id", "left_anti").withColumn("mode", F.concat("mode", F.lit("->full")))
     cols = ["question_id", "question", "doc", "mode", "seq", "id", "title", "level", "page_from", "page_to", "text"]
-    rows = picked.select(*cols).unionByName(q.filter("mode = 'full'").unionByName(empty).join(top, "doc").select(*cols))
-    kept = S.drop_nested(rows.withColumn("d", F.col("doc")).withColumn("doc", F.concat_ws("\u0001", "doc", F.col("question_id").cast("string")))).withColumn("doc", F.col("d")).drop("d")
+    kept = picked.select(*cols).unionByName(q.filter("mode = 'full'").unionByName(empty).join(top, "doc").select(*cols))
     xml = F.struct("seq", X.section_xml(F.col("id"), F.col("title"), F.col("page_from"), F.col("page_to"), F.col("text")).alias("x"))
     document = F.array_join(F.transform(F.array_sort(F.collect_list(xml)), lambda s: s["x"]), "\n\n")
     ends = F.array_sort(F.array_distinct(F.concat(F.collect_set(F.col("page_from").cast("long")), F.collect_set(F.col("page_to").cast("long")))))
     docs = kept.groupBy("question_id", "question", "doc", "mode").agg(document.alias("document"), ends.alias("pages"))
     f, k = facts.filter("v IS NOT NULL").alias("f"), kept.select("question_id", "doc", "mode", "page_from", "page_to").alias("k")
-    inside = f.join(k, F.col("f.doc") == F.col("k.doc")).filter((F.col("k.mode") == "full") | F.col("f.pg").between(F.col("k.page_from"), F.col("k.page_to")) | F.col("f.pg").isin(anchors))
-    first = F.min(F.when((F.col("k.mode") == "full") | F.col("f.pg").between(F.col("k.page_from"), F.col("k.page_to")), 0).otherwise(1)).alias("part")
+    inside = f.join(k, F.col("f.doc") == F.col("k.doc")).filter(F.col("k.mode").endswith("full") | F.col("f.pg").between(F.col("k.page_from"), F.col("k.page_to")) | F.col("f.pg").isin(anchors))
+    first = F.min(F.when(F.col("k.mode").endswith("full") | F.col("f.pg").between(F.col("k.page_from"), F.col("k.page_to")), 0).otherwise(1)).alias("part")
     per = inside.groupBy("k.question_id", "f.seq").agg(first, *[F.first(f"f.{c}").alias(c) for c in ("t", "m", "s", "p", "v", "u", "pg")])
     fact = F.struct("part", "seq", F.struct("t", "m", "s", "p", "v", "u", "pg").alias("x"))
     numbers = X.facts_json(F.transform(F.array_sort(F.collect_list(fact)), lambda z: z["x"]))
     out = docs.join(per.groupBy("question_id").agg(numbers.alias("numbers")), "question_id", "left")
-    out = out.withColumn("prompt", X.prompt(F.col("question"), F.coalesce("numbers", F.lit("[]")), F.col("document")))
+    if aggregates is not None:
+        out = out.join(aggregates.select("doc", "aggregates"), "doc", "left")
+    numbers = X.numbers_json(F.col("numbers"), None if aggregates is None else F.col("aggregates"))
+    out = out.withColumn("prompt", X.prompt(F.col("question"), numbers, F.col("document")))
     return out.select("question_id", "question", "mode", "prompt", "pages", F.length("prompt").alias("chars"), X.token_estimate(F.col("prompt")).alias("tokens"))
 
 
@@ -80,9 +97,9 @@ def call_model(prompts: DataFrame, answerer: Answerer) -> DataFrame:
 
 
 def guard(answers: DataFrame) -> DataFrame:
-    """Flags, decorated text, unverified numbers of the raw text, pages cited in the decorated one."""
+    """Flags (advice_guarded: advice was asked for, or a verdict given), decorated text, unverified numbers of the raw text, pages cited in the decorated one."""
     advice, verdict = X.is_advice_request(F.col("question")), X.has_verdict(F.col("text"))
-    rows = answers.withColumn("unverified", evaluate.unverified(F.col("text"), F.col("prompt"))).withColumn("advice_guarded", advice).withColumn("verdict_leaked", verdict)
+    rows = answers.withColumn("unverified", evaluate.unverified(F.col("text"), F.col("prompt"))).withColumn("advice_guarded", advice | verdict).withColumn("verdict_leaked", verdict)
     rows = rows.withColumn("text", X.guarded(F.col("text"), F.col("advice_guarded"), F.col("verdict_leaked"), NOTICE, WARNING))
     return rows.withColumn("cited_pages", X.citations(F.col("text"))).withColumn("has_citations", F.size("cited_pages") > 0)
 

@@ -69,15 +69,16 @@ def growth(segments: DataFrame, totals: DataFrame, pairs: DataFrame) -> DataFram
 def checksum(facts: DataFrame, totals: DataFrame, segments: list[str], metric: str, correction: str, tolerance_pct: float = 0.5, external: DataFrame | None = None) -> DataFrame:
     """A4: per period the sum of the top segments, raw and with the intersegment correction, against the total.
 
-    The correction is minus the largest absolute intersegment value of the facts, or comes from ``external`` (p, v), so that
-    the check need not rest on the data it checks."""
+    The correction is minus the largest absolute value whose metric or segment names it, 0 without one, or comes from ``external``
+    (p, v), so that the check need not rest on the data it checks. delta_raw_pct has its sign; complete: every segment has a value."""
     parts = facts.filter(F.col("s").isin(segments) & F.contains(F.lower("m"), F.lit(metric)) & F.col("v").isNotNull())
     parts = parts.groupBy("p", "s").agg(F.min_by("v", "seq").alias("v"))
     summed = parts.groupBy("p").agg(F.sum("v").alias("raw"), F.count(F.lit(1)).alias("n_parts"))
-    found = facts.filter(F.contains(F.lower("m"), F.lit(correction)) & F.col("v").isNotNull()).groupBy("p").agg((-F.max(F.abs("v"))).alias("fix"))
+    found = facts.filter(F.contains(F.lower(F.concat_ws(" ", "m", "s")), F.lit(correction)) & F.col("v").isNotNull()).groupBy("p").agg((-F.max(F.abs("v"))).alias("fix"))
     fix = external.select("p", F.col("v").alias("fix")) if external is not None else found
     rows = summed.join(fix, "p", "left").join(totals.select("p", F.col("v").alias("total")), "p", "left")
-    fixed = F.col("raw") + F.coalesce(F.col("fix"), F.lit(0.0))
-    off = lambda x: F.when(F.col("total") != 0, F.abs(x - F.col("total")) / F.abs("total") * 100)
-    ok = F.coalesce(off(fixed) <= tolerance_pct, F.lit(False)) & (F.col("n_parts") == len(segments))
-    return rows.select(F.col("p").alias("period"), "n_parts", F.round("raw", 3).alias("sum_raw"), F.round("fix", 3).alias("intersegment"), F.round(fixed, 3).alias("sum_adjusted"), "total", F.round(off(F.col("raw")), 3).alias("delta_raw_pct"), F.round(off(fixed), 3).alias("delta_pct"), ok.alias("ok"))
+    fix = F.coalesce("fix", F.lit(0.0))
+    fixed = F.col("raw") + fix
+    off = lambda x: F.when(F.col("total") != 0, (x - F.col("total")) / F.col("total") * 100)
+    ok = F.coalesce(F.abs(off(fixed)) <= tolerance_pct, F.lit(False))
+    return rows.select(F.col("p").alias("period"), "n_parts", F.round("raw", 3).alias("sum_raw"), F.round(fix, 3).alias("intersegment"), F.round(fixed, 3).alias("sum_adjusted"), "total", F.round(off(F.col("raw")), 3).alias("delta_raw_pct"), F.round(F.abs(off(fixed)), 3).alias("delta_pct"), (F.col("n_parts") == len(segments)).alias("complete"), ok.alias("ok"))

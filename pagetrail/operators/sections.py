@@ -6,13 +6,19 @@ document as their equality key, so page intervals are only compared within a doc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagetrail.functions.text import outline_line, slug
 
-MAX_LEVEL = 6
+MAX_LEVEL = 9
+
+
+def _known_level(max_level: int) -> Column:
+    """The level as a place in an array of max_level; a deeper one is an error, not a wrong page."""
+    too_deep = F.raise_error(F.concat(F.lit(f"levels go to {max_level}: "), F.col("level").cast("string")))
+    return F.when(F.col("level") <= max_level, F.col("level").cast("int")).otherwise(too_deep.cast("int"))
 
 
 def section_ends(bookmarks: DataFrame, last_page: str = "last_page", max_level: int = MAX_LEVEL) -> DataFrame:
@@ -22,7 +28,7 @@ def section_ends(bookmarks: DataFrame, last_page: str = "last_page", max_level:
     """
     after = Window.partitionBy("doc").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
     nexts = [F.first(F.when(F.col("level") <= k, F.col("page_from")), ignorenulls=True).over(after) for k in range(1, max_level + 1)]
-    following = F.element_at(F.array(*nexts), F.least(F.col("level"), F.lit(max_level)).cast("int"))
+    following = F.element_at(F.array(*nexts), _known_level(max_level))
     return bookmarks.withColumn("page_to", F.when(following.isNotNull(), F.greatest(F.col("page_from"), following - 1)).otherwise(F.col(last_page)).cast("long"))
 
 
@@ -31,12 +37,14 @@ def with_ids(sections: DataFrame) -> DataFrame:
     return sections.withColumn("id", slug(F.col("seq"), F.col("title")))
 
 
-def leaf_sections(sections: DataFrame) -> DataFrame:
-    """Sections in which no deeper section begins."""
-    s = sections.alias("s")
-    d = sections.select("doc", F.col("level").alias("d_level"), F.col("page_from").alias("d_from"), F.col("seq").alias("d_seq")).alias("d")
-    inside = (F.col("s.doc") == F.col("d.doc")) & (F.col("d_level") > F.col("s.level")) & F.col("d_from").between(F.col("s.page_from"), F.col("s.page_to")) & (F.col("d_seq") != F.col("s.seq"))
-    return s.join(d, inside, "left_anti")
+def leaf_sections(sections: DataFrame, max_level: int = MAX_LEVEL) -> DataFrame:
+    """Sections in which no deeper section begins.
+
+    One window instead of a self-join: the least start, from the section's own on, of a section below each level."""
+    on = Window.partitionBy("doc").orderBy("page_from").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    starts = [F.min(F.when(F.col("level") > k, F.col("page_from"))).over(on) for k in range(1, max_level + 1)]
+    rows = sections.withColumn("__deeper", F.element_at(F.array(*starts), _known_level(max_level)))
+    return rows.filter(F.col("__deeper").isNull() | (F.col("__deeper") > F.col("page_to"))).drop("__deeper")
 
 
 def drop_nested(sections: DataFrame) -> DataFrame:

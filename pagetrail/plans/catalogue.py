@@ -59,11 +59,17 @@ def d_jaccard(a: str, b: str) -> str:
 
 
 def d_case(text: str, pairs: list[tuple[str, str]], default: str) -> str:
-    rows = " ".join(f"WHEN regexp_matches({text}, '{P.words(p)}') THEN '{n}'" for p, n in pairs)
+    rows = " ".join(f"WHEN regexp_matches({text}, '{words(p)}') THEN '{n}'" for p, n in pairs)
     return f"(CASE {rows} ELSE {default} END)"
 
 
-D_CHANGE = P.words(P.CHANGE_WORDS).replace(r"рост\b", rf"рост(?:{W}{{0}})")
+
+def words(pattern: str) -> str:
+    """A pattern in DuckDB's dialect: Unicode word characters spelled out; negation before it is taken out of the text by the query."""
+    return pattern.replace(r"\w", W).replace("(?<!не )", "")
+
+
+D_CHANGE = words(P.CHANGE_WORDS).replace(r"рост\b", rf"рост(?:{W}{{0}})")
 
 # ---------------------------------------------------------------- retrieval
 
@@ -238,7 +244,7 @@ def facts_for_context(spark, d):
 
 # ---------------------------------------------------------------- facts
 
-YEARS = "(VALUES ('1996', '1995'), ('1997', '1996'), ('1998', '1997'), ('1999', '1998')) AS y(cur, prev)"
+YEARS = "(VALUES ('1996', '1995'), ('1997', '1996'), ('1998', '1997'), ('1999', '1998'), ('2000', '1999'), ('2001', '2000')) AS y(cur, prev)"
 
 
 @query("""SELECT p, v, pg, src, seq FROM facts_merged WHERE lower(trim(m)) IN ('общая выручка', 'выручка', 'консолидированная выручка') AND s IS NULL AND v IS NOT NULL AND u = 'млн_руб'
@@ -255,7 +261,7 @@ FROM {YEARS} JOIN facts_a n ON n.p = cur AND n.s IS NOT NULL LEFT JOIN facts_a o
 LEFT JOIN facts_a tc ON tc.p = cur AND tc.m = 'Общая выручка' LEFT JOIN facts_a tp ON tp.p = prev AND tp.m = 'Общая выручка'""", ("facts_a",))
 def yoy_contribution(spark, d):
     f = frame(spark, d, "facts_a")
-    pairs = spark.createDataFrame([(str(y), str(y - 1)) for y in range(1996, 2000)], "cur string, prev string")
+    pairs = spark.createDataFrame([(str(y), str(y - 1)) for y in range(1996, 2002)], "cur string, prev string")
     return facts.growth(f.filter("s IS NOT NULL"), f.filter("m = 'Общая выручка'").select("p", "v"), pairs)
 
 
@@ -264,10 +270,10 @@ SEG_SQL = "('" + "', '".join(SEGMENTS) + "')"
 
 
 @query(f"""
-WITH raw AS (SELECT p, sum(v) AS raw, count(*) AS n_parts FROM facts_a WHERE s IN {SEG_SQL} GROUP BY p), fix AS (SELECT p, -max(abs(v)) AS fix FROM facts_a WHERE lower(m) LIKE '%межсегмент%' GROUP BY p),
+WITH raw AS (SELECT p, sum(v) AS raw, count(*) AS n_parts FROM facts_a WHERE s IN {SEG_SQL} GROUP BY p), fix AS (SELECT p, -max(abs(v)) AS fix FROM facts_a WHERE lower(concat_ws(' ', m, s)) LIKE '%межсегмент%' GROUP BY p),
 t AS (SELECT p, v AS total FROM facts_a WHERE m = 'Общая выручка')
-SELECT p AS period, n_parts, round(raw, 3) AS sum_raw, round(fix, 3) AS intersegment, round(raw + coalesce(fix, 0), 3) AS sum_adjusted, total, round(abs(raw - total) / abs(total) * 100, 3) AS delta_raw_pct,
-  round(abs(raw + coalesce(fix, 0) - total) / abs(total) * 100, 3) AS delta_pct, abs(raw + coalesce(fix, 0) - total) / abs(total) * 100 <= 0.5 AND n_parts = {len(SEGMENTS)} AS ok
+SELECT p AS period, n_parts, round(raw, 3) AS sum_raw, round(coalesce(fix, 0), 3) AS intersegment, round(raw + coalesce(fix, 0), 3) AS sum_adjusted, total, round((raw - total) / total * 100, 3) AS delta_raw_pct,
+  round(abs(raw + coalesce(fix, 0) - total) / abs(total) * 100, 3) AS delta_pct, abs(raw + coalesce(fix, 0) - total) / abs(total) * 100 <= 0.5 AS ok, n_parts = {len(SEGMENTS)} AS complete
 FROM raw LEFT JOIN fix USING (p) LEFT JOIN t USING (p)""", ("facts_a",))
 def checksum(spark, d):
     f = frame(spark, d, "facts_a")
@@ -388,20 +394,25 @@ def table_sources(spark, d):
     return quality.table_sources(frame(spark, d, "facts_a")).withColumn("pages", F.array_join(F.transform("pages", lambda p: p.cast("string")), " "))
 
 
-@query("SELECT m, s, p, v AS want, count(*) OVER (PARTITION BY m, s, p) AS n, true AS ok FROM facts_a WHERE p = '1996'", ("facts_a",))
+@query("""
+SELECT e.m, e.s, e.p, want, count(f.v) AS n, coalesce(bool_and(abs(f.v - want) <= 1e-9), false) AS ok
+FROM (SELECT m, s, p, CASE WHEN pg % 4 = 0 THEN v + 1 ELSE v END AS want FROM facts_a UNION ALL SELECT 'Выручка', 'NO SUCH SEGMENT', '1996', 1.0) e
+LEFT JOIN facts_a f ON e.m = f.m AND e.s IS NOT DISTINCT FROM f.s AND e.p = f.p GROUP BY ALL""", ("facts_a",))
 def control_values(spark, d):
+    """Controls of which every fourth page's is wrong and one has no fact."""
     f = frame(spark, d, "facts_a")
-    return quality.controls(f, f.filter("p = '1996'").select("m", "s", "p", F.col("v").alias("want")))
+    want = f.select("m", "s", "p", F.when(F.col("pg") % 4 == 0, F.col("v") + 1).otherwise(F.col("v")).alias("want"))
+    return quality.controls(f, want.union(spark.createDataFrame([("Выручка", "NO SUCH SEGMENT", "1996", 1.0)], want.schema)))
 
 
 @query(f"""
 SELECT s, p, round(stated, 4) AS stated, round(part / whole * 100, 4) AS computed, abs(part / whole * 100 - stated) <= 0.35 AS ok FROM (
-  SELECT f.s, f.p, f.v AS part, t.v AS whole, round(f.v / t.v * 100, 0) AS stated FROM facts_a f JOIN facts_a t ON t.p = f.p AND t.m = 'Общая выручка' WHERE f.s IN {SEG_SQL})""", ("facts_a",))
+  SELECT f.s, f.p, f.v AS part, t.v AS whole, round(f.v / t.v * 100, 0) + CASE WHEN f.p = '1996' THEN 2 ELSE 0 END AS stated FROM facts_a f JOIN facts_a t ON t.p = f.p AND t.m = 'Общая выручка' WHERE f.s IN {SEG_SQL})""", ("facts_a",))
 def ratio_check(spark, d):
     f = frame(spark, d, "facts_a")
     part, total = f.filter("s IS NOT NULL").select("s", "p", "v"), f.filter("m = 'Общая выручка'").select("p", F.col("v").alias("w"))
     whole = part.join(total, "p").select("s", "p", F.col("w").alias("v"))
-    stated = part.join(total, "p").select("s", "p", F.round(F.col("v") / F.col("w") * 100, 0).alias("v"))
+    stated = part.join(total, "p").select("s", "p", (F.round(F.col("v") / F.col("w") * 100, 0) + F.when(F.col("p") == "1996", 2).otherwise(0)).alias("v"))
     return quality.ratio_check(part, whole, stated).select("s", "p", F.round("stated", 4).alias("stated"), F.round("computed", 4).alias("computed"), "ok")
 
 
@@ -500,12 +511,12 @@ def citations(spark, d):
     return frame(spark, d, "answers").select("answer_id", F.array_join(F.transform(X.citations(F.col("text")), lambda p: p.cast("string")), " ").alias("pages"))
 
 
-@query("SELECT answer_id, regexp_matches(question, '(?i)" + P.words("|".join(P.ADVICE)) + "') AS advice FROM answers", ("answers",))
+@query("SELECT answer_id, regexp_matches(question, '(?i)" + words("|".join(P.ADVICE)) + "') AS advice FROM answers", ("answers",))
 def advice_guard(spark, d):
     return frame(spark, d, "answers").select("answer_id", X.is_advice_request(F.col("question")).alias("advice"))
 
 
-@query("SELECT answer_id, regexp_matches(regexp_replace(text, '(?i)не (рекомендую|советую|стоит|следует|покупайте|продавайте|инвестируйте)', ' ', 'g'), '(?i)" + P.words("|".join([*P.VERDICTS_UNLESS_NEGATED, *P.VERDICTS])) + "') AS verdict FROM answers", ("answers",))
+@query("SELECT answer_id, regexp_matches(regexp_replace(text, '(?i)не (рекомендую|советую|стоит|следует|покупайте|продавайте|инвестируйте)', ' ', 'g'), '(?i)" + words("|".join(P.VERDICTS)) + "') AS verdict FROM answers", ("answers",))
 def verdict_guard(spark, d):
     return frame(spark, d, "answers").select("answer_id", X.has_verdict(F.col("text")).alias("verdict"))
 

@@ -28,10 +28,11 @@ def _fields(schema: str) -> str:
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str = FACT) -> DataFrame:
-    """A record a line; trailing commas, lone brackets and blank lines do not count, so a printed array reads as well."""
+    """A record a line; trailing commas, lone brackets and blank lines do not count, so a printed array reads as well. A line that
+    is no record fails the read."""
     line = F.regexp_replace(F.trim("value"), ",+$", "")
     rows = spark.read.text(path).select(line.alias("line")).filter(~F.col("line").isin("", "[", "]", "[]"))
-    return rows.select(F.from_json("line", schema).alias("x")).select("x.*")
+    return rows.select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("x")).select("x.*")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = FACT) -> DataFrame:

@@ -19,10 +19,13 @@ def aggregates_document(growth: DataFrame, checksum: DataFrame) -> DataFrame:
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """K5: a pipe table of a report's rows, at most ``limit`` of them as a report is for reading."""
+    """K5: a pipe table of a report's rows; more than ``limit`` are an error, as a report is for reading: take the top ones first."""
     text = lambda v: "—" if v is None else str(v).replace("|", "\\|")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(text, r)) + " |" for r in df.limit(limit).collect()])
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report of more than {limit} rows")
+    return "\n".join(lines + ["| " + " | ".join(map(text, r)) + " |" for r in rows])
 
 
 def replace_between(text: str, begin: str, end: str, body: str) -> str:
