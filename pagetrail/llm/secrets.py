@@ -6,11 +6,12 @@ text; a match that is too short is dropped after it has used up its characters.
 Battery (``random`` spans): a candidate is a maximal run of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that no
 base span contains. Its encoding is the smallest listed alphabet that holds it, and three tests ask whether it could
 be uniform over it: chi-squared of the symbol counts, number of runs above and below the alphabet's middle, and
-lag-1 serial correlation, joined by Fisher's method. A candidate that they reject is not random. For the others the
-log-likelihood ratio of uniform symbols against the corpus's own symbol frequencies (counted over all documents)
-gives a p-value under "ordinary text", whose mean and variance grow with the length; Benjamini-Hochberg is applied
-within each length band over all candidates of the corpus, on a histogram of p-values with fixed bins, each bin
-counting at its larger end. So a short token needs as much evidence as its band's error rate asks.
+lag-1 serial correlation, joined by Fisher's method. False discoveries are controlled by Benjamini-Hochberg within each length band,
+over all candidates of the corpus, twice. First over the battery's own p-values: what it rejects at ``level`` is not random, with at most
+that share of random tokens among what is given up. Then over p-values under "ordinary text", from the log-likelihood ratio of uniform
+symbols against the corpus's own symbol frequencies (counted over all documents), whose mean and variance grow with the
+length; what the battery rejected counts there with a p-value of one. So a short token needs as much evidence as its band's
+error rate asks. Both use histograms of p-values with fixed bins, each bin counting at its larger end.
 
 A null or empty text has no spans; each row of documents gives one row, repeated ones too. The longest text and
 token are scanned whole.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,8 +130,12 @@ def neglog_p(x: np.ndarray, model: tuple[np.ndarray, float, float]) -> float:
     return min(MAX_BIN / BINS_PER_DECADE, (z * z / 2 + math.log(z * math.sqrt(2 * math.pi))) / math.log(10))
 
 
-def candidates(text: str, base: list[tuple[int, int, int]], models: dict, level: float) -> list[tuple[int, int, int, int]]:
-    """(start, end, length band, bin of the p-value) of the tokens that the battery lets pass."""
+def p_bin(neglog: float) -> int:
+    return min(MAX_BIN, int(neglog * BINS_PER_DECADE))
+
+
+def candidates(text: str, base: list[tuple[int, int, int]], models: dict) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, length band, bin of the battery's p-value, bin of the one under ordinary text) of every candidate."""
     out = []
     for run in RUN.finditer(text):
         a, b = run.span()
@@ -142,10 +148,9 @@ def candidates(text: str, base: list[tuple[int, int, int]], models: dict, level:
         if len(symbols) < BANDS[0]:
             continue
         x = np.array([_INDEX[name][ord(c)] for c in symbols])
-        if uniformity(x, len(ALPHABETS[name])) < level:
-            continue
         band = sum(len(x) >= v for v in BANDS)
-        out.append((a, b, band, int(neglog_p(x, models[name]) * BINS_PER_DECADE)))
+        battery = -math.log10(max(uniformity(x, len(ALPHABETS[name])), 1e-300))
+        out.append((a, b, band, p_bin(battery), p_bin(neglog_p(x, models[name]))))
     return out
 
 
@@ -178,37 +183,50 @@ def cutoffs(hist: dict[tuple[int, int], int], rate: float) -> dict[int, int]:
     return out
 
 
+def two_cutoffs(hist: dict[tuple[int, int, int], int], level: float, rate: float) -> tuple[dict[int, int], dict[int, int]]:
+    """From counts by (band, bin of the battery, bin under ordinary text): by band the least bin that the battery rejects, and the
+    least that is found among the others."""
+    battery, ordinary = Counter(), Counter()
+    for (band, odd, _), n in hist.items():
+        battery[band, odd] += n
+    rejected = cutoffs(battery, level)
+    for (band, odd, k), n in hist.items():
+        ordinary[band, 0 if odd >= rejected.get(band, MAX_BIN + 1) else k] += n
+    return rejected, cutoffs(ordinary, rate)
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
-_CAND = "array<struct<start:int,kind:int,end:int,band:int,bin:int>>"
+_CAND = "array<struct<start:int,kind:int,end:int,band:int,odd:int,bin:int>>"
 
 
 def secret_scan(docs: DataFrame, rate: float = 1e-3, level: float = 1e-3) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random. rate: false discoveries allowed in a length
-    band. level: the battery's joint level for rejecting uniformity."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random. rate: share of false ones allowed among the tokens found in a
+    length band. level: that among the tokens the battery rejects."""
     docs = texts(docs)
     models = ordinary_models(byte_counts(docs))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-        cand = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("band", pa.int32()), ("bin", pa.int32())]))
+        cand = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("band", pa.int32()), ("odd", pa.int32()), ("bin", pa.int32())]))
         for batch in batches:
             base_out, cand_out = [], []
             for text in batch.column("text"):
                 text = text.as_py()
                 base = base_spans(text)
                 base_out.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
-                cand_out.append([{"start": s, "kind": 3, "end": e, "band": w, "bin": v} for s, e, w, v in candidates(text, base, models, level)])
+                cand_out.append([{"start": s, "kind": 3, "end": e, "band": w, "odd": u, "bin": v} for s, e, w, u, v in candidates(text, base, models)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base_out, span), pa.array(cand_out, cand)], ["doc_id", "base", "cand"])
 
     found = materialize(docs.mapInArrow(released(scan), f"doc_id long, base {_SPAN}, cand {_CAND}"), "secrets")
-    hist = found.select(F.explode("cand").alias("c")).groupBy("c.band", "c.bin").count().collect()
-    least = cutoffs({(r["band"], r["bin"]): r["count"] for r in hist}, rate)
-    keep = F.create_map(*[F.lit(x) for kv in (least or {0: 0}).items() for x in kv])
-    random = F.transform(F.filter("cand", lambda c: c["bin"] >= F.coalesce(F.element_at(keep, c["band"]), F.lit(MAX_BIN + 1))), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
+    # bounded by bands and bins
+    hist = found.select(F.explode("cand").alias("c")).groupBy("c.band", "c.odd", "c.bin").count().collect()
+    rejected, least = two_cutoffs({(r["band"], r["odd"], r["bin"]): r["count"] for r in hist}, level, rate)
+    of_band = lambda c, cut: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in (cut or {0: 0}).items() for x in kv]), c["band"]), F.lit(MAX_BIN + 1))
+    random = F.transform(F.filter("cand", lambda c: (c["odd"] < of_band(c, rejected)) & (c["bin"] >= of_band(c, least))), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
     # a second parameter of the lambda would be the element's index, so the kind is bound outside
     of_kind = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
     n = [of_kind(i) for i in range(3)]

@@ -178,6 +178,38 @@ def test_secrets_base_and_battery(spark):
     assert secrets.secret_scan(docs(spark, [])).count() == 0
 
 
+def test_random_spans_equal_a_loop(spark):
+    rng = random.Random(41)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    word = lambda: rng.choice(["international", "responsibility", "market", "antidisestablishmentarianism", "characterisation", "of"])
+    rows = []
+    for i in range(150):
+        parts = [word() for _ in range(40)] + ["_".join(word() for _ in range(4))]
+        if i % 3 == 0:
+            parts.insert(7, "".join(rng.choice(alphabets[1 + i % 2]) for _ in range(rng.choice([20, 26, 40, 70]))))
+        if i % 10 == 0:
+            parts += ["ab" * 20, "=" * 30, "".join(sorted(rng.choice(alphabets[2]) for _ in range(60)))]
+        rows.append((i, " ".join(parts)))
+    counts = np.bincount(np.frombuffer("".join(t for _, t in rows).encode(), np.uint8), minlength=256)
+    models = secrets.ordinary_models(counts)
+    found = [(i, *c) for i, t in rows for c in secrets.candidates(t, secrets.base_spans(t), models)]
+    want = set()
+    for band in {c[3] for c in found}:
+        own = [c for c in found if c[3] == band]
+        p = lambda k: 10 ** (-k / 10)
+        # a p-value is rejected if it, or a larger one, is at most rate * (how many are no larger) / m
+        def rejected(values, rate):
+            ok = [k for k in values if p(k) <= rate * sum(v >= k for v in values) / len(values)]
+            return min(ok) if ok else 10**6
+        odd = rejected([c[4] for c in own], 1e-3)
+        cut = rejected([0 if c[4] >= odd else c[5] for c in own], 1e-3)
+        want |= {(i, a, b) for i, a, b, _, u, k in own if u < odd and k >= cut}
+    got = {(r.doc_id, *map(int, x.split(":")[1:])) for r in secrets.secret_scan(docs(spark, rows)).collect() for x in r.spans.split(",") if x.startswith("random")}
+    assert got == want and len(want) > 20
+    text = dict(rows)
+    assert not any(set(text[i][a:b]) <= set("abcdefghijklmnopqrstuvwxyz_") for i, a, b in want)
+
+
 def test_uniformity_tells_random_from_text():
     rng = np.random.default_rng(5)
     ps = [secrets.uniformity(rng.integers(0, 64, 40), 64) for _ in range(300)]
