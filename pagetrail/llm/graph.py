@@ -37,8 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def bloom_width(n: int) -> int:
-    """log2 of the bits for a set of n keys: 16 bits a key, between 2**20 and 2**29 bits (64 MB)."""
-    return min(29, max(20, (16 * n).bit_length()))
+    """log2 of the bits for a set of n keys: 16 bits a key, between 2**26 (8 MB) and 2**29 bits (64 MB)."""
+    return min(29, max(BLOOM_BITS, (16 * n).bit_length()))
 
 
 def bloom_slot(col: Column, width: int = BLOOM_BITS) -> Column:

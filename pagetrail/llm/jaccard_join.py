@@ -273,7 +273,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     dealt = pairs.join(many, "a").select(F.col("a").alias("q"), F.col("b").alias("key"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("salt"))
     asked = materialize(dealt.select("q", "salt", "key", F.lit(1).alias("role")).union(dealt.select("q", "salt", F.col("q").alias("key"), F.lit(0).alias("role")).distinct()), "asked")
     reps = asked.select("key").distinct().join(classes, "key").select("first")
-    width = bloom_width(reps.count())
+    width = bloom_width(asked.count())  # at least as many as the representatives, which would have to be joined twice to be counted
     bits = spark.sparkContext.broadcast(bloom(reps, "first", width))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
