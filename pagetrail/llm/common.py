@@ -67,12 +67,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    few_files(df).write.parquet(path)
+    with shuffles_dropped(spark):
+        few_files(df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Queries run inside give their shuffle files back when they end, not when the driver happens to collect garbage.
+
+    For writes, whose plan is never run again. The session keeps its own setting afterwards."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
 def few_files(df: DataFrame) -> DataFrame:
     """df in at most eight partitions for each core of the cluster: more and smaller files cost more than they save."""
     return df.coalesce(8 * df.sparkSession.sparkContext.defaultParallelism)
