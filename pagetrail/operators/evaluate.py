@@ -77,6 +77,12 @@ def with_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return calls.join(prices, "model", "left").withColumn("cost", call_cost(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("price_in"), F.col("price_out"))).drop("price_in", "price_out")
 
 
+def pick_questions(questions: DataFrame, ids: list[int] | None = None, limit: int | None = None) -> DataFrame:
+    """The questions with the given ids, all without ids; of these the first ``limit`` by id."""
+    rows = questions if ids is None else questions.filter(F.col("id").isin(list(ids)))
+    return rows if limit is None else rows.orderBy("id").limit(limit)
+
+
 def question_titles(results: DataFrame, questions: DataFrame) -> DataFrame:
     """Results with their questions; those without one are left out."""
     return results.join(questions, "id")

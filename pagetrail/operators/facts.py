@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TOTAL_NAMES = ["общая выручка", "выручка", "консолидированная выручка"]
 
@@ -47,7 +48,7 @@ def total_by_trust(facts: DataFrame, unit: str, names: list[str] | None = None)
 
 
 def growth(segments: DataFrame, totals: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Value of each segment in period cur against prev: absolute and relative change, contribution to the
+    """Value of each segment in period cur against prev: absolute and relative change, contribution to the
     growth of the total, and share. What cannot be computed is NULL; segments without a current value do not appear.
 
     segments: s, p, v, u, pg; totals: p, v; pairs: cur, prev."""
@@ -66,6 +67,24 @@ def growth(segments: DataFrame, totals: DataFrame, pairs: DataFrame) -> DataFram
     )
 
 
+def rank_segments(rows: DataFrame) -> DataFrame:
+    """O2: growth() with each period's place by relative growth, the largest first and missing growth last; ties by name."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("period").orderBy(F.desc_nulls_last("yoy_pct"), "segment")))
+
+
+def growth_header(totals: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A3: the totals of each pair of periods (cur, prev) and their growth, NULL where one is missing or nothing grew.
+
+    totals: p, v, pg, one row a period."""
+    now, then = totals.select(F.col("p").alias("cur"), "v", "pg"), totals.select(F.col("p").alias("prev"), F.col("v").alias("v_prev"))
+    change = F.col("v") - F.col("v_prev")
+    rows = pairs.join(now, "cur", "left").join(then, "prev", "left")
+    return rows.select(
+        F.col("cur").alias("period"), F.col("prev").alias("prev_period"), F.col("v").alias("total_revenue"), F.col("pg").alias("total_revenue_page"),
+        F.col("v_prev").alias("total_revenue_prev"), F.when(change != 0, F.round(change, 3)).alias("total_growth_abs"),
+    )
+
+
 def checksum(facts: DataFrame, totals: DataFrame, segments: list[str], metric: str, correction: str, tolerance_pct: float = 0.5, external: DataFrame | None = None) -> DataFrame:
     """A4: per period the sum of the top segments, raw and with the intersegment correction, against the total.
 

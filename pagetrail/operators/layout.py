@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from pagetrail.functions.numbers import is_value
+from pagetrail.functions.numbers import is_value, norm_num
 from pagetrail.functions.text import colours_close, let, rgb
 
 
@@ -41,6 +42,29 @@ def in_band(words: DataFrame, y_lo: float, y_hi: float, x_lo: float, x_hi: float
     return rows.filter(~F.col("text").isin(list(exclude))) if exclude else rows
 
 
+def band_sequence(words: DataFrame, y_lo: float, y_hi: float, n: int, by: str = "y", x_lo: float = -1e9, x_hi: float = 1e9, exclude: list[str] = (), allow_pct: bool = True) -> DataFrame:
+    """Q5: (page, place, text, value, found, ok): the value labels of a band in order, which is that of reading ("y"), from the left
+    ("x") or of the file ("stream", by word); ties by text. found counts the page's labels; ok says whether there are n of them."""
+    order = {"y": reading_order(), "x": [F.col("x0")], "stream": []}[by]
+    page = Window.partitionBy("page")
+    rows = in_band(words, y_lo, y_hi, x_lo, x_hi, exclude, allow_pct).withColumn("place", F.row_number().over(page.orderBy(*order, "word", "text"))).withColumn("found", F.count(F.lit(1)).over(page))
+    return rows.select("page", "place", "text", norm_num(F.col("text")).alias("value"), "found", (F.col("found") == n).alias("ok"))
+
+
+def label_lines(lines: DataFrame, value: str, stops: list[str]) -> DataFrame:
+    """(doc, line, value, label) of the lines (doc, line, text) that fit the pattern, whose first group is the value.
+
+    The label is the two lines before, blank ones skipped; it ends where a line holds one of the stops, and begins with a line
+    that ends in a colon. Colons and digits at its end go. Without such lines it is empty."""
+    text = F.trim("text")
+    by_line = Window.partitionBy("doc").orderBy("line")
+    rows = lines.select("doc", "line", text.alias("t")).filter("t <> ''").withColumn("one", F.lag("t", 1).over(by_line)).withColumn("two", F.lag("t", 2).over(by_line)).filter(F.col("t").rlike(value))
+    ends = lambda c: F.col(c).isNull() | F.exists(F.array(*map(F.lit, stops)), lambda s: F.contains(F.col(c), s))
+    label = F.when(ends("one"), "").when(F.endswith("one", F.lit(":")) | ends("two"), F.col("one")).otherwise(F.concat_ws(" ", "two", "one"))
+    label = F.trim(F.regexp_replace(F.trim(F.rtrim(label, F.lit(":"))), "[0-9]+$", ""))
+    return rows.select("doc", "line", F.regexp_extract("t", value, 1).alias("value"), label.alias("label"))
+
+
 def assert_count(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     """groups with their size and whether it is the expected one."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("found")).withColumn("ok", F.col("found") == n)

@@ -47,6 +47,16 @@ def coverage_counts(covered: DataFrame) -> DataFrame:
     return covered.groupBy("verdict").agg(F.count(F.lit(1)).alias("pages"), F.count_if((F.col("numeric") > 0) & (F.col("n_parser") + F.col("n_vision") == 0)).alias("gaps"))
 
 
+def busiest_pages(covered: DataFrame, n: int = 15) -> DataFrame:
+    """The n pages of coverage() with most objects that hold numbers, ties by page, for a report."""
+    return covered.orderBy(F.desc("numeric"), "pg").limit(n)
+
+
+def partial_pages(covered: DataFrame, n: int = 25) -> DataFrame:
+    """The first n pages of coverage() of which a part was found, for a report."""
+    return covered.filter("verdict = 'partial'").orderBy("pg").limit(n)
+
+
 def by_kind(objects: DataFrame) -> DataFrame:
     """Objects by kind, the most frequent first."""
     return objects.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pg").alias("pages")).orderBy(F.desc("n"), "kind")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagetrail.functions.text import tokens
+from pagetrail.functions.text import searchable, tokens
 
 MAX_CHARS, OVERLAP, TOP_K, K1, B = 6000, 400, 8, 1.5, 0.75
 
@@ -37,17 +37,51 @@ def chunks(sections: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERL
     return pieces.select("doc", F.col("id").alias("section_id"), F.col("title").alias("section_title"), "page_from", "page_to", "seq", F.posexplode("piece").alias("chunk_ix", "chunk"))
 
 
+def chunk_documents(pieces: DataFrame) -> DataFrame:
+    """Chunks as (doc_id, section_id, text) for bm25(): what is searched is title, pages and text. The id holds document,
+    section and place of the chunk."""
+    name = F.concat_ws(":", "doc", F.col("seq").cast("string"), F.col("chunk_ix").cast("string"))
+    return pieces.select(name.alias("doc_id"), "section_id", searchable(F.col("section_title"), F.col("page_from"), F.col("page_to"), F.col("chunk")).alias("text"))
+
+
+def write_index(docs: DataFrame, path: str) -> None:
+    """Postings (term, doc_id, tf, len) in term order, so that a search reads only the row groups of its terms, and the corpus
+    statistics, under ``path``. Common terms are spread over several files."""
+    lengths = docs.select("doc_id", tokens(F.col("text")).alias("toks"))
+    posted = lengths.select("doc_id", F.size("toks").alias("len"), F.explode("toks").alias("term"))
+    posted = posted.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    posted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    _corpus(lengths).write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def bm25_indexed(spark: SparkSession, path: str, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """bm25() on an index of write_index(): the corpus is neither read nor split into words again."""
+    terms = _terms(queries)
+    tf = spark.read.parquet(f"{path}/postings").join(terms.select("term").distinct(), "term", "left_semi")
+    return _scores(terms, tf, spark.read.parquet(f"{path}/corpus"), k1, b)
+
+
+def _corpus(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"))
+
+
+def _terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) of every document that shares a token with a query (query_id, query).
 
-    Token counts are taken of query terms only: the scan is exploded after a filter on the terms, so what is shuffled is
-    the matching postings, not the corpus. Repeated query tokens count each time."""
+    Tokens that no query asks for are dropped before anything is shuffled: what moves is the matching postings, not the corpus. Repeated query tokens count each time."""
     lengths = docs.select("doc_id", tokens(F.col("text")).alias("toks"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"))
-    terms = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    terms = _terms(queries)
     vocabulary = terms.select("term").distinct()
     posted = lengths.select("doc_id", F.size("toks").alias("len"), F.explode("toks").alias("term")).join(vocabulary, "term", "left_semi")
     tf = posted.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    return _scores(terms, tf, _corpus(lengths), k1, b)
+
+
+def _scores(terms: DataFrame, tf: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     norm = 1 - b + b * F.greatest(F.col("len"), F.lit(1)) / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -71,6 +105,6 @@ def section_ids(hits: DataFrame) -> DataFrame:
 def cosine(vectors: DataFrame, asked: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): cosine of each asked vector and every other, as a dense hook for top_k()."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    v = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
-    q = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return v.join(q, F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", (dot(F.col("v"), F.col("q")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("q"), F.col("q")))).alias("score"))
+    v = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), dot(F.col("embedding"), F.col("embedding")).alias("vv"))
+    q = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), dot(F.col("embedding"), F.col("embedding")).alias("qq"))
+    return v.join(q, F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", (dot(F.col("v"), F.col("q")) / F.sqrt(F.col("vv") * F.col("qq"))).alias("score"))

@@ -124,6 +124,19 @@ def chunk_documents(spark, d):
     return c.select("doc", "seq", "chunk_ix", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
+CHUNK_SEARCH_SQL = CHUNK_SQL[: CHUNK_SQL.index("\nSELECT doc, seq, CAST(generate")] + """,
+cut AS (SELECT doc, seq, generate_subscripts(ps, 1) - 1 AS ix, unnest(ps) AS piece FROM pieces),
+chunk_docs AS (SELECT doc || ':' || seq || ':' || ix AS doc_id, id AS section_id, title || chr(10) || 'стр. ' || page_from || '-' || page_to || chr(10) || piece AS text FROM cut JOIN sections USING (doc, seq)),
+""" + BM25_SQL.replace("WITH d", "d", 1).replace("FROM documents)", "FROM chunk_docs)").lstrip() + """
+SELECT query_id, doc_id, section_id, score, CAST(rank AS INTEGER) AS rank FROM ranked JOIN chunk_docs USING (doc_id) WHERE rank <= 8"""
+
+
+@query(CHUNK_SEARCH_SQL, ("sections",))
+def chunk_search(spark, d):
+    docs = retrieval.chunk_documents(retrieval.chunks(frame(spark, d, "sections"), 600, 40, "\n"))
+    return retrieval.top_k(retrieval.bm25(docs, _asked(spark)), 8, 6).join(docs.select("doc_id", "section_id"), "doc_id").select("query_id", "doc_id", "section_id", "score", "rank")
+
+
 @query("""
 WITH v AS (SELECT vec_id, embedding FROM embeddings), s AS (
 SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * c.embedding[i]))
@@ -253,16 +266,34 @@ def total_by_trust(spark, d):
     return facts.total_by_trust(frame(spark, d, "facts_merged"), "млн_руб")
 
 
-@query(f"""
+YOY_SQL = f"""
 SELECT n.s AS segment, cur AS period, n.v AS value, n.u AS unit, n.pg AS page, o.v AS prev,
   CASE WHEN o.v <> 0 THEN round(n.v - o.v, 3) END AS yoy_abs, CASE WHEN o.v <> 0 THEN round((n.v - o.v) / abs(o.v) * 100, 2) END AS yoy_pct,
   CASE WHEN o.v <> 0 AND tc.v - tp.v <> 0 THEN round((n.v - o.v) / (tc.v - tp.v) * 100, 2) END AS contrib_growth_pct, CASE WHEN tc.v <> 0 THEN round(n.v / tc.v * 100, 2) END AS share_pct
 FROM {YEARS} JOIN facts_a n ON n.p = cur AND n.s IS NOT NULL LEFT JOIN facts_a o ON o.p = prev AND o.s = n.s
-LEFT JOIN facts_a tc ON tc.p = cur AND tc.m = 'Общая выручка' LEFT JOIN facts_a tp ON tp.p = prev AND tp.m = 'Общая выручка'""", ("facts_a",))
+LEFT JOIN facts_a tc ON tc.p = cur AND tc.m = 'Общая выручка' LEFT JOIN facts_a tp ON tp.p = prev AND tp.m = 'Общая выручка'"""
+
+
+@query(YOY_SQL, ("facts_a",))
 def yoy_contribution(spark, d):
     f = frame(spark, d, "facts_a")
-    pairs = spark.createDataFrame([(str(y), str(y - 1)) for y in range(1996, 2002)], "cur string, prev string")
-    return facts.growth(f.filter("s IS NOT NULL"), f.filter("m = 'Общая выручка'").select("p", "v"), pairs)
+    return facts.growth(f.filter("s IS NOT NULL"), f.filter("m = 'Общая выручка'").select("p", "v"), _years(spark))
+
+
+def _years(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(str(y), str(y - 1)) for y in range(1996, 2002)], "cur string, prev string")
+
+
+@query(f"SELECT segment, period, yoy_pct, CAST(row_number() OVER (PARTITION BY period ORDER BY yoy_pct DESC NULLS LAST, segment) AS INTEGER) AS place FROM ({YOY_SQL})", ("facts_a",))
+def segment_ranking(spark, d):
+    return facts.rank_segments(yoy_contribution(spark, d)).select("segment", "period", "yoy_pct", "place")
+
+
+@query(f"""
+SELECT cur AS period, prev AS prev_period, a.v AS total_revenue, a.pg AS total_revenue_page, b.v AS total_revenue_prev, CASE WHEN a.v <> b.v THEN round(a.v - b.v, 3) END AS total_growth_abs
+FROM {YEARS} LEFT JOIN (SELECT * FROM facts_a WHERE m = 'Общая выручка') a ON a.p = cur LEFT JOIN (SELECT * FROM facts_a WHERE m = 'Общая выручка') b ON b.p = prev""", ("facts_a",))
+def growth_header(spark, d):
+    return facts.growth_header(frame(spark, d, "facts_a").filter("m = 'Общая выручка'"), _years(spark))
 
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -384,6 +415,11 @@ def coverage_counts(spark, d):
     return quality.coverage_counts(coverage(spark, d))
 
 
+@query(COVER_SQL + " SELECT pg, objects, numeric, verdict FROM full_cover ORDER BY numeric DESC, pg LIMIT 15", ("objects", "facts_a", "facts_b"))
+def busiest_pages(spark, d):
+    return quality.busiest_pages(coverage(spark, d)).select("pg", "objects", "numeric", "verdict")
+
+
 @query("SELECT kind, count(*) AS n, count(DISTINCT pg) AS pages FROM objects GROUP BY kind", ("objects",))
 def objects_by_kind(spark, d):
     return quality.by_kind(frame(spark, d, "objects"))
@@ -465,6 +501,24 @@ def band_values(spark, d):
     return layout.in_band(frame(spark, d, "words"), 5, 25, 8, 20, ["17"]).select("page", "word", "text")
 
 
+@query("""
+SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY round(y0, 1), x0, word, text) AS INTEGER) AS place, text, CAST(text AS DOUBLE) AS value, count(*) OVER (PARTITION BY page) AS found, count(*) OVER (PARTITION BY page) = 3 AS ok
+FROM words WHERE y0 BETWEEN 5 AND 25""", ("words",))
+def ordered_values(spark, d):
+    return layout.band_sequence(frame(spark, d, "words"), 5, 25, 3)
+
+
+@query(r"""
+WITH l AS (SELECT doc_id AS doc, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, trim(unnest(string_split(text, chr(10)))) AS t FROM documents),
+w AS (SELECT *, lag(t, 1) OVER x AS one, lag(t, 2) OVER x AS two FROM l WHERE t <> '' WINDOW x AS (PARTITION BY doc ORDER BY line)),
+n AS (SELECT doc, line, regexp_extract(t, '^([A-Z][a-z]{5,}) ', 1) AS value, CASE WHEN one IS NULL OR contains(one, 'tion') THEN '' WHEN ends_with(one, ':') OR two IS NULL OR contains(two, 'tion') THEN one ELSE two || ' ' || one END AS label
+  FROM w WHERE regexp_matches(t, '^([A-Z][a-z]{5,}) '))
+SELECT doc, CAST(line AS INTEGER) AS line, value, trim(regexp_replace(trim(rtrim(label, ':')), '[0-9]+$', '')) AS label FROM n""")
+def label_lines(spark, d):
+    lines = frame(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    return layout.label_lines(lines, "^([A-Z][a-z]{5,}) ", ["tion"])
+
+
 @query("SELECT page, count(*) AS found, count(*) = 4 AS ok FROM words GROUP BY page", ("words",))
 def count_assertions(spark, d):
     return layout.assert_count(frame(spark, d, "words"), ["page"], 4)
@@ -550,6 +604,11 @@ def eval_scores(spark, d):
     return evaluate.score_card(a).select("answer_id", "values_ok", "terms_ok", "pages_ok", F.array_join("forbidden_hit", " ").alias("forbidden"))
 
 
+@query("SELECT id, mode, tokens FROM eval_rows WHERE id IN (3, 5, 8, 13, 21) ORDER BY id LIMIT 3", ("eval_rows",))
+def pick_questions(spark, d):
+    return evaluate.pick_questions(frame(spark, d, "eval_rows"), [21, 13, 8, 5, 3], 3).select("id", "mode", "tokens")
+
+
 PRICE_SQL = "(VALUES ('large', 10.0, 50.0), ('small', 0.3, 2.5)) AS p(model, price_in, price_out)"
 COST = "coalesce(prompt_tokens * price_in + completion_tokens * price_out, 0) / 1e6"
 

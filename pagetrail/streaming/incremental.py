@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagetrail.operators.evaluate import upsert
 
 
-def upsert_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
+def upsert_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str, order: str | None = None) -> StreamingQuery:
     """K4 for a stream: each micro-batch replaces the rows of its keys.
 
-    Every batch writes a version of its own beside the last, named by the batch, so a batch that is run again after a
+    Of rows of a batch with equal keys the one with the largest ``order`` column stays, without it the largest row, so which one does
+    not depend on the order of arrival. Every batch writes a version of its own beside the last, named by the batch, so a batch that is run again after a
     failure reads the same version and writes the same result."""
     spark = rows.sparkSession
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        new = batch.dropDuplicates(keys)
+        last = F.max_by(F.struct("*"), F.struct(*([order] if order else []), "*")).alias("last")
+        new = batch.groupBy(*[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)]).agg(last).select("last.*")
         old = spark.read.schema(new.schema).parquet(f"{path}/v{epoch - 1}") if epoch else spark.createDataFrame([], new.schema)
         upsert(old, new, keys).write.mode("overwrite").parquet(f"{path}/v{epoch}")
 
@@ -25,6 +28,4 @@ def upsert_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str)
 
 def windowed_counts(events: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """A18 for a stream: calls by status in event-time windows, late rows within the delay counted."""
-    from pyspark.sql import functions as F
-
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "status").agg(F.count(F.lit(1)).alias("n"))
