@@ -1,4 +1,4 @@
-"""The ten operators' queries and their SQL."""
+"""The operators' queries and their SQL."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from .packing import op8_karmarkar_karp
 from .quality import op9_naive_bayes_svm
 from .secrets import op2_randomness_battery
 from .sharding import OP6_SQL, op6_histogram_sort
+from .substring_dedup import OP11_SQL, op11_difference_cover
 from .toxicity import op5_kneser_ney
 from .topk_search import OP10_SQL, op10_threshold_algorithm
 from .warc import OP7_SQL, op7_content_addressed
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_karmarkar_karp": op8_karmarkar_karp,
     "op9_naive_bayes_svm": op9_naive_bayes_svm,
     "op10_threshold_algorithm": op10_threshold_algorithm,
+    "op11_difference_cover": op11_difference_cover,
 }
-ORACLES = {"op6_histogram_sort": OP6_SQL, "op7_content_addressed": OP7_SQL, "op10_threshold_algorithm": OP10_SQL}
+ORACLES = {"op6_histogram_sort": OP6_SQL, "op7_content_addressed": OP7_SQL, "op10_threshold_algorithm": OP10_SQL, "op11_difference_cover": OP11_SQL}

@@ -29,6 +29,7 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK = np.zeros(256, bool)
 _MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<|>"]] = True
 _CODE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_CODE2 = np.random.default_rng(20240502).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -80,9 +81,10 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], data[off[0] : off[-1]]
 
 
-def chunks(col: pa.Array, limit: int = CHUNK_BYTES, split: bool = False, bare: bool = False) -> Iterator[Words]:
+def chunks(col: pa.Array, limit: int = CHUNK_BYTES, split: bool = False, bare: bool = False, lower: bool = True) -> Iterator[Words]:
     """Words of the column's documents, in chunks of about ``limit`` bytes of whole documents.
 
+    lower: A-Z count as a-z.
     bare: words are maximal runs of ASCII letters and digits and of bytes beyond ASCII, so that marks are no part of them.
     split: also cut between an ASCII letter and an ASCII mark other than ``'<|>``; a chunk that holds ``<|`` is
     then left as it is, neither cut so nor lower-cased."""
@@ -93,7 +95,7 @@ def chunks(col: pa.Array, limit: int = CHUNK_BYTES, split: bool = False, bare: b
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         part = data[offsets[lo] : offsets[hi]]
         plain = split and b"<|" in part.tobytes()
-        yield _words(lo, hi, part if plain else _LOWER[part], offsets[lo : hi + 1] - offsets[lo], split and not plain, _NO_WORD if bare else _SPACE)
+        yield _words(lo, hi, part if plain or not lower else _LOWER[part], offsets[lo : hi + 1] - offsets[lo], split and not plain, _NO_WORD if bare else _SPACE)
         lo = hi
 
 
@@ -122,6 +124,40 @@ def _range_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def second_hashes(w: Words) -> np.ndarray:
+    """Another 64-bit hash of each word, by other codes of the bytes: with Words.hash 128 bits a word."""
+    up, down = _power(len(w.data) + 1)
+    total = np.zeros(len(w.data) + 1, np.uint64)
+    np.cumsum(_CODE2[w.data] * up[: len(w.data)], out=total[1:])
+    return mix((total[w.end] - total[w.start]) * down[w.start] ^ (w.end - w.start).astype(np.uint64))
+
+
+def run_hashes(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each of the places on, by prefix sums over the words' hashes."""
+    up, down = _power(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return mix((total[at + k] - total[at]) * down[at])
+
+
+def kept_texts(w: Words, keep: np.ndarray) -> list[bytes]:
+    """Each document's kept words as they are in the data, joined by one space."""
+    n = len(w.data)
+    data = w.data.copy()
+    kept = np.flatnonzero(keep)
+    doc = np.searchsorted(w.first, kept, "right") - 1
+    more = np.zeros(len(kept), bool)  # another kept word of the document follows: white space stands after this one
+    more[:-1] = doc[:-1] == doc[1:]
+    data[w.end[kept[more]]] = 32
+    edge = np.zeros(n + 1, np.int32)
+    edge[w.start[kept]] = 1
+    np.add.at(edge, w.end[kept] + more, -1)
+    inside = np.cumsum(edge[:n]) > 0
+    place = np.concatenate([[0], np.cumsum(inside)])[w.offsets]
+    out = data[inside].tobytes()
+    return [out[a:b] for a, b in zip(place[:-1], place[1:], strict=True)]
+
+
 _STEP = [0x8CB92BA72F3D8DD7 | 1, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x589965CC75374CC3]
 
 
