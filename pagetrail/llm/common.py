@@ -63,12 +63,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     with shuffles_dropped(spark):
-        few_files(df).write.parquet(path)
+        few_files(df).write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out

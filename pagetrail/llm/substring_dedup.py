@@ -16,10 +16,12 @@ id stays whole. An empty table gives no rows. Only id and text are read, whateve
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ from .graph import bloom_bits, bloom_has, bloom_width
 from .wordhash import Words, chunks, kept_texts, run_hashes, second_hashes
 
 WINDOW = 50
+TURNS = 4
 #: Residues whose differences are all residues, each once. Fixed values.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 
@@ -69,16 +72,15 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(released(run), "h long, doc_id long")
 
 
-def candidate_windows(docs: DataFrame, window: int, bits: np.ndarray, width: int) -> DataFrame:
-    """doc_id, text_key, place, w1, w2: every window around an anchor that the bit set may hold."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def candidate_windows(docs: DataFrame, window: int, bits: Broadcast, width: int, turn: int, turns: int) -> DataFrame:
+    """doc_id, text_key, place, w1, w2: every window around an anchor that the bit set may hold, of those whose hash has its turn."""
     period = cover_for(window)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in chunks(batch.column("text"), lower=False):
                 at, h, _ = anchor_places(w, window)
-                at = at[bloom_has(shared.value, (h >> np.uint64(64 - width)).astype(np.int64))]
+                at = at[bloom_has(bits.value, (h >> np.uint64(64 - width)).astype(np.int64))]
                 if not len(at):
                     continue
                 doc, place, left = _places(w)
@@ -86,27 +88,37 @@ def candidate_windows(docs: DataFrame, window: int, bits: np.ndarray, width: int
                 np.add.at(edge, at - np.minimum(period - 1, place[at]), 1)
                 np.add.at(edge, at + 1, -1)
                 at = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (left >= window))
+                w1 = run_hashes(w.hash, at, window)
+                now = w1 % np.uint64(turns) == turn
+                at, w1 = at[now], w1[now]
                 own = pa.array(doc[at])
                 columns = [*(batch.column(c).slice(w.lo, w.hi - w.lo).take(own) for c in ("doc_id", "text_key")), pa.array(place[at].astype(np.int32))]
-                columns += [pa.array(run_hashes(x, at, window).astype(np.int64)) for x in (w.hash, second_hashes(w))]
+                columns += [pa.array(x.astype(np.int64)) for x in (w1, run_hashes(second_hashes(w), at, window))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "place", "w1", "w2"])
 
     return docs.mapInArrow(released(run), "doc_id long, text_key long, place int, w1 long, w2 long")
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_key, places ARRAY<INT>: the windows of each text that also start in a document with a smaller id."""
+def repeated_windows(docs: DataFrame, window: int = WINDOW, turns: int = TURNS) -> DataFrame:
+    """doc_id, text_key, places ARRAY<INT>: the windows of each text that also start in a document with a smaller id.
+
+    turns: the windows are looked up in so many turns, each over all texts, so that only that share of them is on disk at once."""
     rows = texts(docs).filter("doc_id IS NOT NULL").select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
     met = anchors(rows, window).groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h")
     met = materialize(met, "anchors")
     width = bloom_width(met.count())
     bits = bloom_bits(met, F.shiftrightunsigned("h", 64 - width), width)
-    # written, so that both sides of the join are exchanged and a window that many documents hold can be split
-    found = materialize(candidate_windows(rows, window, bits, width), "windows")
-    first = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo")
-    again = found.join(first, ["w1", "w2"]).filter("lo < doc_id")
-    out = materialize(again.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places")), "repeats")
-    discard(met, found)
+    bits = docs.sparkSession.sparkContext.broadcast(bits)
+    parts = []
+    for turn in range(turns):
+        # written, so that both sides of the join are exchanged and a window that many documents hold can be split
+        found = materialize(candidate_windows(rows, window, bits, width, turn, turns), "windows")
+        first = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo")
+        again = found.join(first, ["w1", "w2"]).filter("lo < doc_id")
+        parts.append(materialize(again.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places")), "repeats"))
+        discard(found)
+    out = materialize(reduce(DataFrame.union, parts).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("places")).alias("places")), "repeats")
+    discard(met, *parts)
     return out
 
 
