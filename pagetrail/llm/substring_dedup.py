@@ -111,12 +111,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, turns: int = TURNS)
     bits = docs.sparkSession.sparkContext.broadcast(bits)
     parts = []
     for turn in range(turns):
-        # written, so that both sides of the join are exchanged and a window that many documents hold can be split
+        # both written, so that both sides of the join are exchanged and a window that many documents hold can be split
         found = materialize(candidate_windows(rows, window, bits, width, turn, turns), "windows")
-        first = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo")
+        first = materialize(found.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo"), "first")
         again = found.join(first, ["w1", "w2"]).filter("lo < doc_id")
         parts.append(materialize(again.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places")), "repeats"))
-        discard(found)
+        discard(found, first)
     out = materialize(reduce(DataFrame.union, parts).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("places")).alias("places")), "repeats")
     discard(met, *parts)
     return out

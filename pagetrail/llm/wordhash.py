@@ -151,7 +151,7 @@ def kept_texts(w: Words, keep: np.ndarray) -> list[bytes]:
     data[w.end[kept[more]]] = 32
     edge = np.zeros(n + 1, np.int32)
     edge[w.start[kept]] = 1
-    np.add.at(edge, w.end[kept] + more, -1)
+    edge[w.end[kept] + more] -= 1  # no two words end at one place
     inside = np.cumsum(edge[:n]) > 0
     place = np.concatenate([[0], np.cumsum(inside)])[w.offsets]
     out = data[inside].tobytes()
