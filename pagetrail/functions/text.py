@@ -199,3 +199,25 @@ def colours_close(a: Column, b: Column, tolerance: int = 12) -> Column:
 def guarded(text: Column, advice: Column, verdict: Column, notice: str, warning: str) -> Column:
     """The answer with a warning before a verdict, and a notice after either a request for advice or a verdict."""
     return F.concat(F.when(verdict, warning + "\n\n").otherwise(""), text, F.when(advice | verdict, "\n\n" + notice).otherwise(""))
+
+
+def folded(items: Column, start: Column, step, last) -> Column:
+    """The pieces that a fold over an array gives out, as an array: linear in the items, where appending to the result at each step would copy it each time.
+
+    step(cur, item) gives a struct of out, an array of what is given out (mostly none or one), and cur, the state after the item; last(cur) gives
+    an array of what is given out at the end. Items are folded in blocks of about the square root of their number, so what is copied
+    at each step is a block's result, and the whole result once a block."""
+    none = F.slice(last(start), 1, 0)
+
+    def put(acc: Column, x: Column) -> Column:
+        return let(step(acc["cur"], x), lambda r: F.struct(F.when(F.size(r["out"]) > 0, F.concat(acc["out"], r["out"])).otherwise(acc["out"]).alias("out"), r["cur"].alias("cur")))
+
+    def block(acc: Column, xs: Column) -> Column:
+        return let(F.aggregate(xs, F.struct(none.alias("out"), acc["cur"].alias("cur")), put), lambda r: F.struct(F.concat(acc["out"], r["out"]).alias("out"), r["cur"].alias("cur")))
+
+    def whole(xs: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(xs))).cast("int"), F.lit(1))
+        blocks = F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / width).cast("int")), lambda k: F.slice(xs, k * width + 1, width)))
+        return F.aggregate(F.coalesce(blocks, F.slice(F.array(xs), 1, 0)), F.struct(none.alias("out"), start.alias("cur")), block, lambda acc: F.concat(acc["out"], last(acc["cur"])))
+
+    return let(items, whole)

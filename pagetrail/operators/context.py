@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagetrail.functions import text as X
+from pagetrail.shared import written
 
-from . import evaluate, sections as S
+from . import evaluate
+from . import intervals as I
+from . import sections as S
+from .models import Answerer, call_model
 
-Answerer = Callable[[str], dict]
 NOTICE = "Это сведения из документа, а не инвестиционная рекомендация."
 WARNING = "Внимание: ответ похож на рекомендацию к действию."
 
 
 def route(replies: DataFrame, known: DataFrame, least_confidence: float = 0.6) -> DataFrame:
-    """(question_id, ids, confidence, need_full, widen) from router replies (question_id, reply).
+    """(question_id, ids, confidence, need_full, widen) from router replies (question_id, reply, and the question's doc).
 
-    Unknown ids go; a reply that is no JSON object, or that names no known id, asks for the full document; confidence under
+    Unknown ids go, and so do those of another document where both sides name it; a reply that is no JSON object, or that names no known id, asks for the full document; confidence under
     the limit asks to widen the choice to the parents."""
     v = replies.withColumn("v", X.repair_json(F.col("reply")))
     get = lambda path, kind: F.try_variant_get("v", path, kind)
-    rows = v.select("question_id", get("$.sections", "array<string>").alias("named"), F.coalesce(get("$.confidence", "double"), F.lit(0.0)).alias("confidence"), F.coalesce(get("$.need_full", "boolean"), F.lit(False)).alias("need_full"))
-    named = rows.select("question_id", F.posexplode("named").alias("rank", "id")).join(known.select("id").distinct(), "id")
+    rows = v.select("question_id", *[c for c in ("doc",) if c in replies.columns], get("$.sections", "array<string>").alias("named"), F.coalesce(get("$.confidence", "double"), F.lit(0.0)).alias("confidence"), F.coalesce(get("$.need_full", "boolean"), F.lit(False)).alias("need_full"))
+    on = ["doc", "id"] if "doc" in replies.columns and "doc" in known.columns else ["id"]
+    named = rows.select("question_id", *on[:-1], F.posexplode("named").alias("rank", "id")).join(known.select(*on).distinct(), on)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"])
     out = rows.join(named.groupBy("question_id").agg(ids.alias("ids")), "question_id", "left")
     full = F.col("need_full") | F.col("ids").isNull()
@@ -37,20 +38,32 @@ def choose(decisions: DataFrame, questions: DataFrame, sections: DataFrame) -> D
     """R7, J5 applied: (question_id, id, rank) for build(): the ids of each decision in their order, then, where it asks to widen, the
     top sections that contain one of them; no repeats. A question that needs the full document gets no row."""
     own = decisions.filter("NOT need_full").join(questions.select("question_id", "doc"), "question_id").select("question_id", "doc", "widen", F.posexplode("ids").alias("rank", "id"))
-    spans = own.filter("widen").join(sections.select("doc", "id", F.col("page_from").alias("lo"), F.col("page_to").alias("hi")), ["doc", "id"]).select("question_id", "doc", "lo", "hi")
-    tops = sections.filter("level = 1").select("doc", "id", "seq", "page_from", "page_to")
-    parents = spans.join(tops, "doc").filter("page_from <= lo AND hi <= page_to").select("question_id", "id", F.struct(F.lit(1).alias("part"), F.col("seq").cast("long").alias("place")).alias("at"))
-    both = own.select("question_id", "id", F.struct(F.lit(0).alias("part"), F.col("rank").cast("long").alias("place")).alias("at")).union(parents)
-    first = both.groupBy("question_id", "id").agg(F.min("at").alias("at"))
-    return first.select("question_id", "id", F.row_number().over(Window.partitionBy("question_id").orderBy("at")).alias("rank"))
+    plain, wide = own.filter("NOT widen"), own.filter("widen")
+    first = plain.groupBy("question_id", "id").agg(F.min("rank").alias("rank"))
+    order = Window.partitionBy("question_id").orderBy("rank")
+    return first.select("question_id", "id", F.row_number().over(order).alias("rank")).union(S.widened(wide.drop("widen"), sections, ["question_id"]).select("question_id", "id", "rank"))
+
+
+FACT = ("t", "m", "s", "p", "v", "u", "pg")
+
+
+def _facts_of(docs: DataFrame, kept: DataFrame, facts: DataFrame, anchors: list[int]) -> DataFrame:
+    """(question_id, part, seq, FACT): the facts of each question, each once; those of anchor pages only come last (part 1)."""
+    full, some = docs.filter("mode = 'full'").select("question_id", "doc"), docs.filter("mode <> 'full'").select("question_id", "doc")
+    every = facts.join(full, "doc").withColumn("part", F.lit(0))
+    spans = I.disjoint(kept.filter("mode <> 'full'"), ["question_id", "doc"], "page_from", "page_to")
+    own = I.stabbed(facts, spans, ["doc"], "pg", "page_from", "page_to").drop("page_from", "page_to").withColumn("part", F.lit(0))
+    anchored = facts.filter(F.col("pg").isin(anchors)).join(some, "doc").join(own.select("question_id", "seq"), ["question_id", "seq"], "left_anti").withColumn("part", F.lit(1))
+    cols = ["question_id", "part", "seq", *FACT]
+    return every.select(*cols).unionByName(own.select(*cols)).unionByName(anchored.select(*cols))
 
 
 def build(questions: DataFrame, sections: DataFrame, facts: DataFrame, chosen: DataFrame, anchors: list[int], aggregates: DataFrame | None = None) -> DataFrame:
     """question_id, mode, prompt, pages, chars for questions (question_id, question, doc, mode).
 
     chosen: question_id, id. Mode full takes the top sections; a choice that finds nothing falls back to them and is labelled
-    so. Of a choice, sections inside another chosen one go; of the top sections none. Facts are those on the chosen pages and the anchor
-    pages, or all in mode full and the fallback. aggregates (doc, aggregates as JSON) go with every prompt of their document."""
+    so. Of a choice, sections inside another chosen one go; of the top sections none. Facts are all of the document in mode full, else those on the pages of
+    the sections that were taken (in the fallback too, so a fact without a page is in mode full only), then those of the anchor pages. aggregates (doc, aggregates as JSON) go with every prompt of their document."""
     q = questions.select("question_id", "question", "doc", "mode")
     top = sections.filter("level = 1")
     own = lambda s: s.withColumn("d", F.col("doc")).withColumn("doc", F.concat_ws("\u0001", "doc", F.col("question_id").cast("string")))
@@ -62,10 +75,7 @@ def build(questions: DataFrame, sections: DataFrame, facts: DataFrame, chosen: D
     document = F.array_join(F.transform(F.array_sort(F.collect_list(xml)), lambda s: s["x"]), "\n\n")
     ends = F.array_sort(F.array_distinct(F.concat(F.collect_set(F.col("page_from").cast("long")), F.collect_set(F.col("page_to").cast("long")))))
     docs = kept.groupBy("question_id", "question", "doc", "mode").agg(document.alias("document"), ends.alias("pages"))
-    f, k = facts.filter("v IS NOT NULL").alias("f"), kept.select("question_id", "doc", "mode", "page_from", "page_to").alias("k")
-    inside = f.join(k, F.col("f.doc") == F.col("k.doc")).filter(F.col("k.mode").endswith("full") | F.col("f.pg").between(F.col("k.page_from"), F.col("k.page_to")) | F.col("f.pg").isin(anchors))
-    first = F.min(F.when(F.col("k.mode").endswith("full") | F.col("f.pg").between(F.col("k.page_from"), F.col("k.page_to")), 0).otherwise(1)).alias("part")
-    per = inside.groupBy("k.question_id", "f.seq").agg(first, *[F.first(f"f.{c}").alias(c) for c in ("t", "m", "s", "p", "v", "u", "pg")])
+    per = _facts_of(docs, kept, facts.filter("v IS NOT NULL").select("doc", "seq", *FACT), anchors)
     fact = F.struct("part", "seq", F.struct("t", "m", "s", "p", "v", "u", "pg").alias("x"))
     numbers = X.facts_json(F.transform(F.array_sort(F.collect_list(fact)), lambda z: z["x"]))
     out = docs.join(per.groupBy("question_id").agg(numbers.alias("numbers")), "question_id", "left")
@@ -76,26 +86,6 @@ def build(questions: DataFrame, sections: DataFrame, facts: DataFrame, chosen: D
     return out.select("question_id", "question", "mode", "prompt", "pages", F.length("prompt").alias("chars"), X.token_estimate(F.col("prompt")).alias("tokens"))
 
 
-def call_model(prompts: DataFrame, answerer: Answerer) -> DataFrame:
-    """Each prompt's reply by a client that is called batch-wise on the executors.
-
-    The client takes a prompt and returns text, prompt_tokens, completion_tokens and latency_s; a failure becomes a row with its
-    error and zero counts instead of ending the job."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for p in b["prompt"]:
-                try:
-                    out.append({"text": "", "prompt_tokens": 0, "completion_tokens": 0, "latency_s": 0.0, "error": None} | answerer(p))
-                except Exception as e:  # the model is outside; whatever it raises is its row's error
-                    out.append({"text": "", "prompt_tokens": 0, "completion_tokens": 0, "latency_s": 0.0, "error": str(e)})
-            yield pd.concat([b.reset_index(drop=True), pd.DataFrame(out, columns=["text", "prompt_tokens", "completion_tokens", "latency_s", "error"])], axis=1)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
-    return prompts.mapInPandas(run, f"{fields}, text string, prompt_tokens bigint, completion_tokens bigint, latency_s double, error string")
-
-
 def guard(answers: DataFrame) -> DataFrame:
     """Flags (advice_guarded: advice was asked for, or a verdict given), decorated text, unverified numbers of the raw text, pages cited in the decorated one."""
     advice, verdict = X.is_advice_request(F.col("question")), X.has_verdict(F.col("text"))
@@ -104,6 +94,48 @@ def guard(answers: DataFrame) -> DataFrame:
     return rows.withColumn("cited_pages", X.citations(F.col("text"))).withColumn("has_citations", F.size("cited_pages") > 0)
 
 
-def answer(questions: DataFrame, sections: DataFrame, facts: DataFrame, chosen: DataFrame, answerer: Answerer, anchors: list[int]) -> DataFrame:
-    """Entry point: contexts, model, guards."""
-    return guard(call_model(build(questions, sections, facts, chosen, anchors), answerer))
+def answer(questions: DataFrame, sections: DataFrame, facts: DataFrame, chosen: DataFrame, answerer: Answerer, anchors: list[int], aggregates: DataFrame | None = None, **options) -> DataFrame:
+    """Contexts with the documents' aggregates (S9, R8), model, guards. options go to the calls."""
+    return guard(call_model(build(questions, sections, facts, chosen, anchors, aggregates), answerer, **options))
+
+
+#: What the router is told before outline and question.
+ROUTER_TASK = "Выбери разделы, в которых есть ответ. Верни JSON {\"sections\": [id, ...], \"confidence\": 0..1, \"need_full\": bool}."
+
+
+def router_prompts(questions: DataFrame, sections: DataFrame, max_level: int = 4) -> DataFrame:
+    """(question_id, question, doc, mode, prompt) of the questions in mode router: task, the document's outline, question. A document without
+    sections of these levels has an empty outline."""
+    q = questions.filter("mode = 'router'").join(S.outline(sections, max_level), "doc", "left")
+    text = F.concat(F.lit(ROUTER_TASK + "\n\n<outline>\n"), F.coalesce("outline", F.lit("")), F.lit("\n</outline>\n\n<question>"), F.coalesce("question", F.lit("")), F.lit("</question>"))
+    return q.select("question_id", "question", "doc", "mode", text.alias("prompt"))
+
+
+def selected(questions: DataFrame, sections: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(questions, chosen) for build() from the router's replies (question_id, doc, reply): a question that needs the full document
+    goes there in mode full; so does one whose router call failed (reply NULL). Decisions are written, as several parts of the context's plan read them."""
+    decisions = written(route(replies, sections), "decisions")
+    need = decisions.select("question_id", "need_full")
+    q = questions.join(need, "question_id", "left").withColumn("mode", F.when(F.coalesce("need_full", F.lit(False)), "full").otherwise(F.col("mode")))
+    return q.select("question_id", "question", "doc", "mode"), written(choose(decisions, questions, sections), "chosen")
+
+
+def ask(questions: DataFrame, sections: DataFrame, facts: DataFrame, router: Answerer, answerer: Answerer, anchors: list[int], aggregates: DataFrame | None = None, searched: DataFrame | None = None, prices: DataFrame | None = None, **options) -> DataFrame:
+    """Entry point, from questions (question_id, question, doc, mode) to guarded answers: in mode router the router's prompt, call and decision, widened where
+    it is unsure; in mode vector the sections found by search (searched: question_id, id); then context with facts and aggregates, model call, guards and cost.
+
+    The router's tokens and time count with the answer's. prices: model, price_in, price_out. The replies are written before they are used,
+    so that each call is made once (options: see call_model)."""
+    routed = written(call_model(router_prompts(questions, sections), router, **options), "routed")
+    q, chosen = selected(questions, sections, routed.select("question_id", "doc", F.col("text").alias("reply")))
+    if searched is not None:
+        chosen = chosen.select("question_id", "id").unionByName(questions.filter("mode = 'vector'").select("question_id").join(searched, "question_id").select("question_id", "id"))
+    prompts = build(q, sections, facts, chosen.select("question_id", "id"), anchors, aggregates)
+    replies = written(call_model(prompts, answerer, **options), "answers")
+    out = guard(replies)
+    spent = routed.select("question_id", *[F.col(c).alias(f"router_{c}") for c in ("prompt_tokens", "completion_tokens", "latency_s")])
+    out = out.join(spent, "question_id", "left")
+    if prices is not None:
+        out = evaluate.with_cost(out, prices)
+    both = lambda c: F.col(c) + F.coalesce(f"router_{c}", F.lit(0))
+    return out.withColumns({c: both(c) for c in ("prompt_tokens", "completion_tokens", "latency_s")}).drop("router_prompt_tokens", "router_completion_tokens", "router_latency_s")

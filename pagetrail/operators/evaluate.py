@@ -55,6 +55,11 @@ def passed(values_ok: Column, pages_ok: Column, terms_ok: Column, n_forbidden: C
     return fine & (n_forbidden == 0) & ~verdict_leaked & (n_unverified == 0)
 
 
+def judged(rows: DataFrame) -> DataFrame:
+    """score_card() of answers with their unverified numbers (unverified), and whether each passed."""
+    return score_card(rows).withColumn("passed", passed(F.col("values_ok"), F.col("pages_ok"), F.col("terms_ok"), F.size("forbidden_hit"), F.col("verdict_leaked"), F.size(F.coalesce("unverified", F.array().cast("array<string>")))))
+
+
 def upper_median(col: str) -> Column:
     """The middle value, of two the larger: the discrete median from above, which counts values instead of gathering rows."""
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{col}` DESC)")

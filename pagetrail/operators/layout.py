@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagetrail.functions.numbers import is_value, norm_num
-from pagetrail.functions.text import colours_close, let, rgb
+from pagetrail.functions.text import colours_close, folded, let, rgb
 
 
 def reading_order(digits: int = 1) -> list[Column]:
@@ -17,23 +17,24 @@ def reading_order(digits: int = 1) -> list[Column]:
 
 def merge_adjacent(words: DataFrame, gap: float = 3.2, line: float = 1.2) -> DataFrame:
     """Words of a page in reading order, joined to the piece before while they begin 0..gap after its right edge
-    and within ``line`` of its first word's height. A fold over the page's words, as each step looks at what was joined."""
+    and within ``line`` of its first word's height. A fold over the page's words, as each step looks at what was joined,
+    linear in their number."""
     piece = "struct<x0:double,y0:double,x1:double,y1:double,text:string>"
     read = F.array_sort(F.collect_list(F.struct(F.round("y0", 1).alias("r"), "x0", "word", "text", "y0", "x1", "y1")))
-    start = F.struct(F.array().cast(f"array<{piece}>").alias("out"), F.lit(None).cast(piece).alias("cur"))
 
     def shape(x0, y0, x1, y1, text):
         return F.struct(x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), x1.cast("double").alias("x1"), y1.cast("double").alias("y1"), text.alias("text"))
 
-    def step(acc, w):
-        cur = acc["cur"]
+    def step(cur, w):
         dx = w["x0"] - cur["x1"]
-        joins = (F.abs(w["y0"] - cur["y0"]) < line) & (dx >= 0) & (dx < gap)
+        joins = F.coalesce((F.abs(w["y0"] - cur["y0"]) < line) & (dx >= 0) & (dx < gap), F.lit(False))
         longer = shape(cur["x0"], cur["y0"], F.greatest(cur["x1"], w["x1"]), F.greatest(cur["y1"], w["y1"]), F.concat(cur["text"], w["text"]))
-        return F.when(joins, F.struct(acc["out"].alias("out"), longer.alias("cur"))).otherwise(F.struct(F.concat(acc["out"], F.array(cur)).alias("out"), shape(w["x0"], w["y0"], w["x1"], w["y1"], w["text"]).alias("cur")))
+        done = F.when(joins | cur.isNull(), none).otherwise(F.array(cur))
+        return F.struct(done.alias("out"), F.when(joins, longer).otherwise(shape(w["x0"], w["y0"], w["x1"], w["y1"], w["text"])).alias("cur"))
 
-    folded = F.aggregate("words", start, step, lambda acc: F.filter(F.concat(acc["out"], F.array(acc["cur"])), lambda x: x.isNotNull()))
-    return words.groupBy("page").agg(read.alias("words")).select("page", F.explode(folded).alias("p")).select("page", "p.*")
+    none = F.array().cast(f"array<{piece}>")
+    pieces = folded(F.col("words"), F.lit(None).cast(piece), step, lambda cur: F.when(cur.isNull(), none).otherwise(F.array(cur)))
+    return words.groupBy("page").agg(read.alias("words")).select("page", F.explode(pieces).alias("p")).select("page", "p.*")
 
 
 def in_band(words: DataFrame, y_lo: float, y_hi: float, x_lo: float, x_hi: float, exclude: list[str] = (), allow_pct: bool = False) -> DataFrame:
@@ -94,6 +95,40 @@ def assign_ticks(ticks: DataFrame, numbers: DataFrame, most: float = 22.0) -> Da
     return t.join(n, "page").select("page", F.explode(F.aggregate("ticks", start, step)["out"]).alias("o")).select("page", "o.tick", "o.value")
 
 
+def tick_chart(ticks: DataFrame, numbers: DataFrame, expected: int | None = None, most: float = 22.0) -> DataFrame:
+    """(page, tick, value, dx, status, n_ticks) for every tick: assign_ticks() with what was not filled and why.
+
+    status: ok; none_free (no number of the page is left for it); too_far (the nearest free one is farther than most: value NULL, its distance in dx); no_place (the
+    tick's x is NULL); and, for all ticks of a page that has not the expected number of them, tick_count, as their labels would be wrong: no value then.
+    A tick may stand twice; each takes a number of its own."""
+    t = ticks.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("tick").cast("long").alias("tick")))).alias("ticks"))
+    own = F.struct(F.col("x").cast("double").alias("x"), F.col("value").cast("double").alias("value"))
+    n = numbers.filter("x IS NOT NULL").groupBy(F.col("page").alias("of")).agg(F.array_sort(F.collect_list(own)).alias("free"))
+    kind = "struct<tick:bigint,value:double,dx:double,status:string>"
+    free = F.coalesce(F.transform("free", lambda v, i: F.struct(i.alias("i"), v["x"].alias("x"), v["value"].alias("value"))), F.array().cast("array<struct<i:int,x:double,value:double>>"))
+
+    def step(cur, tick):
+        near = F.array_min(F.transform(cur, lambda v: F.struct(F.abs(v["x"] - tick["x"]).alias("d"), v["i"].alias("i"), v["value"].alias("value"))))
+
+        def take(best):
+            fits = F.coalesce(best["d"] <= most, F.lit(False))
+            status = F.when(tick["x"].isNull(), "no_place").when(best.isNull(), "none_free").when(fits, "ok").otherwise("too_far")
+            row = F.struct(tick["tick"].alias("tick"), F.when(fits, best["value"]).alias("value"), best["d"].alias("dx"), status.alias("status"))
+            return F.struct(F.array(row).alias("out"), F.when(fits, F.filter(cur, lambda v: v["i"] != best["i"])).otherwise(cur).alias("cur"))
+
+        return let(near, take)
+
+    rows = t.join(n, t["page"] == n["of"], "left").select("page", F.size("ticks").alias("n_ticks"), F.explode(folded(F.col("ticks"), free, step, lambda cur: F.array().cast(f"array<{kind}>"))).alias("o"))
+    wrong = F.lit(False) if expected is None else F.col("n_ticks") != expected
+    return rows.select("page", "o.tick", F.when(~wrong, F.col("o.value")).alias("value"), F.when(~wrong, F.round("o.dx", 4)).alias("dx"), F.when(wrong, "tick_count").otherwise(F.col("o.status")).alias("status"), "n_ticks")
+
+
+def demanded(chart: DataFrame) -> DataFrame:
+    """tick_chart()'s rows, if every tick has its number; else the job fails and names the first page that it meets that has not."""
+    where = F.concat_ws(" ", F.lit("page"), F.col("page").cast("string"), F.lit("tick"), F.col("tick").cast("string"), F.col("status"))
+    return chart.withColumn("status", F.when(F.col("status") == "ok", F.col("status")).otherwise(F.raise_error(where).cast("string")))
+
+
 def row_labels(anchors: DataFrame, words: DataFrame, reach: float = 21.0) -> DataFrame:
     """For each row anchor the words within ``reach`` of its height, in reading order, as one label."""
     a, w = anchors.alias("a"), words.alias("w")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetrail.functions import patterns as P
 from pagetrail.functions.numbers import norm_period, norm_unit
 from pagetrail.functions.text import canon_metric, jaccard, norm_text, split_metric, token_set
+from pagetrail.shared import removed, written
 
 
 def keyed(facts: DataFrame) -> DataFrame:
@@ -46,10 +49,57 @@ def candidates(left: DataFrame, right: DataFrame, digits: int = 6) -> DataFrame:
     return rows.select(F.col("a.pg").alias("pg"), F.col("a.id").alias("pi"), F.col("b.id").alias("vi"), "score", same_value(F.col("a.v"), F.col("b.v")).alias("same"))
 
 
-def assign(pairs: DataFrame) -> DataFrame:
+SMALL_PAGE = 256
+
+
+def assign(pairs: DataFrame, small_page: int = SMALL_PAGE) -> DataFrame:
     """Greedy one-to-one assignment on every page: best score first, then equal values, then ids.
 
-    A fold over the page's sorted candidates in a higher-order function; pages are independent."""
+    Pages of up to small_page candidates are folded, each by itself; larger ones go through rounds of mutually best pairs, which give the
+    same assignment. Which way a page goes changes its cost only."""
+    size = pairs.groupBy("pg").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small_page).select("pg")
+    large = [r.pg for r in size.limit(LISTED + 1).collect()]
+    if not large:
+        return folded(pairs)
+    if len(large) <= LISTED:
+        own = F.coalesce(F.col("pg").isin(large), F.lit(None in large))
+        return folded(pairs.filter(~own)).unionByName(mutual_rounds(pairs.filter(own)))
+    pairs = written(pairs, "pairs")
+    return folded(pairs.join(size, pairs["pg"].eqNullSafe(size["pg"]), "left_anti")).unionByName(mutual_rounds(pairs.join(size, pairs["pg"].eqNullSafe(size["pg"]), "left_semi")))
+
+
+LISTED = 100
+_ORDER = ["pg", "pi", "vi", "score", "same"]
+
+
+def mutual_rounds(pairs: DataFrame) -> DataFrame:
+    """Greedy assignment as joins. In a round, each pair that is the best of both its sides is taken, and whatever shares a side with one goes.
+
+    Under a total order the greedy choice takes exactly those: no pair before it can touch its sides. Every round takes the best pair of each page at
+    least; rounds end when no pair is left. A side with many candidates is pre-aggregated, never gathered."""
+    best = F.struct((-F.col("score")).alias("a"), (~F.col("same")).alias("b"), "pi", "vi")
+    rest, taken = written(pairs.select(*_ORDER), "pairs"), []
+    while not rest.isEmpty():
+        left = rest.groupBy("pg", "pi").agg(F.min(best).alias("l")).select("pg", "pi", F.col("l.vi").alias("vi"))
+        right = rest.groupBy("pg", "vi").agg(F.min(best).alias("r")).select("pg", F.col("r.pi").alias("pi"), "vi")
+        both = left.alias("l").join(right.alias("r"), F.col("l.pg").eqNullSafe(F.col("r.pg")) & (F.col("l.pi") == F.col("r.pi")) & (F.col("l.vi") == F.col("r.vi"))).select("l.pg", "l.pi", "l.vi")
+        taken.append(written(_matching(rest, both, ["pi", "vi"], "left_semi"), "taken"))
+        after = written(_matching(_matching(rest, taken[-1], ["pi"], "left_anti"), taken[-1], ["vi"], "left_anti"), "pairs")
+        removed(rest.sparkSession, rest._written_path)
+        rest = after
+    return reduce(DataFrame.unionByName, [t.dropDuplicates(["pg", "pi", "vi"]) for t in taken], rest)
+
+
+def _matching(rows: DataFrame, other: DataFrame, on: list[str], how: str) -> DataFrame:
+    a, b = rows.alias("x"), other.select("pg", *on).distinct().alias("y")
+    same = F.col("x.pg").eqNullSafe(F.col("y.pg"))
+    for c in on:
+        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    return a.join(b, same, how)
+
+
+def folded(pairs: DataFrame) -> DataFrame:
+    """The assignment of each page by a fold over its sorted candidates in a higher-order function, for pages of few candidates."""
     item = F.struct((-F.col("score")).alias("a"), (~F.col("same")).alias("b"), "pi", "vi", "score", "same")
     kept = "array<struct<pi:bigint,vi:bigint,score:double,same:boolean>>"
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagetrail.functions.text import searchable, tokens
+from pagetrail.functions.text import folded, searchable, tokens
+from pagetrail.shared import children, exists, removed, written
 
 MAX_CHARS, OVERLAP, TOP_K, K1, B = 6000, 400, 8, 1.5, 0.75
 
@@ -15,20 +16,19 @@ def chunk_texts(text: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP
     """Pieces of a text: whole if short, else paragraphs packed up to max_chars, each piece starting with the end
     of the one before. A paragraph is never cut.
 
-    A fold over the paragraphs in a higher-order function, without Python."""
+    A fold over the paragraphs in higher-order functions, without Python, linear in their number."""
     text = F.trim(text)
     sep = F.lit(separator)
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+    none = F.array().cast("array<string>")
 
-    def step(acc: Column, p: Column) -> Column:
-        cur = acc["cur"]
+    def step(cur: Column, p: Column) -> Column:
         full = (F.length(cur) + F.length(p) > max_chars) & (cur != "")
         start = F.when(F.length(cur) > overlap, F.right(cur, F.lit(overlap))).otherwise(cur)
         grown = F.when(cur == "", p).otherwise(F.concat(cur, sep, p))
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(cur))).otherwise(acc["done"]).alias("done"), F.when(full, F.concat(start, sep, p)).otherwise(grown).alias("cur"))
+        return F.struct(F.when(full, F.array(cur)).otherwise(none).alias("out"), F.when(full, F.concat(start, sep, p)).otherwise(grown).alias("cur"))
 
-    packed = F.aggregate(F.split(text, separator, -1), empty, step, lambda acc: F.filter(F.concat(acc["done"], F.array(acc["cur"])), lambda x: x != ""))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) <= max_chars, F.array(text)).otherwise(packed)
+    packed = F.filter(folded(F.split(text, separator, -1), F.lit(""), step, lambda cur: F.array(cur)), lambda x: x != "")
+    return F.when(F.length(text) == 0, none).when(F.length(text) <= max_chars, F.array(text)).otherwise(packed)
 
 
 def chunks(sections: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, separator: str = "\n\n") -> DataFrame:
@@ -38,10 +38,10 @@ def chunks(sections: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERL
 
 
 def chunk_documents(pieces: DataFrame) -> DataFrame:
-    """Chunks as (doc_id, section_id, text) for bm25(): what is searched is title, pages and text. The id holds document,
+    """Chunks as (doc_id, doc, section_id, text) for bm25(): what is searched is title, pages and text. The id holds document,
     section and place of the chunk."""
     name = F.concat_ws(":", "doc", F.col("seq").cast("string"), F.col("chunk_ix").cast("string"))
-    return pieces.select(name.alias("doc_id"), "section_id", searchable(F.col("section_title"), F.col("page_from"), F.col("page_to"), F.col("chunk")).alias("text"))
+    return pieces.select(name.alias("doc_id"), "doc", "section_id", searchable(F.col("section_title"), F.col("page_from"), F.col("page_to"), F.col("chunk")).alias("text"))
 
 
 def write_index(docs: DataFrame, path: str) -> None:
@@ -69,14 +69,28 @@ def _terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
+#: Up to so many asked terms are written into the plan, so that tokens are dropped before they become rows.
+LISTED_TERMS = 1000
+
+
+def asked_terms(terms: DataFrame) -> list[str] | None:
+    """The distinct asked terms, or None if there are more than LISTED_TERMS."""
+    found = [r.term for r in terms.select("term").distinct().limit(LISTED_TERMS + 1).collect()]
+    return found if len(found) <= LISTED_TERMS else None
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) of every document that shares a token with a query (query_id, query).
 
-    Tokens that no query asks for are dropped before anything is shuffled: what moves is the matching postings, not the corpus. Repeated query tokens count each time."""
-    lengths = docs.select("doc_id", tokens(F.col("text")).alias("toks"))
+    A text is split once. Tokens that no query asks for are dropped inside its array, before any becomes a row: what moves is the matching postings, not the
+    corpus. Beyond LISTED_TERMS asked terms they are dropped by a join instead. Repeated query tokens count each time."""
     terms = _terms(queries)
-    vocabulary = terms.select("term").distinct()
-    posted = lengths.select("doc_id", F.size("toks").alias("len"), F.explode("toks").alias("term")).join(vocabulary, "term", "left_semi")
+    asked = asked_terms(terms)
+    lengths = docs.select("doc_id", tokens(F.col("text")).alias("toks"))
+    if asked is None:
+        posted = lengths.select("doc_id", F.size("toks").alias("len"), F.explode("toks").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    else:
+        posted = lengths.select("doc_id", F.size("toks").alias("len"), F.explode(F.filter("toks", lambda t: t.isin(asked))).alias("term"))
     tf = posted.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
     return _scores(terms, tf, _corpus(lengths), k1, b)
 
@@ -96,6 +110,74 @@ def top_k(scores: DataFrame, k: int = TOP_K, digits: int | None = None) -> DataF
     return scores.withColumn("score", s).filter("score > 0").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+# ---------------------------------------------------------------- an index that is kept, with block maxima
+
+BLOCK_DOCS = 512
+
+
+def signature(docs: DataFrame) -> str:
+    """What tells one corpus (doc_id, text) from another: its rows and a sum over their hashes, in no order."""
+    row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).cast("decimal(38,0)")).alias("s")).first()
+    return f"{row.n}-{row.s or 0}"
+
+
+def open_index(docs: DataFrame, path: str, block_docs: int = BLOCK_DOCS, k1: float = K1, b: float = B) -> str:
+    """The folder of the corpus's index under ``path``. It is built if there is none for these texts, and those of other texts go then.
+
+    The index holds, for each term, its postings in blocks of documents, a document being in the same block for every term, with the largest share of a
+    score that a posting of the block can give (without idf). The folder is named by the texts' signature and the parameters; it counts once all of it is written."""
+    spark = docs.sparkSession
+    name = f"{signature(docs)}-{block_docs}-{k1:g}-{b:g}"
+    home = f"{path}/{name}"
+    if exists(spark, f"{home}/corpus/_SUCCESS"):
+        return home
+    lengths = written(docs.select("doc_id", tokens(F.col("text")).alias("toks")), "tokens")
+    corpus = _corpus(lengths).select("n", F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl"), F.greatest(F.ceil(F.col("n") / block_docs), F.lit(1)).alias("blocks"))
+    tf = lengths.select("doc_id", F.size("toks").alias("len"), F.explode("toks").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.greatest(F.col("len"), F.lit(1)) / F.col("avgdl")))
+    blocked = tf.crossJoin(F.broadcast(corpus)).select("term", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"), F.struct("doc_id", part.alias("part")).alias("p"))  # corpus: one row
+    lists = blocked.groupBy("term", "block").agg(F.collect_list("p").alias("postings"), F.max("p.part").alias("most"), F.count(F.lit(1)).alias("n"))
+    lists.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{home}/postings")
+    spark.read.parquet(f"{home}/postings").groupBy("term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{home}/terms")
+    corpus.write.mode("overwrite").parquet(f"{home}/corpus")
+    removed(spark, lengths._written_path)
+    for other in children(spark, path):
+        if other != name:
+            removed(spark, f"{path}/{other}")
+    return home
+
+
+def top_k_indexed(spark: SparkSession, home: str, queries: DataFrame, k: int = TOP_K, digits: int | None = None) -> DataFrame:
+    """top_k(bm25(...)) from open_index()'s folder: (query_id, doc_id, score, rank).
+
+    Blocks end early: a query first scores its most promising blocks, those whose bounds (the sums of its terms' block maxima) are the largest and which hold k
+    documents at least, and the kth score found there is one that others must reach. Of the rest only blocks whose bound reaches it are opened. Bounds are read
+    without the postings."""
+    terms = _terms(queries)
+    asked = asked_terms(terms)
+    one = lambda d: d if asked is None else d.filter(F.col("term").isin(asked))  # noqa: E731  reaches the files' statistics
+    df, corpus = one(spark.read.parquet(f"{home}/terms")), spark.read.parquet(f"{home}/corpus")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = terms.join(df, "term").crossJoin(F.broadcast(corpus.select("n"))).select("query_id", "term", (F.col("times") * idf).alias("weight"))  # corpus: one row
+    postings = one(spark.read.parquet(f"{home}/postings"))
+    # a document holds one of a block's terms at least, so the longest list counts documents
+    bound = weight.join(postings.select("term", "block", "most", F.col("n").alias("held")), "term").groupBy("query_id", "block").agg(F.sum(F.col("weight") * F.col("most")).alias("bound"), F.max("held").alias("held"))
+    bound = written(bound, "bounds")
+    by = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+    before = F.coalesce(F.sum("held").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lead = bound.withColumn("before", before).filter(F.col("before") < k).select("query_id", "block")
+
+    def scored(blocks: DataFrame) -> DataFrame:
+        opened = postings.join(blocks.join(weight, "query_id"), ["term", "block"]).select("query_id", "weight", F.explode("postings").alias("p"))
+        return opened.groupBy("query_id", "p.doc_id").agg(F.sum(F.col("weight") * F.col("p.part")).alias("score"))
+
+    first = top_k(scored(lead), k, digits)
+    reach = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("reach"))
+    slack = 1e-9 if digits is None else 10.0**-digits
+    rest = bound.join(reach, "query_id", "left").filter(F.col("reach").isNull() | (F.col("bound") + slack >= F.col("reach"))).select("query_id", "block")
+    return top_k(scored(rest), k, digits)
+
+
 def section_ids(hits: DataFrame) -> DataFrame:
     """Distinct sections of ranked chunks by their best rank. hits: query_id, section_id, rank."""
     first = hits.groupBy("query_id", "section_id").agg(F.min("rank").alias("best"))

@@ -1,7 +1,7 @@
 """Sections of documents as page intervals: ends, leaves, containment, widening, outline.
 
-A section row has doc, seq (bookmark order), id, title, level, page_from, page_to and text. All joins carry the
-document as their equality key, so page intervals are only compared within a document.
+A section row has doc, seq (bookmark order), id, title, level, page_from, page_to and text. Pages meet intervals by
+an index (see intervals), never by comparing all of a document.
 """
 
 from __future__ import annotations
@@ -12,7 +12,12 @@ from pyspark.sql.window import Window
 
 from pagetrail.functions.text import outline_line, slug
 
+from .intervals import on_some_page, stabbed
+
 MAX_LEVEL = 9
+PART_PAGES = 4096
+#: Fixed value: the title of a document that is a section as a whole.
+WHOLE_TITLE = "Документ"
 
 
 def _known_level(max_level: int) -> Column:
@@ -37,6 +42,41 @@ def with_ids(sections: DataFrame) -> DataFrame:
     return sections.withColumn("id", slug(F.col("seq"), F.col("title")))
 
 
+def whole_documents(pages: DataFrame, bookmarks: DataFrame) -> DataFrame:
+    """(doc, seq, title, level, page_from, page_to) of the documents without a bookmark: each is one section."""
+    rest = pages.groupBy("doc").agg(F.max("page").cast("long").alias("page_to")).join(bookmarks.select("doc").distinct(), "doc", "left_anti")
+    return rest.select("doc", F.lit(1).cast("long").alias("seq"), F.lit(WHOLE_TITLE).alias("title"), F.lit(1).alias("level"), F.lit(1).cast("long").alias("page_from"), "page_to")
+
+
+def section_pages(sections: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc, seq, page, text): every page of every section, a row each. Sections are opened into their pages, so a page's text moves once,
+    to an equality join. Pages that are not there have no row."""
+    opened = sections.filter("page_from <= page_to").select("doc", "seq", "page_from", F.explode(F.sequence(F.col("page_from").cast("long"), F.col("page_to").cast("long"))).alias("page"))
+    return opened.join(pages.select("doc", F.col("page").cast("long").alias("page"), "text"), ["doc", "page"]).select("doc", "seq", "page_from", "page", "text")
+
+
+def section_texts(sections: DataFrame, pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
+    """(doc, seq, part, text): the texts of each section's pages in order, a line feed between them.
+
+    part counts the pieces of part_pages pages (0 for all that are not longer), so that no group grows without bound. NULL texts are empty; of a
+    page that is there twice both texts count, the smaller first; a section none of whose pages is there has no row."""
+    rows = section_pages(sections, pages).withColumn("part", F.floor((F.col("page") - F.col("page_from")) / part_pages).cast("int"))
+    own = F.struct("page", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["text"]), "\n")
+    return rows.groupBy("doc", "seq", "part").agg(text.alias("text"))
+
+
+def build_sections(bookmarks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Sections with ids and texts from bookmarks (doc, seq, title, level, page_from) and page texts (doc, page, text).
+
+    A document without bookmarks is one section; the last page of a document is the last one with a text. A section of which no page is there has the text ''. A section longer
+    than PART_PAGES pages has a row for each part."""
+    last = pages.groupBy("doc").agg(F.max("page").cast("long").alias("last_page"))
+    cut = section_ends(bookmarks.select("doc", F.col("seq").cast("long").alias("seq"), F.trim("title").alias("title"), F.col("level").cast("int").alias("level"), F.col("page_from").cast("long").alias("page_from")).join(last, "doc")).drop("last_page")
+    all_ = with_ids(cut.unionByName(whole_documents(pages, bookmarks)))
+    return all_.join(section_texts(all_, pages), ["doc", "seq"], "left").withColumns({"part": F.coalesce("part", F.lit(0)), "text": F.coalesce("text", F.lit(""))})
+
+
 def leaf_sections(sections: DataFrame, max_level: int = MAX_LEVEL) -> DataFrame:
     """Sections in which no deeper section begins.
 
@@ -63,9 +103,7 @@ def pick_sections(sections: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def facts_in_sections(facts: DataFrame, sections: DataFrame) -> DataFrame:
     """Facts on a page of some chosen section of their document; a NULL page is on none."""
-    f, s = facts.alias("f"), sections.select("doc", "page_from", "page_to").alias("s")
-    on = (F.col("f.doc") == F.col("s.doc")) & F.col("f.pg").between(F.col("s.page_from"), F.col("s.page_to"))
-    return f.join(s, on, "left_semi")
+    return on_some_page(facts, sections, ["doc"], "pg", "page_from", "page_to")
 
 
 def with_anchor_facts(facts: DataFrame, chosen: DataFrame, anchors: list[int]) -> DataFrame:
@@ -74,16 +112,26 @@ def with_anchor_facts(facts: DataFrame, chosen: DataFrame, anchors: list[int]) -
     return chosen.withColumn("part", F.lit(0)).unionByName(rest.withColumn("part", F.lit(1)))
 
 
+def parents(spans: DataFrame, sections: DataFrame) -> DataFrame:
+    """(the columns of spans but lo and hi, id, seq): the top sections that contain a span (doc, lo, hi, ...), each once for equal rows."""
+    tops = sections.filter("level = 1").select("doc", "id", "seq", "page_from", "page_to")
+    held = stabbed(spans.distinct(), tops, ["doc"], "lo", "page_from", "page_to").filter("hi <= page_to")
+    return held.drop("lo", "hi", "page_from", "page_to").distinct()
+
+
+def widened(chosen: DataFrame, sections: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, doc, id, rank): the chosen (*keys, doc, id, rank) in their order, then the top sections that contain one of them, in
+    document order; no repeats. Ranks count from 1."""
+    spans = chosen.join(sections.select("doc", "id", F.col("page_from").alias("lo"), F.col("page_to").alias("hi")), ["doc", "id"]).select(*keys, "doc", "lo", "hi")
+    place = lambda part, c: F.struct(F.lit(part).alias("part"), F.col(c).cast("long").alias("place")).alias("at")
+    both = chosen.select(*keys, "doc", "id", place(0, "rank")).union(parents(spans, sections).select(*keys, "doc", "id", place(1, "seq")))
+    first = both.groupBy(*keys, "doc", "id").agg(F.min("at").alias("at"))
+    return first.select(*keys, "doc", "id", F.row_number().over(Window.partitionBy(*keys, *([] if keys else ["doc"])).orderBy("at", "doc")).alias("rank"))
+
+
 def widen_to_parents(sections: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc, id, rank): the chosen ids in their order, then the top sections that contain one of them; no repeats.
-
-    chosen: doc, id, rank."""
-    spans = chosen.join(sections, ["doc", "id"]).select("doc", F.col("page_from").alias("lo"), F.col("page_to").alias("hi")).alias("c")
-    tops = sections.filter("level = 1").alias("t")
-    holds = (F.col("t.doc") == F.col("c.doc")) & (F.col("t.page_from") <= F.col("lo")) & (F.col("hi") <= F.col("t.page_to"))
-    parents = tops.join(spans, holds, "left_semi").select("doc", "id", (F.col("seq") + 1_000_000).cast("long").alias("rank"))
-    both = chosen.select("doc", "id", F.col("rank").cast("long").alias("rank")).union(parents)
-    return both.groupBy("doc", "id").agg(F.min("rank").alias("rank"))
+    """widened() for a choice (doc, id, rank) of each document."""
+    return widened(chosen, sections, []).select("doc", "id", "rank")
 
 
 def outline(sections: DataFrame, max_level: int = 4) -> DataFrame:

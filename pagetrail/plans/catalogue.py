@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import zlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrail.functions import numbers as N
 from pagetrail.functions import patterns as P
 from pagetrail.functions import text as X
 from pagetrail.operators import context, evaluate, facts, layout, linkage, quality, retrieval, sections
+from pagetrail.shared import shared_dir, written
 
 from .views import duck, frame
 
@@ -95,6 +98,13 @@ def bm25_topk(spark, d):
     return retrieval.top_k(retrieval.bm25(frame(spark, d, "documents"), _asked(spark)), 8, 6)
 
 
+@query(BM25_SQL + " SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 8")
+def bm25_stored(spark, d):
+    """The same search in the index that is kept for these texts, built when it is not there."""
+    home = retrieval.open_index(frame(spark, d, "documents"), f"{shared_dir(spark)}/index-{zlib.crc32(d.encode())}")
+    return retrieval.top_k_indexed(spark, home, _asked(spark), 8, 6)
+
+
 @query(BM25_SQL + """, hits AS (SELECT query_id, source AS section_id, min(rank) AS best FROM ranked JOIN documents USING (doc_id) WHERE rank <= 8 GROUP BY ALL)
 SELECT query_id, section_id, CAST(best AS INTEGER) AS best, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best, section_id) AS INTEGER) AS place FROM hits""")
 def section_ids_for(spark, d):
@@ -133,8 +143,12 @@ SELECT query_id, doc_id, section_id, score, CAST(rank AS INTEGER) AS rank FROM r
 
 @query(CHUNK_SEARCH_SQL, ("sections",))
 def chunk_search(spark, d):
+    return _chunk_hits(spark, d).select("query_id", "doc_id", "section_id", "score", "rank")
+
+
+def _chunk_hits(spark: SparkSession, d: str) -> DataFrame:
     docs = retrieval.chunk_documents(retrieval.chunks(frame(spark, d, "sections"), 600, 40, "\n"))
-    return retrieval.top_k(retrieval.bm25(docs, _asked(spark)), 8, 6).join(docs.select("doc_id", "section_id"), "doc_id").select("query_id", "doc_id", "section_id", "score", "rank")
+    return retrieval.top_k(retrieval.bm25(docs, _asked(spark)), 8, 6).join(docs.select("doc_id", "doc", "section_id"), "doc_id")
 
 
 @query("""
@@ -237,21 +251,38 @@ def outline(spark, d):
 
 
 @query("""
-WITH chosen AS (SELECT doc, id, page_from AS lo, page_to AS hi, seq AS rank FROM sections WHERE seq % 7 = 3),
-parents AS (SELECT DISTINCT t.doc, t.id, t.seq + 1000000 AS rank FROM sections t JOIN chosen c ON t.doc = c.doc AND t.level = 1 AND t.page_from <= c.lo AND c.hi <= t.page_to)
-SELECT doc, id, CAST(min(rank) AS BIGINT) AS rank FROM (SELECT doc, id, rank FROM chosen UNION ALL SELECT * FROM parents) GROUP BY doc, id""", ("sections",))
+WITH cut AS (SELECT doc, seq, id, level, page_from, page_to FROM sections UNION ALL SELECT doc, 1, 's001-документ', 1, 1, max(page) FROM page_texts WHERE doc NOT IN (SELECT doc FROM bookmarks) GROUP BY doc)
+SELECT s.doc, s.seq, any_value(s.id) AS id, any_value(s.level) AS level, any_value(s.page_from) AS page_from, any_value(s.page_to) AS page_to, CAST(0 AS INTEGER) AS part, CAST(count(*) AS BIGINT) AS n_pages, md5(string_agg(p.text, chr(10) ORDER BY p.page, p.text)) AS text_md5
+FROM cut s JOIN page_texts p ON p.doc = s.doc AND p.page BETWEEN s.page_from AND s.page_to GROUP BY s.doc, s.seq""", ("sections", "page_texts"))
+def section_texts(spark, d):
+    """Sections with the texts of their pages; documents without bookmarks as a whole."""
+    pages = frame(spark, d, "page_texts")
+    out = sections.build_sections(frame(spark, d, "bookmarks").select("doc", "seq", "title", "level", "page_from"), pages)
+    return out.select("doc", "seq", "id", "level", "page_from", "page_to", "part", (F.col("page_to") - F.col("page_from") + 1).alias("n_pages"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+WIDEN_SQL = CHUNK_SEARCH_SQL[: CHUNK_SEARCH_SQL.rindex("SELECT query_id, doc_id, section_id")] + """,
+own AS (SELECT query_id, doc, id, min(rank) AS rank FROM ranked JOIN chunk_docs USING (doc_id) JOIN (SELECT doc, seq, id FROM sections) s ON doc_id LIKE s.doc || ':' || s.seq || ':%' WHERE ranked.rank <= 8 GROUP BY ALL),
+tops AS (SELECT DISTINCT o.query_id, t.doc, t.id, t.seq FROM own o JOIN sections c USING (doc, id) JOIN sections t ON t.doc = c.doc AND t.level = 1 AND t.page_from <= c.page_from AND c.page_to <= t.page_to),
+placed AS (SELECT query_id, doc, id, min({'part': part, 'place': place}) AS place FROM (SELECT query_id, doc, id, 0 AS part, rank AS place FROM own UNION ALL SELECT query_id, doc, id, 1, seq FROM tops) GROUP BY ALL)
+SELECT query_id, doc, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place, doc) AS INTEGER) AS rank FROM placed"""
+
+
+@query(WIDEN_SQL, ("sections",))
 def router_widen(spark, d):
-    s = frame(spark, d, "sections")
-    return sections.widen_to_parents(s, s.filter("seq % 7 = 3").select("doc", "id", F.col("seq").alias("rank")))
+    """The sections that hold the best chunks of each query, and the top sections around them."""
+    own = _chunk_hits(spark, d).groupBy("query_id", "doc", F.col("section_id").alias("id")).agg(F.min("rank").alias("rank"))
+    return sections.widened(own, frame(spark, d, "sections"), ["query_id"])
 
 
 @query("""
-WITH chosen AS (SELECT doc, page_from, page_to FROM sections WHERE seq % 7 = 3),
+WITH chosen AS (SELECT doc, page_from, page_to FROM sections s WHERE NOT EXISTS (SELECT 1 FROM sections x WHERE x.doc = s.doc AND x.level > s.level AND x.seq <> s.seq AND x.page_from BETWEEN s.page_from AND s.page_to)),
 hit AS (SELECT * FROM facts_a f WHERE EXISTS (SELECT 1 FROM chosen c WHERE c.doc = f.doc AND f.pg BETWEEN c.page_from AND c.page_to))
 SELECT seq, m, s, p, v, u, pg, 0 AS part FROM hit UNION ALL SELECT seq, m, s, p, v, u, pg, 1 AS part FROM facts_a WHERE pg IN (12, 21) AND seq NOT IN (SELECT seq FROM hit)""", ("sections", "facts_a"))
 def facts_for_context(spark, d):
+    """Facts on the pages of leaf sections, then those of the anchor pages."""
     f = frame(spark, d, "facts_a")
-    hit = sections.facts_in_sections(f, sections.pick_sections(frame(spark, d, "sections"), frame(spark, d, "sections").filter("seq % 7 = 3").select("doc", "id")))
+    hit = sections.facts_in_sections(f, sections.leaf_sections(frame(spark, d, "sections")))
     return sections.with_anchor_facts(f, hit, [12, 21]).select("seq", "m", "s", "p", "v", "u", "pg", "part")
 
 
@@ -375,7 +406,7 @@ SELECT a.seq AS pi, b.seq AS vi, coalesce(a.m, b.m) AS m, CASE WHEN a.seq IS NUL
 FROM facts_a a LEFT JOIN assigned x ON x.pi = a.seq FULL JOIN facts_b b ON b.seq = x.vi""", ("facts_a", "facts_b"))
 def merge_sources(spark, d):
     out = linkage.reconcile(frame(spark, d, "facts_a"), frame(spark, d, "facts_b"), linkage.assign(_candidates(spark, d)))
-    return out.select("pi", "vi", "m", "s", "p", "v", "pg", "kind", "v_left", "v_right").orderBy("pg", "m")
+    return out.orderBy(*linkage.merged_order()).select("pi", "vi", "m", "s", "p", "v", "pg", "kind", "v_left", "v_right")
 
 
 # ---------------------------------------------------------------- quality
@@ -475,25 +506,42 @@ def nearest_label(spark, d):
     return layout.nearest(w.filter("word % 2 = 1").select("page", F.col("word").alias("tick"), F.col("x0").alias("x")), w.filter("word % 2 = 0").select("page", F.col("x0").alias("x"), F.col("text").cast("double").alias("value")))
 
 
-@query("""
+TICKS_SQL = """
 WITH n AS (SELECT page, list({'i': i, 'x': x, 'value': v}) AS free FROM (SELECT page, x0 AS x, CAST(text AS DOUBLE) AS v, row_number() OVER (PARTITION BY page ORDER BY x0, CAST(text AS DOUBLE)) AS i FROM words WHERE word % 2 = 0) GROUP BY page),
 t AS (SELECT page, list({'free': CAST([] AS STRUCT(i BIGINT, x DOUBLE, "value" DOUBLE)[]), 'got': [{'tick': word, 'x': x0, 'value': CAST(NULL AS DOUBLE)}]} ORDER BY x0, word) AS ts FROM words WHERE word % 2 = 1 GROUP BY page),
 r AS (SELECT page, list_reduce(list_prepend({'free': free, 'got': []}, ts), lambda acc, x: CASE
     WHEN len(acc.free) > 0 AND list_sort(list_transform(acc.free, lambda v: abs(v.x - x.got[1].x)))[1] <= 22
     THEN {'free': list_filter(acc.free, lambda v: v.i <> list_sort(list_transform(acc.free, lambda w: {'d': abs(w.x - x.got[1].x), 'i': w.i, 'value': w.value}))[1].i),
           'got': list_concat(acc.got, [{'tick': x.got[1].tick, 'x': x.got[1].x, 'value': list_sort(list_transform(acc.free, lambda w: {'d': abs(w.x - x.got[1].x), 'i': w.i, 'value': w.value}))[1].value}])}
-    ELSE acc END) AS z FROM t JOIN n USING (page))
-SELECT page, g.tick AS tick, g.value AS value FROM (SELECT page, unnest(z.got) AS g FROM r)""", ("words",))
+    ELSE acc END) AS z FROM t JOIN n USING (page)),
+got AS (SELECT page, g.tick AS tick, g.value AS value FROM (SELECT page, unnest(z.got) AS g FROM r))"""
+
+
+@query(TICKS_SQL + " SELECT page, tick, value FROM got", ("words",))
 def assign_ticks(spark, d):
     w = frame(spark, d, "words")
     return layout.assign_ticks(w.filter("word % 2 = 1").select("page", F.col("word").alias("tick"), F.col("x0").alias("x")), w.filter("word % 2 = 0").select("page", F.col("x0").alias("x"), F.col("text").cast("double").alias("value")))
 
 
+FILLED = "{'tick': x.got[1].tick, 'x': x.got[1].x, 'value': list_sort(list_transform(acc.free, lambda w: {'d': abs(w.x - x.got[1].x), 'i': w.i, 'value': w.value}))[1].value"
+UNFILLED = "{'free': acc.free, 'got': list_concat(acc.got, [{'tick': x.got[1].tick, 'x': x.got[1].x, 'value': CAST(NULL AS DOUBLE), 'status': CASE WHEN len(acc.free) = 0 THEN 'none_free' ELSE 'too_far' END}])}"
+CHART_SQL = TICKS_SQL.replace(FILLED, FILLED + ", 'status': 'ok'").replace("'value': CAST(NULL AS DOUBLE)}]}", "'value': CAST(NULL AS DOUBLE), 'status': ''}]}").replace("ELSE acc END", f"ELSE {UNFILLED} END")
+CHART_SQL = CHART_SQL.replace("list_prepend({'free': free,", """list_prepend({'free': coalesce(free, CAST([] AS STRUCT(i BIGINT, x DOUBLE, "value" DOUBLE)[])),""").replace("FROM t JOIN n USING (page)", "FROM t LEFT JOIN n USING (page)").replace("g.value AS value FROM", "g.value AS value, g.status AS status FROM")
+
+
+@query(CHART_SQL + " SELECT page, tick, CASE WHEN n = 2 THEN value END AS value, CASE WHEN n <> 2 THEN 'tick_count' ELSE status END AS status, CAST(n AS INTEGER) AS n_ticks FROM (SELECT *, count(*) OVER (PARTITION BY page) AS n FROM got)", ("words",))
+def tick_chart(spark, d):
+    """Every tick with its number or the reason why it has none; pages whose ticks are not two have no values."""
+    w = frame(spark, d, "words")
+    out = layout.tick_chart(w.filter("word % 2 = 1").select("page", F.col("word").alias("tick"), F.col("x0").alias("x")), w.filter("word % 2 = 0").select("page", F.col("x0").alias("x"), F.col("text").cast("double").alias("value")), 2)
+    return out.select("page", "tick", "value", "status", "n_ticks")
+
+
 @query("""
-SELECT a.page, a.word AS anchor, string_agg(w.text, ' ' ORDER BY round(w.y0, 1), w.x0, w.word, w.text) AS label FROM words a JOIN words w ON a.page = w.page AND abs(a.y0 - w.y0) < 8 WHERE a.word = 1 GROUP BY a.page, a.word""", ("words",))
+SELECT a.page, a.word AS anchor, string_agg(w.text, ' ' ORDER BY round(w.y0, 1), w.x0, w.word, w.text) AS label FROM words a JOIN words w ON a.page = w.page AND abs(a.y0 - w.y0) < 8 GROUP BY a.page, a.word""", ("words",))
 def row_label_band(spark, d):
     w = frame(spark, d, "words")
-    return layout.row_labels(w.filter("word = 1").select("page", F.col("word").alias("anchor"), F.col("y0").alias("y")), w, 8.0)
+    return layout.row_labels(w.select("page", F.col("word").alias("anchor"), F.col("y0").alias("y")), w, 8.0)
 
 
 @query("SELECT page, word, text FROM words WHERE y0 BETWEEN 5 AND 25 AND x0 BETWEEN 8 AND 20 AND text <> '17'", ("words",))
@@ -660,37 +708,114 @@ def format_ru(spark, d):
     return frame(spark, d, "facts_a").select("seq", "v", N.format_ru(F.col("v"), 1).alias("printed"))
 
 
-REPLIES = [(1, '```json\n{"sections": ["s001-x", "s002-y"], "confidence": 0.9}\n```'), (2, 'Ответ: {"sections": ["s003-z"], "confidence": 0.2, "need_full": false} вот'), (3, "не знаю"), (4, '[1, 2, 3]'), (5, '{"sections": [], "confidence": 1}'), (6, "ряд [4, 5] и всё")]
+REPAIRED = r"""
+f AS (SELECT question_id, doc, CASE WHEN regexp_matches(reply, '(?s)```(?:json)?\s*(.*?)\s*```') THEN regexp_extract(reply, '(?s)```(?:json)?\s*(.*?)\s*```', 1) ELSE trim(reply) END AS body FROM replies),
+j AS (SELECT question_id, doc, CAST(CASE WHEN json_valid(body) THEN body WHEN json_valid(regexp_extract(body, '(?s)\[.*\]')) AND contains(body, '[') THEN regexp_extract(body, '(?s)\[.*\]')
+  WHEN json_valid(regexp_extract(body, '(?s)\{.*\}')) AND contains(body, '{') THEN regexp_extract(body, '(?s)\{.*\}') END AS JSON) AS j FROM f),
+"""
 
 
-@query()
+@query("WITH " + REPAIRED + "k AS (SELECT question_id, CAST(json(j) AS VARCHAR) AS json FROM j) SELECT question_id, json FROM k", ("questions", "listed", "replies"))
 def json_repair(spark, d):
-    replies = spark.createDataFrame(REPLIES, "question_id int, reply string")
-    return replies.select("question_id", X.repair_json(F.col("reply")).cast("string").alias("json"))
+    """The JSON of model replies in several wrappings; their keys stand in the order in which VARIANT prints them."""
+    return frame(spark, d, "replies").select("question_id", X.repair_json(F.col("reply")).cast("string").alias("json"))
 
 
-@query()
+@query("WITH " + REPAIRED + """
+v AS (SELECT question_id, doc, CASE WHEN json_type(j) = 'OBJECT' THEN CAST(j->'$.sections' AS VARCHAR[]) END AS named, coalesce(CASE WHEN json_type(j) = 'OBJECT' THEN CAST(j->>'$.confidence' AS DOUBLE) END, 0.0) AS confidence, coalesce(CASE WHEN json_type(j) = 'OBJECT' THEN CAST(j->>'$.need_full' AS BOOLEAN) END, false) AS need FROM j),
+w AS (SELECT v.*, list_filter(coalesce(named, []), lambda x: x <> 'нет такого') AS ids FROM v)
+SELECT question_id, array_to_string(ids, ' ') AS ids, confidence, need OR len(ids) = 0 AS need_full, NOT (need OR len(ids) = 0) AND confidence < 0.6 AS widen FROM w""", ("questions", "listed", "replies"))
 def router_decisions(spark, d):
-    replies = spark.createDataFrame(REPLIES, "question_id int, reply string")
-    known = spark.createDataFrame([("s001-x",), ("s003-z",)], "id string")
-    return context.route(replies, known)
+    out = context.route(frame(spark, d, "replies"), frame(spark, d, "sections"))
+    return out.select("question_id", F.array_join("ids", " ").alias("ids"), "confidence", "need_full", "widen")
+
+
+def router_client(prompt: str) -> dict:
+    """Stands in for a model: two sections by the length of the question, odd replies and failures among them."""
+    outline = prompt.split("<outline>\n", 1)[1].split("\n</outline>", 1)[0].split("\n")
+    n = len(prompt.split("</outline>\n\n<question>", 1)[1]) - len("</question>")
+    if n % 43 == 0:
+        raise RuntimeError("busy")
+    ids = [outline[k % len(outline)].split(" | ", 1)[0].strip() for k in (n, 7 * n)]
+    body = '{"sections": ["' + '", "'.join(ids) + f'"], "confidence": 0.{n % 10}, "need_full": {"true" if n % 50 == 0 else "false"}}}'
+    return {"text": "не знаю" if n % 41 == 0 else f"```json\n{body}\n```" if n % 3 == 0 else body, "prompt_tokens": n, "completion_tokens": 2}
+
+
+def answer_client(prompt: str) -> dict:
+    """Stands in for a model: a sentence by the length of the prompt, an empty reply and an error among them."""
+    n = len(prompt)
+    if n % 11 == 0:
+        return {"error": "overloaded", "status": 503}
+    return {"text": "" if n % 13 == 0 else f"Выручка {n % 7},5 млн (стр. {n % 90 + 1}).{' Рекомендую купить акции.' if n % 5 == 0 else ''}", "prompt_tokens": n // 3, "completion_tokens": 9}
+
+
+ASK_SQL = """
+WITH q AS (SELECT *, length(question) AS len FROM questions),
+d AS (SELECT q.*, mode = 'full' OR len % 43 = 0 OR len % 41 = 0 OR len % 50 = 0 AS need, (len % 10) / 10.0 < 0.6 AS wide FROM q),
+own AS (SELECT question_id, d.doc, l.id, d.wide FROM d JOIN listed l ON l.doc = d.doc AND l.k IN (len % l.n, 7 * len % l.n) WHERE NOT need),
+spans AS (SELECT o.question_id, o.wide, s.* FROM own o JOIN sections s ON s.doc = o.doc AND s.id = o.id),
+chosen AS (SELECT DISTINCT question_id, doc, seq FROM spans UNION SELECT o.question_id, t.doc, t.seq FROM spans o JOIN sections t ON o.wide AND t.doc = o.doc AND t.level = 1 AND t.page_from <= o.page_from AND o.page_to <= t.page_to),
+picked AS (SELECT c.question_id, s.* FROM chosen c JOIN sections s USING (doc, seq)),
+flat AS (SELECT * FROM picked s WHERE NOT EXISTS (SELECT 1 FROM picked x WHERE x.question_id = s.question_id AND x.seq <> s.seq AND x.page_from <= s.page_from AND x.page_to >= s.page_to AND (x.page_from < s.page_from OR x.page_to > s.page_to OR x.seq < s.seq))),
+kept AS (SELECT d.question_id, question, CASE WHEN need THEN 'full' ELSE mode END AS mode, s.doc, s.seq, s.id, s.title, s.page_from, s.page_to, s.text FROM d JOIN flat s USING (question_id)
+  UNION ALL SELECT d.question_id, question, 'full', s.doc, s.seq, s.id, s.title, s.page_from, s.page_to, s.text FROM d JOIN sections s ON s.doc = d.doc AND s.level = 1 WHERE need),
+docs AS (SELECT question_id, any_value(question) AS question, any_value(mode) AS mode, any_value(doc) AS doc, array_to_string(list_sort(list_distinct(list_concat(list(page_from), list(page_to)))), ' ') AS pages,
+  string_agg('<section id="' || id || '" title="' || title || '" pages="' || page_from || '-' || page_to || '">' || chr(10) || text || chr(10) || '</section>', chr(10) || chr(10) ORDER BY seq) AS document FROM kept GROUP BY question_id),
+hit AS (SELECT DISTINCT docs.question_id, f.seq, CASE WHEN docs.mode = 'full' OR EXISTS (SELECT 1 FROM kept k WHERE k.question_id = docs.question_id AND f.pg BETWEEN k.page_from AND k.page_to) THEN 0 WHEN f.pg IN (12, 21) THEN 1 END AS part FROM docs JOIN facts_a f ON f.doc = docs.doc),
+nums AS (SELECT question_id, '[' || string_agg('{"t":"' || t || '","m":"' || m || '","s":' || coalesce('"' || s || '"', 'null') || ',"p":"' || p || '","v":' || v || ',"u":"' || u || '","pg":' || pg || '}', ',' ORDER BY part, seq) || ']' AS numbers FROM hit JOIN facts_a USING (seq) WHERE part IS NOT NULL GROUP BY question_id),
+agg AS (SELECT doc, '[' || string_agg('{"p":"' || p || '","v":' || v || '}', ',' ORDER BY p) || ']' AS aggregates FROM doc_aggregates GROUP BY doc),
+prompts AS (SELECT question_id, question, mode, pages, '<question>' || question || '</question>' || chr(10) || chr(10) || '<numbers>' || chr(10) || '{"numbers":' || coalesce(numbers, '[]') || coalesce(',"aggregates":' || aggregates, '') || '}'
+  || chr(10) || '</numbers>' || chr(10) || chr(10) || '<document>' || chr(10) || document || chr(10) || '</document>' AS prompt FROM docs LEFT JOIN nums USING (question_id) LEFT JOIN agg USING (doc))"""
+ASK_VIEWS = ("sections", "questions", "listed", "facts_a", "doc_aggregates")
+
+
+def _aggregates(spark: SparkSession, d: str) -> DataFrame:
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda x: x)
+    return frame(spark, d, "doc_aggregates").groupBy("doc").agg(F.to_json(rows).alias("aggregates"))
+
+
+def _asked_tables(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Questions, sections and facts, each computed once."""
+    return [written(frame(spark, d, n), n) for n in ("questions", "sections", "facts_a")]
+
+
+@query(ASK_SQL + " SELECT question_id, mode, pages, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS chars, CAST(floor(length(prompt) / 2.5) AS INTEGER) AS tokens FROM prompts", ASK_VIEWS)
+def context_prompt(spark, d):
+    """Router prompts, replies and decisions, then the context of every question: sections, facts, aggregates."""
+    q, s, f = _asked_tables(spark, d)
+    replies = written(context.call_model(context.router_prompts(q, s), router_client), "routed").select("question_id", "doc", F.col("text").alias("reply"))
+    q, chosen = context.selected(q, s, replies)
+    out = context.build(q, s, f, chosen.select("question_id", "id"), [12, 21], _aggregates(spark, d))
+    pages = F.array_join(F.transform("pages", lambda p: p.cast("string")), " ")
+    return out.select("question_id", "mode", pages.alias("pages"), F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), "chars", "tokens")
 
 
-def _contexts(spark: SparkSession, d: str) -> tuple:
-    s = frame(spark, d, "sections")
-    questions = spark.createDataFrame([(1, "Какова выручка?", "src0", "full"), (2, "Стоит ли инвестировать?", "src0", "router"), (3, "Рост?", "src0", "vector"), (4, "Другое?", "src1", "router")], "question_id int, question string, doc string, mode string")
-    chosen = s.filter("doc = 'src0' AND seq IN (2, 3, 9)").select(F.explode(F.array(F.lit(2), F.lit(3))).alias("question_id"), "id")
-    return questions, s, frame(spark, d, "facts_a"), chosen
+NOTICE_SQL, WARNING_SQL = f"chr(10) || chr(10) || '{context.NOTICE}'", f"'{context.WARNING}' || chr(10) || chr(10)"
 
 
-@query()
-def context_prompt(spark, d):
-    q, s, f, chosen = _contexts(spark, d)
-    return context.build(q, s, f, chosen, [12, 21])
+@query(ASK_SQL + f""",
+r AS (SELECT p.*, length(prompt) AS n, CASE WHEN length(prompt) % 11 = 0 THEN 'overloaded' WHEN length(prompt) % 13 = 0 THEN 'empty reply' END AS error FROM prompts p),
+t AS (SELECT r.*, CASE WHEN error IS NULL THEN 'Выручка ' || n % 7 || ',5 млн (стр. ' || n % 90 + 1 || ').' || CASE WHEN n % 5 = 0 THEN ' Рекомендую купить акции.' ELSE '' END END AS text, error IS NULL AND n % 5 = 0 AS verdict, prompt AS context FROM r),
+g AS (SELECT *, regexp_matches(question, '(?i){words("|".join(P.ADVICE))}') OR verdict AS advice FROM t)
+SELECT question_id, mode, CASE WHEN verdict THEN {WARNING_SQL} ELSE '' END || text || CASE WHEN advice THEN {NOTICE_SQL} ELSE '' END AS text, array_to_string({UNVERIFIED}, ' ') AS unverified, advice AS advice_guarded, verdict AS verdict_leaked,
+  CASE WHEN text IS NULL THEN NULL ELSE CAST(n % 90 + 1 AS VARCHAR) END AS cited_pages, error, CAST(CASE WHEN error IS NULL THEN n // 3 ELSE 0 END + CASE WHEN d.mode = 'router' AND len % 43 <> 0 THEN len ELSE 0 END AS BIGINT) AS prompt_tokens
+FROM g JOIN (SELECT question_id, mode, len FROM d) d USING (question_id)""".replace("SELECT question_id, mode, CASE WHEN verdict", "SELECT question_id, g.mode AS mode, CASE WHEN verdict"), ASK_VIEWS)
+def answer_pipeline(spark, d):
+    """Every question from its router call to the guarded answer."""
+    out = context.ask(*_asked_tables(spark, d), router_client, answer_client, [12, 21], _aggregates(spark, d))
+    pages = F.array_join(F.transform("cited_pages", lambda p: p.cast("string")), " ")
+    return out.select("question_id", "mode", "text", F.array_join("unverified", " ").alias("unverified"), "advice_guarded", "verdict_leaked", pages.alias("cited_pages"), "error", "prompt_tokens")
 
 
-@query()
-def answer_pipeline(spark, d):
-    q, s, f, chosen = _contexts(spark, d)
-    out = context.answer(q, s, f, chosen, lambda p: {"text": f"Выручка {len(p) % 7},5 млн (стр. 21)", "prompt_tokens": len(p) // 3, "completion_tokens": 9}, [12, 21])
-    return out.select("question_id", "mode", "text", "unverified", "advice_guarded", "verdict_leaked", "cited_pages", "prompt_tokens", "error")
+@query(f"""
+WITH a AS (SELECT *, list_transform({d_values("text")}, lambda x: CAST({d_number_text("x")} AS DOUBLE)) AS vs FROM answers),
+c AS (SELECT answer_id, CASE WHEN answer_id % 4 <> 0 THEN len(list_filter(vs, lambda g: abs(g - 35.9) <= 0.1795)) > 0 END AS values_ok, regexp_matches(text, '(?i)стр\\. ([1-9]|10)[^0-9]') AS pages_ok, contains(lower(text), 'акции') AS forbidden,
+  regexp_matches(regexp_replace(text, '(?i)не (рекомендую|советую|стоит|следует|покупайте|продавайте|инвестируйте)', ' ', 'g'), '(?i){words("|".join(P.VERDICTS))}') AS verdict, {UNVERIFIED} AS unverified FROM a)
+SELECT answer_id, coalesce(values_ok, true) AND pages_ok AND NOT forbidden AND NOT verdict AND len(unverified) = 0 AS passed FROM c""", ("answers",))
+def eval_passed(spark, d):
+    """The pass rule over score cards of every answer."""
+    a = frame(spark, d, "answers").withColumns({
+        "expect_values": F.when(F.col("answer_id") % 4 != 0, F.array(F.lit(35.9))), "expect_pages": F.array(*[F.lit(i) for i in range(1, 11)]), "expect_terms": F.array().cast("array<string>"),
+        "forbid_terms": F.array(F.lit("АКЦИИ"), F.lit("нет такого")), "require_refusal": F.lit(False), "unverified": evaluate.unverified(F.col("text"), F.col("context")),
+    })
+    return evaluate.judged(a).select("answer_id", "passed")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagetrail.operators.sections import section_ends, with_ids
 
@@ -54,11 +55,26 @@ VIEWS = {
           'Выручка 1 441,1; доля 35,76; рост ' || CAST(k % 25 AS STRING) || ',5' AS context
         FROM (SELECT o_orderkey AS k FROM {orders}) x""",
     "labels_txt": """
-        SELECT m, p, u FROM
-          (VALUES ('Скорр. показатель EBITDA'), ('Рентабельность по скорректированной EBITDA'), ('Чистая прибыль'), ('Выручка (изменение г/г)'), ('Доля в выручке'), ('«Подписчики», млн'),
-                  ('Операционные расходы'), ('Валовый оборот'), ('Всё прочее — Ёлка'), ('CAPEX, % от выручки')) AS a(m)
-          CROSS JOIN (VALUES ('2025'), ('4 кв 2025'), ('28.05.2025'), ('2025-05-28'), ('1п2024'), ('2024_итоговый')) AS b(p)
-          CROSS JOIN (VALUES ('млрд рублей'), ('МЛН РУБ'), ('%'), ('п.п.'), ('штук'), ('чел.')) AS c(u)""",
+        SELECT CASE p_partkey % 10 WHEN 0 THEN 'Скорр. показатель EBITDA' WHEN 1 THEN 'Рентабельность по скорректированной EBITDA' WHEN 2 THEN 'Чистая прибыль' WHEN 3 THEN 'Выручка (изменение г/г)' WHEN 4 THEN 'Доля в выручке'
+            WHEN 5 THEN '«Подписчики», млн' WHEN 6 THEN 'Операционные расходы' WHEN 7 THEN 'Валовый оборот' WHEN 8 THEN 'Всё прочее — Ёлка' ELSE 'CAPEX, % от выручки' END
+            || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' — ' || p_type END AS m,
+          CASE p_size % 6 WHEN 0 THEN CAST(2000 + p_size AS STRING) WHEN 1 THEN CAST(1 + p_size % 4 AS STRING) || ' кв ' || CAST(2000 + p_size AS STRING) WHEN 2 THEN lpad(CAST(1 + p_size % 28 AS STRING), 2, '0') || '.05.20' || lpad(CAST(p_size AS STRING), 2, '0')
+            WHEN 3 THEN '2025-05-' || lpad(CAST(1 + p_size % 28 AS STRING), 2, '0') WHEN 4 THEN '1п2024' ELSE '2024_итоговый' END AS p,
+          CASE p_partkey % 7 WHEN 0 THEN 'млрд рублей' WHEN 1 THEN 'МЛН РУБ' WHEN 2 THEN '%' WHEN 3 THEN 'п.п.' WHEN 4 THEN 'штук' WHEN 5 THEN 'чел.' ELSE p_brand END AS u
+        FROM {part}""",
+    "questions": """
+        SELECT CAST(c.conv_id * 100 + c.turn AS BIGINT) AS question_id, c.text AS question, s.doc, CASE WHEN c.conv_id % 60 = 7 AND c.turn < 2 THEN 'full' ELSE 'router' END AS mode
+        FROM {conversations} c JOIN (SELECT source AS doc, row_number() OVER (ORDER BY source) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM {documents}) x) s ON c.conv_id % s.n = s.k
+        WHERE c.role = 'user'""",
+    "replies": """
+        SELECT question_id, doc, CASE len % 8 WHEN 0 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN 1 THEN 'Ответ: ' || body || ' вот' WHEN 2 THEN 'не знаю' WHEN 3 THEN '[' || CAST(len AS STRING) || ', 2, 3]' WHEN 4 THEN chr(123) || '"confidence": 1, "sections": []' || chr(125)
+            WHEN 5 THEN 'ряд [4, ' || CAST(len AS STRING) || '] и всё' WHEN 6 THEN '```' || chr(10) || body || chr(10) || '``` и (ещё)' ELSE body END AS reply
+        FROM (SELECT question_id, doc, len, chr(123) || '"confidence": 0.' || CAST(1 + len % 9 AS STRING) || ', "need_full": ' || CASE WHEN len % 5 = 0 THEN 'true' ELSE 'false' END || ', "sections": ["' || one || '", "нет такого", "' || two || '"]' || chr(125) AS body
+          FROM (SELECT q.question_id, q.doc, CAST(length(q.question) AS INT) AS len, a.id AS one, b.id AS two FROM {questions} q JOIN {listed} a ON a.doc = q.doc AND a.k = length(q.question) % a.n JOIN {listed} b ON b.doc = q.doc AND b.k = 7 * length(q.question) % b.n) x) y""",
+    "listed": """
+        SELECT doc, id, row_number() OVER (PARTITION BY doc ORDER BY seq) - 1 AS k, count(*) OVER (PARTITION BY doc) AS n FROM {sections} WHERE level <= 4""",
+    "doc_aggregates": """
+        SELECT 'src0' AS doc, p, v FROM {facts_a} WHERE m = 'Общая выручка'""",
     "words": """
         SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) AS word, l_linenumber * 5.0 + (l_quantity % 4) AS x0, l_linenumber * 5.0 + (l_quantity % 4) + 3.0 AS x1,
           floor(l_quantity / 20) * 10.0 + (l_quantity % 2) * 0.5 AS y0, floor(l_quantity / 20) * 10.0 + 9.0 AS y1, CAST(CAST(l_quantity AS INT) AS STRING) AS text
@@ -80,8 +96,28 @@ VIEWS = {
 }
 
 
+PAGE_CHARS = 1800
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, page, text): the bookmarked documents cut into pages, and web pages as documents of their own without bookmarks."""
+    own = frame(spark, sf_dir, "bookmarks").select("doc", "page_from", F.coalesce("text", F.lit("")).alias("text"))
+    web = frame(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("doc"), F.lit(1).cast("long").alias("page_from"), F.coalesce("html", F.lit("")).alias("text"))
+    last = F.greatest(F.ceil(F.length("text") / PAGE_CHARS).cast("int") - 1, F.lit(0))
+    rows = own.unionByName(web).withColumn("k", F.explode(F.sequence(F.lit(0), last)))
+    return rows.select("doc", (F.col("page_from") + F.col("k")).alias("page"), F.substring("text", F.col("k") * PAGE_CHARS + 1, F.lit(PAGE_CHARS)).alias("text"))
+
+
+DUCK_PAGE_TEXTS = f"""
+    SELECT doc, page_from + k AS page, substr(text, {PAGE_CHARS} * k + 1, {PAGE_CHARS}) AS text FROM (
+      SELECT doc, page_from, text, unnest(range(greatest(CAST(ceil(length(text) / {PAGE_CHARS}.0) AS BIGINT), 1))) AS k FROM (
+        SELECT doc, page_from, coalesce(text, '') AS text FROM bookmarks UNION ALL SELECT 'p' || page_id, 1, coalesce(html, '') FROM pages))"""
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or view as a DataFrame."""
+    if name == "page_texts":
+        return page_texts(spark, sf_dir)
     if name == "sections":
         return with_ids(section_ends(frame(spark, sf_dir, "bookmarks")))
     if name in TABLES:
@@ -105,10 +141,10 @@ def duck(names: list[str], body: str, recursive: bool = False) -> str:
     def need(name: str) -> None:
         if name in TABLES or name in done:
             return
-        text = DUCK_SECTIONS if name == "sections" else VIEWS[name]
-        for u in ["bookmarks"] if name == "sections" else re.findall(r"\{(\w+)\}", text):
+        text = {"sections": DUCK_SECTIONS, "page_texts": DUCK_PAGE_TEXTS}.get(name) or VIEWS[name]
+        for u in ["bookmarks"] if name in ("sections", "page_texts") else re.findall(r"\{(\w+)\}", text):
             need(u)
-        done[name] = re.sub(r"\{(\w+)\}", r"\1", text) if name != "sections" else text
+        done[name] = text if name in ("sections", "page_texts") else re.sub(r"\{(\w+)\}", r"\1", text)
 
     for n in names:
         need(n)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagetrail.shared import children, exists
+
 FACT = "t string, m string, s string, p string, v double, u string, pg int"
 SECTION = "id string, title string, level int, page_from int, page_to int, text string"
 PAGE = (
@@ -19,7 +22,7 @@ PAGE = (
 
 def read_json_array(spark: SparkSession, path: str, schema: str = SECTION) -> DataFrame:
     """A file that holds one JSON array; seq keeps its order."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.from_json("value", f"array<struct<{_fields(schema)}>>")).alias("seq", "x"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{_fields(schema)}>>")).alias("seq", "x"))
     return rows.select("seq", "x.*")
 
 
@@ -41,14 +44,28 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = FACT) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str, n_pages: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts, objects, status) of a folder with one JSON file a page; a page without file has the status missing.
-
-    Facts without a number are dropped."""
-    raw = spark.read.schema(PAGE).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    facts = raw.select("pg", F.explode("records").alias("r")).select("r.t", "r.m", "r.s", "r.p", F.col("r.v").try_cast("double").alias("v"), "r.u", "pg").filter("v IS NOT NULL")
-    objects = raw.select("pg", F.explode("objects").alias("o")).select("pg", "o.*")
+    """(facts, objects, status) of a folder with one JSON file a page, named by the page's number, such as p003.json.
+
+    A page's status is ok, damaged (its file is no JSON object of the schema, cut short or empty) or missing (no file); a damaged file gives neither
+    facts nor objects. Facts without a number are dropped. A name without a number gives the page by what the file says; if that says
+    nothing, the page is NULL and damaged. Of several files of a page the first by name counts."""
+    name = F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"\.[^.]*$", "")
+    files = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("value"), name.alias("name"))
+    parsed = F.from_json("value", PAGE + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    own = F.regexp_extract("name", r"([0-9]+)[^0-9]*$", 1).try_cast("int")
+    whole = files.withColumn("x", parsed).select("name", F.coalesce(own, F.col("x.pg")).alias("pg"), (F.col("x").isNotNull() & F.col("x._broken").isNull() & F.trim("value").startswith("{")).alias("ok"), "x")
+    first = whole.groupBy("pg").agg(F.min_by(F.struct("ok", "x"), "name").alias("f")).select("pg", "f.ok", "f.x")
+    ok = first.filter("ok")
+    facts = ok.select("pg", F.explode("x.records").alias("r")).filter("r IS NOT NULL").select("r.t", "r.m", "r.s", "r.p", F.col("r.v").try_cast("double").alias("v"), "r.u", "pg").filter("v IS NOT NULL")
+    objects = ok.select("pg", F.explode("x.objects").alias("o")).filter("o IS NOT NULL").select("pg", "o.*")
+    # files without a byte are left out by the reader, but not by the folder
+    found = [int(m[1]) for m in (re.search(r"([0-9]+)[^0-9]*$", re.sub(r"\.[^.]*$", "", c)) for c in children(spark, path)) if m and len(m[1]) < 10]
+    there = spark.createDataFrame([(p,) for p in sorted(set(found))], "pg int").join(first, "pg", "left_anti").withColumn("ok", F.lit(False))
+    first = first.unionByName(there, allowMissingColumns=True)
     every = spark.range(1, n_pages + 1).select(F.col("id").cast("int").alias("pg"))
-    status = every.join(raw.select("pg", "model", "finish", "usage"), "pg", "left").withColumn("status", F.when(F.col("model").isNull(), "missing").otherwise("ok"))
+    state = F.when(F.col("ok").isNull(), "missing").when(F.col("ok"), "ok").otherwise("damaged")
+    good = lambda c: F.when(F.col("ok"), F.col(f"x.{c}")).alias(c)
+    status = every.join(first, "pg", "full_outer").select("pg", good("model"), good("finish"), good("usage"), state.alias("status"))
     return facts, objects, status
 
 
@@ -69,12 +86,19 @@ def read_questions(spark: SparkSession, text: str) -> DataFrame:
 
 def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An artefact that may be absent: an empty table then."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).json(path)
 
 
+def read_aggregates(spark: SparkSession, path: str, doc: str) -> DataFrame:
+    """(doc, aggregates as JSON) of an aggregate document, for contexts; no row if there is no file."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "doc string, aggregates string")
+    body = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.aggregates").alias("aggregates"))
+    return body.filter("aggregates IS NOT NULL").select(F.lit(doc).alias("doc"), "aggregates")
+
+
 def inline(spark: SparkSession, rows: list[tuple], schema: str = FACT) -> DataFrame:
     """A literal relation, such as hand-read values."""
     return spark.createDataFrame(rows, schema)

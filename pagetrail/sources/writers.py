@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetrail.operators.evaluate import mode_summary, savings
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     """K1, K2: a compact record a line, nulls kept."""
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_json_array(df: DataFrame, path: str, order: list[str]) -> None:
+    """K1: one file that holds one JSON array, a record a line, in the order of columns that tell every row from the others; nulls kept.
+
+    The rows are sorted on the cluster and pass one task a row at a time. An empty table is an empty array."""
+    one = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    first = df.agg(F.min(F.struct(*order)).alias("first"))  # one row: it alone has no comma before it
+    rows = df.select(F.lit(1).alias("__part"), F.struct(*order).alias("__at"), one.alias("__json")).crossJoin(F.broadcast(first))
+    rows = rows.select("__part", "__at", F.concat(F.when(F.col("__at") == F.col("first"), "").otherwise(","), F.col("__json")).alias("value"))
+    ends = [rows.sparkSession.range(1).select(F.lit(p).alias("__part"), F.lit(None).cast(rows.schema["__at"].dataType).alias("__at"), F.lit(v).alias("value")) for p, v in ((0, "["), (2, "]"))]
+    ends[0].unionByName(rows).unionByName(ends[1]).orderBy("__part", "__at").select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
 def aggregates_document(growth: DataFrame, checksum: DataFrame) -> DataFrame:
     """K3: one row {aggregates, checksum} as JSON. Both are small results: a row a segment and a period."""
     one = lambda d, name: d.agg(F.to_json(F.sort_array(F.collect_list(F.struct("*")))).alias(name))
@@ -28,6 +42,30 @@ def markdown(df: DataFrame, limit: int = 1000) -> str:
     return "\n".join(lines + ["| " + " | ".join(map(text, r)) + " |" for r in rows])
 
 
+def eval_report(results: DataFrame, limit: int = 1000) -> str:
+    """K5: the report of an evaluation from its rows (id, type, mode, passed, values_ok, pages_ok, tokens, latency, cost, unverified, error): a summary
+    by mode, a row a question, then numbers without support and errors, if there are any. Modes and questions come in order of their names."""
+    s = mode_summary(results).withColumn("tokens_median", F.col("tokens_median").cast(results.schema["tokens"].dataType)).orderBy("mode")
+    of = lambda a, b: F.concat_ws("/", F.col(a).cast("string"), F.col(b).cast("string"))
+    money = lambda c, n: F.concat(F.lit("$"), F.format_string(f"%.{n}f", F.col(c)))
+    summary = s.select("mode", of("passed", "runs").alias("passed"), of("values_ok_true", "values_ok_of").alias("values"), of("pages_ok_true", "pages_ok_of").alias("pages"), "tokens_median", "latency_median", money("cost", 2).alias("cost"))
+    yes = lambda c: F.when(F.col(c), "yes").when(~F.col(c), "no").alias(c)
+    rows = results.orderBy("id", "mode").select("id", "type", "mode", F.when(F.col("passed"), "passed").otherwise("failed").alias("outcome"), yes("values_ok"), yes("pages_ok"), "tokens", "latency", money("cost", 3).alias("cost"))
+    parts = ["# Evaluation", "## By mode", markdown(summary, limit), "## By question", markdown(rows, limit)]
+    loose = results.filter(F.size("unverified") > 0).orderBy("id", "mode").select("id", "mode", F.array_join("unverified", ", ").alias("numbers"))
+    failed = results.filter("error IS NOT NULL").orderBy("id", "mode").select("id", "mode", "error")
+    for title, table in (("## Numbers without support in the context", loose), ("## Errors", failed)):
+        if not table.isEmpty():
+            parts += [title, markdown(table, limit)]
+    return "\n\n".join(parts) + "\n"
+
+
+def savings_report(results: DataFrame, baseline: str = "full") -> str:
+    """The tokens saved by each other mode against the baseline, a line each; empty without rows of the baseline."""
+    rows = savings(mode_summary(results), baseline).filter((F.col("mode") != baseline) & F.col("saved_pct").isNotNull()).orderBy("mode").collect()  # a row a mode
+    return "\n".join(f"- `{r['mode']}`: {r.saved_pct:.0f}%" for r in rows)
+
+
 def replace_between(text: str, begin: str, end: str, body: str) -> str:
     """K6: the text with what stands between the two markers replaced."""
     head, found, rest = text.partition(begin)
