@@ -100,7 +100,7 @@ def smallest_factors(n: int) -> np.ndarray:
     return out
 
 
-def octave(s: Stretches, p: int, exponent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def octave(s: Stretches, p: int, exponent: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, period, start, end) of the fragments of periods p to 2p - 1; places count from the document's start."""
     docs = np.flatnonzero(s.size >= exponent * p)
     n_tiles = (s.size[docs] - p + 2 * p - 1) // (2 * p)
@@ -114,8 +114,9 @@ def octave(s: Stretches, p: int, exponent: int) -> tuple[np.ndarray, np.ndarray,
     met = s.x[a] == s.x[b]
     doc, a, b, q = doc[row[met]], a[met], b[met], q[k[met]]
     right, left = s.agree(a, b, 2 * p, 1), s.agree(a - 1, b - 1, 2 * p, -1)
-    # any fragment of a run has two periods: it is whole, or reaches a tile's edge
-    wide = left + right >= q
+    # what ends on both sides before the tile does is whole, and a run or nothing; other fragments of a run have two periods
+    whole = (left < 2 * p) & (right < 2 * p)
+    wide = left + right + q >= np.where(whole, np.maximum(exponent * q, least), 2 * q)
     doc, a, b, q, right, left = (v[wide] for v in (doc, a, b, q, right, left))
     primitive, rest, factors = np.ones(len(q), bool), q.copy(), smallest_factors(2 * p)
     while (rest > 1).any():
@@ -132,11 +133,11 @@ def octave(s: Stretches, p: int, exponent: int) -> tuple[np.ndarray, np.ndarray,
     return doc, q, begin - s.start[doc], end - s.start[doc]
 
 
-def fragments(s: Stretches, exponent: int = EXPONENT) -> list[np.ndarray]:
+def fragments(s: Stretches, exponent: int = EXPONENT, least: int = LEAST) -> list[np.ndarray]:
     """(document, period, start, end) of all octaves."""
     found, p = [], 1
     while exponent * p <= s.size.max(initial=0):
-        found.append(octave(s, p, exponent))
+        found.append(octave(s, p, exponent, least))
         p *= 2
     return [np.concatenate([np.asarray(f[i], np.int64) for f in found]) if found else np.zeros(0, np.int64) for i in range(4)]
 
@@ -144,7 +145,7 @@ def fragments(s: Stretches, exponent: int = EXPONENT) -> list[np.ndarray]:
 _READ = "doc_id long, text_key long, n_words long, words string, parts array<struct<period:bigint,begin:bigint,end:bigint>>"
 
 
-def tiled(docs: DataFrame, plant: Callable[[int | None, int], np.ndarray | None] | None, exponent: int) -> DataFrame:
+def tiled(docs: DataFrame, plant: Callable[[int | None, int], np.ndarray | None] | None, exponent: int, least: int = LEAST) -> DataFrame:
     """doc_id, text_key, n_words, words (joined by one space) and the fragments (parts) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +159,7 @@ def tiled(docs: DataFrame, plant: Callable[[int | None, int], np.ndarray | None]
                         at[a:b] = a + own
                         words = joined[i].split(b" ")
                         joined[i] = b" ".join([words[k] for k in own])
-                doc, q, begin, end = fragments(Stretches(w.hash[at], w.first), exponent)
+                doc, q, begin, end = fragments(Stretches(w.hash[at], w.first), exponent, least)
                 by = np.argsort(doc, kind="stable")
                 offsets = np.searchsorted(doc[by], np.arange(w.hi - w.lo + 1)).astype(np.int32)
                 parts = pa.StructArray.from_arrays([pa.array(v[by]) for v in (q, begin, end)], ["period", "begin", "end"])
@@ -199,7 +200,7 @@ def periodic_runs(docs: DataFrame, plant: Callable[[int | None, int], np.ndarray
     if exponent < 4:
         raise ValueError("tiles are cut for runs of four periods or more")
     rows = texts(docs).withColumn("text_key", text_key(F.col("text")))
-    read = materialize(tiled(rows.select("doc_id", "text_key", "text"), plant, exponent), "tiles", compression="zstd")
+    read = materialize(tiled(rows.select("doc_id", "text_key", "text"), plant, exponent, least), "tiles", compression="zstd")
     parts = read.select("doc_id", "text_key", F.explode("parts").alias("x")).select("doc_id", "text_key", "x.*")
     found = materialize(stitched(parts, exponent, least), "runs").withColumnsRenamed({"doc_id": "of_id", "text_key": "of_key"})
     none = read.filter(F.size("parts") == 0).select("doc_id", "n_words", F.array().cast(RUN).alias("runs"), F.col("words").alias("collapsed"))
