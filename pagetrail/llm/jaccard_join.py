@@ -10,9 +10,9 @@ class; classes are linked when 100 * intersection >= percent * union.
 3. A first round links the members of each list to its hub, which joins most copies. The second round takes
    every pair of a list whose classes are not yet in one component, so no link between components is missed, and the
    many pairs inside a large group are never made.
-4. Candidates are verified by T-occurrence search: for a query set, the inverted lists of its shingles over its
-   candidates (256 a block at most) are split as in DivideSkip; the short lists are merged with a heap, and what
-   reaches T minus the number of long lists is looked up in those by binary search. Counts are exact.
+4. Candidates are verified by T-occurrence search: a block of at most 256 candidate sets becomes inverted lists; those of
+   the query's shingles are split as in DivideSkip; the short lists are merged with a heap, and what
+   can reach its overlap is looked up in the long ones by binary search. Nothing else counts the overlaps; shingles are compared there by 48 bits.
 
 Texts without words have no shingles, link with nothing and are components of their own. Null ids count last: a
 component's id is the smallest id that is not null. Rows that repeat an id give a row each. Ties do not arise: sets of equal members are one
@@ -194,22 +194,35 @@ def _counted(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     return rows.filter(F.size(F.array_intersect(first("ha", "n"), first("hb", "m"))) >= F.col("l")).select("a", "b")
 
 
-def divide_skip(query: np.ndarray, sets: list[np.ndarray], need: list[int]) -> list[int]:
+class Postings:
+    """Inverted lists of a block of sets: for each member the indices of the sets that hold it, in rising order. They are made of
+    the sets alone, before any query is known."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        token = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        order = np.argsort(token, kind="stable")
+        token, self.owner = token[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+        first = np.flatnonzero(np.append([True], token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+        self.token, self.edge = token[first], np.append(first, len(token))
+        self.merged = self.probed = 0
+
+    def lists(self, query: np.ndarray) -> list[list[int]]:
+        """The lists of the query's members, longest first."""
+        at = np.searchsorted(self.token, query)
+        held = at < len(self.token)
+        at = at[held][self.token[at[held]] == query[held]]
+        return sorted((self.owner[self.edge[i] : self.edge[i + 1]].tolist() for i in at), key=len, reverse=True)
+
+
+def divide_skip(query: np.ndarray, sets: list[np.ndarray] | Postings, need: list[int]) -> list[int]:
     """Indices of the sets that share at least need[i] members with the query. All sets are sorted and distinct.
 
+    The longest of the query's inverted lists are set aside; the others are merged with a heap, which brings every set up with its count of
+    short lists, and those that can still reach their overlap are looked up in the long ones by binary search. No other count is made.
     mu = 0.01 balances the cost of a heap step against that of a binary search.
     """
-    places = []
-    for s in sets:
-        at = np.searchsorted(query, s)
-        at[at == len(query)] = 0
-        places.append(at[query[at] == s])
-    token = np.concatenate(places)
-    owner = np.repeat(np.arange(len(sets)), [len(p) for p in places])
-    order = np.argsort(token, kind="stable")  # a list holds its owners in rising order
-    token, owner = token[order], owner[order].tolist()
-    edge = np.append(np.flatnonzero(np.append([True], token[1:] != token[:-1])), len(token)).tolist() if len(token) else []
-    lists = sorted((owner[a:b] for a, b in zip(edge, edge[1:], strict=False)), key=len, reverse=True)
+    index = sets if isinstance(sets, Postings) else Postings(sets)
+    lists = index.lists(query)
     t = min(need)
     if len(lists) < t:
         return []
@@ -218,10 +231,12 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], need: list[int]) -> l
     out = []
     for i, met in groupby(heapq.merge(*short)):
         count = sum(1 for _ in met)
-        if count < t - n_long:
+        index.merged += count
+        if count < need[i] - n_long:
             continue
         for row in long:
             at = bisect_left(row, i)
+            index.probed += 1
             count += at < len(row) and row[at] == i
         if count >= need[i]:
             out.append(i)

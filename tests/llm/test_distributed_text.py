@@ -1,4 +1,4 @@
-"""Operators 11 to 13 against brute force, on awkward tables."""
+"""Operators 11 to 13 against brute force, on awkward tables; the searches of 4 and 9 by themselves."""
 
 import hashlib
 import random
@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagetrail.llm import periodic_runs, substring_dedup, vector_codes
+from pagetrail.llm import jaccard_join, periodic_runs, quality, substring_dedup, vector_codes
 
 from .test_operators import AWKWARD, docs, sentence
 
@@ -226,3 +226,55 @@ def test_one_word_many_times_stays_linear(spark):
 
 def test_runs_of_an_empty_table(spark):
     assert periodic_runs.periodic_runs(docs(spark, [])).count() == 0
+
+
+# ---------------------------------------------------------------- 4 and 9
+
+
+def test_divide_skip_reads_lists_of_an_index_made_before_the_query():
+    rng = np.random.default_rng(4)
+    common = np.arange(1000, 1060, dtype=np.uint64)  # in every set: long lists
+    bases = [rng.integers(0, 900, 60).astype(np.uint64) for _ in range(10)]
+    sets = [np.unique(np.concatenate([common, np.where(rng.random(60) < 0.05, rng.integers(2000, 9000, 60).astype(np.uint64), bases[k % 10])])) for k in range(200)]
+    index = jaccard_join.Postings(sets)
+    for i in (3, 50, 120):
+        query = np.unique(np.concatenate([sets[i][:-4], rng.integers(0, 900, 3).astype(np.uint64)]))
+        need = [jaccard_join.least_overlap(len(query), len(s), 75) for s in sets]
+        before = index.merged, index.probed
+        assert jaccard_join.divide_skip(query, index, need) == [k for k, s in enumerate(sets) if len(np.intersect1d(query, s)) >= need[k]]
+        merged, probed = index.merged - before[0], index.probed - before[1]
+        everything = sum(len(np.intersect1d(query, s)) for s in sets)
+        assert 0 < merged < everything / 2 and 0 < probed < everything
+    # what the lists do not hold is not found: they, and nothing beside them, decide
+    index.owner = np.where(index.owner == 3, 4, index.owner)
+    assert 3 not in jaccard_join.divide_skip(sets[3], index, [10] * 200)
+
+
+def test_margins_equal_a_dense_slow_model(spark):
+    rng = random.Random(9)
+    good, bad = [f"fine{i}" for i in range(12)], [f"junk{i}!" for i in range(12)]
+    rows = [(i, " ".join(rng.choice(good if (i % 2) ^ (rng.random() < 0.2) else bad) for _ in range(rng.randint(3, 9))), i % 2) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    ratios = quality.log_count_ratios(frame)
+    features = quality.Features()
+    places = [np.sort(features(np.frombuffer(t.encode(), np.uint8))) for _, t, _ in rows]
+    counts = np.ones((2, 1 << quality.BITS))
+    for p, (_, _, y) in zip(places, rows, strict=True):
+        counts[y, p] += 1
+    want = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    assert np.allclose(ratios, want)
+    used = np.unique(np.concatenate(places))
+    dense = np.zeros((len(rows), len(used)))
+    for i, p in enumerate(places):
+        dense[i, np.searchsorted(used, p)] = want[p]
+    dense = np.hstack([dense / np.linalg.norm(dense, axis=1, keepdims=True), np.ones((len(rows), 1))])  # the bias is a feature that is 1
+    y = np.array([r[2] for r in rows]) * 2.0 - 1
+    # the same problem by projected gradient steps on the whole dual: hinge loss, both classes of one weight
+    gram = (dense * y[:, None]) @ (dense * y[:, None]).T
+    alpha, step = np.zeros(len(y)), 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(20_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, 1.0)
+    margins = dense @ ((alpha * y) @ dense)
+    w, b = quality.dual_coordinate_descent([(p, quality.scaled(ratios, p)) for p in places], y, 1 << quality.BITS, epochs=2000, tol=1e-7)
+    got = np.array([float(w[p] @ quality.scaled(ratios, p)) + b for p in places])
+    assert np.abs(got - margins).max() < 0.01 and ((got > 0) == (y > 0)).mean() > 0.9
