@@ -153,11 +153,18 @@ def _needed(solid: Column, min_docs: int) -> Column:
     return F.when(solid >= LONG, min(2, min_docs)).otherwise(min_docs)
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_fixed: int = MIN_FIXED, alike: float = ALIKE) -> DataFrame:
-    """(doc_id, text_key, lines): keys of the lines that each document of (doc_id, text) loses."""
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_fixed: int = MIN_FIXED, alike: float = ALIKE, copies: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text_key, lines): keys of the lines that each document of (doc_id, text) loses.
+
+    copies (doc_id, text_key, owner): documents with one owner count as one, as equal texts do without it: what only copies share does
+    not recur, and copies of the document that keeps a line keep it too, so that all of them lose the same lines."""
     docs = docs.filter("doc_id IS NOT NULL").select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
-    lines = materialize(line_keys(docs, min_fixed), "lines")
-    per_line = materialize(lines.groupBy("line").agg(F.count_distinct("text_key").alias("texts"), F.first("leaf").alias("leaf"), F.first("solid").alias("solid")), "line-counts")
+    found = line_keys(docs, min_fixed)
+    if copies is not None:
+        found = found.join(copies.select("doc_id", "text_key", "owner").distinct(), ["doc_id", "text_key"])
+    found = materialize(found, "lines")
+    lines = found if copies is not None else found.withColumn("owner", F.col("text_key"))
+    per_line = materialize(lines.groupBy("line").agg(F.count_distinct("owner").alias("texts"), F.first("leaf").alias("leaf"), F.first("solid").alias("solid")), "line-counts")
     # branches below the leading tokens that several lines take, which could make a template together
     leaf = per_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("texts").alias("d"), F.max("solid").alias("most")).filter((F.col("n") > 1) & (F.col("d") >= _needed(F.col("most"), min_docs)))
     shared = materialize(per_line.join(leaf, "leaf").select("line", "texts", "solid"), "branches")
@@ -170,14 +177,14 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_fixed: int =
     wide = made.select("line", "template").join(wide.select("template", "solid"), "template")
     alone = per_line.filter(enough("texts") & (F.col("solid") >= min_fixed)).select("line", F.col("line").alias("template"), "solid")
     named = materialize(alone.unionByName(wide), "templates")
-    held = lines.select("doc_id", "text_key", "line").join(named, "line")
-    found = held.groupBy("template").agg(F.count_distinct("text_key").alias("texts"), F.min(F.struct("doc_id", "text_key")).getField("text_key").alias("first"), F.min("solid").alias("solid")).filter(enough("texts"))
+    held = lines.select("doc_id", "owner", "line").join(named, "line")
+    recur = held.groupBy("template").agg(F.count_distinct("owner").alias("texts"), F.min(F.struct("doc_id", "owner")).getField("owner").alias("first"), F.min("solid").alias("solid")).filter(enough("texts"))
     # both written, so that the join below exchanges both sides and a line that many documents hold can be split
-    best = named.join(found.select("template", "texts", "first"), "template").groupBy("line").agg(F.max(F.struct("texts", "template", "first")).getField("first").alias("first"))
+    best = named.join(recur.select("template", "texts", "first"), "template").groupBy("line").agg(F.max(F.struct("texts", "template", "first")).getField("first").alias("first"))
     best = materialize(best, "recurring")
-    out = lines.select("doc_id", "text_key", "line").join(best, "line").filter(F.col("text_key") != F.col("first"))
+    out = lines.select("doc_id", "text_key", "owner", "line").join(best, "line").filter(F.col("owner") != F.col("first"))
     out = materialize(out.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("lines")), "dropped")
-    discard(lines, per_line, shared, made, named, best)
+    discard(found, per_line, shared, made, named, best)
     return out
 
 
