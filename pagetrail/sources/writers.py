@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetrail.operators.evaluate import mode_summary, savings
+from pagetrail.operators.quality import by_kind, coverage_counts, duplicates
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -60,6 +61,44 @@ def eval_report(results: DataFrame, limit: int = 1000) -> str:
     return "\n\n".join(parts) + "\n"
 
 
+def audit_report(merged: DataFrame, covered: DataFrame, objects: DataFrame, controls: DataFrame, ruled: DataFrame, layers: DataFrame, limit: int = 25) -> str:
+    """K5: the report of an extraction from its rows, as numbered sections: totals, reconciliation (classes, mismatches, what one side alone has, by page), controls, completeness
+    (objects by kind, verdicts, pages with numbers but no record, pages of fewer records than declared), values out of range and repeated, layers.
+
+    merged: linkage.reconcile(); covered: quality.coverage(); objects; controls: quality.controls(); ruled: quality.range_rules(); layers: layout.layer_summary(). Each table has at
+    most ``limit`` rows, the first in the order named by its columns, and says how many there are if that is more."""
+
+    def top(rows: DataFrame, *order) -> str:
+        n = rows.count()
+        if not n:
+            return "none"
+        return markdown(rows.orderBy(*order).limit(limit), limit) + (f"\n\n{n} in all" if n > limit else "")
+
+    mismatch = merged.filter("kind = 'mismatch'").select("pg", "m", "s", "p", "v_left", "v_right")
+    alone = lambda kind: merged.filter(F.col("kind") == kind)
+    by_page = alone("only_right").groupBy("pg").agg(F.count(F.lit(1)).alias("n"))
+    totals = covered.agg(F.count(F.lit(1)).alias("pages"), F.sum("objects").alias("objects"), F.sum("numeric").alias("with_numbers"), F.sum("n_parser").alias("left_records"), F.sum("n_vision").alias("right_records"))
+    gaps = covered.filter((F.col("numeric") > 0) & (F.col("n_parser") + F.col("n_vision") == 0)).select("pg", "objects", "numeric")
+    parts = [
+        ("# Audit of the extraction", None),
+        ("## 1. Totals", markdown(totals)),
+        ("## 2. Reconciliation", top(merged.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "kind")),
+        ("### 2.1. Mismatches", top(mismatch, *mismatch.columns)),
+        ("### 2.2. Left side only", top(alone("only_left").select("pg", "m", "s", "p", "v"), "pg", "m", "s", "p", "v")),
+        ("### 2.3. Right side only, by page", top(by_page, F.desc("n"), "pg")),
+        ("## 3. Controls", top(controls.groupBy("ok").agg(F.count(F.lit(1)).alias("n")), "ok")),
+        ("### 3.1. Controls that fail", top(controls.filter("NOT ok"), *controls.columns)),
+        ("## 4. Objects by kind", top(by_kind(objects), F.desc("n"), "kind")),
+        ("### 4.1. Pages with numbers and no record", top(gaps, F.desc("numeric"), "pg")),
+        ("### 4.2. Pages by completeness", top(coverage_counts(covered), "verdict")),
+        ("### 4.3. Partial pages", top(covered.filter("verdict = 'partial'").select("pg", "declared", "n_parser", "n_vision"), F.desc("declared"), "pg")),
+        ("## 5. Values out of range", top(ruled, *ruled.columns)),
+        ("### 5.1. Repeated records, by page", top(duplicates(merged), F.desc("extra"), "pg")),
+        ("## 6. Layers", top(layers, "reason")),
+    ]
+    return "\n\n".join(x for pair in parts for x in pair if x is not None) + "\n"
+
+
 def savings_report(results: DataFrame, baseline: str = "full") -> str:
     """The tokens saved by each other mode against the baseline, a line each; empty without rows of the baseline."""
     rows = savings(mode_summary(results), baseline).filter((F.col("mode") != baseline) & F.col("saved_pct").isNotNull()).orderBy("mode").collect()  # a row a mode

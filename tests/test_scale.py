@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagetrail.functions import text as X
-from pagetrail.operators import context, evaluate, intervals, layout, linkage, models, retrieval, sections
+from pagetrail.operators import context, evaluate, intervals, layout, linkage, models, quality, retrieval, sections
 from pagetrail.sources import page_cache, readers, writers
 from pagetrail.streaming import incremental
 
@@ -387,3 +387,21 @@ def test_json_arrays_and_reports(spark, tmp_path):
     assert writers.savings_report(spark.createDataFrame(rows, kinds)) == "- `vector`: 88%" and writers.savings_report(spark.createDataFrame(rows[1:], kinds)) == ""
     (tmp_path / "agg.json").write_text('{"aggregates":[{"p":"2024","v":1.5}],"checksum":[]}')
     assert readers.read_aggregates(spark, str(tmp_path / "agg.json"), "d").first().aggregates == '[{"p":"2024","v":1.5}]' and readers.read_aggregates(spark, str(tmp_path / "no.json"), "d").count() == 0
+
+
+def test_audit_report(spark):
+    kinds = "seq long, t string, m string, s string, p string, v double, u string, pg int"
+    a = spark.createDataFrame([(1, "t", "m", "A", "1", 5.0, "u", 1), (2, "t", "m", "B", "1", 6.0, "u", 1), (3, "t", "m", "C", "1", 7.0, "u", 2)], kinds)
+    b = spark.createDataFrame([(10, "t", "m", "A", "1", 5.0, "u", 1), (11, "t", "m", "B", "1", 9.0, "u", 1), (12, "t", "m", "D", "1", 1.0, "u", 3), (13, "t", "m", "D", "1", 1.0, "u", 3)], kinds)
+    matched = spark.createDataFrame([(1, 10, True), (2, 11, False)], "pi long, vi long, same boolean")
+    merged = linkage.reconcile(a, b, matched)
+    objects = spark.createDataFrame([(1, "table", True, 2, 1), (4, "chart", True, 1, 1), (4, "photo", False, 0, 0)], "pg int, kind string, has_numbers boolean, rows int, cols int")
+    covered = quality.coverage(spark.range(1, 5).select(F.col("id").cast("int").alias("pg")), objects, a, b)
+    controls = spark.createDataFrame([("m", "A", "1", 5.0, 1, True), ("m", "Z", "1", 5.0, 0, False)], "m string, s string, p string, want double, n long, ok boolean")
+    ruled = quality.range_rules(a, [("u", 0.0, 6.5)]).select("seq", "v", "rule")
+    layers = spark.createDataFrame([("tiny", 3, 2)], "reason string, n long, pages long")
+    report = writers.audit_report(merged, covered, objects, controls, ruled, layers)
+    for line in ("| confirmed | 1 |", "| only_right | 2 |", "| 1 | m | B | 1 | 6.0 | 9.0 |", "| 2 | m | C | 1 | 7.0 |", "| 3 | 2 |", "| m | Z | 1 | 5.0 | 0 | False |", "| 4 | 2 | 1 |", "| 3 | 7.0 |", "| 3 | 1 |", "| tiny | 3 | 2 |"):
+        assert line in report, line
+    short = writers.audit_report(merged, covered, objects, controls, ruled.limit(0), layers, limit=1)
+    assert "## 5. Values out of range\n\nnone" in short and "in all" in short
