@@ -201,7 +201,8 @@ def periodic_runs(docs: DataFrame, plant: Callable[[int | None, int], np.ndarray
         raise ValueError("tiles are cut for runs of four periods or more")
     rows = texts(docs).withColumn("text_key", text_key(F.col("text")))
     read = materialize(tiled(rows.select("doc_id", "text_key", "text"), plant, exponent, least), "tiles", compression="zstd")
-    parts = read.select("doc_id", "text_key", F.explode("parts").alias("x")).select("doc_id", "text_key", "x.*")
+    # rows that repeat id and text give the same fragments: each once, before they meet
+    parts = read.select("doc_id", "text_key", F.explode("parts").alias("x")).select("doc_id", "text_key", "x.*").distinct()
     found = materialize(stitched(parts, exponent, least), "runs").withColumnsRenamed({"doc_id": "of_id", "text_key": "of_key"})
     none = read.filter(F.size("parts") == 0).select("doc_id", "n_words", F.array().cast(RUN).alias("runs"), F.col("words").alias("collapsed"))
     some = read.filter(F.size("parts") > 0).select("doc_id", "text_key", "n_words", "words")
