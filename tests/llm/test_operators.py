@@ -111,7 +111,7 @@ def test_masks_meet_every_accepted_overlap():
 
 def test_overlaps_equal_brute_force(spark):
     rng = random.Random(31)
-    items = [(i, sentence(rng, n)) for i, n in enumerate([3, 4, 5, 5, 6, 7, 8, 8, 9, 10, 11, 12, 13, 14, 20, 40])]
+    items = [(i, sentence(rng, n)) for i, n in enumerate([2, 3, 4, 4, 5, 5, 6, 7, 8, 8, 9, 10, 11, 12, 13, 14, 20, 40])]
     rows = []
     for i in range(300):
         w = items[i % len(items)][1].split()
@@ -126,13 +126,23 @@ def test_overlaps_equal_brute_force(spark):
         for i, item in items:
             w = item.split()
             n = min(13, len(w))
-            if len(w) >= 5 and any(sum(a == b for a, b in zip(text[x : x + n], w[y : y + n], strict=True)) >= 0.75 * n for y in range(len(w) - n + 1) for x in range(len(text) - n + 1)):
+            if any(sum(a == b for a, b in zip(text[x : x + n], w[y : y + n], strict=True)) >= (0.75 * n if n >= 5 else n) for y in range(len(w) - n + 1) for x in range(len(text) - n + 1)):
                 want.add((d, i))
     frame = docs(spark, rows).withColumn("text_key", F.lit("clash")).withColumn("words", F.lit(1))
     got = decontamination.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) > 150
 
 
+def test_short_items_are_met_whole(spark):
+    items = [(1, "zork"), (2, "zork plim"), (3, "Zork plim vorn"), (4, "zork plim vorn quat"), (5, None), (6, " ")]
+    rows = [*AWKWARD, (20, "ZORK"), (21, "one zork plim, zork plim"), (22, "zork plim vorn quat"), (23, "zork x plim vorn quat"), (24, "zork " * 3000), (25, "zork  plim vorn")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.word_start, r.matched) for r in decontamination.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(20, 1): (0, 1), (21, 1): (1, 1), (21, 2): (3, 2), (22, 1): (0, 1), (22, 2): (0, 2), (22, 3): (0, 3), (22, 4): (0, 4), (23, 1): (0, 1), (24, 1): (0, 1), (25, 1): (0, 1), (25, 2): (0, 2), (25, 3): (0, 3)}
+    kept = {r.doc_id for r in decontamination.without_contaminated(docs(spark, rows), bench).collect()}
+    assert {21, 23, 24} <= kept and not {20, 22, 25} & kept
+
+
 def test_best_window():
     a = np.arange(20, dtype=np.uint64)
     b = a.copy()
