@@ -503,17 +503,26 @@ def dict_kneser_ney(rows):
         for h, w in set(zip([None, *words[:-1]], words, strict=True)):
             n[h, w][y] += 1
             left[w][y].add(h)
-    k, k_h, cut = toxicity.PRIOR, toxicity.CONTEXT_PRIOR, toxicity.DISCOUNT
+    k, k_h = toxicity.PRIOR, toxicity.CONTEXT_PRIOR
     part = lambda d, c: [d * x / sum(c) for x in c]
-    d_w = {w: len(a | b) - 1 for w, (a, b) in left.items()}
+
+    def discounted(counts):
+        t = [sum(x == i for x in counts) for i in range(5)]
+        y = t[1] / (t[1] + 2 * t[2]) if t[1] else 0.5
+        cut = [0] + [min(max(i - (i + 1) * y * t[i + 1] / t[i] if t[i] else i * y, i / 10), i * 0.9) for i in (1, 2, 3)]
+        return lambda x: x - cut[min(x, 3)]
+
+    of_word = discounted([len(a | b) for a, b in left.values()])
+    of_pair = discounted([sum(c) for c in n.values()])
+    d_w = {w: of_word(len(a | b)) for w, (a, b) in left.items()}
     dc_w = {w: part(d_w[w], [len(a), len(b)]) for w, (a, b) in left.items()}
     total, own = sum(d_w.values()), [sum(x[c] for x in dc_w.values()) for c in (0, 1)]
-    back = len(left) / sum(len(a | b) for a, b in left.values())
-    d_h, dc_h, n_h, nc_h = defaultdict(int), defaultdict(lambda: [0.0, 0.0]), defaultdict(int), defaultdict(lambda: [0, 0])
+    back = 1 - total / sum(len(a | b) for a, b in left.values())
+    d_h, dc_h, n_h, nc_h = defaultdict(float), defaultdict(lambda: [0.0, 0.0]), defaultdict(int), defaultdict(lambda: [0, 0])
     for (h, w), c in n.items():
-        d_h[h] += max(sum(c) - cut, 0)
+        d_h[h] += of_pair(sum(c))
         n_h[h] += sum(c)
-        for j, x in enumerate(part(max(sum(c) - cut, 0), c)):
+        for j, x in enumerate(part(of_pair(sum(c)), c)):
             dc_h[h][j] += x
             nc_h[h][j] += c[j]
 
@@ -525,7 +534,7 @@ def dict_kneser_ney(rows):
         if h not in n_h:
             return word(w, c)
         x = n.get((h, w), [0, 0])
-        d = max(sum(x) - cut, 0)
+        d = of_pair(sum(x))
         first = lambda own, both: (own + k_h * both / n_h[h]) / (nc_h[h][c] + k_h)
         return first(part(d, x)[c] if d else 0, d) + (1 - first(dc_h[h][c], d_h[h])) * word(w, c)
 
@@ -553,6 +562,12 @@ def test_kneser_ney_equals_dicts(spark, head):
         assert got[i] == pytest.approx(want, abs=1e-5)
 
 
+def test_discounts_leave_a_part_of_every_count():
+    assert toxicity.discounts([100, 40, 20, 10]) == pytest.approx((100 / 180, 2 - 3 * 100 / 180 * 0.5, 3 - 4 * 100 / 180 * 0.5))
+    for n in ([0, 0, 0, 0], [5, 0, 0, 0], [1, 50, 400, 3], [0, 3, 0, 9]):
+        assert all(0 < d < i for i, d in zip((1, 2, 3), toxicity.discounts(n), strict=True))
+
+
 def test_dual_coordinate_descent_separates():
     xs = [(np.array([0]), np.array([1.0])), (np.array([1]), np.array([1.0]))] * 5
     y = np.array([1.0, -1.0] * 5)
