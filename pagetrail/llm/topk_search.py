@@ -52,17 +52,22 @@ def threshold_search(ids: np.ndarray, rows: np.ndarray, order: np.ndarray, own:
     n = len(ids)
     dims = np.flatnonzero(q)
     weight = q[dims]
-    # column j lists the rows of dimension dims[j] from its better end
-    lists = np.where(weight > 0, order[:, dims], order[::-1, dims])
+    down = order[::-1]
+
+    def listed(lo: int, hi: int) -> np.ndarray:
+        """The rows at these places of the lists; column j is dimension dims[j] from its better end."""
+        return np.where(weight > 0, order[lo:hi, dims], down[lo:hi, dims]) if len(dims) else order[lo:hi, :1]
+
     seen = np.zeros(n, bool)
     best_id, best = np.zeros(0, np.int64), np.zeros(0, rows.dtype)
     depth = 0
     if not len(dims):  # every score is 0: the lists say nothing, the ids decide
-        lists, depth = order[:, :1], 0
         step = n
+    elif n and (rows[listed(0, 1)[0], dims] * weight).sum() < floor:
+        depth = n
     while depth < n:
         upto = min(n, depth + step)
-        met = lists[depth:upto].ravel()
+        met = listed(depth, upto).ravel()
         new = np.unique(met[~seen[met]])
         seen[new] = True
         new = new[ids[new] != own]
@@ -71,7 +76,7 @@ def threshold_search(ids: np.ndarray, rows: np.ndarray, order: np.ndarray, own:
         top = np.lexsort((best_id, -best))[:k]
         best, best_id = best[top], best_id[top]
         if len(dims):
-            bound = (rows[lists[upto - 1], dims] * weight).sum()
+            bound = (rows[listed(upto - 1, upto)[0], dims] * weight).sum()
             if bound < floor or (len(best) == k and bound < best[-1]):
                 break
         depth, step = upto, step * 2
@@ -79,15 +84,17 @@ def threshold_search(ids: np.ndarray, rows: np.ndarray, order: np.ndarray, own:
 
 
 class Block(NamedTuple):
-    """Rows of one length. order: for each dimension their places by falling value."""
+    """Rows of one length. order: for each dimension their places by falling value; most: the largest size of a component."""
 
     ids: np.ndarray
     rows: np.ndarray
     order: np.ndarray
+    most: float
 
 
 def _block(dim: int, ids: bytes, data: bytes, order: bytes) -> Block:
-    return Block(np.frombuffer(ids, np.int64), np.frombuffer(data, float).reshape(-1, dim), np.frombuffer(order, np.int32).reshape(-1, dim))
+    rows = np.frombuffer(data, float).reshape(-1, dim)
+    return Block(np.frombuffer(ids, np.int64), rows, np.frombuffer(order, np.int32).reshape(-1, dim), float(np.abs(rows).max()))
 
 
 def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -132,8 +139,8 @@ def packed(rows: DataFrame, block_rows: int) -> DataFrame:
 
 def _ask(block: Block, own: int, q: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """threshold_search, in whole numbers of any size where doubles are not exact."""
-    ids, rows, order = block
-    if np.abs(q).max() * np.abs(rows).max() * len(q) >= EXACT:
+    ids, rows, order, most = block
+    if np.abs(q).max() * most * len(q) >= EXACT:
         rows, q = np.array([[int(x) for x in r] for r in rows], object), np.array([int(x) for x in q], object)
     return threshold_search(ids, rows, order, own, q, k, floor)
 
