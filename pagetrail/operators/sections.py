@@ -29,10 +29,11 @@ def _known_level(max_level: int) -> Column:
 def section_ends(bookmarks: DataFrame, last_page: str = "last_page", max_level: int = MAX_LEVEL) -> DataFrame:
     """page_to is the page before the next bookmark of the same or a higher level, the last page without one.
 
-    One window for each level instead of a self-join: the next page of level k or above, picked by the row's level.
+    One window for each level instead of a self-join: the next page of level k or above, picked by the row's level. The window runs
+    from the last bookmark back, where it grows by a row at each step; one that ends at the last row is summed up anew for each row.
     """
-    after = Window.partitionBy("doc").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    nexts = [F.first(F.when(F.col("level") <= k, F.col("page_from")), ignorenulls=True).over(after) for k in range(1, max_level + 1)]
+    after = Window.partitionBy("doc").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    nexts = [F.last(F.when(F.col("level") <= k, F.col("page_from")), ignorenulls=True).over(after) for k in range(1, max_level + 1)]
     following = F.element_at(F.array(*nexts), _known_level(max_level))
     return bookmarks.withColumn("page_to", F.when(following.isNotNull(), F.greatest(F.col("page_from"), following - 1)).otherwise(F.col(last_page)).cast("long"))
 

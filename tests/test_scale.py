@@ -57,6 +57,25 @@ def test_section_texts(spark):
     assert sections.build_sections(b.limit(0), p.limit(0)).count() == 0
 
 
+def long_document(spark, n):
+    """n bookmarks of one document, a page each, of levels 1 to 4 in turn."""
+    b = spark.range(1, n + 1).select(F.lit("d").alias("doc"), F.col("id").alias("seq"), F.lit("t").alias("title"), (1 + (F.col("id") - 1) % 4).cast("int").alias("level"), F.col("id").alias("page_from"), F.lit(n).cast("long").alias("last_page"))
+    return sections.with_ids(sections.section_ends(b))
+
+
+def in_time(call, seconds):
+    """call()'s result; what takes work with the square of the rows takes minutes here."""
+    began = time.monotonic()
+    out = call()
+    assert time.monotonic() - began < seconds
+    return out
+
+
+def test_section_ends_of_many_bookmarks(spark):
+    got = in_time(lambda: long_document(spark, 20_000).select("level", "page_from", "page_to").collect(), 60)
+    assert len(got) == 20_000 and all(r.page_to == min(r.page_from + max(4 - r.level, 0) if r.level > 1 else r.page_from + 3, 20_000) for r in got)
+
+
 def test_level_one_sections_leave_no_gap(spark):
     rng = random.Random(2)
     marks, page = [], 1
