@@ -81,8 +81,9 @@ def build_sections(bookmarks: DataFrame, pages: DataFrame) -> DataFrame:
 def leaf_sections(sections: DataFrame, max_level: int = MAX_LEVEL) -> DataFrame:
     """Sections in which no deeper section begins.
 
-    One window instead of a self-join: the least start, from the section's own on, of a section below each level."""
-    on = Window.partitionBy("doc").orderBy("page_from").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    One window instead of a self-join: the least start, from the section's own on, of a section below each level. It runs from the last
+    page back, as in section_ends()."""
+    on = Window.partitionBy("doc").orderBy(F.desc("page_from")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     starts = [F.min(F.when(F.col("level") > k, F.col("page_from"))).over(on) for k in range(1, max_level + 1)]
     rows = sections.withColumn("__deeper", F.element_at(F.array(*starts), _known_level(max_level)))
     return rows.filter(F.col("__deeper").isNull() | (F.col("__deeper") > F.col("page_to"))).drop("__deeper")

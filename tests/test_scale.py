@@ -76,6 +76,11 @@ def test_section_ends_of_many_bookmarks(spark):
     assert len(got) == 20_000 and all(r.page_to == min(r.page_from + max(4 - r.level, 0) if r.level > 1 else r.page_from + 3, 20_000) for r in got)
 
 
+def test_leaves_of_many_bookmarks(spark):
+    got = in_time(lambda: sections.leaf_sections(long_document(spark, 20_000)).select("level", "seq").collect(), 60)
+    assert sorted(r.seq for r in got) == list(range(4, 20_001, 4))
+
+
 def test_level_one_sections_leave_no_gap(spark):
     rng = random.Random(2)
     marks, page = [], 1
