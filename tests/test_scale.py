@@ -81,6 +81,11 @@ def test_leaves_of_many_bookmarks(spark):
     assert sorted(r.seq for r in got) == list(range(4, 20_001, 4))
 
 
+def test_top_ranges_of_many_bookmarks(spark):
+    got = in_time(lambda: sections.drop_nested(long_document(spark, 20_000)).select("seq").collect(), 60)
+    assert sorted(r.seq for r in got) == list(range(1, 20_001, 4))
+
+
 def test_level_one_sections_leave_no_gap(spark):
     rng = random.Random(2)
     marks, page = [], 1
