@@ -86,6 +86,12 @@ def test_top_ranges_of_many_bookmarks(spark):
     assert sorted(r.seq for r in got) == list(range(1, 20_001, 4))
 
 
+def test_outline_of_many_bookmarks(spark):
+    got = in_time(lambda: sections.outline(long_document(spark, 20_000), 3).first(), 60)
+    lines = got.outline.split("\n")
+    assert len(lines) == 15_000 and lines[0] == "s001-t | t | стр. 1-4" and lines[-1] == "    s199-t | t | стр. 19999-20000"
+
+
 def test_level_one_sections_leave_no_gap(spark):
     rng = random.Random(2)
     marks, page = [], 1
