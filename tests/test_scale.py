@@ -92,6 +92,13 @@ def test_outline_of_many_bookmarks(spark):
     assert len(lines) == 15_000 and lines[0] == "s001-t | t | стр. 1-4" and lines[-1] == "    s199-t | t | стр. 19999-20000"
 
 
+def test_texts_of_many_bookmarks(spark):
+    b = long_document(spark, 20_000).select("doc", "seq", "title", "level", "page_from")
+    p = spark.range(1, 20_001).select(F.lit("d").alias("doc"), F.col("id").alias("page"), F.col("id").cast("string").alias("text"))
+    got = in_time(lambda: sections.build_sections(b, p).select("seq", "level", "text").collect(), 90)
+    assert len(got) == 20_000 and all(r.text == "\n".join(str(r.seq + i) for i in range(4 if r.level == 1 else 5 - r.level)) for r in got)
+
+
 def test_level_one_sections_leave_no_gap(spark):
     rng = random.Random(2)
     marks, page = [], 1
