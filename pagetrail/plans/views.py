@@ -114,6 +114,12 @@ DUCK_PAGE_TEXTS = f"""
         SELECT doc, page_from, coalesce(text, '') AS text FROM bookmarks UNION ALL SELECT 'p' || page_id, 1, coalesce(html, '') FROM pages))"""
 
 
+LISTED_BOTH = "JOIN {listed} a ON a.doc = q.doc AND a.k = length(q.question) % a.n JOIN {listed} b ON b.doc = q.doc AND b.k = 7 * length(q.question) % b.n"
+#: The same rows for Spark: a document's first listed section tells how many there are, so that the places are keys and no question meets all sections of its document.
+KEYED_BOTH = "JOIN {listed} z ON z.doc = q.doc AND z.k = 0 JOIN {listed} a ON a.doc = q.doc AND a.k = length(q.question) % z.n JOIN {listed} b ON b.doc = q.doc AND b.k = 7 * length(q.question) % z.n"
+SPARK_VIEWS = VIEWS | {"replies": VIEWS["replies"].replace(LISTED_BOTH, KEYED_BOTH)}
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or view as a DataFrame."""
     if name == "page_texts":
@@ -122,8 +128,8 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return with_ids(section_ends(frame(spark, sf_dir, "bookmarks")))
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    used = sorted(set(re.findall(r"\{(\w+)\}", VIEWS[name])))
-    return spark.sql(VIEWS[name], **{u: frame(spark, sf_dir, u) for u in used})
+    used = sorted(set(re.findall(r"\{(\w+)\}", SPARK_VIEWS[name])))
+    return spark.sql(SPARK_VIEWS[name], **{u: frame(spark, sf_dir, u) for u in used})
 
 
 #: Sections for DuckDB, by a self-join where the engine uses windows.

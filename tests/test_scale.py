@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 import threading
 import time
 import uuid
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagetrail.functions import text as X
 from pagetrail.operators import context, evaluate, intervals, layout, linkage, models, quality, retrieval, sections
+from pagetrail.plans import views
 from pagetrail.sources import page_cache, readers, writers
 from pagetrail.streaming import incremental
 
@@ -99,6 +101,13 @@ def test_texts_of_many_bookmarks(spark):
     assert len(got) == 20_000 and all(r.text == "\n".join(str(r.seq + i) for i in range(4 if r.level == 1 else 5 - r.level)) for r in got)
 
 
+def test_replies_meet_sections_by_place(spark, capsys):
+    views.frame(spark, "/root/testdata/sf0.001", "replies").explain()
+    joins = [x for x in capsys.readouterr().out.splitlines() if "Join" in x and "conv_id" not in x]
+    assert joins and not [x for x in joins if re.search(r"Inner.*\(k#|NestedLoop|Cartesian", x)]
+    assert len([x for x in joins if "% n#" in x]) == 2
+
+
 def test_level_one_sections_leave_no_gap(spark):
     rng = random.Random(2)
     marks, page = [], 1
