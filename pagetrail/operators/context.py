@@ -47,49 +47,79 @@ def choose(decisions: DataFrame, questions: DataFrame, sections: DataFrame) -> D
 FACT = ("t", "m", "s", "p", "v", "u", "pg")
 
 
+#: A document's text goes to so many places, by question, so that the prompts of its questions are put together by that many tasks.
+SPREAD = 32
+
+
+def _with_document(questions: DataFrame, documents: DataFrame, how: str = "inner") -> DataFrame:
+    """questions with the columns of their document (doc, ...), a row a document, which may be long: it is copied SPREAD times, never once a question, and a question's row
+    grows only where its prompt is put together."""
+    at = F.pmod(F.xxhash64("question_id"), F.lit(SPREAD)).cast("int")
+    copies = documents.withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return questions.withColumn("__at", at).join(copies.hint("merge"), ["doc", "__at"], how).drop("__at")
+
+
 def _facts_of(docs: DataFrame, kept: DataFrame, facts: DataFrame, anchors: list[int]) -> DataFrame:
-    """(question_id, part, seq, FACT): the facts of each question, each once; those of anchor pages only come last (part 1)."""
-    full, some = docs.filter("mode = 'full'").select("question_id", "doc"), docs.filter("mode <> 'full'").select("question_id", "doc")
-    every = facts.join(full, "doc").withColumn("part", F.lit(0))
-    spans = I.disjoint(kept.filter("mode <> 'full'"), ["question_id", "doc"], "page_from", "page_to")
+    """(question_id, part, seq, FACT): the facts of each question (question_id, doc), each once; those of anchor pages only come last (part 1)."""
+    spans = I.disjoint(kept, ["question_id", "doc"], "page_from", "page_to")
     own = I.stabbed(facts, spans, ["doc"], "pg", "page_from", "page_to").drop("page_from", "page_to").withColumn("part", F.lit(0))
-    anchored = facts.filter(F.col("pg").isin(anchors)).join(some, "doc").join(own.select("question_id", "seq"), ["question_id", "seq"], "left_anti").withColumn("part", F.lit(1))
+    anchored = facts.filter(F.col("pg").isin(anchors)).join(docs, "doc").join(own.select("question_id", "seq"), ["question_id", "seq"], "left_anti").withColumn("part", F.lit(1))
     cols = ["question_id", "part", "seq", *FACT]
-    return every.select(*cols).unionByName(own.select(*cols)).unionByName(anchored.select(*cols))
+    return own.select(*cols).unionByName(anchored.select(*cols))
 
 
-def build(questions: DataFrame, sections: DataFrame, facts: DataFrame, chosen: DataFrame, anchors: list[int], aggregates: DataFrame | None = None) -> DataFrame:
+def build(questions: DataFrame, sections: DataFrame, facts: DataFrame, chosen: DataFrame, anchors: list[int], aggregates: DataFrame | None = None, values: bool = False) -> DataFrame:
     """question_id, mode, prompt, pages, chars for questions (question_id, question, doc, mode).
 
     chosen: question_id, id. Mode full takes the top sections; a choice that finds nothing falls back to them and is labelled
     so. Of a choice, sections inside another chosen one go; of the top sections none. Facts are all of the document in mode full, else those on the pages of
-    the sections that were taken (in the fallback too, so a fact without a page is in mode full only), then those of the anchor pages. aggregates (doc, aggregates as JSON) go with every prompt of their document."""
+    the sections that were taken (in the fallback too, so a fact without a page is in mode full only), then those of the anchor pages. aggregates (doc, aggregates as JSON) go with every prompt of their document.
+    values: also the prompt's numbers (there), those of a whole document read once."""
     q = questions.select("question_id", "question", "doc", "mode")
     top = sections.filter("level = 1")
     own = lambda s: s.withColumn("d", F.col("doc")).withColumn("doc", F.concat_ws("\u0001", "doc", F.col("question_id").cast("string")))
     picked = S.drop_nested(own(q.filter("mode <> 'full'").join(chosen.distinct(), "question_id").join(sections, ["doc", "id"]))).withColumn("doc", F.col("d")).drop("d")
     empty = q.filter("mode <> 'full'").join(picked.select("question_id").distinct(), "question_id", "left_anti").withColumn("mode", F.concat("mode", F.lit("->full")))
     cols = ["question_id", "question", "doc", "mode", "seq", "id", "title", "level", "page_from", "page_to", "text"]
-    kept = picked.select(*cols).unionByName(q.filter("mode = 'full'").unionByName(empty).join(top, "doc").select(*cols))
     xml = F.struct("seq", X.section_xml(F.col("id"), F.col("title"), F.col("page_from"), F.col("page_to"), F.col("text")).alias("x"))
     document = F.array_join(F.transform(F.array_sort(F.collect_list(xml)), lambda s: s["x"]), "\n\n")
     ends = F.array_sort(F.array_distinct(F.concat(F.collect_set(F.col("page_from").cast("long")), F.collect_set(F.col("page_to").cast("long")))))
-    docs = kept.groupBy("question_id", "question", "doc", "mode").agg(document.alias("document"), ends.alias("pages"))
-    per = _facts_of(docs, kept, facts.filter("v IS NOT NULL").select("doc", "seq", *FACT), anchors)
-    fact = F.struct("part", "seq", F.struct("t", "m", "s", "p", "v", "u", "pg").alias("x"))
+    fact = F.struct("part", "seq", F.struct(*FACT).alias("x"))
     numbers = X.facts_json(F.transform(F.array_sort(F.collect_list(fact)), lambda z: z["x"]))
-    out = docs.join(per.groupBy("question_id").agg(numbers.alias("numbers")), "question_id", "left")
+    facts = facts.filter("v IS NOT NULL").select("doc", "seq", *FACT)
+    # top sections and all facts are the same for every question of a document: put together once a document
+    whole = top.groupBy("doc").agg(document.alias("document"), ends.alias("pages"))
+    if values:
+        whole = whole.withColumn("there", F.array_distinct(X.values_in(F.col("document"))))
     if aggregates is not None:
-        out = out.join(aggregates.select("doc", "aggregates"), "doc", "left")
-    numbers = X.numbers_json(F.col("numbers"), None if aggregates is None else F.col("aggregates"))
-    out = out.withColumn("prompt", X.prompt(F.col("question"), numbers, F.col("document")))
-    return out.select("question_id", "question", "mode", "prompt", "pages", F.length("prompt").alias("chars"), X.token_estimate(F.col("prompt")).alias("tokens"))
+        whole = whole.join(aggregates.select("doc", "aggregates"), "doc", "left")
+    of_doc = facts.withColumn("part", F.lit(0)).groupBy("doc").agg(numbers.alias("every"))
+    whole = written(whole.join(of_doc, "doc", "left"), "whole")
+    per = _facts_of(picked.select("question_id", "doc").unionByName(empty.select("question_id", "doc")).distinct(), picked.select("question_id", "doc", "page_from", "page_to").unionByName(empty.join(top, "doc").select("question_id", "doc", "page_from", "page_to")), facts, anchors)
+    per = per.groupBy("question_id").agg(numbers.alias("numbers"))
+    some = picked.select(*cols).groupBy("question_id", "question", "doc", "mode").agg(document.alias("document"), ends.alias("pages")).join(per, "question_id", "left")
+    if values:
+        some = some.withColumn("there", F.array().cast("array<double>"))
+    if aggregates is not None:
+        some = some.join(aggregates.select("doc", "aggregates"), "doc", "left")
+    full = q.filter("mode = 'full'").withColumn("numbers", F.lit(None).cast("string")).unionByName(empty.join(per, "question_id", "left"))
+    full = _with_document(full, whole).withColumn("numbers", F.when(F.col("mode") == "full", F.col("every")).otherwise(F.col("numbers"))).drop("every")
+
+    def prompts(rows: DataFrame, once: bool) -> DataFrame:
+        json = X.numbers_json(F.col("numbers"), None if aggregates is None else F.col("aggregates"))
+        rows = rows.withColumn("prompt", X.prompt(F.col("question"), json, F.col("document")))
+        # tags part question, numbers and document, so no number or page reference crosses them
+        more = [] if not values else [F.concat("there", X.values_in(X.prompt(F.col("question"), json, F.lit("")) if once else F.col("prompt"))).alias("there")]
+        return rows.select("question_id", "question", "mode", "prompt", "pages", F.length("prompt").alias("chars"), X.token_estimate(F.col("prompt")).alias("tokens"), *more)
+
+    return prompts(some, False).unionByName(prompts(full, True))
 
 
 def guard(answers: DataFrame) -> DataFrame:
     """Flags (advice_guarded: advice was asked for, or a verdict given), decorated text, unverified numbers of the raw text, pages cited in the decorated one."""
     advice, verdict = X.is_advice_request(F.col("question")), X.has_verdict(F.col("text"))
-    rows = answers.withColumn("unverified", evaluate.unverified(F.col("text"), F.col("prompt"))).withColumn("advice_guarded", advice | verdict).withColumn("verdict_leaked", verdict)
+    rows = answers if "unverified" in answers.columns else answers.withColumn("unverified", evaluate.unverified(F.col("text"), F.col("prompt")))
+    rows = rows.withColumn("advice_guarded", advice | verdict).withColumn("verdict_leaked", verdict)
     rows = rows.withColumn("text", X.guarded(F.col("text"), F.col("advice_guarded"), F.col("verdict_leaked"), NOTICE, WARNING))
     return rows.withColumn("cited_pages", X.citations(F.col("text"))).withColumn("has_citations", F.size("cited_pages") > 0)
 
@@ -106,7 +136,7 @@ ROUTER_TASK = "Выбери разделы, в которых есть отве
 def router_prompts(questions: DataFrame, sections: DataFrame, max_level: int = 4) -> DataFrame:
     """(question_id, question, doc, mode, prompt) of the questions in mode router: task, the document's outline, question. A document without
     sections of these levels has an empty outline."""
-    q = questions.filter("mode = 'router'").join(S.outline(sections, max_level), "doc", "left")
+    q = _with_document(questions.filter("mode = 'router'"), written(S.outline(sections, max_level), "outline"), "left")
     text = F.concat(F.lit(ROUTER_TASK + "\n\n<outline>\n"), F.coalesce("outline", F.lit("")), F.lit("\n</outline>\n\n<question>"), F.coalesce("question", F.lit("")), F.lit("</question>"))
     return q.select("question_id", "question", "doc", "mode", text.alias("prompt"))
 
@@ -120,19 +150,20 @@ def selected(questions: DataFrame, sections: DataFrame, replies: DataFrame) -> t
     return q.select("question_id", "question", "doc", "mode"), written(choose(decisions, questions, sections), "chosen")
 
 
-def ask(questions: DataFrame, sections: DataFrame, facts: DataFrame, router: Answerer, answerer: Answerer, anchors: list[int], aggregates: DataFrame | None = None, searched: DataFrame | None = None, prices: DataFrame | None = None, **options) -> DataFrame:
+def ask(questions: DataFrame, sections: DataFrame, facts: DataFrame, router: Answerer, answerer: Answerer, anchors: list[int], aggregates: DataFrame | None = None, searched: DataFrame | None = None, prices: DataFrame | None = None, keep_prompts: bool = True, **options) -> DataFrame:
     """Entry point, from questions (question_id, question, doc, mode) to guarded answers: in mode router the router's prompt, call and decision, widened where
     it is unsure; in mode vector the sections found by search (searched: question_id, id); then context with facts and aggregates, model call, guards and cost.
 
     The router's tokens and time count with the answer's. prices: model, price_in, price_out. The replies are written before they are used,
-    so that each call is made once (options: see call_model)."""
-    routed = written(call_model(router_prompts(questions, sections), router, **options), "routed")
+    so that each call is made once (options: see call_model). The router's prompts are not written; with keep_prompts=False neither are the others, which hold
+    a whole document for some questions: the answers' numbers are compared before."""
+    routed = written(call_model(router_prompts(questions, sections), router, **options).drop("prompt"), "routed")
     q, chosen = selected(questions, sections, routed.select("question_id", "doc", F.col("text").alias("reply")))
     if searched is not None:
         chosen = chosen.select("question_id", "id").unionByName(questions.filter("mode = 'vector'").select("question_id").join(searched, "question_id").select("question_id", "id"))
-    prompts = build(q, sections, facts, chosen.select("question_id", "id"), anchors, aggregates)
-    replies = written(call_model(prompts, answerer, **options), "answers")
-    out = guard(replies)
+    prompts = build(q, sections, facts, chosen.select("question_id", "id"), anchors, aggregates, values=True)
+    replies = call_model(prompts, answerer, **options).withColumn("unverified", evaluate.unverified_among(F.col("text"), F.col("there")))
+    out = guard(written(replies.drop("there", *([] if keep_prompts else ["prompt"])), "answers"))
     spent = routed.select("question_id", *[F.col(c).alias(f"router_{c}") for c in ("prompt_tokens", "completion_tokens", "latency_s")])
     out = out.join(spent, "question_id", "left")
     if prices is not None:

@@ -13,7 +13,12 @@ def unverified(answer: Column, context: Column, signed: bool = False) -> Column:
 
     signed=True also takes a typographic minus as a sign, on both sides."""
     dash = (lambda c: F.regexp_replace(c, r"[\x{2212}\x{2013}](?=[0-9])", "-")) if signed else (lambda c: c)
-    there, own = values_in(dash(context)), values_in(dash(answer))
+    return unverified_among(dash(answer), values_in(dash(context)))
+
+
+def unverified_among(answer: Column, there: Column) -> Column:
+    """unverified() for a context whose numbers are at hand."""
+    own = values_in(answer)
     tolerance = lambda v: 0.5 * F.pow(F.lit(10.0), -F.least(decimals(v), F.lit(3))) + 1e-9
     return F.array_sort(F.array_distinct(F.transform(F.filter(own, lambda v: ~F.exists(there, lambda c: F.abs(c - v) <= tolerance(v))), number_text)))
 

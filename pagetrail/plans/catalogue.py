@@ -783,7 +783,7 @@ def _asked_tables(spark: SparkSession, d: str) -> list[DataFrame]:
 def context_prompt(spark, d):
     """Router prompts, replies and decisions, then the context of every question: sections, facts, aggregates."""
     q, s, f = _asked_tables(spark, d)
-    replies = written(context.call_model(context.router_prompts(q, s), router_client), "routed").select("question_id", "doc", F.col("text").alias("reply"))
+    replies = written(context.call_model(context.router_prompts(q, s), router_client).drop("prompt"), "routed").select("question_id", "doc", F.col("text").alias("reply"))
     q, chosen = context.selected(q, s, replies)
     out = context.build(q, s, f, chosen.select("question_id", "id"), [12, 21], _aggregates(spark, d))
     pages = F.array_join(F.transform("pages", lambda p: p.cast("string")), " ")
@@ -802,7 +802,7 @@ SELECT question_id, mode, CASE WHEN verdict THEN {WARNING_SQL} ELSE '' END || te
 FROM g JOIN (SELECT question_id, mode, len FROM d) d USING (question_id)""".replace("SELECT question_id, mode, CASE WHEN verdict", "SELECT question_id, g.mode AS mode, CASE WHEN verdict"), ASK_VIEWS)
 def answer_pipeline(spark, d):
     """Every question from its router call to the guarded answer."""
-    out = context.ask(*_asked_tables(spark, d), router_client, answer_client, [12, 21], _aggregates(spark, d))
+    out = context.ask(*_asked_tables(spark, d), router_client, answer_client, [12, 21], _aggregates(spark, d), keep_prompts=False)
     pages = F.array_join(F.transform("cited_pages", lambda p: p.cast("string")), " ")
     return out.select("question_id", "mode", "text", F.array_join("unverified", " ").alias("unverified"), "advice_guarded", "verdict_leaked", pages.alias("cited_pages"), "error", "prompt_tokens")
 

@@ -268,6 +268,22 @@ def test_ask_routes_widens_falls_back_and_guards(spark):
     assert got[6].error == "empty reply" and got[6].text is None and (got[1].prompt_tokens, got[1].latency_s, got[4].prompt_tokens) == (11, 3.0, 1) and got[1].cost == pytest.approx(50.00001)
 
 
+def test_a_document_is_put_together_once_for_its_questions(spark, tmp_path):
+    n, m = 400, 300
+    texts = [(i, f"{i},5 " + "x" * 400) for i in range(1, n + 1)]
+    s = spark.createDataFrame([("d", i, f"s{i}", "T", 1, i, i, t) for i, t in texts], KINDS)
+    f = spark.createDataFrame([("d", 1, "t", "m", None, "p", 7.25, "u", 3)], "doc string, seq int, t string, m string, s string, p string, v double, u string, pg int")
+    q = spark.range(m).select(F.col("id").alias("question_id"), F.concat(F.lit("Q 9 "), F.col("id").cast("string")).alias("question"), F.lit("d").alias("doc"), F.lit("full").alias("mode"))
+    home = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(home))
+    out = context.ask(q, s, f, lambda p: {"text": "[]"}, lambda p: {"text": "7,25 и 12,5 и 999 и 9", "prompt_tokens": len(p)}, [], keep_prompts=False)
+    got = out.collect()
+    assert len(got) == m and "prompt" not in out.columns and all(r.unverified == ["999"] for r in got)
+    assert all(r.prompt_tokens > sum(len(t) for _, t in texts) for r in got)
+    size = sum(os.path.getsize(os.path.join(r, x)) for d in set(os.listdir(home)) - before for r, _, xs in os.walk(os.path.join(home, d)) for x in xs)
+    assert size < 2_000_000  # the prompts have 50 MB
+
+
 def test_an_id_of_another_document_is_unknown(spark):
     replies = spark.createDataFrame([(1, "d", '{"sections": ["x", "a"], "confidence": 1}')], "question_id int, doc string, reply string")
     known = spark.createDataFrame([("d", "a"), ("e", "x")], "doc string, id string")
