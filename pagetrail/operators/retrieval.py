@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -190,3 +192,63 @@ def cosine(vectors: DataFrame, asked: DataFrame) -> DataFrame:
     v = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), dot(F.col("embedding"), F.col("embedding")).alias("vv"))
     q = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), dot(F.col("embedding"), F.col("embedding")).alias("qq"))
     return v.join(q, F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", (dot(F.col("v"), F.col("q")) / F.sqrt(F.col("vv") * F.col("qq"))).alias("score"))
+
+
+#: Rows of a cell of the vector search, and asked rows compared with them at a time.
+CELL_ROWS, CELL_ASKED, STEP = 4096, 8192, 256
+
+
+def dense_top_k(vectors: DataFrame, asked: DataFrame, k: int = TOP_K, digits: int = 6, cell_rows: int = CELL_ROWS, cell_asked: int = CELL_ASKED) -> DataFrame:
+    """top_k(cosine(vectors, asked), k, digits) without a row for each pair.
+
+    Vectors and asked ones meet in cells of bounded size, each pair in one. A cell multiplies whole matrices, and scores anew, in the order of
+    the components, what comes within a rounding of an asked vector's kth score there; only that leaves the cell, of equal scores the k smallest ids. The work
+    grows with the number of pairs, what moves and is held does not."""
+    dot = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    rows = lambda d: d.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"), dot.alias("xx")).filter("id IS NOT NULL AND xx IS NOT NULL")
+    v, q = rows(vectors), rows(asked)
+    down, across = (max(1, -(-d.count() // n)) for d, n in ((vectors, cell_rows), (asked, cell_asked)))
+    at = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.withColumn("a", at(down)).withColumn("b", every(across))
+    q = q.withColumn("b", at(across)).withColumn("a", every(down))
+    kind = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        def split(t):
+            t = t.combine_chunks()
+            size = np.array([len(x) for x in t.column("x")], np.int64) if t.num_rows else np.zeros(0, np.int64)
+            flat = t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False) if t.num_rows else np.zeros(0)
+            ids, xx, start = t.column("id").to_numpy(), t.column("xx").to_numpy(), np.cumsum(size) - size
+            return {int(n): (ids[size == n], xx[size == n], flat[start[size == n][:, None] + np.arange(n)]) for n in np.unique(size)}
+
+        out = []
+        there, wanted = split(left), split(right)
+        for n in there.keys() & wanted.keys():
+            (ids, vv, x), (qids, qqs, ys) = there[n], wanted[n]
+            for lo in range(0, len(qids), STEP):
+                qid, qq, y = qids[lo : lo + STEP], qqs[lo : lo + STEP], ys[lo : lo + STEP]
+                with np.errstate(all="ignore"):
+                    s = (y @ x.T) / np.sqrt(qq[:, None] * vv[None, :])
+                    own = qid[:, None] == ids[None, :]
+                    s[own] = -np.inf
+                    least = np.full((len(qid), 1), -np.inf)
+                    if len(ids) > k:  # not a number counts as the largest, here as in the order of scores
+                        least = np.partition(s, len(ids) - k, axis=1)[:, [len(ids) - k]]
+                    keep = np.isnan(s) | (s >= np.maximum(least - 1.01 * 10.0**-digits, -1e-9))
+                    i, j = np.nonzero(keep & ~own)
+                    score = np.zeros(len(i))
+                    for c in range(n):
+                        score = score + x[j, c] * y[i, c]
+                    score = score / np.sqrt(vv[j] * qq[i])
+                order = np.lexsort((ids[j], score, i))
+                i, j, score = i[order], j[order], score[order]
+                new = np.ones(len(i), bool)
+                new[1:] = (i[1:] != i[:-1]) | ((score[1:] != score[:-1]) & ~(np.isnan(score[1:]) & np.isnan(score[:-1])))
+                place = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
+                few = place < k
+                out.append(pa.Table.from_arrays([pa.array(qid[i[few]]), pa.array(ids[j[few]]), pa.array(score[few])], schema=kind))
+        return pa.concat_tables(out) if out else kind.empty_table()
+
+    scores = v.groupBy("a", "b").cogroup(q.groupBy("a", "b")).applyInArrow(best, "query_id long, doc_id long, score double")
+    return top_k(scores, k, digits)

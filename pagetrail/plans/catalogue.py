@@ -160,7 +160,7 @@ SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id OR
 QUALIFY rank <= 8""")
 def dense_topk(spark, d):
     v = frame(spark, d, "embeddings")
-    return retrieval.top_k(retrieval.cosine(v, v.filter("vec_id % 100 = 0")), 8, 6)
+    return retrieval.dense_top_k(v, v.filter("vec_id % 100 = 0"), 8, 6)
 
 
 # ---------------------------------------------------------------- numbers, units, labels

@@ -413,6 +413,19 @@ def test_a_kept_index_ends_early_and_follows_its_texts(spark, tmp_path):
     assert 2001 not in {r.doc_id for r in retrieval.top_k_indexed(spark, other, asked).collect()}
 
 
+def test_dense_search_makes_no_row_for_each_pair(spark, capsys):
+    rng = random.Random(5)
+    rows = [(i, None if i == 7 else [None if i == 8 and c == 1 else float("nan") if i == 9 and c == 2 else rng.choice([-1.0, 0.5, 1.0, 2.0]) for c in range(4 if i % 50 else 5)]) for i in range(1, 500)]
+    rows += [(i + 1000, v) for i, v in rows[:200]]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    q = v.filter("vec_id % 20 = 0 OR vec_id = 9")
+    want = sorted(map(str, retrieval.top_k(retrieval.cosine(v, q), 8, 6).select("query_id", "doc_id", "score", "rank").collect()))
+    got = retrieval.dense_top_k(v, q, 8, 6, cell_rows=100, cell_asked=10)
+    assert len(want) > 100 and sorted(map(str, got.select("query_id", "doc_id", "score", "rank").collect())) == want
+    got.explain()
+    assert "NestedLoop" not in capsys.readouterr().out
+
+
 def test_many_asked_terms_give_the_same_scores(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 3} c") for i in range(50)], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "a1 b2 c"), (2, "a3")], "query_id int, query string")
