@@ -135,14 +135,18 @@ def open_index(docs: DataFrame, path: str, block_docs: int = BLOCK_DOCS, k1: flo
         return home
     lengths = written(docs.select("doc_id", tokens(F.col("text")).alias("toks")), "tokens")
     corpus = _corpus(lengths).select("n", F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl"), F.greatest(F.ceil(F.col("n") / block_docs), F.lit(1)).alias("blocks"))
-    tf = lengths.select("doc_id", F.size("toks").alias("len"), F.explode("toks").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    # corpus: one row. Texts move to their block once, as arrays; counts and lists of a block are made where it lies, and no token moves as a row
+    placed = lengths.crossJoin(F.broadcast(corpus)).select("doc_id", "toks", "avgdl", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block")).repartition("block")
+    tf = placed.select("block", "doc_id", "avgdl", F.size("toks").alias("len"), F.explode("toks").alias("term")).groupBy("block", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"), F.first("avgdl").alias("avgdl"))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.greatest(F.col("len"), F.lit(1)) / F.col("avgdl")))
-    blocked = tf.crossJoin(F.broadcast(corpus)).select("term", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"), F.struct("doc_id", part.alias("part")).alias("p"))  # corpus: one row
-    lists = blocked.groupBy("term", "block").agg(F.collect_list("p").alias("postings"), F.max("p.part").alias("most"), F.count(F.lit(1)).alias("n"))
+    lists = tf.select("term", "block", F.struct("doc_id", part.alias("part")).alias("p")).groupBy("block", "term").agg(F.collect_list("p").alias("postings"), F.max("p.part").alias("most"), F.count(F.lit(1)).alias("n"))
+    # written before they are put in order, as that looks at them twice
+    lists = written(lists.select("term", "block", "postings", "most", "n"), "lists")
     lists.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{home}/postings")
     spark.read.parquet(f"{home}/postings").groupBy("term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{home}/terms")
     corpus.write.mode("overwrite").parquet(f"{home}/corpus")
     removed(spark, lengths._written_path)
+    removed(spark, lists._written_path)
     for other in children(spark, path):
         if other != name:
             removed(spark, f"{path}/{other}")
