@@ -59,6 +59,15 @@ def on_some_page(points: DataFrame, intervals: DataFrame, on: list[str], point:
     return at.join(nodes, [*on, "__node"], "left_semi").select(*points.columns)
 
 
+def marked(points: DataFrame, intervals: DataFrame, on: list[str], key: list[str], point: str, lo: str, hi: str, name: str) -> DataFrame:
+    """Every point once, with the column ``name``: whether it lies in some interval of its group; a NULL point lies in none. Points are told apart
+    by on and key, and are computed once, where on_some_page() and the points that it leaves would take them twice."""
+    nodes = disjoint(intervals, on, lo, hi).select(*on, F.explode(interval_nodes(F.col(lo), F.col(hi))).alias("__node"), F.lit(True).alias("__in"))
+    at = points.withColumn("__node", F.explode_outer(point_nodes(F.col(point)))).join(nodes, [*on, "__node"], "left")
+    rest = [F.first(c).alias(c) for c in points.columns if c not in (*on, *key)]
+    return at.groupBy(*on, *key).agg(*rest, F.coalesce(F.max("__in"), F.lit(False)).alias(name)).select(*points.columns, name)
+
+
 def stabbed(points: DataFrame, intervals: DataFrame, on: list[str], point: str, lo: str, hi: str) -> DataFrame:
     """Every point with every interval of its group that holds it; both sides' columns."""
     nodes = intervals.withColumn("__node", F.explode(interval_nodes(F.col(lo), F.col(hi))))

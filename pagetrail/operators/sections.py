@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from pagetrail.functions.text import outline_line, slug
 
-from .intervals import on_some_page, stabbed
+from .intervals import marked, on_some_page, stabbed
 
 MAX_LEVEL = 9
 PART_PAGES = 4096
@@ -108,10 +108,12 @@ def facts_in_sections(facts: DataFrame, sections: DataFrame) -> DataFrame:
     return on_some_page(facts, sections, ["doc"], "pg", "page_from", "page_to")
 
 
-def with_anchor_facts(facts: DataFrame, chosen: DataFrame, anchors: list[int]) -> DataFrame:
-    """The chosen facts, then those of the anchor pages that are not among them. Needs a key seq."""
-    rest = facts.filter(F.col("pg").isin(anchors)).join(chosen, ["doc", "seq"], "left_anti")
-    return chosen.withColumn("part", F.lit(0)).unionByName(rest.withColumn("part", F.lit(1)))
+def facts_with_anchors(facts: DataFrame, sections: DataFrame, anchors: list[int]) -> DataFrame:
+    """The facts on a page of some chosen section of their document (part 0), then those of the anchor pages that are not among them
+    (part 1). Needs a key seq in each document; facts and sections are computed once."""
+    rows = marked(facts, sections, ["doc"], ["seq"], "pg", "page_from", "page_to", "__chosen")
+    part = F.when(F.col("__chosen"), 0).when(F.col("pg").isin(anchors), 1)
+    return rows.withColumn("part", part).filter("part IS NOT NULL").drop("__chosen")
 
 
 def parents(spans: DataFrame, sections: DataFrame) -> DataFrame:

@@ -281,9 +281,8 @@ hit AS (SELECT * FROM facts_a f WHERE EXISTS (SELECT 1 FROM chosen c WHERE c.doc
 SELECT seq, m, s, p, v, u, pg, 0 AS part FROM hit UNION ALL SELECT seq, m, s, p, v, u, pg, 1 AS part FROM facts_a WHERE pg IN (12, 21) AND seq NOT IN (SELECT seq FROM hit)""", ("sections", "facts_a"))
 def facts_for_context(spark, d):
     """Facts on the pages of leaf sections, then those of the anchor pages."""
-    f = frame(spark, d, "facts_a")
-    hit = sections.facts_in_sections(f, sections.leaf_sections(frame(spark, d, "sections")))
-    return sections.with_anchor_facts(f, hit, [12, 21]).select("seq", "m", "s", "p", "v", "u", "pg", "part")
+    leaves = sections.leaf_sections(frame(spark, d, "sections"))
+    return sections.facts_with_anchors(frame(spark, d, "facts_a"), leaves, [12, 21]).select("seq", "m", "s", "p", "v", "u", "pg", "part")
 
 
 # ---------------------------------------------------------------- facts

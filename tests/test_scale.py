@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagetrail.functions import text as X
 from pagetrail.operators import context, evaluate, intervals, layout, linkage, models, quality, retrieval, sections
-from pagetrail.plans import views
+from pagetrail.plans import catalogue, views
 from pagetrail.sources import page_cache, readers, writers
 from pagetrail.streaming import incremental
 
@@ -101,6 +101,32 @@ def test_texts_of_many_bookmarks(spark):
     assert len(got) == 20_000 and all(r.text == "\n".join(str(r.seq + i) for i in range(4 if r.level == 1 else 5 - r.level)) for r in got)
 
 
+def test_facts_of_many_bookmarks(spark):
+    f = spark.range(1, 20_101).select(F.lit("d").alias("doc"), F.col("id").alias("seq"), F.col("id").cast("int").alias("pg"))
+    got = in_time(lambda: sections.facts_with_anchors(f, sections.leaf_sections(long_document(spark, 20_000)), [12, 21, 20_050]).select("seq", "part").collect(), 60)
+    want = {i: 0 for i in range(4, 20_001, 4)} | {21: 1, 20_050: 1}
+    assert len(got) == len(want) and {r.seq: r.part for r in got} == want
+
+
+def test_facts_with_anchors_equal_a_loop(spark):
+    rng = random.Random(8)
+    s = [(rng.choice("abc"), i, lo, lo + rng.randint(-1, 20)) for i in range(40) for lo in [rng.randint(-5, 900)]]
+    f = [(rng.choice(["a", "b", "c", "none", None]), i // 3, rng.choice([None, rng.randint(-10, 950), 12, 21]), f"v{i}" if i % 7 else None) for i in range(1500)]
+    f = list({(r[0], r[1]): r for r in f}.values())
+    hit = {r: any(d == r[0] and r[2] is not None and lo <= r[2] <= hi for d, _, lo, hi in s) for r in f}
+    want = {(*r, 0 if hit[r] else 1) for r in f if hit[r] or r[2] in (12, 21)}
+    out = sections.facts_with_anchors(spark.createDataFrame(f, "doc string, seq long, pg int, v string"), spark.createDataFrame(s, "doc string, seq int, page_from long, page_to long"), [12, 21])
+    got = [tuple(r) for r in out.select("doc", "seq", "pg", "v", "part").collect()]
+    assert len(got) == len(want) and set(got) == want and {r[-1] for r in got} == {0, 1}
+
+
+def test_facts_and_sections_are_computed_once(spark, capsys):
+    catalogue.QUERIES["facts_for_context"](spark, "/root/testdata/sf0.001").explain()
+    scans = re.findall(r"FileScan parquet \[(\w+)#", capsys.readouterr().out)
+    # the facts are a union of three over one view, whose exchange is made once
+    assert scans.count("o_custkey") == 3 and scans.count("doc_id") == 1
+
+
 def test_replies_meet_sections_by_place(spark, capsys):
     views.frame(spark, "/root/testdata/sf0.001", "replies").explain()
     joins = [x for x in capsys.readouterr().out.splitlines() if "Join" in x and "conv_id" not in x]
