@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagetrail.llm import decontamination, jaccard_join, line_dedup, packing, quality, secrets, sharding, topk_search, toxicity, warc
+from pagetrail.llm import decontamination, jaccard_join, labelled, line_dedup, packing, quality, secrets, sharding, topk_search, toxicity, warc
 from pagetrail.llm.graph import components
 from pagetrail.llm.wordhash import chunks, shingle_sets
 
@@ -553,6 +553,17 @@ def test_kneser_ney_equals_dicts(spark, head):
         assert got[i] == pytest.approx(want, abs=1e-5)
 
 
+def test_unlabelled_texts_are_not_moved_to_the_labels(spark, monkeypatch):
+    rows = docs(spark, [(i, f"text {i}") for i in range(3000)] + [(None, "none"), (7, "again"), (8, None)])
+    known = spark.createDataFrame([(i, i % 2) for i in range(0, 300)] + [(None, 1), (9999, 1), (11, None)], "doc_id long, toxic int")
+    table = lambda: sorted(tuple(r) for r in labelled.labelled_texts(rows, known, "toxic", 5, 0).select("doc_id", "text", "label").collect())
+    want = table()
+    monkeypatch.setattr(labelled, "BROADCAST_LABELS", 0)
+    got = labelled.labelled_texts(rows, known, "toxic", 5, 0)
+    assert table() == want and len(want) > 200
+    assert "mapInArrow" in (plan := got._jdf.queryExecution().toString()) or "MapInArrow" in plan
+
+
 def test_dual_coordinate_descent_separates():
     xs = [(np.array([0]), np.array([1.0])), (np.array([1]), np.array([1.0]))] * 5
     y = np.array([1.0, -1.0] * 5)
