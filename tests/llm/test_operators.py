@@ -553,6 +553,32 @@ def test_kneser_ney_equals_dicts(spark, head):
         assert got[i] == pytest.approx(want, abs=1e-5)
 
 
+def test_a_block_of_texts_asks_for_a_value_once(spark, monkeypatch):
+    """Values beyond the head were asked for by each text, with a ratio for each word: nine times the rows' worth here."""
+    rng = random.Random(5)
+    plain, labels = labelled_corpus(rng, 120, ["vilewort", "grimscum"])
+    rows = [(i, plain[i % 40][1]) for i in range(4000)] + [(5000, ""), (5001, None), (5002, plain[3][1] + " neverseen"), (5000, "...")]
+    label = {i: t for i, _, t in labels}
+    model = toxicity.fit(spark.createDataFrame([(i, t, label[i], i % 4 // 3) for i, t in plain], "doc_id long, text string, label int, cal int"), 10**6)
+    frame = docs(spark, rows).select("doc_id", "text").repartition(2)
+    sizes, write = [], toxicity.materialize
+
+    def seen(df, name, *more):
+        out = write(df, name, *more)
+        if name == "asked":
+            sizes.append(out.agg(F.sum(F.octet_length("blob"))).first()[0] if "blob" in out.columns else out.agg(F.sum(12 * F.size("key") + F.octet_length("llr"))).first()[0])
+        return out
+
+    monkeypatch.setattr(toxicity, "materialize", seen)
+    want, got = ({(r.doc_id, round(r.whole, 5), round(r.piece, 5), round(r.word, 5)) for r in toxicity.measured(frame, model, head=h).collect()} for h in (1 << 22, 0))
+    near = lambda x: sorted((a, b, c, d) for a, b, c, d in x)
+    assert len(want) == len(got) and all(a == pytest.approx(b, abs=3e-5) for a, b in zip(near(want), near(got), strict=True))
+    assert sum(sizes) < sum(len(t or "") for _, t in rows)
+    if hasattr(toxicity, "BLOCK_ASKS"):  # many blocks and turns
+        monkeypatch.setattr(toxicity, "BLOCK_ASKS", 1000)
+        assert sorted(map(tuple, toxicity.measured(frame, model, head=0, turns=3).collect())) == sorted(map(tuple, toxicity.measured(frame.repartition(90), model, head=0).collect()))
+
+
 def test_unlabelled_texts_are_not_moved_to_the_labels(spark, monkeypatch):
     rows = docs(spark, [(i, f"text {i}") for i in range(3000)] + [(None, "none"), (7, "again"), (8, None)])
     known = spark.createDataFrame([(i, i % 2) for i in range(0, 300)] + [(None, 1), (9999, 1), (11, None)], "doc_id long, toxic int")
