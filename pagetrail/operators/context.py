@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,7 +12,7 @@ from pagetrail.shared import written
 from . import evaluate
 from . import intervals as I
 from . import sections as S
-from .models import Answerer, call_model
+from .models import Answerer, call_model, call_model_about
 
 NOTICE = "Это сведения из документа, а не инвестиционная рекомендация."
 WARNING = "Внимание: ответ похож на рекомендацию к действию."
@@ -54,9 +54,14 @@ SPREAD = 32
 def _with_document(questions: DataFrame, documents: DataFrame, how: str = "inner") -> DataFrame:
     """questions with the columns of their document (doc, ...), a row a document, which may be long: it is copied SPREAD times, never once a question, and a question's row
     grows only where its prompt is put together."""
+    asked, copies = _spread(questions, documents)
+    return asked.join(copies.hint("merge"), ["doc", "__at"], how).drop("__at")
+
+
+def _spread(questions: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with the key (doc, __at): each question at one of SPREAD places, each document at all of them."""
     at = F.pmod(F.xxhash64("question_id"), F.lit(SPREAD)).cast("int")
-    copies = documents.withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    return questions.withColumn("__at", at).join(copies.hint("merge"), ["doc", "__at"], how).drop("__at")
+    return questions.withColumn("__at", at), documents.withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
 
 
 def _facts_of(docs: DataFrame, kept: DataFrame, facts: DataFrame, anchors: list[int]) -> DataFrame:
@@ -75,6 +80,26 @@ def build(questions: DataFrame, sections: DataFrame, facts: DataFrame, chosen: D
     so. Of a choice, sections inside another chosen one go; of the top sections none. Facts are all of the document in mode full, else those on the pages of
     the sections that were taken (in the fallback too, so a fact without a page is in mode full only), then those of the anchor pages. aggregates (doc, aggregates as JSON) go with every prompt of their document.
     values: also the prompt's numbers (there), those of a whole document read once."""
+    some, full, whole = _contexts(questions, sections, facts, chosen, anchors, aggregates, values)
+    full = _with_document(full, whole).withColumn("numbers", F.when(F.col("mode") == "full", F.col("every")).otherwise(F.col("numbers"))).drop("every")
+
+    def prompts(rows: DataFrame, once: bool) -> DataFrame:
+        json = _json(aggregates)
+        rows = rows.withColumn("prompt", X.prompt(F.col("question"), json, F.col("document")))
+        # tags part question, numbers and document, so no number or page reference crosses them
+        more = [] if not values else [F.concat("there", X.values_in(X.prompt(F.col("question"), json, F.lit("")) if once else F.col("prompt"))).alias("there")]
+        return rows.select("question_id", "question", "mode", "prompt", "pages", F.length("prompt").alias("chars"), X.token_estimate(F.col("prompt")).alias("tokens"), *more)
+
+    return prompts(some, False).unionByName(prompts(full, True))
+
+
+def _json(aggregates: DataFrame | None) -> Column:
+    return X.numbers_json(F.col("numbers"), None if aggregates is None else F.col("aggregates"))
+
+
+def _contexts(questions: DataFrame, sections: DataFrame, facts: DataFrame, chosen: DataFrame, anchors: list[int], aggregates: DataFrame | None, values: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What prompts are put together from: questions with their own document and numbers; those that take a whole document, with numbers where these are not all of the document's;
+    the documents (document, pages, every: all facts), written."""
     q = questions.select("question_id", "question", "doc", "mode")
     top = sections.filter("level = 1")
     own = lambda s: s.withColumn("d", F.col("doc")).withColumn("doc", F.concat_ws("\u0001", "doc", F.col("question_id").cast("string")))
@@ -103,16 +128,7 @@ def build(questions: DataFrame, sections: DataFrame, facts: DataFrame, chosen: D
     if aggregates is not None:
         some = some.join(aggregates.select("doc", "aggregates"), "doc", "left")
     full = q.filter("mode = 'full'").withColumn("numbers", F.lit(None).cast("string")).unionByName(empty.join(per, "question_id", "left"))
-    full = _with_document(full, whole).withColumn("numbers", F.when(F.col("mode") == "full", F.col("every")).otherwise(F.col("numbers"))).drop("every")
-
-    def prompts(rows: DataFrame, once: bool) -> DataFrame:
-        json = X.numbers_json(F.col("numbers"), None if aggregates is None else F.col("aggregates"))
-        rows = rows.withColumn("prompt", X.prompt(F.col("question"), json, F.col("document")))
-        # tags part question, numbers and document, so no number or page reference crosses them
-        more = [] if not values else [F.concat("there", X.values_in(X.prompt(F.col("question"), json, F.lit("")) if once else F.col("prompt"))).alias("there")]
-        return rows.select("question_id", "question", "mode", "prompt", "pages", F.length("prompt").alias("chars"), X.token_estimate(F.col("prompt")).alias("tokens"), *more)
-
-    return prompts(some, False).unionByName(prompts(full, True))
+    return some, full, whole
 
 
 def guard(answers: DataFrame) -> DataFrame:
@@ -141,6 +157,17 @@ def router_prompts(questions: DataFrame, sections: DataFrame, max_level: int = 4
     return q.select("question_id", "question", "doc", "mode", text.alias("prompt"))
 
 
+def routed(questions: DataFrame, sections: DataFrame, router: Answerer, max_level: int = 4, **options) -> DataFrame:
+    """(question_id, question, doc, mode, the reply's columns) of the questions in mode router: the calls of router_prompts(), whose prompts exist only while their calls are
+    made. Written, so that each call is made once."""
+    q, outlines = _spread(questions.filter("mode = 'router'").select("question_id", "question", "doc", "mode"), written(S.outline(sections, max_level), "outline"))
+
+    def prompt(row: dict, document: dict | None) -> str:
+        return f"{ROUTER_TASK}\n\n<outline>\n{(document or {}).get('outline') or ''}\n</outline>\n\n<question>{row['question'] or ''}</question>"
+
+    return written(call_model_about(q, outlines, ["doc", "__at"], prompt, router, **options).drop("__at", "chars"), "routed")
+
+
 def selected(questions: DataFrame, sections: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(questions, chosen) for build() from the router's replies (question_id, doc, reply): a question that needs the full document
     goes there in mode full; so does one whose router call failed (reply NULL). Decisions are written, as several parts of the context's plan read them."""
@@ -157,14 +184,18 @@ def ask(questions: DataFrame, sections: DataFrame, facts: DataFrame, router: Ans
     The router's tokens and time count with the answer's. prices: model, price_in, price_out. The replies are written before they are used,
     so that each call is made once (options: see call_model). The router's prompts are not written; with keep_prompts=False neither are the others, which hold
     a whole document for some questions: the answers' numbers are compared before."""
-    routed = written(call_model(router_prompts(questions, sections), router, **options).drop("prompt"), "routed")
-    q, chosen = selected(questions, sections, routed.select("question_id", "doc", F.col("text").alias("reply")))
+    first = routed(questions, sections, router, **options)
+    q, chosen = selected(questions, sections, first.select("question_id", "doc", F.col("text").alias("reply")))
     if searched is not None:
         chosen = chosen.select("question_id", "id").unionByName(questions.filter("mode = 'vector'").select("question_id").join(searched, "question_id").select("question_id", "id"))
-    prompts = build(q, sections, facts, chosen.select("question_id", "id"), anchors, aggregates, values=True)
-    replies = call_model(prompts, answerer, **options).withColumn("unverified", evaluate.unverified_among(F.col("text"), F.col("there")))
-    out = guard(written(replies.drop("there", *([] if keep_prompts else ["prompt"])), "answers"))
-    spent = routed.select("question_id", *[F.col(c).alias(f"router_{c}") for c in ("prompt_tokens", "completion_tokens", "latency_s")])
+    parts = (q, sections, facts, chosen.select("question_id", "id"), anchors, aggregates)
+    if keep_prompts:
+        replies = call_model(build(*parts, values=True), answerer, **options).withColumn("unverified", evaluate.unverified_among(F.col("text"), F.col("there")))
+        out = guard(written(replies.drop("there"), "answers"))
+    else:
+        replies = call_model(build(*parts, values=True), answerer, **options).withColumn("unverified", evaluate.unverified_among(F.col("text"), F.col("there")))
+        out = guard(written(replies.drop("there", "prompt"), "answers"))
+    spent = first.select("question_id", *[F.col(c).alias(f"router_{c}") for c in ("prompt_tokens", "completion_tokens", "latency_s")])
     out = out.join(spent, "question_id", "left")
     if prices is not None:
         out = evaluate.with_cost(out, prices)

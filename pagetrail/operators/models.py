@@ -95,30 +95,72 @@ def call_model(prompts: DataFrame, client: Answerer, models: list[str | None] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[dict] = [{}] * len(batch)
-            fatal: list[BaseException] = []
-            todo = iter(enumerate(batch.column("prompt").to_pylist()))
-            lock = threading.Lock()
-
-            def work(todo=todo, out=out, lock=lock, fatal=fatal) -> None:
-                while not fatal:
-                    with lock:
-                        at = next(todo, None)
-                    if at is None:
-                        return
-                    try:
-                        out[at[0]] = ask(client, at[1], models or [None], attempts, timeout_s, pause_s) if isinstance(at[1], str) else {"attempt": 0, "error": "no prompt", "prompt_tokens": 0, "completion_tokens": 0, "latency_s": 0.0}
-                    except BaseException as e:  # no failure of a call but of the worker
-                        fatal.append(e)
-
-            pool = [threading.Thread(target=work, daemon=True) for _ in range(min(workers, len(batch)))]
-            for t in pool:
-                t.start()
-            for t in pool:
-                t.join()
-            if fatal:
-                raise fatal[0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r.get(n) for r in out], t) for n, t in _TYPES.items())], [*batch.schema.names, *_TYPES])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
-    return prompts.mapInArrow(run, f"{fields}, {RESULT}")
+            out = _replies(batch.column("prompt").to_pylist().__getitem__, len(batch), client, models, workers, attempts, timeout_s, pause_s)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_result(out)], [*batch.schema.names, *_TYPES])
+
+    return prompts.mapInArrow(run, f"{_fields(prompts)}, {RESULT}")
+
+
+#: Characters of a document's prompts that a task holds at once, about; of a longer document one prompt.
+PROMPT_CHARS = 1 << 27
+
+
+def call_model_about(questions: DataFrame, documents: DataFrame, on: list[str], compose: Callable[..., str | None], client: Answerer, models: list[str | None] | None = None, workers: int = 9, attempts: int = 1, timeout_s: float = 120.0, pause_s: float = 0.0) -> DataFrame:
+    """call_model() for prompts that hold a long document each: the columns of questions, chars (of the prompt) and the reply's. A document comes to the task once for its questions there,
+    and compose(question row, document row or None) makes a prompt when its call is made, so it neither passes from Spark to Python nor waits.
+
+    documents: at most a row for each key; on: its key, also in questions. Fewer calls run at once where a document is so long that their prompts exceed PROMPT_CHARS."""
+    n = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, long work: not to be gathered in few tasks
+
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        rows, document = asked.to_pylist(), next(iter(known.to_pylist()), None)
+        long = sum(len(v) for v in (document or {}).values() if isinstance(v, str))
+        chars: list[int | None] = [None] * len(rows)
+
+        def prompt(i: int) -> str | None:
+            made = compose(rows[i], document)
+            chars[i] = None if made is None else len(made)
+            return made
+
+        out = _replies(prompt, len(rows), client, models, max(1, min(workers, PROMPT_CHARS // max(1, long))), attempts, timeout_s, pause_s)
+        return pa.table([*asked.columns, pa.array(chars, pa.int32()), *_result(out)], [*asked.schema.names, "chars", *_TYPES])
+
+    left, right = (x.repartition(n, *on).groupBy(*on) for x in (questions, documents))
+    return left.cogroup(right).applyInArrow(run, f"{_fields(questions)}, chars int, {RESULT}")
+
+
+def _fields(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+
+def _result(out: list[dict]) -> list[pa.Array]:
+    return [pa.array([r.get(n) for r in out], t) for n, t in _TYPES.items()]
+
+
+def _replies(prompt: Callable[[int], str | None], n: int, client: Answerer, models: list[str | None] | None, workers: int, attempts: int, timeout_s: float, pause_s: float) -> list[dict]:
+    """The replies to prompt(0) to prompt(n - 1), ``workers`` calls at a time."""
+    out: list[dict] = [{}] * n
+    fatal: list[BaseException] = []
+    todo = iter(range(n))
+    lock = threading.Lock()
+
+    def work() -> None:
+        while not fatal:
+            with lock:
+                at = next(todo, None)
+            if at is None:
+                return
+            try:
+                text = prompt(at)
+                out[at] = ask(client, text, models or [None], attempts, timeout_s, pause_s) if isinstance(text, str) else {"attempt": 0, "error": "no prompt", "prompt_tokens": 0, "completion_tokens": 0, "latency_s": 0.0}
+            except BaseException as e:  # no failure of a call but of the worker
+                fatal.append(e)
+
+    pool = [threading.Thread(target=work, daemon=True) for _ in range(min(workers, n))]
+    for t in pool:
+        t.start()
+    for t in pool:
+        t.join()
+    if fatal:
+        raise fatal[0]
+    return out

@@ -782,7 +782,7 @@ def _asked_tables(spark: SparkSession, d: str) -> list[DataFrame]:
 def context_prompt(spark, d):
     """Router prompts, replies and decisions, then the context of every question: sections, facts, aggregates."""
     q, s, f = _asked_tables(spark, d)
-    replies = written(context.call_model(context.router_prompts(q, s), router_client).drop("prompt"), "routed").select("question_id", "doc", F.col("text").alias("reply"))
+    replies = context.routed(q, s, router_client).select("question_id", "doc", F.col("text").alias("reply"))
     q, chosen = context.selected(q, s, replies)
     out = context.build(q, s, f, chosen.select("question_id", "id"), [12, 21], _aggregates(spark, d))
     pages = F.array_join(F.transform("pages", lambda p: p.cast("string")), " ")
