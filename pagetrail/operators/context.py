@@ -168,6 +168,33 @@ def routed(questions: DataFrame, sections: DataFrame, router: Answerer, max_leve
     return written(call_model_about(q, outlines, ["doc", "__at"], prompt, router, **options).drop("__at", "chars"), "routed")
 
 
+def _answers(questions: DataFrame, sections: DataFrame, facts: DataFrame, chosen: DataFrame, anchors: list[int], aggregates: DataFrame | None, answerer: Answerer, **options) -> DataFrame:
+    """The columns of build() but prompt, the reply's and unverified. Prompts of a whole document exist only while their calls are made; the replies are written."""
+    some, full, whole = _contexts(questions, sections, facts, chosen, anchors, aggregates, True)
+    json, text = _json(aggregates), X.prompt(F.col("question"), F.col("json"), F.col("document"))
+    some = some.withColumn("json", json).withColumn("prompt", text).withColumns({"chars": F.length("prompt"), "there": F.concat("there", X.values_in(F.col("prompt")))})
+    kept = ["question_id", "question", "mode", "pages", "chars"]
+    own = call_model(some.select(*kept, "there", "prompt"), answerer, **options).withColumn("unverified", evaluate.unverified_among(F.col("text"), F.col("there")))
+    own = written(own.drop("there", "prompt"), "answers")
+    # the numbers of all facts are a document's, those of a choice a question's
+    every = whole.select("doc", F.col("every").alias("numbers"), *(["aggregates"] if aggregates is not None else []))
+    documents = whole.select("doc", "document").join(every.select("doc", json.alias("every")), "doc")
+    more = full.filter("mode <> 'full'").join(every.drop("numbers"), "doc", "left").withColumn("json", json).select("question_id", "question", "doc", "mode", "json")
+    asked, copies = _spread(full.filter("mode = 'full'").withColumn("json", F.lit(None).cast("string")).select("question_id", "question", "doc", "mode", "json").unionByName(more), documents)
+    asked = asked.join(F.broadcast(whole.select("doc")), "doc", "left_semi")
+
+    def prompt(row: dict, document: dict | None) -> str | None:
+        parts = (row["question"], document["every"] if row["json"] is None else row["json"], document["document"])
+        return None if None in parts else "<question>{}</question>\n\n<numbers>\n{}\n</numbers>\n\n<document>\n{}\n</document>".format(*parts)
+
+    replies = written(call_model_about(asked, copies, ["doc", "__at"], prompt, answerer, **options).drop("__at"), "answers")
+    there = _with_document(replies, whole.select("doc", "pages", "there").join(documents.select("doc", "every"), "doc"))
+    there = there.withColumn("there", F.concat("there", X.values_in(X.prompt(F.col("question"), F.coalesce("json", "every"), F.lit("")))))
+    there = there.withColumn("unverified", evaluate.unverified_among(F.col("text"), F.col("there")))
+    both = own.unionByName(there.select(*own.columns))
+    return both.withColumn("tokens", F.floor(F.col("chars") / 2.5).cast("int"))
+
+
 def selected(questions: DataFrame, sections: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(questions, chosen) for build() from the router's replies (question_id, doc, reply): a question that needs the full document
     goes there in mode full; so does one whose router call failed (reply NULL). Decisions are written, as several parts of the context's plan read them."""
@@ -193,8 +220,7 @@ def ask(questions: DataFrame, sections: DataFrame, facts: DataFrame, router: Ans
         replies = call_model(build(*parts, values=True), answerer, **options).withColumn("unverified", evaluate.unverified_among(F.col("text"), F.col("there")))
         out = guard(written(replies.drop("there"), "answers"))
     else:
-        replies = call_model(build(*parts, values=True), answerer, **options).withColumn("unverified", evaluate.unverified_among(F.col("text"), F.col("there")))
-        out = guard(written(replies.drop("there", "prompt"), "answers"))
+        out = guard(written(_answers(*parts, answerer, **options), "answers"))
     spent = first.select("question_id", *[F.col(c).alias(f"router_{c}") for c in ("prompt_tokens", "completion_tokens", "latency_s")])
     out = out.join(spent, "question_id", "left")
     if prices is not None:

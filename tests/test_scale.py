@@ -310,6 +310,29 @@ def test_a_document_is_put_together_once_for_its_questions(spark, tmp_path):
     assert size < 2_000_000  # the prompts have 50 MB
 
 
+def test_no_prompt_of_a_whole_document_passes_from_spark_to_python(spark, monkeypatch):
+    """Router prompts (an outline each) and those of whole documents were made by Spark, a copy a question."""
+    s = spark.createDataFrame([("d", i, f"s{i}", f"T {i} " + "y" * 60, 1, i, i, f"{i},5 " + "x" * 200) for i in range(1, 200)] + [("e", 1, "e", "E", 1, 1, 1, "1,5")], KINDS)
+    f = spark.createDataFrame([("d", 1, "t", "m", None, "p", 7.25, "u", 3), ("d", 2, "t", "m", "s", "p", 8.5, "u", 21), ("e", 1, "t", "m", None, "p", 2.25, "u", 1)], "doc string, seq int, t string, m string, s string, p string, v double, u string, pg int")
+    modes = ["router", "full", "vector"]
+    q = spark.createDataFrame([(i, None if i == 7 else f"Q{i} 3", "nowhere" if i % 10 == 9 else "de"[i % 2], modes[i % 3]) for i in range(60)], "question_id int, question string, doc string, mode string")
+    aggregates = spark.createDataFrame([("d", '{"total":1}')], "doc string, aggregates string")
+    router = lambda p: {"text": "?" if len(p) % 4 == 0 else '{"sections": ["s5", "e"], "confidence": 0.9}', "prompt_tokens": 1}
+    model = lambda p: {"text": f"{len(p)} и 7,25 и 1,5 и 3 (стр. 3)", "prompt_tokens": len(p)}
+    sent, call = [0], models.call_model
+
+    def seen(prompts, *more, **options):
+        sent.append(prompts.agg(F.max(F.length("prompt"))).first()[0] or 0)
+        return call(prompts, *more, **options)
+
+    asked = lambda keep: context.ask(q, s, f, router, model, [21], aggregates, keep_prompts=keep)
+    cols = ["question_id", "mode", "text", "error", "unverified", "cited_pages", "pages", "chars", "tokens", "prompt_tokens"]
+    want = sorted(map(str, asked(True).select(*cols).collect()))
+    monkeypatch.setattr(context, "call_model", seen)
+    got = sorted(map(str, asked(False).select(*cols).collect()))
+    assert got == want and len(got) > 40 and max(sent) < 5000 and "no prompt" in str(got)
+
+
 def test_an_id_of_another_document_is_unknown(spark):
     replies = spark.createDataFrame([(1, "d", '{"sections": ["x", "a"], "confidence": 1}')], "question_id int, doc string, reply string")
     known = spark.createDataFrame([("d", "a"), ("e", "x")], "doc string, id string")
